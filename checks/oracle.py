@@ -8,3 +8,274 @@ from checks.sql_base import with_
 ORACLE: dict[str, str] = {}
 
 ORACLE["game_states"] = with_(sb.STATES, "SELECT * FROM states")
+
+ROW = "season, game_id, source_event_index"
+NORM = f"{sb.ACTIONS}, {sb.normalized()}"
+
+
+def acts(key: str, columns: str) -> None:
+    ORACLE[key] = with_(NORM, f"SELECT {ROW}, {columns} FROM norm")
+
+
+def trk(key: str, columns: str) -> None:
+    ORACLE[key] = with_(sb.TRACKED, f"SELECT {ROW}, {columns} FROM trk")
+
+
+def states(key: str, select: str) -> None:
+    ORACLE[key] = with_(sb.STATES, select)
+
+
+# --- Column expressions -----------------------------------------------------------------
+
+acts("clean_text", "action_type AS type_text, clock_text, sh AS home_text")
+acts(
+    "normalize_team_id",
+    "team_id, TRY_CAST(NULLIF(substr(teamTricode, 2), '') AS BIGINT) AS from_tricode, "
+    "CASE WHEN sh NOT LIKE '%.%' AND TRY_CAST(sh AS BIGINT) > 0 THEN TRY_CAST(sh AS BIGINT) END AS from_score",
+)
+acts("event_category", "category")
+acts("ft_made", "is_made")
+acts("ft_sequence", "ft_attempt AS attempt, ft_total AS total, is_special_ft AS is_special")
+acts("foul_counts", "foul_counts AS counts")
+acts("foul_marker", "TRY_CAST(regexp_extract(upper(event_text), '\\.T(\\d+)\\)', 1) AS INT) AS marker")
+acts("score_authoritative", "authoritative")
+acts("parse_clock", "seconds")
+acts("parse_score", "hv AS home, av AS away")
+acts("regulation_seconds", "CASE WHEN period <= 4 THEN (4 - period) * 720 + seconds ELSE CAST(0 AS DOUBLE) END AS left_in_game")
+acts("overtime_cols", "CASE WHEN period > 4 THEN 1 ELSE 0 END AS is_overtime, CASE WHEN period > 4 THEN period - 4 ELSE 0 END AS overtime_number")
+acts("period_label", "CASE period - 1 WHEN 0 THEN 'Pregame' WHEN 1 THEN 'Q1' WHEN 2 THEN 'Q2' WHEN 3 THEN 'Q3' WHEN 4 THEN 'Q4' WHEN 5 THEN 'OT1' END AS label")
+acts("period_bucket", "CASE period WHEN 1 THEN 'Q1' WHEN 2 THEN 'Q2' WHEN 3 THEN 'Q3' WHEN 4 THEN 'Q4' ELSE 'OT' END AS bucket")
+acts("elapsed_seconds", "CASE WHEN period <= 4 THEN period * 720 - seconds ELSE 2880 + (period - 4) * 300 - seconds END AS elapsed")
+acts(
+    "normalize_events",
+    "action_type, sub_type, category, team_id, event_text AS description, is_made, ft_attempt, ft_total, is_special_ft",
+)
+
+TIME_BIN = (
+    "CASE WHEN seconds_remaining_regulation > 2160 THEN '>36m' WHEN seconds_remaining_regulation > 1440 THEN '24-36m' "
+    "WHEN seconds_remaining_regulation > 720 THEN '12-24m' WHEN seconds_remaining_regulation > 360 THEN '6-12m' "
+    "WHEN seconds_remaining_regulation > 120 THEN '2-6m' ELSE '0-2m' END"
+)
+SCORE_BIN = (
+    "CASE WHEN abs(score_differential) > 20 THEN '20+' WHEN abs(score_differential) > 10 THEN '11-20' "
+    "WHEN abs(score_differential) > 5 THEN '6-10' WHEN abs(score_differential) > 2 THEN '3-5' ELSE '0-2' END"
+)
+PERIOD_BUCKET = "CASE WHEN period > 4 THEN 'OT' ELSE 'Q' || CAST(period AS VARCHAR) END"
+states("time_bin", f"SELECT {ROW}, {TIME_BIN} AS bin FROM states")
+states("score_bin", f"SELECT {ROW}, {SCORE_BIN} AS bin FROM states")
+states(
+    "sigmoid_clip",
+    f"SELECT {ROW}, round(1.0 / (1.0 + exp(-CAST(CASE WHEN score_differential * 3 > 50 THEN 50 WHEN score_differential * 3 < -50 "
+    "THEN -50 ELSE score_differential * 3 END AS DOUBLE))), 9) AS probability FROM states",
+)
+
+# --- Game-state reconstruction ----------------------------------------------------------
+
+ORACLE["period_segments"] = with_(
+    sb.TRACKED,
+    f"SELECT {ROW}, period, changed AS segment_starts, CAST(sum(CAST(changed AS INT)) OVER (PARTITION BY season, game_id "
+    "ORDER BY source_event_index) AS INT) AS segment FROM (SELECT *, coalesce(lag(period) OVER (PARTITION BY season, game_id "
+    "ORDER BY source_event_index) <> period, true) AS changed FROM trk)",
+)
+trk("out_of_order_snapshots", "coalesce(late, false) AS out_of_order")
+trk("running_score", "home_score, away_score")
+ORACLE["pending_miss"] = with_(
+    sb.TRACKED,
+    f"SELECT {ROW}, CASE WHEN lag(period) OVER w = period THEN lag(pending_after) OVER w END AS pending_team FROM trk "
+    "WINDOW w AS (PARTITION BY season, game_id ORDER BY source_event_index)",
+)
+trk("possession_states", "possession_team_id, possession_reason")
+trk("team_fouls", "home_fouls, away_fouls")
+trk("foul_marker_check", "marker, marker_reconstructed, marker_matches")
+trk("visible_states", "emitted")
+
+GAME_RESULTS = """SELECT season, game_id, count(*) AS raw_events, count(*) FILTER (emitted) AS emitted_states,
+    count(*) FILTER (emitted AND possession_team_id IS NOT NULL) AS known_possession_states,
+    count(*) FILTER (emitted AND possession_team_id IS NULL) AS unknown_possession_states,
+    arg_max(home_score, source_event_index) AS final_home_score, arg_max(away_score, source_event_index) AS final_away_score,
+    any_value(home_pts) AS expected_home_score, any_value(away_pts) AS expected_away_score,
+    count(marker_matches) AS foul_markers_checked, CAST(coalesce(sum(marker_matches), 0) AS BIGINT) AS foul_markers_matched,
+    arg_max(home_score, source_event_index) = any_value(home_pts)
+        AND arg_max(away_score, source_event_index) = any_value(away_pts) AS final_score_matches
+    FROM trk GROUP BY season, game_id"""
+ORACLE["game_results"] = with_(sb.TRACKED, GAME_RESULTS)
+ORACLE["marker_discrepancies"] = with_(
+    sb.TRACKED,
+    "SELECT season, game_id, source_event_index, actionNumber AS action_number, period, clock_text AS clock, team_id, sub_type, "
+    "event_text AS description, marker, marker_reconstructed AS reconstructed FROM trk WHERE marker_matches = 0 "
+    "QUALIFY row_number() OVER (PARTITION BY season ORDER BY game_id, source_event_index) <= 100",
+)
+states("possession_reasons", "SELECT season, possession_reason, count(*) AS states FROM states GROUP BY ALL")
+ORACLE["season_results"] = with_(
+    f"{sb.TRACKED}, res AS ({GAME_RESULTS}), tot AS (SELECT season, count(*) AS games_processed, sum(raw_events)::BIGINT AS raw_events, "
+    "sum(emitted_states)::BIGINT AS emitted_states, sum(known_possession_states)::BIGINT AS known_possession_states, "
+    "sum(unknown_possession_states)::BIGINT AS unknown_possession_states, count(*) FILTER (final_score_matches) AS final_scores_valid, "
+    "sum(foul_markers_checked)::BIGINT AS foul_markers_checked, sum(foul_markers_matched)::BIGINT AS foul_markers_matched "
+    "FROM res GROUP BY season)",
+    "SELECT *, (SELECT count(DISTINCT game_id) FROM idx WHERE idx.season = tot.season) AS expected_games, "
+    "round(100.0::DOUBLE * known_possession_states / emitted_states, 6) AS known_possession_percent, "
+    "round(100.0::DOUBLE * unknown_possession_states / emitted_states, 6) AS unknown_possession_percent, "
+    "round(100.0::DOUBLE * final_scores_valid / games_processed, 6) AS final_score_validation_percent, "
+    "CASE WHEN foul_markers_checked > 0 THEN round(100.0::DOUBLE * foul_markers_matched / foul_markers_checked, 6) "
+    "ELSE 0::DOUBLE END AS foul_marker_match_percent FROM tot",
+)
+
+# --- Joins, sets, look-ups --------------------------------------------------------------
+
+ORACLE["game_index"] = with_(sb.INDEX, "SELECT * RENAME (game_id AS GAME_ID) FROM idx")
+ORACLE["unique_games"] = with_(sb.GAME_LOG, "SELECT DISTINCT GAME_ID FROM game_log")
+states("states_with_labels", f"SELECT {ROW}, home_team_id, away_team_id, home_win FROM states")
+states(
+    "missing_games",
+    "SELECT season, game_id FROM idx WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.game_id = idx.game_id AND s.period > 4)",
+)
+
+# --- Aggregations and profiles ----------------------------------------------------------
+
+LABELLED = (
+    f"{NORM}, lab AS (SELECT *, coalesce(nullif(lower(action_type), ''), '<blank>') AS type_label, "
+    "coalesce(nullif(lower(sub_type), ''), '<blank>') AS subtype_label, "
+    "TRY_CAST(regexp_extract(upper(event_text), '\\.T(\\d+)\\)', 1) AS INT) AS mark FROM norm)"
+)
+
+
+def lab(key: str, select: str) -> None:
+    ORACLE[key] = with_(LABELLED, select)
+
+
+lab(
+    "event_inventory",
+    "SELECT season, 'games' AS measure, '' AS label, count(DISTINCT game_id) AS n FROM lab GROUP BY season "
+    "UNION ALL SELECT season, 'events', '', count(*) FROM lab GROUP BY season "
+    "UNION ALL SELECT season, 'action type', type_label, count(*) FROM lab GROUP BY season, type_label "
+    "UNION ALL SELECT season, 'period', CAST(period AS VARCHAR), count(*) FROM lab GROUP BY season, period",
+)
+lab("subtype_counts", "SELECT season, type_label, subtype_label, count(*) AS n FROM lab GROUP BY ALL")
+lab(
+    "blank_descriptions_top30",
+    "SELECT *, row_number() OVER (PARTITION BY season ORDER BY n DESC, description_text) AS place FROM (SELECT season, "
+    "event_text AS description_text, count(*) AS n FROM lab WHERE type_label = '<blank>' GROUP BY ALL) QUALIFY place <= 30",
+)
+lab("foul_marker_hist", "SELECT season, mark AS marker, count(*) AS n FROM lab WHERE type_label LIKE '%foul%' AND mark IS NOT NULL GROUP BY ALL")
+lab(
+    "foul_marker_coverage",
+    "SELECT season, subtype_label, count(mark) AS with_marker, count(*) - count(mark) AS without_marker "
+    "FROM lab WHERE type_label LIKE '%foul%' GROUP BY ALL",
+)
+lab(
+    "foul_rule_comparison",
+    f"SELECT season, rule, CASE WHEN mark = seen THEN 'match' ELSE 'mismatch' END AS label, count(*) AS n FROM ("
+    f"SELECT f.season, r.rule, f.mark, (SELECT count(*) FROM lab g WHERE g.season = f.season AND g.game_id = f.game_id "
+    f"AND g.period = f.period AND g.teamId = f.teamId AND g.source_event_index <= f.source_event_index "
+    f"AND g.type_label LIKE '%foul%' AND g.subtype_label NOT IN ({sb._NEUTRAL}) "
+    "AND (r.rule = 'exclude_technical' OR g.subtype_label NOT IN ('offensive', 'offensive charge'))) AS seen "
+    "FROM lab f CROSS JOIN (VALUES ('exclude_technical'), ('exclude_technical_and_offensive')) r(rule) "
+    "WHERE f.type_label LIKE '%foul%' AND f.teamId > 0 AND f.mark IS NOT NULL) GROUP BY ALL",
+)
+lab(
+    "timeout_attribution",
+    "SELECT season, 'teamId' AS field, coalesce(CAST(teamId AS VARCHAR), '<blank>') AS label, count(*) AS n FROM lab "
+    "WHERE type_label LIKE '%timeout%' GROUP BY ALL UNION ALL SELECT season, 'teamTricode', coalesce(nullif(teamTricode, ''), '<blank>'), "
+    "count(*) FROM lab WHERE type_label LIKE '%timeout%' GROUP BY ALL",
+)
+lab(
+    "category_examples",
+    "SELECT season, example, row_number() OVER (PARTITION BY season, example ORDER BY game_id, source_event_index) AS place, game_id, "
+    "source_event_index, actionNumber AS action_number, period, clock, teamId AS team_id, action_type, sub_type AS subtype, "
+    "event_text AS description FROM (SELECT *, 'blank_action_type' AS example FROM lab WHERE type_label = '<blank>' "
+    "UNION ALL SELECT *, 'foul:' || subtype_label FROM lab WHERE type_label LIKE '%foul%' "
+    "UNION ALL SELECT *, 'free_throw:' || subtype_label FROM lab WHERE type_label LIKE '%free throw%' "
+    "UNION ALL SELECT *, 'rebound:' || subtype_label FROM lab WHERE type_label LIKE '%rebound%' "
+    "UNION ALL SELECT *, 'jump_ball' FROM lab WHERE type_label LIKE '%jump ball%' "
+    "UNION ALL SELECT *, 'timeout:' || subtype_label FROM lab WHERE type_label LIKE '%timeout%') QUALIFY place <= 8",
+)
+ORACLE["profile_fields"] = with_(
+    NORM,
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS field, count(*) AS row_count, count(*) FILTER ({sb.trim(c)} = '') AS blanks, "
+        f"count(DISTINCT nullif({sb.trim(c)}, '')) AS distinct_values FROM norm"
+        for c in ("clock", "scoreHome", "actionType", "subType", "teamTricode", "description")
+    ),
+)
+ORACLE["home_win_rate"] = with_(
+    sb.INDEX, "SELECT season, sum(home_win)::BIGINT AS home_wins, round(avg(home_win), 6) AS home_win_rate FROM idx GROUP BY season"
+)
+states(
+    "dataset_summary",
+    "SELECT season, count(*) AS row_count, count(DISTINCT game_id) AS games, round(avg(home_win), 6) AS row_home_win_rate, "
+    "(SELECT round(avg(w), 6) FROM (SELECT game_id, max(home_win) AS w FROM states b WHERE b.season = a.season GROUP BY game_id)) AS game_home_win_rate, "
+    "round(avg(possession_known), 6) AS possession_known_rate, round(count(*) / count(DISTINCT game_id), 6) AS mean_states_per_game "
+    "FROM states a GROUP BY season",
+)
+FEATURES = (
+    "score_differential period seconds_remaining_period seconds_remaining_regulation is_overtime overtime_number "
+    "home_possession possession_known home_team_fouls_period away_team_fouls_period"
+).split()
+states(
+    "feature_ranges",
+    " UNION ALL ".join(
+        f"SELECT season, '{c}' AS feature, count(*) - count({c}) AS missing, CAST(min({c}) AS DOUBLE) AS minimum, "
+        f"CAST(max({c}) AS DOUBLE) AS maximum FROM states GROUP BY season"
+        for c in FEATURES
+    ),
+)
+states(
+    "states_per_game_dist",
+    "SELECT season, min(n) AS minimum, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, "
+    "round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS maximum FROM (SELECT season, game_id, count(*) AS n FROM states GROUP BY ALL) GROUP BY season",
+)
+states("states_by_period", "SELECT season, period, count(*) AS n FROM states GROUP BY ALL")
+
+
+def histogram(key: str, label: str, bins: list[str]) -> None:
+    values = ", ".join(f"({i}, '{b}')" for i, b in enumerate(bins))
+    states(
+        key,
+        f"SELECT s.season, b.bin, b.label, (SELECT count(*) FROM states x WHERE x.season = s.season AND {label} = b.label) AS n "
+        f"FROM (SELECT DISTINCT season FROM states) s CROSS JOIN (VALUES {values}) b(bin, label)",
+    )
+
+
+TIME_LABELS = ["0-2m", "2-6m", "6-12m", "12-24m", "24-36m", ">36m"]
+SCORE_LABELS = ["0-2", "3-5", "6-10", "11-20", "20+"]
+histogram("states_by_time_bin", TIME_BIN, TIME_LABELS)
+histogram("states_by_score_bin", SCORE_BIN, SCORE_LABELS)
+
+# --- Modelling sets ---------------------------------------------------------------------
+
+states("filter_known_possession", f"SELECT {ROW}, possession_team_id FROM states WHERE possession_team_id IS NOT NULL")
+states("select_games", "SELECT DISTINCT game_id FROM states WHERE period > 4 ORDER BY game_id LIMIT 40")
+states("make_split", f"SELECT {ROW}, score_differential, home_win FROM states WHERE season = '2022-23'")
+states(
+    "assert_isolated_splits",
+    "SELECT 'wrong season' AS problem, 'test holds 2021-22' AS detail FROM states WHERE season = '2021-22' AND period > 4 HAVING count(*) > 0 "
+    "UNION ALL SELECT DISTINCT 'shared game', game_id || ' in test, train' FROM states WHERE season = '2021-22' AND period > 4",
+)
+states(
+    "assert_no_target_leak",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS field, count({c}) AS filled, {'false' if c == 'home_win' else 'true'} AS is_input FROM states"
+        for c in (*FEATURES, "home_win")
+    ),
+)
+states("features_and_target", f"SELECT {ROW}, {', '.join(FEATURES)}, home_win FROM states WHERE possession_known = 1")
+INPUTS = ", ".join(
+    f"CAST(coalesce({c}, 0.5) AS DOUBLE) AS {c}" if c == "home_possession" else f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES
+)
+states("model_input", f"SELECT {ROW}, {INPUTS} FROM states")
+states(
+    "assert_finite",
+    " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS row_count, 0::BIGINT AS nulls, 0::BIGINT AS not_finite FROM states" for c in (*FEATURES, "probability"))
+    + " UNION ALL SELECT 'home_possession', count(*), count(*) - count(home_possession), 0 FROM states",
+)
+states(
+    "game_balanced_weights",
+    f"SELECT {ROW}, round((1.0::DOUBLE / count(*) OVER (PARTITION BY season, game_id)) / (SELECT sum(1.0::DOUBLE / n) / sum(1) FROM "
+    "(SELECT count(*) OVER (PARTITION BY season, game_id) AS n FROM states)), 9) AS weight FROM states",
+)
+ELAPSED = "CASE WHEN period <= 4 THEN period * 720 - seconds_remaining_period ELSE 2880 + (period - 4) * 300 - seconds_remaining_period END"
+states(
+    "time_bucket_sample",
+    f"SELECT {ROW}, CAST(floor({ELAPSED} / 30) AS INT) AS time_bucket, home_score, away_score, period FROM states QUALIFY row_number() OVER "
+    f"(PARTITION BY season, game_id, floor({ELAPSED} / 30) ORDER BY source_event_index DESC) = 1",
+)

@@ -7,6 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hoopline.functions import clock as ck
+from hoopline.functions import events as ev
+from hoopline.functions import fixed_values as fv
+from hoopline.operators import dataset as ds
+from hoopline.operators import index as ix
+from hoopline.operators import profiling as pf
+from hoopline.operators import rollups as ru
 from hoopline.operators import states as st
 from hoopline.operators.index import state_index
 from hoopline.sources.derived import DerivedFeed, derived_feed
@@ -31,3 +38,185 @@ def tracked(feed: DerivedFeed) -> DataFrame:
 @query("game_states")
 def _(feed):
     return st.game_states(feed.actions(), state_index(feed.game_log()))
+
+
+ROW = ["season", "game_id", "source_event_index"]
+
+
+def projection(key: str, source: str = "actions", **columns: str) -> None:
+    """Register a whole-table projection of expression texts."""
+
+    def build(feed):
+        return getattr(feed, source)().selectExpr(*ROW, *[f"{text} AS {name}" for name, text in columns.items()])
+
+    query(key)(build)
+
+
+# --- Column expressions -----------------------------------------------------------------
+
+projection("clean_text", type_text=ev.clean_text("actionType"), clock_text=ev.clean_text("clock"), home_text=ev.clean_text("scoreHome"))
+projection("normalize_team_id", team_id=ev.normalize_team_id("teamId"), from_tricode=ev.normalize_team_id("substr(teamTricode, 2)"), from_score=ev.normalize_team_id("scoreHome"))
+projection("event_category", category=ev.event_category("actionType", "description"))
+projection("ft_made", is_made=ev.free_throw_made(f"({ev.event_category('actionType', 'description')})", "shotResult", "description"))
+projection("ft_sequence", attempt=ev.free_throw_attempt("subType"), total=ev.free_throw_total("subType"), is_special=ev.is_special_free_throw("subType"))
+projection("foul_counts", counts=ev.foul_counts(f"({ev.event_category('actionType', 'description')})", "subType"))
+projection("foul_marker", marker=ev.foul_marker("description"))
+projection("score_authoritative", authoritative=ev.score_authoritative(f"({ev.event_category('actionType', 'description')})", "subType"))
+projection("parse_clock", seconds=ck.parse_clock("clock"))
+projection("parse_score", home=ck.parse_score("scoreHome"), away=ck.parse_score("scoreAway"))
+projection("regulation_seconds", left_in_game=ck.regulation_seconds("period", f"({ck.parse_clock('clock')})"))
+projection("overtime_cols", is_overtime=ck.is_overtime("period"), overtime_number=ck.overtime_number("period"))
+projection("period_label", label=ck.period_label("period - 1"))
+projection("period_bucket", bucket=ck.period_bucket("period"))
+projection("elapsed_seconds", elapsed=ck.elapsed_seconds("period", f"({ck.parse_clock('clock')})"))
+projection("time_bin", "states", bin=ck.time_bin("seconds_remaining_regulation"))
+projection("score_bin", "states", bin=ck.score_bin("score_differential"))
+projection("sigmoid_clip", "states", probability=f"round({ck.sigmoid_clip('score_differential * 3D')}, 9)")
+
+
+@query("normalize_events")
+def _(feed):
+    return ev.normalize_events(feed.actions()).select(
+        *ROW, "action_type", "sub_type", "category", "team_id", F.col("event_text").alias("description"),
+        "is_made", "ft_attempt", "ft_total", "is_special_ft",
+    )
+
+
+# --- Game-state reconstruction ----------------------------------------------------------
+
+
+def tracked_query(key: str, *columns: str) -> None:
+    query(key)(lambda feed: tracked(feed).selectExpr(*ROW, *columns))
+
+
+@query("period_segments")
+def _(feed):
+    return st.segment_numbers(tracked(feed).select(*ROW, "period", "segment_starts"))
+
+
+tracked_query("out_of_order_snapshots", "out_of_order")
+tracked_query("running_score", "home_score", "away_score")
+tracked_query("pending_miss", "pending_team")
+tracked_query("possession_states", "possession_team_id", "possession_reason")
+tracked_query("team_fouls", "home_fouls", "away_fouls")
+tracked_query("foul_marker_check", "marker", "marker_reconstructed", "marker_matches")
+tracked_query("visible_states", "emitted")
+
+
+@query("game_results")
+def _(feed):
+    return ru.game_results(tracked(feed))
+
+
+@query("marker_discrepancies")
+def _(feed):
+    return ru.marker_discrepancies(tracked(feed))
+
+
+@query("possession_reasons")
+def _(feed):
+    return ru.possession_reasons(feed.states())
+
+
+@query("season_results")
+def _(feed):
+    return ru.season_results(ru.game_results(tracked(feed)), feed.index())
+
+
+# --- Joins, sets, look-ups --------------------------------------------------------------
+
+
+@query("game_index")
+def _(feed):
+    return ix.ordered_index(feed.game_log())
+
+
+@query("unique_games")
+def _(feed):
+    return ix.unique_games(feed.game_log())
+
+
+@query("states_with_labels")
+def _(feed):
+    return feed.states().select(*ROW, "home_team_id", "away_team_id", "home_win")
+
+
+@query("missing_games")
+def _(feed):
+    """Games of the index with no overtime state, as a stand-in for games without a feed."""
+    return ix.missing_games(feed.index(), feed.states().where("is_overtime = 1"))
+
+
+# --- Aggregations and profiles ----------------------------------------------------------
+
+query("event_inventory")(lambda feed: pf.event_inventory(feed.actions()))
+query("subtype_counts")(lambda feed: pf.subtype_counts(feed.actions()))
+query("blank_descriptions_top30")(lambda feed: pf.blank_descriptions(feed.actions()))
+query("foul_marker_hist")(lambda feed: pf.foul_marker_hist(feed.actions()))
+query("foul_marker_coverage")(lambda feed: pf.foul_marker_coverage(feed.actions()))
+query("foul_rule_comparison")(lambda feed: pf.foul_rule_comparison(feed.actions()))
+query("timeout_attribution")(lambda feed: pf.timeout_attribution(feed.actions()))
+query("category_examples")(lambda feed: pf.category_examples(feed.actions()))
+query("profile_fields")(
+    lambda feed: pf.profile_fields(feed.actions(), ["clock", "scoreHome", "actionType", "subType", "teamTricode", "description"])
+)
+query("home_win_rate")(lambda feed: pf.home_win_rate(feed.index()))
+query("dataset_summary")(lambda feed: ds.dataset_summary(feed.states()))
+query("feature_ranges")(lambda feed: ds.feature_ranges(feed.states()))
+query("states_per_game_dist")(lambda feed: ds.states_per_game_dist(feed.states()))
+query("states_by_period")(lambda feed: ds.states_by_period(feed.states()))
+query("states_by_time_bin")(lambda feed: ds.states_by_time_bin(feed.states()))
+query("states_by_score_bin")(lambda feed: ds.states_by_score_bin(feed.states()))
+
+
+# --- Modelling sets ---------------------------------------------------------------------
+
+query("filter_known_possession")(lambda feed: ds.filter_known_possession(feed.states()).select(*ROW, "possession_team_id"))
+query("select_games")(
+    lambda feed: ds.select_games(feed.index(), feed.states().where("period > 4").select("game_id").distinct(), 40)
+)
+query("make_split")(lambda feed: ds.make_split(feed.states(), "validation").select(*ROW, *fv.MODEL_FEATURES[:1], "home_win"))
+
+
+@query("assert_isolated_splits")
+def _(feed):
+    """Problems found when one split is wrongly given another split's games."""
+    states = feed.states()
+    good = {name: ds.make_split(states, name) for name in fv.SPLIT_SEASONS}
+    ds.assert_isolated_splits(good)
+    wrong = dict(good, test=good["test"].unionByName(good["train"].where("period > 4")))
+    return ds.isolation_problems(wrong)
+
+
+@query("assert_no_target_leak")
+def _(feed):
+    """The columns a modelling set would hand over, and whether each may be an input."""
+    states = feed.states()
+    ds.assert_no_target_leak(states)
+    rows = ds.features_and_target(states)
+    allowed = ev.text_list(fv.MODEL_FEATURES)
+    parts = ", ".join(f"named_struct('field', '{c}', 'filled', {c} IS NOT NULL)" for c in rows.columns if c not in ROW)
+    return rows.selectExpr(f"inline(array({parts}))").groupBy("field").agg(
+        F.expr("count_if(filled)").alias("filled"), F.expr(f"any(field IN ({allowed}))").alias("is_input")
+    )
+
+
+query("features_and_target")(lambda feed: ds.features_and_target(feed.states(), drop_unknown_possession=True))
+query("model_input")(lambda feed: ds.model_input(feed.states()))
+
+
+@query("assert_finite")
+def _(feed):
+    scored = ds.checked_finite(feed.scored(), ["probability"], 0.0, 1.0)
+    inputs = ds.checked_finite(ds.model_input(feed.states()), list(fv.MODEL_FEATURES))
+    return ds.finite_report(inputs, list(fv.MODEL_FEATURES)).unionByName(ds.finite_report(scored, ["probability", "home_possession"]))
+
+
+@query("game_balanced_weights")
+def _(feed):
+    return ds.game_balanced_weights(feed.states()).selectExpr(*ROW, "round(weight, 9) AS weight")
+
+
+query("time_bucket_sample")(
+    lambda feed: ds.time_bucket_sample(feed.states()).select(*ROW, "time_bucket", "home_score", "away_score", "period")
+)

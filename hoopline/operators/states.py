@@ -454,3 +454,17 @@ def emitted_states(tracked: DataFrame) -> DataFrame:
 def game_states(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUNK_ROWS, mode: str = "fail") -> DataFrame:
     """Raw actions and game index to game states: the whole reconstruction."""
     return emitted_states(tracked_actions(actions, index, chunk_rows=chunk_rows, mode=mode))
+
+
+def segment_numbers(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Number the period segments of a game from 1. ``rows`` carry ``segment_starts``.
+
+    Starts are counted inside a chunk and begin at the number of starts in the chunks before it.
+    """
+    chunked = rows.withColumn("chunk", F.expr(f"CAST(floor({IDX} / {chunk_rows}) AS BIGINT)"))
+    counts = chunked.groupBy(*CHUNK).agg(F.expr("count_if(segment_starts)").alias("starts"))
+    before = counts.selectExpr(*CHUNK, f"coalesce(sum(starts) {CHUNKS_BEFORE}, 0) AS earlier")
+    numbered = chunked.join(before, CHUNK).withColumn(
+        "segment", F.expr(f"CAST(earlier + sum(CAST(segment_starts AS INT)) {SO_FAR} AS INT)")
+    )
+    return numbered.drop("chunk", "earlier")

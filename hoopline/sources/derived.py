@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hoopline.operators.index import state_index
 from hoopline.operators.ordinal import with_position
+from hoopline.operators.states import game_states
 from hoopline.session import scratch_path
+from hoopline.sources.state_store import read_states, write_states
 
 # Each stage may use the columns of the stages before it. Inputs: event_id, ts, user_id,
 # event_type, value, i (0-based position in the game), n (events in the game).
@@ -225,8 +228,21 @@ class DerivedFeed:
 
         return self._table("game_log", build)
 
-    def seasons(self) -> DataFrame:
-        return self.actions().select("season", "game_id").distinct()
+    def index(self) -> DataFrame:
+        return state_index(self.game_log())
+
+    def states(self) -> DataFrame:
+        """The fact table: game states, partitioned by season."""
+        if "states" not in self._paths:
+            path = scratch_path(self.spark, "states")
+            write_states(game_states(self.actions(), self.index()), path)
+            self._paths["states"] = path
+        return read_states(self.spark, self._paths["states"])
+
+    def scored(self) -> DataFrame:
+        """States with a made-up home-win probability, a plain ratio that both engines agree on."""
+        ratio = "greatest(0D, least(1D, CAST(50 + score_differential * period AS DOUBLE) / 100D))"
+        return self.states().withColumn("probability", F.expr(ratio))
 
 
 GAME_LOG_COLUMNS: dict[str, str] = {
