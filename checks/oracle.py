@@ -279,3 +279,141 @@ states(
     f"SELECT {ROW}, CAST(floor({ELAPSED} / 30) AS INT) AS time_bucket, home_score, away_score, period FROM states QUALIFY row_number() OVER "
     f"(PARTITION BY season, game_id, floor({ELAPSED} / 30) ORDER BY source_event_index DESC) = 1",
 )
+
+# --- Live feeds -------------------------------------------------------------------------
+
+
+def live(key: str, columns: str) -> None:
+    ORACLE[key] = with_(sb.LIVE, f"SELECT game_id, source_index, {columns} FROM live")
+
+
+live("live_canonical_type", f"{sb.LIVE_TYPE} AS action_type")
+live("live_foul_subtype", f"{sb.LIVE_FOUL} AS sub_type")
+live("live_ft_subtype", f"{sb.LIVE_FT} AS sub_type")
+live("adapt_live", sb.ADAPTED)
+ORACLE["dedupe_live"] = with_(
+    sb.LIVE_DEDUPED, "SELECT game_id, source_index, orderNumber, actionNumber, scoreHome, description FROM live_one"
+)
+ORACLE["live_order"] = with_(
+    sb.LIVE,
+    f"SELECT game_id, source_index, {sb._PLACE} AS source_event_index, CAST(count(*) OVER (PARTITION BY game_id) AS INT) AS n_events, "
+    "orderNumber FROM live",
+)
+ORACLE["live_states"] = with_(sb.LIVE_STATES, "SELECT * FROM live_states")
+
+# --- Parity -----------------------------------------------------------------------------
+
+PARITY = (
+    "period clock home_score away_score score_differential seconds_remaining_period seconds_remaining_regulation is_overtime "
+    "overtime_number home_team_fouls_period away_team_fouls_period possession_team_id possession_known"
+).split()
+ALIGNED = (
+    f"{sb.BOTH_STATES}, hl AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY game_id, action_number ORDER BY source_event_index DESC) = 1), "
+    "ll AS (SELECT * FROM live_states QUALIFY row_number() OVER (PARTITION BY game_id, action_number ORDER BY source_event_index DESC) = 1)"
+)
+FIELD_PARITY = " UNION ALL ".join(
+    f"SELECT hl.game_id, '{c}' AS field, count(*) FILTER (hl.{c} IS NOT DISTINCT FROM ll.{c}) AS matches, count(*) AS compared, "
+    f"round(100.0::DOUBLE * count(*) FILTER (hl.{c} IS NOT DISTINCT FROM ll.{c}) / count(*), 6) AS percent "
+    "FROM hl JOIN ll ON hl.game_id = ll.game_id AND hl.action_number IS NOT DISTINCT FROM ll.action_number GROUP BY hl.game_id"
+    for c in PARITY
+)
+ORACLE["parity_fields"] = with_(ALIGNED, FIELD_PARITY)
+ANCHORS = (
+    "SELECT g.game_id, (SELECT count(*) FROM (SELECT DISTINCT period, clock, home_score, away_score FROM states s WHERE s.game_id = g.game_id)) AS historical_anchors, "
+    "(SELECT count(*) FROM (SELECT DISTINCT period, clock, home_score, away_score FROM live_states s WHERE s.game_id = g.game_id)) AS live_anchors, "
+    "(SELECT count(*) FROM (SELECT period, clock, home_score, away_score FROM states s WHERE s.game_id = g.game_id INTERSECT "
+    "SELECT period, clock, home_score, away_score FROM live_states s WHERE s.game_id = g.game_id)) AS anchor_matches "
+    "FROM (SELECT DISTINCT game_id FROM states) g"
+)
+ORACLE["parity_anchors"] = with_(sb.BOTH_STATES, ANCHORS)
+ORACLE["parity_report"] = with_(
+    f"{ALIGNED}, fp AS ({FIELD_PARITY}), an AS ({ANCHORS}), "
+    "he AS (SELECT game_id, count(*) AS historical_states, arg_max(home_score, source_event_index) AS historical_home, "
+    "arg_max(away_score, source_event_index) AS historical_away FROM states GROUP BY game_id), "
+    "le AS (SELECT game_id, count(*) AS live_states, arg_max(home_score, source_event_index) AS live_home, "
+    "arg_max(away_score, source_event_index) AS live_away FROM live_states GROUP BY game_id)",
+    "SELECT he.*, le.* EXCLUDE (game_id), an.* EXCLUDE (game_id), fp.compared AS aligned_states, fp.percent AS possession_percent "
+    "FROM he JOIN le USING (game_id) JOIN an USING (game_id) JOIN fp USING (game_id) WHERE fp.field = 'possession_team_id'",
+)
+states("union_seasons", f"SELECT {ROW}, home_score FROM states")
+
+# --- Samples, top-k, trajectories -------------------------------------------------------
+
+states(
+    "latest_state",
+    "SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY season, game_id ORDER BY source_event_index DESC) = 1",
+)
+PLACED = (
+    "SELECT *, row_number() OVER (PARTITION BY season, game_id ORDER BY source_event_index) - 1 AS place, "
+    "count(*) OVER (PARTITION BY season, game_id) AS game_states FROM "
+)
+states(
+    "replay_sample",
+    f"SELECT {ROW}, place, game_states FROM ({PLACED} states) WHERE place % greatest(1, game_states // 15) = 0 OR place = game_states - 1",
+)
+CHOSEN = (
+    "gm AS (SELECT season, game_id, abs(arg_max(score_differential, source_event_index)) AS margin, max(period) AS last_period, "
+    "CASE WHEN max(home_win) = 1 THEN -min(score_differential) ELSE max(score_differential) END AS comeback FROM states GROUP BY season, game_id), "
+    "chosen AS (SELECT season, 'close' AS category, game_id FROM gm QUALIFY row_number() OVER (PARTITION BY season ORDER BY margin, game_id) = 1 "
+    "UNION ALL SELECT season, 'comeback', game_id FROM gm QUALIFY row_number() OVER (PARTITION BY season ORDER BY comeback DESC, game_id) = 1 "
+    "UNION ALL SELECT season, 'blowout', game_id FROM gm QUALIFY row_number() OVER (PARTITION BY season ORDER BY margin DESC, game_id) = 1 "
+    "UNION ALL SELECT season, 'overtime', min(game_id) FROM gm WHERE last_period > 4 GROUP BY season)"
+)
+ORACLE["select_trajectory_games"] = with_(f"{sb.STATES}, {CHOSEN}", "SELECT * FROM chosen")
+ORACLE["trajectory_samples"] = with_(
+    f"{sb.SCORED}, {CHOSEN}, pl AS ({PLACED} scored), ks AS (SELECT DISTINCT season, game_id, "
+    "CASE WHEN game_states = 1 THEN 0 ELSE k * (game_states - 1) // (least(20, game_states) - 1) END AS place "
+    "FROM (SELECT DISTINCT season, game_id, game_states FROM pl) CROSS JOIN range(20) r(k) WHERE k < least(20, game_states))",
+    "SELECT season, game_id, category, place, period, clock, home_score || '-' || away_score AS score, score_differential, "
+    "CASE WHEN possession_known = 0 THEN 'unknown' WHEN home_possession = 1 THEN 'home' ELSE 'away' END AS possession, probability "
+    "FROM chosen JOIN pl USING (season, game_id) JOIN ks USING (season, game_id, place)",
+)
+ORACLE["stratified_fixture"] = with_(
+    f"{sb.ACTIONS}, typed AS (SELECT *, lower({sb.trim('actionType')}) AS category FROM acts), "
+    "cats AS (SELECT * FROM (VALUES (1, 'period'), (2, 'jump ball'), (3, 'made shot'), (4, 'missed shot'), (5, 'rebound'), "
+    "(6, 'free throw'), (7, 'foul'), (8, 'turnover'), (9, 'timeout')) c(turn, category)), "
+    "added AS (SELECT 0 AS turn, * FROM typed WHERE source_event_index < 60 UNION ALL SELECT 0, * FROM typed WHERE source_event_index >= n_events - 20 "
+    "UNION ALL SELECT c.turn, t.* FROM typed t JOIN cats c USING (category) "
+    "QUALIFY row_number() OVER (PARTITION BY season, game_id, category ORDER BY source_event_index) <= 4)",
+    f"SELECT {ROW}, actionNumber, actionType FROM added QUALIFY row_number() OVER "
+    "(PARTITION BY season, game_id, actionNumber ORDER BY turn DESC, source_event_index DESC) = 1",
+)
+LABEL = "CASE WHEN period <= 0 THEN 'Pregame' WHEN period <= 4 THEN 'Q' || period ELSE 'OT' || (period - 4) END"
+ORACLE["probability_history"] = with_(
+    sb.SCORED,
+    f"SELECT season, game_id, source_event_index AS sequence, period, {LABEL} AS period_label, clock, probability AS home_probability FROM scored "
+    "QUALIFY row_number() OVER (PARTITION BY season, game_id ORDER BY source_event_index DESC) <= 240",
+)
+states(
+    "recent_events",
+    "SELECT season, game_id, source_event_index AS sequence, period, clock, CASE WHEN description <> '' THEN description "
+    "WHEN semantic_event <> '' THEN semantic_event ELSE 'Game update' END AS description, semantic_event, home_score, away_score FROM states "
+    "QUALIFY row_number() OVER (PARTITION BY season, game_id ORDER BY source_event_index DESC) <= 12",
+)
+
+# --- Scoreboards ------------------------------------------------------------------------
+
+BOARD_GAMES = (
+    f"SELECT game_date, game_id, game_status, CASE game_status WHEN 1 THEN 'scheduled' WHEN 2 THEN 'active' WHEN 3 THEN 'final' END AS phase, "
+    f"{sb.trim('status_text')} AS status_text, coalesce(CAST(period AS INT), 0) AS period, {sb.trim('clock')} AS clock, home_team_id, "
+    f"{sb.trim('home_name')} AS home_name, '' AS home_city, {sb.trim('home_tricode')} AS home_tricode, TRY_CAST(home_score AS INT) AS home_score, "
+    f"away_team_id, {sb.trim('away_name')} AS away_name, '' AS away_city, away_tricode, CAST(away_score AS INT) AS away_score FROM board"
+)
+ORACLE["read_scoreboard"] = with_(sb.BOARD, BOARD_GAMES)
+ORACLE["read_game_details"] = with_(
+    sb.BOARD,
+    "SELECT game_id, game_status, CASE game_status WHEN 1 THEN 'scheduled' WHEN 2 THEN 'active' WHEN 3 THEN 'final' END AS phase, "
+    "0 AS period, home_team_id, TRY_CAST(home_score AS INT) AS home_score, CAST(NULL AS BIGINT) AS away_team_id, '' AS away_name FROM board",
+)
+SHOWN = "CASE WHEN b.game_status = 3 AND b.home_score IS NOT NULL AND b.away_score IS NOT NULL THEN CAST(b.home_score > b.away_score AS INT)::DOUBLE ELSE s.probability END"
+ORACLE["display_probability"] = with_(
+    f"{sb.SCORED_AND_BOARD}, games AS ({BOARD_GAMES})",
+    f"SELECT s.season, s.game_id, s.source_event_index, {SHOWN} AS home_probability, 1 - ({SHOWN}) AS away_probability, "
+    "coalesce(b.game_status = 3 AND b.home_score IS NOT NULL AND b.away_score IS NOT NULL, false) AS overridden "
+    "FROM scored s JOIN games b USING (game_id)",
+)
+ORACLE["possession_label"] = with_(
+    f"{sb.STATES_AND_BOARD}, games AS ({BOARD_GAMES})",
+    "SELECT s.season, s.game_id, s.source_event_index, CASE s.possession_team_id WHEN s.home_team_id THEN coalesce(nullif(home_tricode, ''), home_name) "
+    "WHEN s.away_team_id THEN away_tricode ELSE 'Unknown' END AS label FROM states s JOIN games b USING (game_id)",
+)

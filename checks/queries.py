@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from hoopline.functions import clock as ck
 from hoopline.functions import events as ev
 from hoopline.functions import fixed_values as fv
+from hoopline.functions import live as lv
 from hoopline.operators import dataset as ds
 from hoopline.operators import index as ix
+from hoopline.operators import live_feed as lf
+from hoopline.operators import parity as pa
 from hoopline.operators import profiling as pf
 from hoopline.operators import rollups as ru
+from hoopline.operators import sampling as sa
 from hoopline.operators import states as st
 from hoopline.operators.index import state_index
+from hoopline.sources import scoreboard as sb
+from hoopline.sources import state_store as ss
 from hoopline.sources.derived import DerivedFeed, derived_feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +226,88 @@ def _(feed):
 query("time_bucket_sample")(
     lambda feed: ds.time_bucket_sample(feed.states()).select(*ROW, "time_bucket", "home_score", "away_score", "period")
 )
+
+
+# --- Live feeds -------------------------------------------------------------------------
+
+LIVE = ["game_id", "source_index"]
+
+
+def live_projection(key: str, **columns: str) -> None:
+    query(key)(lambda feed: feed.live_actions().selectExpr(*LIVE, *[f"{text} AS {name}" for name, text in columns.items()]))
+
+
+live_projection("live_canonical_type", action_type=lv.canonical_type("actionType", "shotResult"))
+live_projection("live_foul_subtype", sub_type=lv.foul_subtype("subType", "descriptor"))
+live_projection("live_ft_subtype", sub_type=lv.free_throw_subtype("subType", "descriptor", "qualifiers"))
+query("adapt_live")(lambda feed: lf.adapt_live(feed.live_actions()))
+query("dedupe_live")(
+    lambda feed: lf.dedupe_live(feed.live_actions()).select(*LIVE, "orderNumber", "actionNumber", "scoreHome", "description")
+)
+query("live_order")(
+    lambda feed: lf.live_order(feed.live_actions()).select(*LIVE, "source_event_index", "n_events", "orderNumber")
+)
+query("live_states")(lambda feed: feed.live_states())
+
+# --- Parity -----------------------------------------------------------------------------
+
+query("parity_fields")(lambda feed: pa.parity_fields(feed.states(), feed.live_states()))
+query("parity_anchors")(lambda feed: pa.parity_anchors(feed.states(), feed.live_states()))
+
+
+@query("parity_report")
+def _(feed):
+    report = pa.parity_report(feed.states(), feed.live_states())
+    return report.selectExpr("* EXCEPT (percents)", "percents['possession_team_id'] AS possession_percent")
+
+
+query("union_seasons")(
+    lambda feed: ss.union_seasons(*[ds.make_split(feed.states(), name) for name in fv.SPLIT_SEASONS]).select(*ROW, "home_score")
+)
+
+# --- Samples, top-k, trajectories -------------------------------------------------------
+
+query("latest_state")(lambda feed: sa.latest_state(feed.states()))
+query("replay_sample")(lambda feed: sa.replay_sample(feed.states()).select(*ROW, "place", "game_states"))
+query("select_trajectory_games")(lambda feed: sa.select_trajectory_games(feed.states()))
+query("trajectory_samples")(lambda feed: sa.trajectory_samples(feed.scored()))
+query("stratified_fixture")(lambda feed: sa.stratified_fixture(feed.actions()).select(*ROW, "actionNumber", "actionType"))
+
+
+@query("probability_history")
+def _(feed):
+    return sa.probability_history(feed.scored()).selectExpr("season", "game_id", "inline(probability_history)")
+
+
+@query("recent_events")
+def _(feed):
+    return sa.recent_events(feed.states()).selectExpr("season", "game_id", "inline(recent_events)")
+
+
+# --- Scoreboards ------------------------------------------------------------------------
+
+query("read_scoreboard")(lambda feed: sb.read_scoreboard(feed.scoreboard_documents()))
+query("read_game_details")(
+    lambda feed: sb.read_game_details(feed.details_documents()).select(
+        "game_id", "game_status", "phase", "period", "home_team_id", "home_score", "away_team_id", "away_name"
+    )
+)
+
+
+@query("display_probability")
+def _(feed):
+    """What a viewer is shown per state: the model's value, or certainty once the game is final."""
+    board = sb.read_scoreboard(feed.scoreboard_documents()).select("game_id", "game_status", "home_score", "away_score")
+    rows = feed.scored().drop("home_score", "away_score").join(board, "game_id")
+    args = ("game_status", "home_score", "away_score")
+    shown = rows.withColumn("shown", F.expr(ck.display_home_probability(*args, "probability")))
+    return shown.selectExpr(*ROW, "shown AS home_probability", "1D - shown AS away_probability", f"{ck.final_override(*args)} AS overridden")
+
+
+@query("possession_label")
+def _(feed):
+    board = sb.read_scoreboard(feed.scoreboard_documents()).selectExpr(
+        "game_id", "coalesce(nullif(home_tricode, ''), home_name) AS home_label", "coalesce(nullif(away_tricode, ''), away_name) AS away_label"
+    )
+    label = ck.possession_label("possession_team_id", "home_team_id", "home_label", "away_team_id", "away_label")
+    return feed.states().join(board, "game_id").selectExpr(*ROW, f"{label} AS label")

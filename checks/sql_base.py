@@ -7,7 +7,7 @@ the Spark side uses.
 
 from __future__ import annotations
 
-from hoopline.sources.derived import ACTION_COLUMNS, GAME_LOG_COLUMNS, LIVE_COLUMNS, columns_sql, stage_sql
+from hoopline.sources.derived import ACTION_COLUMNS, BOARD_COLUMNS, GAME_LOG_COLUMNS, LIVE_COLUMNS, columns_sql, stage_sql
 
 
 def trim(c: str) -> str:
@@ -172,3 +172,94 @@ STATES = f"{TRACKED}, states AS MATERIALIZED (SELECT {STATE_SELECT} FROM trk WHE
 
 def with_(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
+
+# --- Live -------------------------------------------------------------------------------
+
+LIVE = (
+    f"{INDEX}, live AS MATERIALIZED (SELECT {columns_sql(LIVE_COLUMNS)} FROM staged "
+    "CROSS JOIN (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 11 = 4)"
+)
+
+
+def title(c: str) -> str:
+    """First letter of every word up; the derived live subtypes hold at most two words."""
+    first = f"split_part(lower({c}), ' ', 1)"
+    rest = f"split_part(lower({c}), ' ', 2)"
+    up = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
+    return f"({up.format(first)} || CASE WHEN {rest} = '' THEN '' ELSE ' ' || {up.format(rest)} END)"
+
+
+_K = "lower(" + trim("actionType") + ")"
+_S = trim("subType")
+_D = "lower(" + trim("descriptor") + ")"
+_SHOT = f"lower({trim('shotResult')})"
+LIVE_TYPE = (
+    f"CASE {_K} WHEN '2pt' THEN CASE WHEN {_SHOT} = 'made' THEN 'Made Shot' ELSE 'Missed Shot' END "
+    f"WHEN '3pt' THEN CASE WHEN {_SHOT} = 'made' THEN 'Made Shot' ELSE 'Missed Shot' END "
+    "WHEN 'freethrow' THEN 'Free Throw' WHEN 'rebound' THEN 'Rebound' WHEN 'turnover' THEN 'Turnover' WHEN 'foul' THEN 'Foul' "
+    "WHEN 'jumpball' THEN 'Jump Ball' WHEN 'period' THEN 'period' WHEN 'substitution' THEN 'Substitution' "
+    "WHEN 'timeout' THEN 'Timeout' WHEN 'violation' THEN 'Violation' ELSE '' END"
+)
+LIVE_FOUL = (
+    f"CASE WHEN lower({_S}) = 'offensive' AND {_D} = 'charge' THEN 'Offensive Charge' WHEN lower({_S}) = 'offensive' THEN 'Offensive' "
+    f"WHEN lower({_S}) = 'personal' AND {_D} = 'shooting' THEN 'Shooting' WHEN lower({_S}) = 'personal' AND {_D} = 'loose ball' "
+    f"THEN 'Loose Ball' WHEN lower({_S}) = 'personal' THEN 'Personal' ELSE {title(f'trim({_D} || chr(32) || {_S})')} END"
+)
+_FOUND = f"lower({_D} || ' ' || coalesce(array_to_string(qualifiers, ' '), ''))"
+LIVE_FT = (
+    f"'Free Throw' || CASE WHEN {_FOUND} LIKE '%technical%' THEN ' technical' ELSE '' END "
+    f"|| CASE WHEN {_FOUND} LIKE '%flagrant%' THEN ' flagrant' ELSE '' END "
+    f"|| CASE WHEN {_FOUND} LIKE '%clear path%' THEN ' clear path' ELSE '' END || CASE WHEN {_S} = '' THEN '' ELSE ' ' || {_S} END"
+)
+LIVE_SUBTYPE = (
+    f"CASE WHEN {_K} IN ('2pt', '3pt', 'substitution') THEN {_S} WHEN {_K} = 'freethrow' THEN {LIVE_FT} "
+    f"WHEN {_K} = 'foul' THEN {LIVE_FOUL} WHEN {_K} = 'period' THEN lower({_S}) "
+    f"WHEN {_K} IN ('rebound', 'turnover', 'jumpball', 'timeout', 'violation') THEN {title(_S)} ELSE '' END"
+)
+ADAPTED = f"""CAST(coalesce(actionNumber, orderNumber, source_index) AS BIGINT) AS sequence,
+    CAST(coalesce(orderNumber, actionNumber, source_index) AS VARCHAR) AS event_id, period, {trim('clock')} AS clock,
+    CASE WHEN teamId > 0 THEN teamId END AS team_id, {trim('teamTricode')} AS team_tricode, {LIVE_TYPE} AS action_type,
+    {LIVE_SUBTYPE} AS sub_type, {trim('description')} AS description, {trim('scoreHome')} AS score_home,
+    {trim('scoreAway')} AS score_away, {trim('shotResult')} AS shot_result,
+    CASE WHEN possession > 0 THEN possession END AS source_possession_team_id, {trim('actionType')} AS source_action_type,
+    {_S} AS source_action_subtype"""
+LIVE_DEDUPED = (
+    f"{LIVE}, live_one AS (SELECT * FROM live QUALIFY (orderNumber IS NULL AND actionNumber IS NULL) "
+    "OR row_number() OVER (PARTITION BY game_id, orderNumber, actionNumber ORDER BY source_index DESC) = 1)"
+)
+_PLACE = (
+    "CAST(row_number() OVER (PARTITION BY game_id ORDER BY orderNumber IS NULL, CASE WHEN orderNumber IS NULL OR orderNumber = 0 "
+    "THEN source_index ELSE orderNumber END, source_index) - 1 AS INT)"
+)
+LIVE_ACTIONS = (
+    f"{LIVE_DEDUPED}, live_at AS (SELECT *, {_PLACE} AS source_event_index FROM live_one), "
+    "acts AS MATERIALIZED (SELECT 'live' AS season, game_id, source_event_index, event_id AS actionId, sequence AS actionNumber, "
+    "action_type AS actionType, sub_type AS subType, clock, period, team_id AS teamId, team_tricode AS teamTricode, description, "
+    "score_home AS scoreHome, score_away AS scoreAway, shot_result AS shotResult FROM "
+    f"(SELECT game_id, source_index, source_event_index, {ADAPTED} FROM live_at)), "
+    "live_idx AS (SELECT 'live' AS season, game_id, home_team_id, away_team_id, CAST(NULL AS INT) AS home_pts, "
+    "CAST(NULL AS INT) AS away_pts, CAST(NULL AS INT) AS home_win FROM idx)"
+)
+LIVE_STATES = (
+    f"{LIVE_ACTIONS}, {normalized('lnorm', 'acts')}, {tracked('ltrk', 'lnorm', 'live_idx')}, "
+    f"live_states AS MATERIALIZED (SELECT {STATE_SELECT} FROM ltrk WHERE emitted)"
+)
+BOTH_STATES = (
+    f"{LIVE_STATES}, hacts AS MATERIALIZED (SELECT {columns_sql(ACTION_COLUMNS)} FROM staged), "
+    f"{normalized('norm', 'hacts')}, {tracked()}, states AS MATERIALIZED (SELECT {STATE_SELECT} FROM trk WHERE emitted)"
+)
+
+# --- Scoreboard and scored states -------------------------------------------------------
+
+BOARD = (
+    f"{STAGED}, board_games AS (SELECT user_id, game_id, home_id, away_id, min(CAST(ts AS DATE)) AS game_date, "
+    "max(home_points) AS home_top, max(away_points) AS away_top FROM staged GROUP BY ALL), "
+    f"board AS MATERIALIZED (SELECT {columns_sql(BOARD_COLUMNS)} FROM board_games)"
+)
+_BOARD_ONLY = BOARD[len(STAGED) + 2 :]
+STATES_AND_BOARD = f"{STATES}, {_BOARD_ONLY}"
+SCORED = (
+    f"{STATES}, scored AS MATERIALIZED (SELECT *, greatest(0, least(1, CAST(50 + score_differential * period AS DOUBLE) / 100)) "
+    "AS probability FROM states)"
+)
+SCORED_AND_BOARD = f"{SCORED}, {_BOARD_ONLY}"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoopline.operators.index import state_index
+from hoopline.operators.live_feed import live_feed_actions
 from hoopline.operators.ordinal import with_position
 from hoopline.operators.states import game_states
 from hoopline.session import scratch_path
@@ -239,10 +240,55 @@ class DerivedFeed:
             self._paths["states"] = path
         return read_states(self.spark, self._paths["states"])
 
+    def live_index(self) -> DataFrame:
+        """The teams of each game under the season name ``live``; a live game has no outcome yet."""
+        return self.index().selectExpr("'live' AS season", "game_id", "home_team_id", "away_team_id")
+
+    def live_states(self) -> DataFrame:
+        if "live_states" not in self._paths:
+            path = scratch_path(self.spark, "live_states")
+            write_states(game_states(live_feed_actions(self.live_actions()), self.live_index()), path)
+            self._paths["live_states"] = path
+        return read_states(self.spark, self._paths["live_states"])
+
+    def live_scored(self) -> DataFrame:
+        return self.live_states().withColumn("probability", F.expr(PROBABILITY))
+
+    def board(self) -> DataFrame:
+        """What the scoreboard says of every game, flat."""
+
+        def build() -> DataFrame:
+            games = self.staged().groupBy("user_id", "game_id", "home_id", "away_id").agg(
+                F.min(F.col("ts").cast("date")).alias("game_date"),
+                F.max("home_points").alias("home_top"),
+                F.max("away_points").alias("away_top"),
+            )
+            return games.select(*[F.expr(e).alias(c) for c, e in BOARD_COLUMNS.items()])
+
+        return self._table("board", build)
+
+    def scoreboard_documents(self) -> DataFrame:
+        """Scoreboard envelopes of at most four games each, as JSON text."""
+        game = (
+            "named_struct('gameId', game_id, 'gameStatus', game_status, 'gameStatusText', status_text, 'period', period, "
+            "'gameClock', clock, 'homeTeam', named_struct('teamId', home_team_id, 'teamName', home_name, "
+            "'teamTricode', home_tricode, 'score', home_score), 'awayTeam', named_struct('teamId', away_team_id, "
+            "'teamName', away_name, 'teamTricode', away_tricode, 'score', away_score))"
+        )
+        games = self.board().withColumn("game", F.expr(game))
+        # Four consecutive games per document, so a document is small whatever the day holds.
+        boards = games.groupBy("board", "game_date").agg(F.collect_list("game").alias("games"))
+        return boards.selectExpr("to_json(named_struct('scoreboard', named_struct('gameDate', game_date, 'games', games))) AS value")
+
+    def details_documents(self) -> DataFrame:
+        return self.board().selectExpr(
+            "to_json(named_struct('game', named_struct('gameId', game_id, 'gameStatus', game_status, "
+            "'homeTeam', named_struct('teamId', home_team_id, 'score', home_score)))) AS value"
+        )
+
     def scored(self) -> DataFrame:
         """States with a made-up home-win probability, a plain ratio that both engines agree on."""
-        ratio = "greatest(0D, least(1D, CAST(50 + score_differential * period AS DOUBLE) / 100D))"
-        return self.states().withColumn("probability", F.expr(ratio))
+        return self.states().withColumn("probability", F.expr(PROBABILITY))
 
 
 GAME_LOG_COLUMNS: dict[str, str] = {
@@ -257,6 +303,25 @@ GAME_LOG_COLUMNS: dict[str, str] = {
     "PTS": "CAST(CASE WHEN side = 'home' THEN home_top + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END ELSE away_top END AS INT)",
 }
 
+BOARD_COLUMNS: dict[str, str] = {
+    "board": "CAST(floor(user_id / 4) AS BIGINT)",
+    "game_date": "CAST(game_date AS STRING)",
+    "game_id": "game_id",
+    "game_status": "CASE user_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE NULL END",
+    "status_text": "CASE user_id % 5 WHEN 0 THEN ' 7:00 pm ET ' WHEN 3 THEN 'Final' ELSE NULL END",
+    "period": "CASE user_id % 5 WHEN 0 THEN NULL ELSE CAST(1 + user_id % 5 AS STRING) END",
+    "clock": "CASE WHEN user_id % 2 = 0 THEN 'PT05M00.00S ' ELSE NULL END",
+    "home_team_id": "CASE WHEN user_id % 31 = 7 THEN NULL ELSE home_id END",
+    "home_name": "'Home ' || CAST(home_id AS STRING)",
+    "home_tricode": "CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'H' || CAST(home_id AS STRING) END",
+    "home_score": "CASE WHEN user_id % 13 = 5 THEN 'n/a' WHEN user_id % 13 = 6 THEN NULL ELSE CAST(home_top AS STRING) END",
+    "away_team_id": "away_id",
+    "away_name": "' Away ' || CAST(away_id AS STRING)",
+    "away_tricode": "'A' || CAST(away_id AS STRING)",
+    "away_score": "CAST(away_top AS STRING)",
+}
+PROBABILITY = "greatest(0D, least(1D, CAST(50 + score_differential * period AS DOUBLE) / 100D))"
+
 _FEEDS: dict[tuple[str, str], DerivedFeed] = {}
 
 
