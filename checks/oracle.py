@@ -417,3 +417,401 @@ ORACLE["possession_label"] = with_(
     "SELECT s.season, s.game_id, s.source_event_index, CASE s.possession_team_id WHEN s.home_team_id THEN coalesce(nullif(home_tricode, ''), home_name) "
     "WHEN s.away_team_id THEN away_tricode ELSE 'Unknown' END AS label FROM states s JOIN games b USING (game_id)",
 )
+
+# --- Probability evaluation -------------------------------------------------------------
+
+EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
+
+
+def bin_of(edges: list[float]) -> str:
+    branches = " ".join(f"WHEN p >= {edge!r}::DOUBLE THEN {i}" for i, edge in reversed(list(enumerate(edges[:-1]))))
+    return f"CASE {branches} ELSE 0 END"
+
+
+def metrics(source: str, by: str, edges: list[float] = EDGES) -> str:
+    """Row-level metrics of a relation with columns y, p and the group columns ``by``."""
+    group = f"GROUP BY {by}" if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    also = f", {by}" if by else ""
+    on = " AND ".join(f"{{0}}.{c.strip()} = {{1}}.{c.strip()}" for c in by.split(",")) if by else "true"
+    return (
+        f"SELECT a.*, round(e.ece, 9) AS ece FROM (SELECT {by + ', ' if by else ''} count(*) AS row_count, "
+        "round(avg((p - y) * (p - y)), 9) AS brier, "
+        "round(avg(-ln(CASE WHEN y = 1 THEN greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) ELSE 1 - greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) END)), 9) AS log_loss, "
+        "round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END), 9) AS accuracy, "
+        "round((sum(CASE WHEN y = 1 THEN r END) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / nullif(sum(y)::DOUBLE * (count(*) - sum(y)), 0), 9) AS roc_auc "
+        f"FROM (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''} p) - 1) / 2.0 AS r FROM ({source})) {group}) a "
+        f"JOIN (SELECT sum(n * abs(mp - my)) / sum(n) AS ece{also} FROM (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS my{also} "
+        f"FROM ({source}) GROUP BY {bin_of(edges)}{also}) {group}) e ON {on.format('a', 'e')}"
+    )
+
+
+def scored(key: str, select: str) -> None:
+    ORACLE[key] = with_(sb.SCORED, select)
+
+
+scored("probability_metrics", metrics("SELECT season, home_win AS y, probability AS p FROM scored", "season"))
+BINS = (
+    "SELECT g.season, b.bin, b.lower, b.upper, count(s.p) AS count, round(coalesce(avg(s.p), 0), 9) AS mean_predicted, "
+    "round(coalesce(avg(s.y), 0), 9) AS observed_rate, round(coalesce(abs(avg(s.p) - avg(s.y)), 0), 9) AS absolute_gap "
+    "FROM (SELECT DISTINCT season FROM scored) g CROSS JOIN (VALUES "
+    + ", ".join(f"({i}, {EDGES[i]!r}::DOUBLE, {EDGES[i + 1]!r}::DOUBLE)" for i in range(10))
+    + ") b(bin, lower, upper) LEFT JOIN (SELECT season, probability AS p, home_win AS y FROM scored) s ON s.season = g.season "
+    "AND s.p >= b.lower AND (s.p < b.upper OR b.bin = 9) GROUP BY ALL"
+)
+scored("calibration_bins", BINS)
+SEVEN = [i * (1.0 / 7) for i in range(7)] + [1.0]
+scored(
+    "ece",
+    f"SELECT season, round(sum(n * abs(mp - my)) / sum(n), 9) AS ece FROM (SELECT season, count(*) AS n, avg(p) AS mp, avg(y) AS my "
+    f"FROM (SELECT season, home_win AS y, probability AS p FROM scored) GROUP BY season, {bin_of(SEVEN)}) GROUP BY season",
+)
+SLICED = (
+    f"SELECT 'period' AS dimension, {PERIOD_BUCKET} AS label, home_win AS y, probability AS p FROM scored "
+    f"UNION ALL SELECT 'time_remaining', {TIME_BIN}, home_win, probability FROM scored "
+    f"UNION ALL SELECT 'absolute_score_differential', {SCORE_BIN}, home_win, probability FROM scored"
+)
+scored("slice_metrics", f"SELECT * FROM ({metrics(SLICED, 'dimension, label')}) WHERE roc_auc IS NOT NULL")
+RATE = "(SELECT avg(home_win) FROM states WHERE season = '2021-22')"
+MODELS = (
+    "SELECT 'sharp' AS model, home_win AS y, probability AS p FROM scored WHERE season = '2022-23' "
+    "UNION ALL SELECT 'blunt', home_win, (probability + 1.5) / 4 FROM scored WHERE season = '2022-23' "
+    f"UNION ALL SELECT 'constant', home_win, {RATE} FROM scored WHERE season = '2022-23'"
+)
+scored("compare_models", metrics(MODELS, "model"))
+scored("select_model", f"SELECT * FROM ({metrics(MODELS, 'model')}) ORDER BY brier, log_loss LIMIT 1")
+scored("constant_baseline", metrics(f"SELECT home_win AS y, {RATE} AS p FROM scored WHERE season = '2022-23'", ""))
+
+# --- Models -----------------------------------------------------------------------------
+
+SCALED_FEATURES = [c for c in FEATURES if c not in ("home_possession", "is_overtime", "possession_known")]
+SCALER = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) AS scale "
+    "FROM states WHERE season = '2021-22'"
+    for c in SCALED_FEATURES
+)
+states("fit_scaler", SCALER)
+states("load_save_preprocessor", f"SELECT '2021-22' AS fitted_season, 1 AS version, * FROM ({SCALER})")
+STATS = "(SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in SCALED_FEATURES
+) + " FROM states WHERE season = '2021-22')"
+
+
+def scaled_value(c: str) -> str:
+    if c == "home_possession":
+        return "coalesce(CAST(home_possession AS DOUBLE), 0.5)"
+    return f"({c} - m_{c}) / s_{c}" if c in SCALED_FEATURES else f"CAST({c} AS DOUBLE)"
+
+
+SCALED = f"SELECT {ROW}, home_win, {', '.join(f'{scaled_value(c)} AS {c}' for c in FEATURES)} FROM states CROSS JOIN {STATS}"
+states("apply_scaler", f"SELECT {ROW}, home_win, {', '.join(f'round({c}, 6) AS {c}' for c in FEATURES)} FROM ({SCALED})")
+WEIGHTS = (1.5, 0.25, -0.5, 0.125, 0.0625, -0.25, 0.5, -0.125, 0.25, -0.375)
+LOGIT = " + ".join(f"({w}::DOUBLE) * {c}" for w, c in zip(WEIGHTS, FEATURES, strict=True)) + " + 0.1875::DOUBLE"
+states(
+    "score_logistic",
+    f"SELECT {ROW}, round(1 / (1 + exp(-greatest(-50, least(50, z)))), 8) AS probability FROM (SELECT *, {LOGIT} AS z FROM ({SCALED}))",
+)
+
+
+def layer_sql(source: str, inputs: list[str], prefix: str, rows: int, relu: bool) -> tuple[str, list[str]]:
+    """One dense layer with the weights of the query's rule, as a nested select."""
+    outputs = []
+    for r in range(rows):
+        terms = " + ".join(f"({((r * 7 + c * 3) % 11 - 5) / 8.0}::DOUBLE) * {name}" for c, name in enumerate(inputs))
+        value = f"({terms} + {(r % 5 - 2) / 4.0}::DOUBLE)"
+        outputs.append(f"{f'greatest(0, {value})' if relu else value} AS {prefix}{r}")
+    return f"SELECT {ROW}, {', '.join(outputs)} FROM ({source})", [f"{prefix}{r}" for r in range(rows)]
+
+
+_L1, _n1 = layer_sql(SCALED, FEATURES, "a", 6, True)
+_L2, _n2 = layer_sql(_L1, _n1, "b", 4, True)
+_L3, _n3 = layer_sql(_L2, _n2, "c", 1, False)
+states("score_mlp", f"SELECT {ROW}, round(c0, 6) AS logit FROM ({_L3})")
+states(
+    "apply_platt",
+    f"SELECT {ROW}, round(1 / (1 + exp(-greatest(-50, least(50, 0.75::DOUBLE * score_differential / 8 - 0.125::DOUBLE)))), 9) AS calibrated FROM states",
+)
+states(
+    "calibration_split",
+    "SELECT season, game_id, row_number() OVER (ORDER BY game_id) <= (SELECT count(DISTINCT game_id) FROM states WHERE season = '2022-23') // 2 AS fits "
+    "FROM (SELECT DISTINCT season, game_id FROM states WHERE season = '2022-23')",
+)
+
+# --- Sources and sinks ------------------------------------------------------------------
+
+LOG = "season, GAME_ID, GAME_DATE, TEAM_ID, TEAM_ABBREVIATION, MATCHUP, WL, PTS"
+ORACLE["read_game_log"] = with_(sb.GAME_LOG, f"SELECT {LOG} FROM game_log")
+ORACLE["write_game_log"] = with_(
+    sb.GAME_LOG, "SELECT season, count(*) AS n, min(GAME_ID) AS first_id, sum(PTS)::BIGINT AS points FROM game_log GROUP BY season"
+)
+RAW = "actionId, actionNumber, actionType, subType, clock, period, teamId, teamTricode, description, scoreHome, scoreAway, shotResult"
+ORACLE["read_raw_pbp"] = with_(sb.ACTIONS, f"SELECT {ROW}, n_events, {RAW} FROM acts")
+ORACLE["explode_actions"] = with_(
+    sb.ACTIONS, f"SELECT {ROW}, n_events, CAST(source_event_index // 25 AS INT) AS part, actionId, clock FROM acts"
+)
+ORACLE["write_raw_pbp"] = with_(
+    sb.ACTIONS, "SELECT season, count(*) AS n, sum(period)::BIGINT AS periods, count(DISTINCT game_id) AS games FROM acts GROUP BY season"
+)
+states(
+    "write_states",
+    "SELECT season, count(*) AS states, sum(home_score + CASE WHEN game_id IN (SELECT game_id FROM states WHERE period > 4) THEN 1000 ELSE 0 END)::BIGINT "
+    "AS home_points FROM states GROUP BY season",
+)
+states("read_states", f"SELECT {ROW}, home_score, away_score, possession_reason FROM states WHERE season IN ('2021-22', '2023-24')")
+ORACLE["read_live_snapshots"] = with_(
+    f"{sb.LIVE}, sized AS (SELECT *, count(*) OVER (PARTITION BY game_id) AS total FROM live)",
+    "SELECT game_id, poll, source_index, orderNumber, actionType, scoreHome, CAST(len(qualifiers) AS INT) AS qualifiers FROM sized "
+    "CROSS JOIN (VALUES (0), (1), (2)) p(poll) WHERE poll > 0 OR source_index < total / 2",
+)
+ORACLE["process_season"] = ORACLE["season_results"]
+ORACLE["write_report"] = with_(
+    sb.TRACKED,
+    "SELECT season, count(DISTINCT game_id) AS games_processed, count(*) AS raw_events, count(*) FILTER (emitted) AS emitted_states, "
+    "round(100.0::DOUBLE * count(*) FILTER (emitted AND possession_team_id IS NOT NULL) / count(*) FILTER (emitted), 6) AS known_possession_percent, "
+    "CAST(count(DISTINCT possession_reason) FILTER (emitted) AS INT) AS reasons, "
+    "(SELECT max(n) FROM (SELECT count(*) AS n FROM trk b WHERE b.season = a.season AND emitted GROUP BY possession_reason)) AS top_reason_states, "
+    "CAST(least(100, count(*) FILTER (marker_matches = 0)) AS INT) AS discrepancies FROM trk a GROUP BY season",
+)
+
+# --- Data quality -----------------------------------------------------------------------
+
+DEFECTS = f"{sb.STAGED}, facts AS MATERIALIZED (SELECT *, {sb.columns_sql(sb.DEFECT_COLUMNS)} FROM staged)"
+LISTED = "defect NOT IN ('cut', 'no game', 'not an object', 'not a list', 'empty', 'absent')"
+CHECKED = (
+    f"{DEFECTS}, sums AS (SELECT season, game_id, defect, CASE WHEN {LISTED} THEN count(*) ELSE 0 END AS n, "
+    f"count(*) FILTER (pv IS NULL) AS no_p, count(*) FILTER (cv IS NULL) AS no_c, min(TRY_CAST(pv AS INT)) AS low, "
+    "count(*) FILTER (regexp_full_match(trim(cv, '\"'), 'PT\\d+M\\d+(\\.\\d+)?S')) AS clocks, "
+    "count(*) FILTER (trim(trim(tv, '\"')) <> '') AS types FROM facts GROUP BY season, game_id, defect), "
+    "listed AS (SELECT *, [CASE WHEN defect = 'cut' THEN 'the document is not readable JSON' END, "
+    "CASE WHEN defect = 'not an object' THEN 'the document is not an object' END, "
+    "CASE WHEN defect = 'no game' THEN 'the document has no game object' END, "
+    "CASE WHEN defect = 'other id' THEN 'the document is for game 9999999999' END, "
+    "CASE WHEN defect = 'not a list' THEN 'there is no list of actions' END, "
+    "CASE WHEN defect = 'empty' THEN 'the list of actions is empty' END, "
+    "CASE WHEN n > 0 AND n < 50 THEN 'too few events: ' || n END, "
+    "CASE WHEN n > 0 AND no_p > 0 THEN 'period is missing from events: ' || no_p END, "
+    "CASE WHEN n > 0 AND no_c > 0 THEN 'clock is missing from events: ' || no_c END, "
+    "CASE WHEN n > 0 AND low IS NULL THEN 'no whole-number period' END, "
+    "CASE WHEN n > 0 AND low < 1 THEN 'period is below one: ' || low END, "
+    "CASE WHEN n > 0 AND clocks = 0 THEN 'no readable clock' END, "
+    "CASE WHEN n > 0 AND clocks > 0 AND clocks < 0.95 * n THEN 'too few readable clocks: ' || clocks END, "
+    "CASE WHEN n > 0 AND types = 0 THEN 'no action type' END, "
+    "CASE WHEN n > 0 AND types > 0 AND types < 0.5 * n THEN 'too few action types: ' || types END] AS found FROM sums), "
+    "checked AS (SELECT season, game_id, defect, n AS event_count, coalesce(array_to_string([p for p in found if p IS NOT NULL], '; '), '') AS reason FROM listed)"
+)
+ORACLE["validate_feeds"] = with_(
+    CHECKED, "SELECT season, game_id, reason = '' AS is_valid, event_count, reason FROM checked WHERE defect <> 'absent'"
+)
+ALL_FILES = (
+    "SELECT season, game_id, defect <> 'absent' AND reason = '' AS is_valid, event_count, defect = 'absent' AS is_missing, "
+    "CASE WHEN defect = 'absent' THEN 'there is no file' ELSE reason END AS reason FROM checked"
+)
+ORACLE["validate_files"] = with_(CHECKED, ALL_FILES)
+ORACLE["verify_downloads"] = with_(
+    f"{CHECKED}, files AS ({ALL_FILES}), {sb.INDEX[len(sb.STAGED) + 2:]}",
+    "SELECT f.season, count(*) AS expected, count(*) FILTER (is_valid) AS verified, count(*) FILTER (is_missing) AS missing, "
+    "count(*) FILTER (NOT is_valid AND NOT is_missing) AS invalid, coalesce(sum(event_count) FILTER (is_valid), 0)::BIGINT AS events, "
+    "(SELECT sum(home_win)::BIGINT FROM idx WHERE idx.season = f.season) AS home_wins, "
+    "(SELECT round(avg(home_win), 6) FROM idx WHERE idx.season = f.season) AS home_win_rate, "
+    "CASE WHEN count(*) FILTER (is_valid) > 0 THEN round(sum(event_count) FILTER (is_valid) / count(*) FILTER (is_valid), 6) END AS mean_events, "
+    "count(*) FILTER (NOT is_valid) = 0 AS complete FROM files f GROUP BY f.season",
+)
+VERIFIED = (
+    f"{sb.STATES}, numbered AS (SELECT game_id, season, CAST(game_id AS BIGINT) % 13 AS g, count(*) AS states, "
+    "arg_max(home_score, source_event_index) AS lh, arg_max(away_score, source_event_index) AS la, "
+    "count(*) FILTER (source_event_index % 5 = 0) AS fifths, max(possession_known) AS known, max(period) AS last_period, "
+    "min(home_team_fouls_period) AS low_fouls FROM states GROUP BY ALL), "
+    "judged AS (SELECT n.*, x.home_pts, x.away_pts, array_to_string([p for p in ["
+    "CASE WHEN g = 1 AND fifths > 0 THEN 'score difference' END, "
+    "CASE WHEN lh <> home_pts OR la <> away_pts THEN 'final score' END, CASE WHEN g = 7 THEN 'outcome label' END, "
+    "CASE WHEN g = 2 THEN 'regulation clock' END, CASE WHEN g = 3 AND last_period > 4 THEN 'overtime clock' END, "
+    "CASE WHEN g = 4 AND known = 1 THEN 'possession team' END, CASE WHEN g IN (5) AND known = 1 THEN 'possession side' "
+    "WHEN g = 4 AND known = 1 AND EXISTS (SELECT 1 FROM states s WHERE s.game_id = n.game_id AND s.home_possession = 1) THEN 'possession side' END, "
+    "CASE WHEN g = 6 AND low_fouls < 3 THEN 'negative fouls' END] if p IS NOT NULL], '; ') AS found FROM numbered n JOIN idx x USING (season, game_id)), "
+    "verified AS (SELECT season, game_id, states, coalesce(found, '') AS reason FROM judged WHERE g <> 8 "
+    "UNION ALL SELECT season, game_id, 0, 'no states' FROM judged WHERE g = 8 "
+    "UNION ALL SELECT season, '8' || substr(game_id, 2), states, 'game is not in the index' FROM judged WHERE g = 8)"
+)
+ORACLE["verify_states"] = with_(VERIFIED, "SELECT season, game_id, states, reason = '' AS is_valid, reason FROM verified")
+ORACLE["verify_states_totals"] = with_(
+    VERIFIED,
+    "SELECT * FROM (SELECT season, count(*) FILTER (reason = '') AS verified, count(*) FILTER (states = 0) AS missing, "
+    "count(*) FILTER (reason <> '' AND states > 0) AS invalid FROM verified GROUP BY season) LEFT JOIN "
+    "(SELECT season, count(*) AS states, sum(possession_known)::BIGINT AS known, count(foul_marker_matches) AS markers_checked, "
+    "coalesce(sum(foul_marker_matches), 0)::BIGINT AS markers_matched FROM states WHERE game_id IN (SELECT game_id FROM verified WHERE reason = '') "
+    "GROUP BY season) USING (season)",
+)
+ORACLE["schema_checks"] = with_(
+    NORM,
+    "SELECT season, game_id, count(*) AS events, bool_and(length(game_id) = 10) AS id_ok, "
+    "bool_and(period IS NOT NULL AND clock IS NOT NULL AND actionType IS NOT NULL) AS no_nulls, "
+    "min(period) = 1 AND max(period) <= 10 AS period_ok, bool_and(seconds BETWEEN 0 AND 720) AS clock_ok, "
+    "bool_and(coalesce(TRY_CAST(nullif(sh, '') AS DOUBLE), 0) >= 0 AND coalesce(TRY_CAST(nullif(sa, '') AS DOUBLE), 0) >= 0) "
+    "AND count(nullif(sh, '')) > 0 AND count(nullif(sa, '')) > 0 AS scores_ok, "
+    "count(nullif(action_type, '')) > 0.8 * count(*) AND count(*) FILTER (category = 'made shot') > 0 AND count(*) FILTER (category = 'missed shot') > 0 "
+    "AND count(*) FILTER (category = 'rebound') > 0 AND count(*) FILTER (category = 'turnover') > 0 AS types_ok, "
+    "count(nullif(event_text, '')) > 0.9 * count(*) AS descriptions_ok, "
+    "count(nullif(teamTricode, '')) > 0.8 * count(*) AND count(DISTINCT nullif(teamTricode, '')) = 2 AS teams_ok, "
+    "bool_or(lower(action_type) LIKE '%foul%') AND bool_or(lower(action_type) LIKE '%timeout%') AS fouls_and_timeouts_ok "
+    "FROM norm GROUP BY season, game_id",
+)
+ORACLE["differential_check"] = with_(
+    sb.TRACKED, "SELECT season, game_id, max(abs(home_score - away_score)) < 100 AS differential_ok FROM trk GROUP BY season, game_id"
+)
+ORACLE["order_consistency"] = with_(
+    NORM,
+    "SELECT season, game_id, round(corr(r, o), 6) AS correlation, coalesce(corr(r, o) > 0.97, false) AS consistent FROM (SELECT season, game_id, "
+    "rank() OVER (PARTITION BY season, game_id ORDER BY actionNumber) + (count(*) OVER (PARTITION BY season, game_id, actionNumber) - 1) / 2.0 AS r, "
+    "row_number() OVER (PARTITION BY season, game_id ORDER BY period, seconds DESC, source_event_index) AS o "
+    "FROM norm WHERE actionNumber IS NOT NULL) GROUP BY season, game_id",
+)
+ORACLE["field_presence"] = with_(
+    DEFECTS,
+    " UNION ALL ".join(
+        f"SELECT season, '{name}' AS field, count(*) AS n FROM facts WHERE {LISTED} AND {has} GROUP BY season"
+        for name, has in (
+            ("period", "pv IS NOT NULL"), ("clock", "cv IS NOT NULL"), ("actionType", "tv IS NOT NULL"), ("actionNumber", "true"), ("subType", "event_id % 3 = 0"),
+        )
+    ),
+)
+
+# --- Manifest ---------------------------------------------------------------------------
+
+
+def _manifest_ctes() -> str:
+    from checks.queries import MANIFEST_COLUMNS, OUTCOME_COLUMNS
+
+    return (
+        "known AS (SELECT o_custkey AS custkey, arg_max(o_orderstatus, o_orderkey) AS last_status, "
+        "count(*) FILTER (o_orderstatus = 'F') AS failures, count(*) FILTER (o_orderstatus = 'O') AS loads FROM orders "
+        "WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey), "
+        f"man AS (SELECT {sb.columns_sql(MANIFEST_COLUMNS)} FROM known), "
+        f"outc AS (SELECT {sb.columns_sql(OUTCOME_COLUMNS)} FROM customer WHERE c_acctbal > 0), "
+        f"everyone AS (SELECT {OUTCOME_COLUMNS['game_id']} AS game_id FROM customer), "
+        "upd AS (SELECT coalesce(m.game_id, o.game_id) AS game_id, CASE o.action WHEN 'failed' THEN 'failed' WHEN 'downloaded' THEN 'downloaded' "
+        "WHEN 'skipped' THEN 'downloaded' ELSE m.status END AS status, "
+        "CAST(coalesce(m.attempts, 0) + CASE WHEN o.action = 'failed' THEN 1 ELSE 0 END AS INT) AS attempts, coalesce(o.action, m.last_action) AS last_action, "
+        "CASE WHEN o.action IN ('downloaded', 'skipped') THEN o.event_count ELSE m.event_count END AS event_count, "
+        "CASE WHEN o.action IS NULL THEN m.error_type ELSE o.error_type END AS error_type, "
+        "CASE WHEN o.action IS NULL THEN m.error ELSE substr(o.error, 1, 500) END AS error, "
+        "CASE WHEN o.action IS NULL THEN m.updated_at ELSE TIMESTAMP '2024-02-02 00:00:00' END AS updated_at "
+        "FROM man m FULL JOIN outc o ON m.game_id = o.game_id)"
+    )
+
+
+MAN = _manifest_ctes()
+ORACLE["register_games"] = with_(
+    MAN,
+    "SELECT game_id, status, attempts, event_count FROM man UNION ALL SELECT game_id, 'pending', 0, NULL FROM everyone "
+    "WHERE game_id NOT IN (SELECT game_id FROM man)",
+)
+ORACLE["manifest_update"] = with_(MAN, "SELECT * FROM upd")
+ORACLE["failure_log"] = with_(
+    MAN,
+    "SELECT season, 'Regular Season' AS season_type, game_id, error_type, error, attempts FROM upd CROSS JOIN (VALUES ('2021-22'), ('2022-23')) s(season) "
+    "WHERE game_id IN (SELECT game_id FROM outc WHERE action = 'failed')",
+)
+ORACLE["games_to_process"] = with_(
+    MAN,
+    "SELECT game_id FROM everyone WHERE game_id NOT IN (SELECT game_id FROM outc WHERE action = 'downloaded') "
+    "AND game_id NOT IN (SELECT game_id FROM man WHERE status = 'failed')",
+)
+ORACLE["ingest_run_stats"] = with_(
+    MAN,
+    "SELECT count(*) AS considered, count(*) FILTER (action = 'downloaded') AS downloaded, count(*) FILTER (action = 'skipped') AS skipped, "
+    "count(*) FILTER (action = 'failed') AS failed, sum(event_count) FILTER (action = 'downloaded')::BIGINT AS events FROM outc",
+)
+ORACLE["manifest_summary"] = with_(
+    MAN,
+    "SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'downloaded') AS downloaded, "
+    "count(*) FILTER (status = 'failed') AS failed, sum(event_count)::BIGINT AS events FROM man",
+)
+ORACLE["manifest_status"] = with_(
+    MAN,
+    "SELECT 'total' AS kind, status AS label, count(*) AS n, NULL AS error FROM man GROUP BY status UNION ALL "
+    "SELECT * FROM (SELECT 'failed game', game_id, NULL, coalesce(error_type, '?') || ': ' || substr(error, 1, 90) FROM man WHERE status = 'failed' ORDER BY game_id LIMIT 20)",
+)
+
+# --- Snapshots and streams --------------------------------------------------------------
+
+
+def _poll_ctes() -> str:
+    from checks.queries import POLL
+
+    return f"{sb.STAGED}, polls AS MATERIALIZED (SELECT event_id, event_type, {sb.columns_sql(POLL)} FROM staged)"
+
+
+POLLS = _poll_ctes()
+BY_GAME = "WINDOW w AS (PARTITION BY game_id ORDER BY poll)"
+ORACLE["snapshot_fingerprint"] = with_(
+    POLLS,
+    "SELECT game_id, poll, sha256('{\"a\":{\"c\":\"' || event_type || '\",\"d\":' || poll || '},\"b\":' || x || '}') AS fingerprint FROM polls",
+)
+ORACLE["changed_snapshots"] = with_(
+    POLLS, f"SELECT game_id, poll FROM polls {BY_GAME} QUALIFY lag(x) OVER w IS DISTINCT FROM x"
+)
+ORACLE["published_changes"] = with_(
+    POLLS,
+    f"SELECT game_id, poll, status, points, event_id AS last_update, poll AS replay_cursor FROM polls {BY_GAME} "
+    "QUALIFY row_number() OVER w = 1 OR lag(status) OVER w <> status OR lag(points) OVER w <> points",
+)
+ORACLE["metadata_change"] = with_(
+    f"{POLLS}, meta AS (SELECT game_id, poll, status AS game_status, CASE WHEN status = 3 THEN 'Final' END AS status_text, "
+    "CASE WHEN poll >= 5 THEN points // 5 END AS home_score, 0 AS away_score FROM polls)",
+    f"SELECT * FROM meta {BY_GAME} QUALIFY row_number() OVER w = 1 OR lag(game_status) OVER w IS DISTINCT FROM game_status "
+    "OR lag(status_text) OVER w IS DISTINCT FROM status_text OR lag(home_score) OVER w IS DISTINCT FROM home_score",
+)
+ORACLE["degraded_feed"] = with_(
+    f"{POLLS}, tried AS (SELECT *, event_type IN ('error', 'signup') AS failed FROM polls), "
+    "good AS (SELECT game_id, poll, 's' || event_id AS state FROM tried WHERE NOT failed), "
+    "kept AS (SELECT t.*, (SELECT arg_max(g.state, g.poll) FROM good g WHERE g.game_id = t.game_id AND g.poll <= t.poll) AS last_state "
+    "FROM (SELECT *, lag(failed) OVER (PARTITION BY game_id ORDER BY poll) AS before FROM tried) t WHERE NOT failed OR before IS NULL OR NOT before)",
+    "SELECT game_id, poll, last_state AS state, CASE WHEN NOT failed THEN 'live' WHEN last_state IS NULL THEN 'waiting' ELSE 'degraded' END AS feed_status, "
+    "CASE WHEN failed THEN 'Live feed unavailable from this environment.' END AS error FROM kept",
+)
+ORACLE["replay_prefix"] = with_(
+    sb.LIVE_STATES.replace("live AS MATERIALIZED (SELECT", "live_all AS MATERIALIZED (SELECT", 1).replace(
+        ", live_one AS (",
+        ", live AS MATERIALIZED (SELECT l.* FROM live_all l JOIN (SELECT game_id, count(*) // 2 AS k FROM live_all GROUP BY game_id) USING (game_id) "
+        "WHERE source_index < k), live_one AS (",
+        1,
+    ),
+    "SELECT * FROM live_states",
+)
+ORACLE["live_states_stream"] = ORACLE["live_states"]
+ORACLE["cache_live_snapshots"] = with_(
+    sb.STAGED,
+    "SELECT game_id, CAST(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END AS INT) AS poll, 0 AS part FROM (SELECT DISTINCT user_id, game_id FROM staged)",
+)
+
+# --- Served documents -------------------------------------------------------------------
+
+SERVED = (
+    f"{sb.SCORED_AND_BOARD}, games AS ({BOARD_GAMES}), placed AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY source_event_index DESC) AS age, "
+    "count(*) OVER (PARTITION BY game_id) AS total FROM scored WHERE season = '2021-22'), latest AS (SELECT * FROM placed WHERE age = 1)"
+)
+ORACLE["games_list"] = with_(
+    SERVED,
+    "SELECT g.game_id, game_status, status_text, coalesce(l.period, g.period) AS period, coalesce(l.clock, g.clock) AS clock, "
+    "coalesce(l.home_score, g.home_score) AS home_score, home_tricode, coalesce(l.away_score, g.away_score) AS away_score, away_name "
+    "FROM games g LEFT JOIN latest l USING (game_id)",
+)
+FINAL = "(g.game_status = 3 AND g.home_score IS NOT NULL AND g.away_score IS NOT NULL)"
+SHOWN_HOME = f"CASE WHEN {FINAL} THEN CAST(g.home_score > g.away_score AS INT)::DOUBLE ELSE l.probability END"
+ORACLE["state_payload"] = with_(
+    SERVED,
+    "SELECT g.game_id, g.game_status, CASE WHEN l.game_id IS NULL AND g.status_text = '' THEN 'Waiting for play-by-play' ELSE g.status_text END AS status_text, "
+    "coalesce(l.period, g.period) AS period, "
+    + LABEL.replace("period", "coalesce(l.period, g.period)")
+    + " AS period_label, coalesce(l.clock, g.clock) AS clock, CASE WHEN l.game_id IS NULL THEN g.home_score ELSE l.home_score END AS home_score, "
+    "CASE WHEN l.game_id IS NULL THEN g.away_score ELSE l.away_score END AS away_score, l.score_differential, "
+    "CASE WHEN l.possession_team_id = g.home_team_id THEN coalesce(nullif(home_tricode, ''), home_name) WHEN l.possession_team_id = g.away_team_id "
+    "THEN away_tricode ELSE 'Unknown' END AS label, l.possession_team_id IS NOT NULL AS known, coalesce(l.home_team_fouls_period, 0) AS home_fouls, "
+    f"CASE WHEN l.game_id IS NOT NULL THEN {SHOWN_HOME} END AS home_win_probability, CASE WHEN l.game_id IS NOT NULL THEN 1 - ({SHOWN_HOME}) END AS away_win_probability, "
+    f"l.probability AS model_home_win_probability, l.game_id IS NOT NULL AND coalesce({FINAL}, false) AS final_override_applied, "
+    "l.source_event_index AS last_sequence, CASE WHEN l.description <> '' THEN l.description ELSE l.semantic_event END AS last_description, "
+    "CAST(coalesce(least(12, l.total), 0) AS INT) AS recent, CAST(coalesce(least(30, l.total), 0) AS INT) AS history, "
+    "(SELECT min(source_event_index) FROM placed p WHERE p.game_id = g.game_id AND p.age <= 30) AS first_sequence, "
+    "CASE WHEN l.game_id IS NULL THEN 'waiting' ELSE 'live' END AS feed_status, coalesce(l.source_event_index, 0) AS sequence "
+    "FROM games g LEFT JOIN latest l USING (game_id)",
+)

@@ -14,15 +14,27 @@ from hoopline.functions import live as lv
 from hoopline.operators import dataset as ds
 from hoopline.operators import index as ix
 from hoopline.operators import live_feed as lf
+from hoopline.operators import manifest as mf
+from hoopline.operators import metrics as mt
+from hoopline.operators import models as md
 from hoopline.operators import parity as pa
+from hoopline.operators import payload as pl
 from hoopline.operators import profiling as pf
+from hoopline.operators import quality as ql
 from hoopline.operators import rollups as ru
 from hoopline.operators import sampling as sa
+from hoopline.operators import snapshots as sn
 from hoopline.operators import states as st
 from hoopline.operators.index import state_index
+from hoopline.plans import season as ps
+from hoopline.session import scratch_path
+from hoopline.sources import feeds as fd
+from hoopline.sources import game_log_files as gl
+from hoopline.sources import scaler_files as sc
 from hoopline.sources import scoreboard as sb
 from hoopline.sources import state_store as ss
 from hoopline.sources.derived import DerivedFeed, derived_feed
+from hoopline.streaming import live_states as ls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -311,3 +323,480 @@ def _(feed):
     )
     label = ck.possession_label("possession_team_id", "home_team_id", "home_label", "away_team_id", "away_label")
     return feed.states().join(board, "game_id").selectExpr(*ROW, f"{label} AS label")
+
+
+# --- Probability evaluation -------------------------------------------------------------
+
+METRICS = ["brier", "log_loss", "accuracy", "roc_auc", "ece"]
+
+
+def rounded(metrics: DataFrame, *keep: str) -> DataFrame:
+    return metrics.selectExpr(*keep, "row_count", *[f"round({m}, 9) AS {m}" for m in METRICS])
+
+
+query("probability_metrics")(lambda feed: rounded(mt.probability_metrics(feed.scored(), ["season"]), "season"))
+
+
+@query("calibration_bins")
+def _(feed):
+    bins = mt.calibration_bins(feed.scored(), ["season"])
+    return bins.selectExpr(
+        "season", "bin", "lower", "upper", "count", "round(mean_predicted, 9) AS mean_predicted",
+        "round(observed_rate, 9) AS observed_rate", "round(absolute_gap, 9) AS absolute_gap",
+    )
+
+
+@query("ece")
+def _(feed):
+    return mt.ece(mt.calibration_bins(feed.scored(), ["season"], bins=7), ["season"]).selectExpr("season", "round(ece, 9) AS ece")
+
+
+query("slice_metrics")(lambda feed: rounded(mt.slice_metrics(feed.scored()), "dimension", "label"))
+
+
+def three_models(feed: DerivedFeed) -> DataFrame:
+    """Validation states under the constant, a sharp and a blunt model."""
+    validation = ds.make_split(feed.scored(), "validation").withColumnRenamed("probability", "sharp")
+    return md.constant_baseline(ds.make_split(feed.states(), "train"), validation).selectExpr(
+        "home_win", "sharp", "(sharp + 1.5D) / 4D AS blunt", "probability AS constant"
+    )
+
+
+def three_metrics(feed: DerivedFeed) -> DataFrame:
+    return mt.compare_models(three_models(feed), {"sharp": "sharp", "blunt": "blunt", "constant": "constant"})
+
+
+query("compare_models")(lambda feed: rounded(three_metrics(feed), "model"))
+query("select_model")(lambda feed: rounded(mt.select_model(three_metrics(feed)), "model"))
+
+
+@query("constant_baseline")
+def _(feed):
+    states = feed.states()
+    scored = md.constant_baseline(ds.make_split(states, "train"), ds.make_split(states, "validation"))
+    return rounded(mt.probability_metrics(scored))
+
+
+# --- Models -----------------------------------------------------------------------------
+
+FIXED_LINEAR = md.LinearModel(fv.MODEL_FEATURES, (1.5, 0.25, -0.5, 0.125, 0.0625, -0.25, 0.5, -0.125, 0.25, -0.375), 0.1875)
+
+
+def scaled(feed: DerivedFeed, split: str | None = None) -> DataFrame:
+    states = feed.states()
+    scaler = md.fit_scaler(ds.make_split(states, "train"))
+    return md.apply_scaler(states if split is None else ds.make_split(states, split), scaler)
+
+
+@query("fit_scaler")
+def _(feed):
+    scaler = md.fit_scaler(ds.make_split(feed.states(), "train"))
+    return scaler.selectExpr("explode(means) AS (feature, mean)", "scales").selectExpr(
+        "feature", "round(mean, 6) AS mean", "round(scales[feature], 6) AS scale"
+    )
+
+
+@query("apply_scaler")
+def _(feed):
+    return scaled(feed).selectExpr(*ROW, "home_win", *[f"round({c}, 6) AS {c}" for c in fv.MODEL_FEATURES])
+
+
+@query("score_logistic")
+def _(feed):
+    return md.score_logistic(scaled(feed), FIXED_LINEAR).selectExpr(*ROW, "round(probability, 8) AS probability")
+
+
+def fixed_layers() -> list:
+    """Weights by rule, so that any engine can rebuild them."""
+    import numpy as np
+
+    def layer(rows: int, columns: int):
+        r, c = np.meshgrid(np.arange(rows), np.arange(columns), indexing="ij")
+        return ((r * 7 + c * 3) % 11 - 5) / 8.0, (np.arange(rows) % 5 - 2) / 4.0
+
+    return [layer(6, 10), layer(4, 6), layer(1, 4)]
+
+
+@query("score_mlp")
+def _(feed):
+    return md.score_mlp(scaled(feed), fixed_layers()).selectExpr(*ROW, "round(logit, 6) AS logit")
+
+
+@query("apply_platt")
+def _(feed):
+    logits = feed.states().withColumn("logit", F.expr("score_differential / 8D"))
+    model = md.LinearModel(("logit",), (0.75,), -0.125)
+    return md.apply_platt(logits, model).selectExpr(*ROW, "round(calibrated, 9) AS calibrated")
+
+
+query("calibration_split")(lambda feed: md.calibration_split(ds.make_split(feed.states(), "validation")))
+
+
+def coefficients(model: md.LinearModel, spark: SparkSession) -> DataFrame:
+    rows = [*zip(model.features, model.coefficients, strict=True), ("intercept", model.intercept)]
+    return spark.createDataFrame(rows, "feature STRING, coefficient DOUBLE")
+
+
+@query("fit_logistic")
+def _(feed):
+    return coefficients(md.fit_logistic(scaled(feed, "train")), feed.spark)
+
+
+@query("fit_platt")
+def _(feed):
+    logits = ds.make_split(feed.states(), "validation").withColumn("logit", F.expr("score_differential / 8D"))
+    fits = md.calibration_split(logits).where("fits")
+    return coefficients(md.fit_platt(logits.join(fits, ["season", "game_id"], "left_semi")), feed.spark)
+
+
+@query("fit_mlp")
+def _(feed):
+    model = md.fit_mlp(scaled(feed, "train"), iterations=20)
+    return mt.probability_metrics(md.score_fitted_mlp(scaled(feed, "validation"), model))
+
+
+@query("experiment_grid")
+def _(feed):
+    states = feed.states()
+    return md.experiment_grid(ds.make_split(states, "train"), ds.make_split(states, "validation"))
+
+
+@query("load_save_preprocessor")
+def _(feed):
+    path = scratch_path(feed.spark, "scaler")
+    sc.save_scaler(md.fit_scaler(ds.make_split(feed.states(), "train")), path)
+    loaded = sc.load_scaler(feed.spark, path)
+    return loaded.selectExpr("fitted_season", "version", "explode(means) AS (feature, mean)", "scales").selectExpr(
+        "fitted_season", "version", "feature", "round(mean, 6) AS mean", "round(scales[feature], 6) AS scale"
+    )
+
+
+# --- Sources and sinks ------------------------------------------------------------------
+
+
+@query("read_game_log")
+def _(feed):
+    return ss.union_seasons(*saved_game_logs(feed))
+
+
+def saved_game_logs(feed: DerivedFeed) -> list[DataFrame]:
+    folder = scratch_path(feed.spark, "game_logs")
+    logs = feed.game_log()
+    for season in fv.SPLIT_SEASONS.values():
+        gl.write_game_log(logs.where(F.col("season") == season), folder, season)
+    return [gl.read_game_log(feed.spark, folder, season) for season in fv.SPLIT_SEASONS.values()]
+
+
+@query("write_game_log")
+def _(feed):
+    read = ss.union_seasons(*saved_game_logs(feed))
+    return read.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.min("GAME_ID").alias("first_id"), F.sum("PTS").alias("points"))
+
+
+RAW = ["actionId", "actionNumber", "actionType", "subType", "clock", "period", "teamId", "teamTricode", "description", "scoreHome", "scoreAway", "shotResult"]
+
+
+def written_documents(feed: DerivedFeed, csv: str | None = None) -> str:
+    path = scratch_path(feed.spark, "raw")
+    fd.write_raw_pbp(fd.to_documents(feed.actions()), path, csv)
+    return path
+
+
+query("read_raw_pbp")(lambda feed: fd.read_raw_pbp(feed.spark, written_documents(feed)).select(*ROW, "n_events", *RAW))
+query("explode_actions")(
+    lambda feed: fd.explode_actions(fd.to_documents(feed.actions(), part_rows=25)).select(*ROW, "n_events", "part", "actionId", "clock")
+)
+
+
+@query("write_raw_pbp")
+def _(feed):
+    flat = scratch_path(feed.spark, "flat")
+    written_documents(feed, flat)
+    rows = feed.spark.read.option("header", True).csv(flat).withColumn("season", F.col("season").cast("string"))
+    return rows.groupBy("season").agg(
+        F.count(F.lit(1)).alias("n"), F.expr("sum(CAST(period AS INT))").alias("periods"), F.countDistinct("game_id").alias("games")
+    )
+
+
+@query("write_states")
+def _(feed):
+    """Write states, replace the games that went to overtime, and count what is there."""
+    first, second = scratch_path(feed.spark, "states"), scratch_path(feed.spark, "states")
+    states = feed.states()
+    ss.write_states(states, first)
+    overtime = states.join(states.where("period > 4").select("season", "game_id").distinct(), ["season", "game_id"], "left_semi")
+    ss.replace_games(feed.spark, overtime.withColumn("home_score", F.expr("home_score + 1000")), first, second)
+    return ss.read_states(feed.spark, second).groupBy("season").agg(
+        F.count(F.lit(1)).alias("states"), F.sum("home_score").alias("home_points")
+    )
+
+
+@query("read_states")
+def _(feed):
+    path = scratch_path(feed.spark, "states")
+    ss.write_states(feed.states(), path)
+    return ss.read_states(feed.spark, path, ["2021-22", "2023-24"], [*ROW, "home_score", "away_score", "possession_reason"])
+
+
+@query("read_live_snapshots")
+def _(feed):
+    return fd.read_live_snapshots(feed.snapshots()).select("game_id", "poll", "source_index", "orderNumber", "actionType", "scoreHome", F.size("qualifiers").alias("qualifiers"))
+
+
+@query("storage_usage")
+def _(feed):
+    listing = feed.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(written_documents(feed))
+    return fd.storage_usage(listing.select("path", "length"))
+
+
+@query("process_season")
+def _(feed):
+    return ps.process_season(feed.actions(), feed.game_log(), scratch_path(feed.spark, "states"), scratch_path(feed.spark, "tracked"))
+
+
+@query("write_report")
+def _(feed):
+    states, tracked_path, path = (scratch_path(feed.spark, n) for n in ("states", "tracked", "report"))
+    results = ps.process_season(feed.actions(), feed.game_log(), states, tracked_path)
+    ps.write_report(ps.season_report(feed.spark, states, tracked_path, results), path)
+    return feed.spark.read.json(path).selectExpr(
+        "season", "games_processed", "raw_events", "emitted_states", "known_possession_percent",
+        "size(possession_reasons) AS reasons", "get(possession_reasons, 0).states AS top_reason_states", "size(marker_discrepancies) AS discrepancies",
+    )
+
+
+# --- Data quality -----------------------------------------------------------------------
+
+
+def reasons(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.selectExpr(*keep, "concat_ws('; ', problems) AS reason")
+
+
+query("validate_feeds")(lambda feed: reasons(ql.validate_feeds(feed.landed_documents()), "season", "game_id", "is_valid", "event_count"))
+query("validate_files")(
+    lambda feed: reasons(ql.validate_files(feed.index(), feed.landed_documents()), "season", "game_id", "is_valid", "event_count", "is_missing")
+)
+query("verify_downloads")(lambda feed: ql.verify_downloads(feed.index(), feed.landed_documents()).drop("bytes"))
+
+
+def damaged_states(feed: DerivedFeed) -> DataFrame:
+    """States with one kind of damage per game, by its number."""
+    damage = {
+        "score_differential": "CASE WHEN g % 13 = 1 AND source_event_index % 5 = 0 THEN score_differential + 1 ELSE score_differential END",
+        "seconds_remaining_regulation": "CASE WHEN g % 13 = 2 AND period <= 4 THEN seconds_remaining_regulation + 1 "
+        "WHEN g % 13 = 3 AND period > 4 THEN 5D ELSE seconds_remaining_regulation END",
+        "possession_team_id": "CASE WHEN g % 13 = 4 AND possession_known = 1 THEN 77 ELSE possession_team_id END",
+        "home_possession": "CASE WHEN g % 13 = 5 AND possession_known = 1 THEN 1 - home_possession ELSE home_possession END",
+        "home_team_fouls_period": "CASE WHEN g % 13 = 6 THEN home_team_fouls_period - 3 ELSE home_team_fouls_period END",
+        "home_win": "CASE WHEN g % 13 = 7 THEN 1 - home_win ELSE home_win END",
+        "game_id": "CASE WHEN g % 13 = 8 THEN '8' || substr(game_id, 2) ELSE game_id END",
+    }
+    numbered = feed.states().withColumn("g", F.expr("CAST(game_id AS BIGINT)"))
+    return numbered.withColumns({name: F.expr(text) for name, text in damage.items()}).drop("g")
+
+
+@query("verify_states")
+def _(feed):
+    return reasons(ql.verify_states(damaged_states(feed), feed.index()), "season", "game_id", "states", "is_valid")
+
+
+@query("verify_states_totals")
+def _(feed):
+    states = damaged_states(feed)
+    return ql.verified_totals(states, ql.verify_states(states, feed.index()))
+
+
+query("schema_checks")(lambda feed: ql.schema_checks(feed.actions()))
+query("differential_check")(lambda feed: ql.differential_check(tracked(feed)))
+
+
+@query("order_consistency")
+def _(feed):
+    return ql.order_consistency(feed.actions(), threshold=0.97).selectExpr("season", "game_id", "round(correlation, 6) AS correlation", "consistent")
+
+
+@query("field_presence")
+def _(feed):
+    actions = "explode(try_variant_get(try_parse_json(value), '$.game.actions', 'array<variant>')) AS a"
+    return pf.field_presence(feed.landed_documents().selectExpr("season", actions).selectExpr("season", "to_json(a) AS actions_json"))
+
+
+# --- Manifest ---------------------------------------------------------------------------
+
+MANIFEST_COLUMNS = {
+    "game_id": "lpad(CAST(custkey AS STRING), 10, '0')",
+    "status": "CASE last_status WHEN 'F' THEN 'failed' WHEN 'O' THEN 'downloaded' ELSE 'pending' END",
+    "attempts": "CAST(failures AS INT)",
+    "last_action": "CASE last_status WHEN 'F' THEN 'failed' WHEN 'O' THEN 'downloaded' ELSE NULL END",
+    "event_count": "CAST(CASE WHEN loads > 0 THEN loads * 100 ELSE NULL END AS INT)",
+    "error_type": "CASE WHEN last_status = 'F' AND failures > 1 THEN 'ValueError' ELSE NULL END",
+    "error": "CASE WHEN last_status = 'F' THEN 'old problem ' || repeat('x', CAST(custkey % 120 AS INT)) ELSE NULL END",
+    "updated_at": "CAST('2024-01-01 00:00:00' AS TIMESTAMP)",
+}
+OUTCOME_COLUMNS = {
+    "game_id": "lpad(CAST(c_custkey AS STRING), 10, '0')",
+    "action": "CASE c_nationkey % 3 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'skipped' ELSE 'failed' END",
+    "event_count": "CAST(CASE WHEN c_nationkey % 3 < 2 THEN 400 + c_custkey % 200 ELSE NULL END AS INT)",
+    "error_type": "CASE WHEN c_nationkey % 3 = 2 THEN 'OSError' ELSE NULL END",
+    "error": "CASE WHEN c_nationkey % 3 = 2 THEN 'cut off ' || repeat('y', CAST(300 + c_custkey % 400 AS INT)) ELSE NULL END",
+}
+NOW = "TIMESTAMP '2024-02-02 00:00:00'"
+
+
+def expressions(columns: dict[str, str]) -> list:
+    return [F.expr(text).alias(name) for name, text in columns.items()]
+
+
+def manifest(feed: DerivedFeed) -> DataFrame:
+    """Customers with urgent orders are known games; the last such order says how the last load went."""
+    orders = feed.spark.read.parquet(f"{feed.sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'")
+    known = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(
+        F.expr("max_by(o_orderstatus, o_orderkey)").alias("last_status"),
+        F.expr("count_if(o_orderstatus = 'F')").alias("failures"),
+        F.expr("count_if(o_orderstatus = 'O')").alias("loads"),
+    )
+    return known.select(*expressions(MANIFEST_COLUMNS))
+
+
+def customers(feed: DerivedFeed) -> DataFrame:
+    return feed.spark.read.parquet(f"{feed.sf_dir}/customer.parquet")
+
+
+def outcomes(feed: DerivedFeed) -> DataFrame:
+    """Customers with money took part in this run."""
+    return customers(feed).where("c_acctbal > 0").select(*expressions(OUTCOME_COLUMNS))
+
+
+query("register_games")(
+    lambda feed: mf.register_games(manifest(feed), customers(feed).select(*expressions({"game_id": OUTCOME_COLUMNS["game_id"]}))).select(
+        "game_id", "status", "attempts", "event_count"
+    )
+)
+query("manifest_update")(lambda feed: mf.manifest_update(manifest(feed), outcomes(feed), NOW))
+
+
+@query("failure_log")
+def _(feed):
+    """The history appended twice: an append-only table keeps both runs."""
+    path = scratch_path(feed.spark, "failures")
+    updated = mf.manifest_update(manifest(feed), outcomes(feed), NOW)
+    for season in ("2021-22", "2022-23"):
+        mf.failure_log(updated, outcomes(feed), season, "Regular Season", NOW).write.mode("append").json(path)
+    schema = "season STRING, season_type STRING, game_id STRING, error_type STRING, error STRING, attempts INT"
+    return feed.spark.read.schema(schema).json(path)
+
+
+query("games_to_process")(
+    lambda feed: mf.games_to_process(
+        customers(feed).select(*expressions({"game_id": OUTCOME_COLUMNS["game_id"]})),
+        outcomes(feed).where("action = 'downloaded'"),
+        manifest(feed),
+        "no_retry",
+    )
+)
+query("ingest_run_stats")(lambda feed: mf.ingest_run_stats(outcomes(feed)))
+query("manifest_summary")(lambda feed: mf.manifest_summary(manifest(feed)))
+query("manifest_status")(lambda feed: mf.manifest_status(manifest(feed)))
+
+# --- Snapshots and streams --------------------------------------------------------------
+
+POLL = {
+    "game_id": "lpad(CAST(user_id AS STRING), 10, '0')",
+    "poll": "CAST(i AS INT)",
+    "x": "CAST(floor(i / 3) AS INT) % 2",
+    "status": "CAST(1 + floor(i * 3 / n) AS INT)",
+    "points": "CAST(floor(i / 4) AS INT)",
+}
+
+
+def polls(feed: DerivedFeed) -> DataFrame:
+    return feed.staged().select("event_id", "event_type", *expressions(POLL))
+
+
+@query("snapshot_fingerprint")
+def _(feed):
+    plain = "'{\"b\":' || x || ', \"a\":{\"d\":' || poll || ',\"c\":\"' || event_type || '\"}}'"
+    turned = "'{\"a\":{\"c\":\"' || event_type || '\",\"d\":' || poll || '}, \"b\":' || x || '}'"
+    rows = polls(feed).selectExpr("game_id", "poll", f"CASE WHEN event_id % 2 = 0 THEN {plain} ELSE {turned} END AS value")
+    return rows.selectExpr("game_id", "poll", f"{sn.fingerprint('value')} AS fingerprint")
+
+
+@query("changed_snapshots")
+def _(feed):
+    value = "CASE WHEN event_id % 2 = 0 THEN '{\"b\":1,\"x\":' || x || '}' ELSE '{\"x\":' || x || ', \"b\":1}' END"
+    documents = polls(feed).selectExpr("game_id", "poll", "0 AS part", f"{value} AS value")
+    return sn.changed_snapshots(sn.snapshot_fingerprints(documents)).select("game_id", "poll")
+
+
+@query("published_changes")
+def _(feed):
+    payloads = polls(feed).selectExpr("game_id", "poll", "status", "points", "event_id AS last_update", "poll AS replay_cursor")
+    return sn.published_changes(payloads)
+
+
+@query("metadata_change")
+def _(feed):
+    rows = polls(feed).selectExpr(
+        "game_id", "poll", "status AS game_status", "CASE WHEN status = 3 THEN 'Final' END AS status_text",
+        "CASE WHEN poll < 5 THEN NULL ELSE CAST(floor(points / 5) AS INT) END AS home_score", "0 AS away_score",
+    )
+    return sn.metadata_changes(rows)
+
+
+@query("degraded_feed")
+def _(feed):
+    rows = polls(feed).selectExpr("game_id", "poll", "'s' || event_id AS state", "event_type IN ('error', 'signup') AS failed")
+    return sn.degraded_feed(rows)
+
+
+@query("replay_prefix")
+def _(feed):
+    live = feed.live_actions()
+    cursors = live.groupBy("game_id").agg(F.expr("CAST(floor(count(1) / 2) AS INT)").alias("cursor"))
+    return st.game_states(lf.live_feed_actions(lf.replay_prefix(live, cursors)), feed.live_index())
+
+
+_STREAMED: dict[tuple[str, str], ls.LiveTables] = {}
+
+
+def streamed(feed: DerivedFeed) -> ls.LiveTables:
+    """Land the polls one after the other and let the stream take in each."""
+    key = (feed.spark.sparkContext.applicationId, feed.sf_dir)
+    if key not in _STREAMED:
+        folder = scratch_path(feed.spark, "live")
+        tables = ls.LiveTables(feed.spark, f"{folder}/tables")
+        snapshots = feed.snapshots()
+        for poll in range(3):
+            snapshots.where(F.col("poll") == poll).write.json(f"{folder}/landing/{poll}")
+            documents = ls.read_document_stream(feed.spark, f"{folder}/landing/*")
+            ls.start_live_states(documents, feed.live_index(), tables, f"{folder}/checkpoint", once=True).awaitTermination()
+        _STREAMED[key] = tables
+    return _STREAMED[key]
+
+
+query("live_states_stream")(lambda feed: streamed(feed).states())
+query("cache_live_snapshots")(lambda feed: streamed(feed).snapshots().select("game_id", "poll", "part"))
+
+# --- Served documents -------------------------------------------------------------------
+
+
+@query("games_list")
+def _(feed):
+    board = sb.read_scoreboard(feed.scoreboard_documents())
+    return pl.games_list(board, ds.make_split(feed.states(), "train")).selectExpr(
+        "game_id", "game_status", "status_text", "period", "clock", "home_team.score AS home_score", "home_team.tricode AS home_tricode",
+        "away_team.score AS away_score", "away_team.name AS away_name",
+    )
+
+
+@query("state_payload")
+def _(feed):
+    board = sb.read_scoreboard(feed.scoreboard_documents())
+    return pl.state_payload(board, ds.make_split(feed.scored(), "train"), history_limit=30).selectExpr(
+        "game_id", "game_status", "status_text", "period", "period_label", "clock", "home_team.score AS home_score",
+        "away_team.score AS away_score", "score_differential", "possession.label AS label", "possession.known AS known",
+        "fouls.home_period AS home_fouls", "home_win_probability", "away_win_probability", "model_home_win_probability",
+        "final_override_applied", "last_event.sequence AS last_sequence", "last_event.description AS last_description",
+        "size(recent_events) AS recent", "size(probability_history) AS history", "get(probability_history, 0).sequence AS first_sequence",
+        "feed_status", "sequence",
+    )

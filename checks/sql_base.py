@@ -7,7 +7,7 @@ the Spark side uses.
 
 from __future__ import annotations
 
-from hoopline.sources.derived import ACTION_COLUMNS, BOARD_COLUMNS, GAME_LOG_COLUMNS, LIVE_COLUMNS, columns_sql, stage_sql
+from hoopline.sources.derived import ACTION_COLUMNS, BOARD_COLUMNS, DEFECT_COLUMNS, GAME_LOG_COLUMNS, LIVE_COLUMNS, columns_sql, stage_sql
 
 
 def trim(c: str) -> str:
@@ -176,17 +176,15 @@ def with_(ctes: str, select: str) -> str:
 # --- Live -------------------------------------------------------------------------------
 
 LIVE = (
-    f"{INDEX}, live AS MATERIALIZED (SELECT {columns_sql(LIVE_COLUMNS)} FROM staged "
-    "CROSS JOIN (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 11 = 4)"
+    f"{INDEX}, copies AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY copy, i) - 1 AS place FROM staged "
+    "CROSS JOIN (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 11 = 4), "
+    f"live AS MATERIALIZED (SELECT {columns_sql(LIVE_COLUMNS)} FROM copies)"
 )
 
 
 def title(c: str) -> str:
-    """First letter of every word up; the derived live subtypes hold at most two words."""
-    first = f"split_part(lower({c}), ' ', 1)"
-    rest = f"split_part(lower({c}), ' ', 2)"
-    up = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
-    return f"({up.format(first)} || CASE WHEN {rest} = '' THEN '' ELSE ' ' || {up.format(rest)} END)"
+    """First letter of every word up."""
+    return f"array_to_string([upper(w[1]) || w[2:] for w in string_split(lower({c}), ' ')], ' ')"
 
 
 _K = "lower(" + trim("actionType") + ")"

@@ -102,3 +102,8 @@ def as_actions(adapted: DataFrame, season: str = "live") -> DataFrame:
 def live_feed_actions(actions: DataFrame, keys: list[str] = ["game_id"], mode: str = "fail") -> DataFrame:
     """Raw live actions to the historical contract: once each, in order, translated."""
     return as_actions(adapt_live(live_order(dedupe_live(actions, keys), keys), mode))
+
+
+def replay_prefix(actions: DataFrame, cursors: DataFrame, keys: list[str] = ["game_id"]) -> DataFrame:
+    """The first ``cursor`` arrivals of each game; cut before doubles are dropped and order is made."""
+    return actions.join(cursors.select(*keys, "cursor"), keys).where("source_index < cursor").drop("cursor")

@@ -66,8 +66,8 @@ STAGES: list[dict[str, str]] = [
         "WHEN 56 THEN 'Overturn Ruling' WHEN 60 THEN 'start' WHEN 61 THEN 'end' WHEN 62 THEN 'End ' "
         "WHEN 15 THEN 'Offensive' WHEN 16 THEN 'Unknown' WHEN 24 THEN 'Bad Pass' WHEN 25 THEN 'Traveling' "
         "ELSE '' END",
-        "home_points": "2 * CAST(floor(i / 3) AS INT) + CAST(user_id % 3 AS INT)",
-        "away_points": "CAST(floor(i / 2) AS INT) + CAST(user_id % 2 AS INT)",
+        "home_points": "CAST(floor(i * (4 + user_id % 5) / 8) AS INT)",
+        "away_points": "CAST(floor(i * (4 + (user_id * 3) % 5) / 8) AS INT) + CAST(CASE WHEN i > n / 2 THEN user_id % 3 ELSE 0 END AS INT)",
     },
     {
         "home_shown": "CASE WHEN kind IN (55, 56) THEN greatest(home_points - 3, 0) "
@@ -113,10 +113,11 @@ ACTION_COLUMNS: dict[str, str] = {
     "WHEN kind BETWEEN 8 AND 14 OR kind IN (40, 43, 58, 59) THEN 'Missed' WHEN kind = 44 THEN ' missed' ELSE '' END",
 }
 
-# The live action contract. ``copy`` is 0 for an action and 1 for its later correction.
+# The live action contract. ``copy`` is 0 for an action and 1 for its later correction, ``place`` is
+# the position in arrival order: all actions, then all corrections.
 LIVE_COLUMNS: dict[str, str] = {
     "game_id": "game_id",
-    "source_index": "CAST(CASE WHEN copy = 1 THEN n + i ELSE i END AS INT)",
+    "source_index": "CAST(place AS INT)",
     "actionNumber": "CASE WHEN event_id % 61 = 0 THEN NULL ELSE CAST(2 * i + 1 AS INT) END",
     "orderNumber": "CASE WHEN event_id % 19 = 3 THEN NULL WHEN event_id % 101 = 5 THEN 0 ELSE (i + 1) * 10000 END",
     "actionType": "CASE WHEN kind BETWEEN 0 AND 14 OR kind IN (58, 59, 63) THEN "
@@ -211,6 +212,9 @@ class DerivedFeed:
         def build() -> DataFrame:
             copies = F.expr("CASE WHEN event_id % 11 = 4 THEN array(0, 1) ELSE array(0) END")
             both = self.staged().withColumn("copy", F.explode(copies))
+            both = with_position(
+                both, ["game_id"], ["copy", "i"], block=F.expr("struct(copy, CAST(floor(i / 4096) AS BIGINT) AS block)"), position="place"
+            )
             return both.select(*[F.expr(e).alias(c) for c, e in LIVE_COLUMNS.items()])
 
         return self._table("live_actions", build)
@@ -286,6 +290,66 @@ class DerivedFeed:
             "'homeTeam', named_struct('teamId', home_team_id, 'score', home_score)))) AS value"
         )
 
+    def landed_documents(self) -> DataFrame:
+        """Raw feed documents, one per game and 4,096 actions, with defects of every kind."""
+
+        def build() -> DataFrame:
+            facts = self.staged().withColumns({c: F.expr(e) for c, e in DEFECT_COLUMNS.items()})
+            action = (
+                "'{' || concat_ws(',', '\"period\":' || pv, '\"clock\":' || cv, '\"actionType\":' || tv, "
+                "'\"actionNumber\":' || CAST(i AS STRING), CASE WHEN event_id % 3 = 0 THEN '\"subType\":null' END) || '}'"
+            )
+            rows = facts.selectExpr(
+                "season", "user_id", "game_id", "defect", "CAST(floor(i / 4096) AS INT) AS part", "i", f"{action} AS action"
+            )
+            parts = rows.groupBy("season", "user_id", "game_id", "defect", "part").agg(
+                F.expr("concat_ws(',', transform(array_sort(collect_list(struct(i, action))), x -> x.action))").alias("actions")
+            )
+            listed = "CASE defect WHEN 'empty' THEN '[]' WHEN 'not a list' THEN '{}' ELSE '[' || actions || ']' END"
+            shown_id = "CASE WHEN defect = 'other id' THEN '9999999999' ELSE game_id END"
+            whole = f"'{{\"game\":{{\"gameId\":\"' || {shown_id} || '\",\"actions\":' || {listed} || '}}}}'"
+            value = (
+                f"CASE defect WHEN 'cut' THEN substr({whole}, 1, 60) WHEN 'no game' THEN '{{\"scoreboard\":{{}}}}' "
+                f"WHEN 'not an object' THEN '[1]' ELSE {whole} END"
+            )
+            return parts.where("defect <> 'absent'").selectExpr("season", "game_id", "part", f"{value} AS value")
+
+        return self._table("landed_documents", build)
+
+    def snapshots(self) -> DataFrame:
+        """Polled live documents: poll 0 holds the first half of a game, polls 1 and 2 all of it.
+
+        Even games repeat poll 1 with the keys in another order, so nothing has changed.
+        """
+
+        def build() -> DataFrame:
+            fields = [c for c in LIVE_COLUMNS if c not in ("game_id", "source_index")]
+            names = ", ".join(f"'{c}', {c}" for c in fields)
+            turned = ", ".join(f"'{c}', {c}" for c in reversed(fields))
+            lengths = self.live_actions().groupBy("game_id").agg(F.count(F.lit(1)).alias("total"))
+            polls = self.live_actions().join(lengths, "game_id").withColumn(
+                "poll", F.explode(F.expr("CASE WHEN source_index < total / 2 THEN array(0, 1, 2) ELSE array(1, 2) END"))
+            )
+            rows = polls.selectExpr(
+                "game_id",
+                "poll",
+                "CAST(floor(source_index / 4096) AS INT) AS part",
+                "source_index",
+                f"to_json(named_struct({names}), map('ignoreNullFields', 'false')) AS plain",
+                f"to_json(named_struct({turned}), map('ignoreNullFields', 'false')) AS turned",
+                "poll = 2 AND CAST(game_id AS BIGINT) % 2 = 1 AS corrected",
+            )
+            text = "CASE WHEN poll = 2 THEN x.turned ELSE x.plain END"
+            parts = rows.groupBy("game_id", "poll", "part", "corrected").agg(
+                F.expr("array_sort(collect_list(struct(source_index, plain, turned)))").alias("items")
+            )
+            actions = f"concat_ws(',', transform(items, x -> {text}))"
+            note = "CASE WHEN corrected THEN '\"note\":1,' ELSE '' END"
+            value = f"'{{\"game\":{{' || {note} || '\"gameId\":\"' || game_id || '\",\"actions\":[' || {actions} || ']}}}}'"
+            return parts.selectExpr("game_id", "poll", "part", f"{value} AS value")
+
+        return self._table("snapshots", build)
+
     def scored(self) -> DataFrame:
         """States with a made-up home-win probability, a plain ratio that both engines agree on."""
         return self.states().withColumn("probability", F.expr(PROBABILITY))
@@ -322,6 +386,21 @@ BOARD_COLUMNS: dict[str, str] = {
 }
 PROBABILITY = "greatest(0D, least(1D, CAST(50 + score_differential * period AS DOUBLE) / 100D))"
 
+# Defects of landed documents by game, and the JSON text of the three required keys.
+DEFECT_COLUMNS: dict[str, str] = {
+    "defect": "CASE user_id % 16 WHEN 1 THEN 'other id' WHEN 2 THEN 'bad clocks' WHEN 3 THEN 'some bad clocks' WHEN 4 THEN 'no types' "
+    "WHEN 5 THEN 'few types' WHEN 6 THEN 'text periods' WHEN 7 THEN 'period zero' WHEN 8 THEN 'missing clocks' WHEN 9 THEN 'null types' "
+    "WHEN 10 THEN 'not a list' WHEN 11 THEN 'cut' WHEN 12 THEN 'empty' WHEN 13 THEN 'absent' WHEN 14 THEN 'no game' "
+    "WHEN 15 THEN CASE WHEN user_id % 32 = 15 THEN 'not an object' ELSE 'missing periods' END ELSE 'none' END",
+    "pv": "CASE WHEN user_id % 16 = 6 THEN '\"' || CAST(period AS STRING) || '\"' WHEN user_id % 16 = 7 AND i = 3 THEN '0' "
+    "WHEN user_id % 32 = 31 AND event_id % 5 = 0 THEN NULL ELSE CAST(period AS STRING) END",
+    "cv": "CASE WHEN user_id % 16 = 2 THEN '\"6:07\"' WHEN user_id % 16 = 3 AND event_id % 10 = 0 THEN '\"\"' "
+    "WHEN user_id % 16 = 8 AND event_id % 7 = 0 THEN NULL WHEN user_id % 16 = 0 AND event_id % 50 = 0 THEN 'null' "
+    "ELSE '\"' || clock_text || '\"' END",
+    "tv": "CASE WHEN user_id % 16 = 4 THEN '\"  \"' WHEN user_id % 16 = 5 AND event_id % 5 < 3 THEN '\"\"' "
+    "WHEN user_id % 16 = 9 AND event_id % 7 <= 4 THEN 'null' ELSE '\"' || type_text || '\"' END",
+}
+
 _FEEDS: dict[tuple[str, str], DerivedFeed] = {}
 
 
