@@ -8,6 +8,7 @@ from checks.sql_base import with_
 ORACLE: dict[str, str] = {}
 
 ORACLE["game_states"] = with_(sb.STATES, "SELECT * FROM states")
+ORACLE["game_states_chunked"] = ORACLE["game_states"]
 
 ROW = "season, game_id, source_event_index"
 NORM = f"{sb.ACTIONS}, {sb.normalized()}"
@@ -810,7 +811,7 @@ ORACLE["state_payload"] = with_(
     f"CASE WHEN l.game_id IS NOT NULL THEN {SHOWN_HOME} END AS home_win_probability, CASE WHEN l.game_id IS NOT NULL THEN 1 - ({SHOWN_HOME}) END AS away_win_probability, "
     f"l.probability AS model_home_win_probability, l.game_id IS NOT NULL AND coalesce({FINAL}, false) AS final_override_applied, "
     "l.source_event_index AS last_sequence, CASE WHEN l.description <> '' THEN l.description ELSE l.semantic_event END AS last_description, "
-    "CAST(coalesce(least(12, l.total), 0) AS INT) AS recent, CAST(coalesce(least(30, l.total), 0) AS INT) AS history, "
+    "CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(12, l.total) END AS INT) AS recent, CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(30, l.total) END AS INT) AS history, "
     "(SELECT min(source_event_index) FROM placed p WHERE p.game_id = g.game_id AND p.age <= 30) AS first_sequence, "
     "CASE WHEN l.game_id IS NULL THEN 'waiting' ELSE 'live' END AS feed_status, coalesce(l.source_event_index, 0) AS sequence "
     "FROM games g LEFT JOIN latest l USING (game_id)",

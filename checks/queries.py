@@ -25,7 +25,6 @@ from hoopline.operators import rollups as ru
 from hoopline.operators import sampling as sa
 from hoopline.operators import snapshots as sn
 from hoopline.operators import states as st
-from hoopline.operators.index import state_index
 from hoopline.plans import season as ps
 from hoopline.session import scratch_path
 from hoopline.sources import feeds as fd
@@ -50,12 +49,18 @@ def query(key: str):
 
 
 def tracked(feed: DerivedFeed) -> DataFrame:
-    return st.tracked_actions(feed.actions(), state_index(feed.game_log()))
+    return feed.tracked()
 
 
 @query("game_states")
 def _(feed):
-    return st.game_states(feed.actions(), state_index(feed.game_log()))
+    return st.emitted_states(feed.tracked())
+
+
+@query("game_states_chunked")
+def _(feed):
+    """The same with every game cut into chunks of eight actions, so that all carries are used."""
+    return st.game_states(feed.actions(), feed.index(), chunk_rows=8)
 
 
 ROW = ["season", "game_id", "source_event_index"]

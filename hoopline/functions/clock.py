@@ -15,14 +15,22 @@ def _checked(value: str, bad: str, message: str, mode: str) -> str:
     raise ValueError(f"mode must be 'fail' or 'quarantine', got {mode!r}")
 
 
+def clock_seconds(text: str) -> str:
+    """Seconds of a trimmed ``PT#M#S`` text, null if it is not one. One pattern match, then cuts."""
+    minutes = f"try_cast(substring({text}, 3, instr({text}, 'M') - 3) AS DOUBLE)"
+    seconds = f"try_cast(substring({text}, instr({text}, 'M') + 1, length({text}) - instr({text}, 'M') - 1) AS DOUBLE)"
+    return f"CASE WHEN {text} RLIKE r'{fv.CLOCK_PATTERN}' THEN {minutes} * 60 + {seconds} END"
+
+
+def checked_clock(seconds: str, text: str, mode: str = "fail") -> str:
+    bad = f"{seconds} IS NULL OR {seconds} > {fv.PERIOD_SECONDS}"
+    return _checked(seconds, bad, f"'Clock is not a period clock: ' || {text}", mode)
+
+
 def parse_clock(clock: str, mode: str = "fail") -> str:
     """``PT#M#S`` to seconds left in the period; must match wholly and lie in 0..720."""
     text = clean_text(clock)
-    minutes = f"try_cast(regexp_extract({text}, r'{fv.CLOCK_PATTERN}', 1) AS DOUBLE)"
-    seconds = f"try_cast(regexp_extract({text}, r'{fv.CLOCK_PATTERN}', 2) AS DOUBLE)"
-    total = f"({minutes} * 60 + {seconds})"
-    bad = f"{total} IS NULL OR {total} > {fv.PERIOD_SECONDS}"
-    return _checked(total, bad, f"'Clock is not a period clock: ' || {text}", mode)
+    return checked_clock(f"({clock_seconds(text)})", text, mode)
 
 
 def regulation_seconds(period: str, seconds: str, mode: str = "fail") -> str:
@@ -42,12 +50,17 @@ def overtime_number(period: str) -> str:
     return f"CAST(greatest({period} - {fv.REGULATION_PERIODS}, 0) AS INT)"
 
 
+def checked_score(number: str, text: str, mode: str = "fail") -> str:
+    """The number a trimmed score text was cast to, cut toward zero; blank gives null."""
+    bad = f"{number} IS NULL OR isnan({number}) OR abs({number}) = double('infinity')"
+    message = f"'Score is not a number: ' || {text}"
+    return f"CASE WHEN {text} <> '' THEN CAST({_checked(number, bad, message, mode)} AS INT) END"
+
+
 def parse_score(score: str, mode: str = "fail") -> str:
     """Score text to int, cut toward zero; blank gives null, meaning 'carry the score forward'."""
     text = clean_text(score)
-    number = f"try_cast({text} AS DOUBLE)"
-    bad = f"{text} <> '' AND ({number} IS NULL OR isnan({number}) OR abs({number}) = double('infinity'))"
-    return f"CASE WHEN {text} <> '' THEN CAST({_checked(number, bad, f'''{repr('Score is not a number: ')} || {text}''', mode)} AS INT) END"
+    return checked_score(f"try_cast({text} AS DOUBLE)", text, mode)
 
 
 def period_label(period: str) -> str:

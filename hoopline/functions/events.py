@@ -17,14 +17,21 @@ def text_list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    r" \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    r"\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def clean_text(c: str) -> str:
-    """Null becomes '', all leading and trailing white space goes (``trim`` drops blanks only)."""
-    return rf"regexp_replace(coalesce(CAST({c} AS STRING), ''), r'^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$', '')"
+    """Null becomes '', all leading and trailing white space goes (``trim`` alone drops blanks only)."""
+    return f"btrim(coalesce(CAST({c} AS STRING), ''), '{WHITE_SPACE}')"
 
 
 def whole_number(c: str) -> str:
     """Integer text (or an integer) to bigint, anything else to null; '100.0' is not an integer."""
-    return rf"CASE WHEN {clean_text(c)} RLIKE r'^[+-]?\d+$' THEN try_cast({clean_text(c)} AS BIGINT) END"
+    return f"try_cast({clean_text(c)} AS BIGINT)"
 
 
 def normalize_team_id(c: str) -> str:
@@ -81,28 +88,43 @@ def exprs(columns: dict[str, str]) -> dict:
     return {name: F.expr(text) for name, text in columns.items()}
 
 
+def is_whole(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def normalize_events(actions: DataFrame) -> DataFrame:
-    """Raw actions plus the nine derived fields of a normalized event."""
+    """Raw actions plus the nine derived fields of a normalized event.
+
+    Texts are cleaned once, in a projection of their own, and only then looked into.
+    """
     texts = exprs(
         {
             "action_type": clean_text("actionType"),
             "sub_type": clean_text("subType"),
             "event_text": clean_text("description"),
-            "team_id": normalize_team_id("teamId"),
+            "shot_text": clean_text("shotResult"),
+            "team_id": "CASE WHEN teamId > 0 THEN CAST(teamId AS BIGINT) END"
+            if is_whole(actions, "teamId")
+            else normalize_team_id("teamId"),
         }
     )
+    lowered = exprs({"type_lower": "lower(action_type)", "sub_lower": "lower(sub_type)", "text_upper": "upper(event_text)"})
+    special = " OR ".join(f"contains(sub_lower, '{word}')" for word in fv.SPECIAL_FREE_THROWS)
+
+    def part(group: int) -> str:
+        return f"CASE WHEN contains(sub_lower, 'of') THEN {_matched_int('sub_lower', fv.FREE_THROW_PATTERN, group)} END"
+
     derived = exprs(
         {
-            "category": "CASE WHEN action_type <> '' THEN lower(action_type) "
-            "WHEN contains(upper(event_text), ' STEAL') OR contains(upper(event_text), ' BLOCK') THEN 'credit' "
-            "ELSE 'metadata' END",
-            "ft_attempt": _matched_int("sub_type", fv.FREE_THROW_PATTERN, 1),
-            "ft_total": _matched_int("sub_type", fv.FREE_THROW_PATTERN, 2),
-            "is_special_ft": f"lower(sub_type) RLIKE '{'|'.join(fv.SPECIAL_FREE_THROWS)}'",
+            "category": "CASE WHEN type_lower <> '' THEN type_lower "
+            "WHEN contains(text_upper, ' STEAL') OR contains(text_upper, ' BLOCK') THEN 'credit' ELSE 'metadata' END",
+            "ft_attempt": part(1),
+            "ft_total": part(2),
+            "is_special_ft": special,
         }
     )
-    return (
-        actions.withColumns(texts)
-        .withColumns(derived)
-        .withColumn("is_made", F.expr(free_throw_made("category", "shotResult", "event_text")))
+    made = (
+        "CASE WHEN category <> 'free throw' THEN NULL WHEN shot_text <> '' THEN lower(shot_text) = 'made' "
+        "ELSE NOT startswith(text_upper, 'MISS ') END"
     )
+    return actions.withColumns(texts).withColumns(lowered).withColumns(derived).withColumn("is_made", F.expr(made))

@@ -28,7 +28,7 @@ from hoopline.functions import events as ev
 from hoopline.functions import fixed_values as fv
 from hoopline.functions.events import exprs
 
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 GAME = ["season", "game_id"]
 CHUNK = [*GAME, "chunk"]
 IDX = "source_event_index"
@@ -58,10 +58,10 @@ _OWN = "CASE WHEN team_id IN (home_team_id, away_team_id) THEN team_id END"
 _OTHER = "CASE WHEN team_id = home_team_id THEN away_team_id WHEN team_id = away_team_id THEN home_team_id END"
 
 # The kinds of free throw, tried in this order; anything left over is a missed final one.
-_FT_TECHNICAL = "contains(lower(sub_type), 'technical')"
+_FT_TECHNICAL = "contains(sub_lower, 'technical')"
 _FT_UNPARSED = "ft_attempt IS NULL OR ft_total IS NULL"
 _FT_CONTINUES = "ft_attempt < ft_total"
-_FT_RETAINED = "contains(lower(sub_type), 'flagrant') OR contains(lower(sub_type), 'clear path')"
+_FT_RETAINED = "contains(sub_lower, 'flagrant') OR contains(sub_lower, 'clear path')"
 
 _CLEARED = "named_struct('team', CAST(NULL AS BIGINT))"
 _SHOOTER = "named_struct('team', team_id)"
@@ -75,7 +75,7 @@ _SEGMENT_DEFAULT = _setter("NULL", "'period start unknown'")
 
 # A struct where the action sets the pending shooter (null inside: clears it), else null.
 _TOUCH = f"""CASE
-    WHEN category = 'period' AND lower(sub_type) = 'end' THEN {_CLEARED}
+    WHEN category = 'period' AND sub_lower = 'end' THEN {_CLEARED}
     WHEN category IN ('jump ball', 'made shot', 'rebound', 'turnover') THEN {_CLEARED}
     WHEN category = 'missed shot' THEN {_SHOOTER}
     WHEN category = 'free throw' THEN CASE
@@ -88,13 +88,13 @@ END"""
 # A struct where the action sets possession from its own columns, else null. A rebound sets it
 # too, but from the pending shooter; see _rebound.
 _SETTER = f"""CASE
-    WHEN category = 'period' AND lower(sub_type) = 'end' THEN {_setter('NULL', "'period ended'")}
+    WHEN category = 'period' AND sub_lower = 'end' THEN {_setter('NULL', "'period ended'")}
     WHEN category = 'jump ball' THEN {_setter('NULL', "'jump ball winner ambiguous'")}
     WHEN category = 'made shot' THEN {_setter(_OTHER, "'made field goal'")}
     WHEN category = 'missed shot' THEN {_setter(_OWN, "'missed field goal awaiting rebound'")}
     WHEN category = 'turnover' THEN {_setter(_OTHER, "'turnover'")}
-    WHEN category = 'foul' AND lower(sub_type) NOT IN ({ev.text_list(fv.POSSESSION_NEUTRAL_FOULS)}) THEN
-        {_setter(_OTHER, "CASE WHEN sub_type = '' THEN 'untyped' ELSE lower(sub_type) END || ' foul'")}
+    WHEN category = 'foul' AND sub_lower NOT IN ({ev.text_list(fv.POSSESSION_NEUTRAL_FOULS)}) THEN
+        {_setter(_OTHER, "CASE WHEN sub_lower = '' THEN 'untyped' ELSE sub_lower END || ' foul'")}
     WHEN category = 'free throw' THEN CASE
         WHEN {_FT_TECHNICAL} THEN NULL
         WHEN {_FT_UNPARSED} THEN {_setter('NULL', "'unparseable free throw sequence'")}
@@ -127,27 +127,39 @@ def action_facts(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUN
         "CASE WHEN home_team_id IS NULL OR away_team_id IS NULL "
         "THEN raise_error('Game has no index row: ' || game_id) ELSE home_team_id END"
     )
-    facts = joined.withColumns(
+    number = "CAST(actionNumber AS INT)" if ev.is_whole(actions, "actionNumber") else f"CAST({ev.whole_number('actionNumber')} AS INT)"
+    texts = joined.withColumns(
         exprs(
             {
                 "home_team_id": home,
                 "chunk": f"CAST(floor({IDX} / {chunk_rows}) AS BIGINT)",
                 "has_next_chunk": f"(floor({IDX} / {chunk_rows}) + 1) * {chunk_rows} < n_events",
                 "clock_text": ev.clean_text("clock"),
-                "action_no": f"CAST({ev.whole_number('actionNumber')} AS INT)",
-                "home_shown": ck.parse_score("scoreHome", mode),
-                "away_shown": ck.parse_score("scoreAway", mode),
+                "home_text": ev.clean_text("scoreHome"),
+                "away_text": ev.clean_text("scoreAway"),
+                "action_no": number,
                 "marker": f"CASE WHEN category = 'foul' THEN {ev.foul_marker('event_text')} END",
-                "foul_counts": f"category = 'foul' AND lower(sub_type) NOT IN ({ev.text_list(fv.UNCOUNTED_FOULS)})",
-                "authoritative": "NOT (category = 'instant replay' AND NOT contains(lower(sub_type), 'overturn'))",
+                "foul_counts": f"category = 'foul' AND sub_lower NOT IN ({ev.text_list(fv.UNCOUNTED_FOULS)})",
+                "authoritative": "NOT (category = 'instant replay' AND NOT contains(sub_lower, 'overturn'))",
             }
         )
     )
-    facts = facts.withColumns(
+    numbers = texts.withColumns(
         exprs(
             {
-                "seconds": ck.parse_clock("clock_text", mode),
-                "has_score": "authoritative AND (home_shown IS NOT NULL OR away_shown IS NOT NULL)",
+                "clock_value": ck.clock_seconds("clock_text"),
+                "home_value": "try_cast(home_text AS DOUBLE)",
+                "away_value": "try_cast(away_text AS DOUBLE)",
+            }
+        )
+    )
+    facts = numbers.withColumns(
+        exprs(
+            {
+                "seconds": ck.checked_clock("clock_value", "clock_text", mode),
+                "home_shown": ck.checked_score("home_value", "home_text", mode),
+                "away_shown": ck.checked_score("away_value", "away_text", mode),
+                "has_score": "authoritative AND (home_text <> '' OR away_text <> '')",
                 "home_foul": "CASE WHEN foul_counts AND team_id = home_team_id THEN 1 ELSE 0 END",
                 "away_foul": "CASE WHEN foul_counts AND team_id = away_team_id THEN 1 ELSE 0 END",
                 "touch": _TOUCH,
@@ -219,7 +231,7 @@ def _fold(start: str, ops: str) -> str:
         "CASE WHEN NOT op.is_period OR (coalesce(op.home, score.home) >= score.home AND coalesce(op.away, score.away) >= score.away) "
         "THEN named_struct('home', coalesce(op.home, score.home), 'away', coalesce(op.away, score.away)) ELSE score END"
     )
-    return f"CASE WHEN size({ops}) > 0 THEN aggregate({ops}, {start}, (score, op) -> {step}) ELSE {start} END"
+    return f"aggregate({ops}, {start}, (score, op) -> {step})"
 
 
 def _score_of(snapshot: str) -> str:
@@ -346,15 +358,47 @@ _CARRIED = _visible("carry.score", "carry.period", "carry.seconds", "carry.sette
 _CURRENT = _visible("score", "period", "seconds", "possession.team", "home_fouls", "away_fouls")
 
 
-def tracked_actions(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUNK_ROWS, mode: str = "fail") -> DataFrame:
-    """Every action with the state after it; ``emitted`` marks the visible changes."""
-    facts = action_facts(actions, index, chunk_rows=chunk_rows, mode=mode)
+_CARRY_TYPE = (
+    "STRUCT<period: INT, seconds: DOUBLE, pending: STRUCT<team: BIGINT>, setter: STRUCT<team: BIGINT, reason: STRING>, "
+    "home_fouls: BIGINT, away_fouls: BIGINT, score: STRUCT<home: INT, away: INT>>"
+)
+
+
+def longest_game(actions: DataFrame) -> int:
+    """The most actions any game has; on Parquet this reads one column."""
+    return with_game_length(actions).agg(F.max("n_events")).first()[0] or 0
+
+
+def _with_past(facts: DataFrame, chunk_rows: int, longest: int | None) -> DataFrame:
+    """Add to every action the state at the start of its chunk (null in a game's first chunk)."""
+    if longest is not None and longest <= chunk_rows:
+        # Every game is one chunk, so nothing is carried; a longer game than promised is an error.
+        promise = f"CASE WHEN n_events > {longest} THEN raise_error('Game longer than promised: ' || game_id) ELSE chunk END"
+        return facts.withColumns(
+            exprs({"chunk": promise, "carry": f"CAST(NULL AS {_CARRY_TYPE})", "clock_tops": "CAST(NULL AS MAP<STRING, INT>)"})
+        )
     # Only games longer than one chunk take part; on Parquet this filter skips row groups.
     long_games = facts.where(f"n_events > {chunk_rows}")
     tops = clock_carry(long_games)
     carries = chunk_carries(long_games.join(tops, CHUNK, "left"))
-    past = carries.join(tops, CHUNK, "full_outer")
-    rows = _with_score_parts(facts.join(past, CHUNK, "left")).withColumns(
+    return facts.join(carries.join(tops, CHUNK, "full_outer"), CHUNK, "left")
+
+
+def tracked_actions(
+    actions: DataFrame,
+    index: DataFrame,
+    *,
+    chunk_rows: int = CHUNK_ROWS,
+    mode: str = "fail",
+    longest: int | None = None,
+) -> DataFrame:
+    """Every action with the state after it; ``emitted`` marks the visible changes.
+
+    ``longest`` is a proven bound on the length of a game, such as ``longest_game`` gives. If it
+    is no more than a chunk, the plan has one exchange and no second look at the actions.
+    """
+    facts = action_facts(actions, index, chunk_rows=chunk_rows, mode=mode)
+    rows = _with_score_parts(_with_past(facts, chunk_rows, longest)).withColumns(
         exprs(
             {
                 "segment_starts": f"coalesce(coalesce(lag(period) {LAG}, carry.period) <> period, true)",
@@ -362,6 +406,7 @@ def tracked_actions(actions: DataFrame, index: DataFrame, *, chunk_rows: int = C
                 "away_sum": f"sum(away_foul) {SO_FAR}",
                 "last_anchor": f"last(anchor, true) {SO_FAR}",
                 "ops_so_far": f"collect_list(op) {SO_FAR}",
+                "last_op_at": f"last(op.at, true) {SO_FAR}",
             }
         )
     )
@@ -377,16 +422,15 @@ def tracked_actions(actions: DataFrame, index: DataFrame, *, chunk_rows: int = C
     rows = rows.withColumn(
         "pending_team", F.expr("CASE WHEN NOT segment_starts THEN coalesce(touched, carry.pending).team END")
     )
+    start = f"coalesce({_score_of('last_anchor')}, carry.score, {_NO_SCORE})"
     own_setter = f"""CASE WHEN category = 'rebound' THEN {_rebound('team_id', 'pending_team')}
         ELSE coalesce(setter, CASE WHEN segment_starts THEN {_SEGMENT_DEFAULT} END) END"""
     rows = rows.withColumns(
         exprs(
             {
                 "possession": f"coalesce(last({own_setter}, true) {SO_FAR}, carry.setter)",
-                "score": _fold(
-                    f"coalesce({_score_of('last_anchor')}, carry.score, {_NO_SCORE})",
-                    "filter(ops_so_far, op -> op.at > coalesce(last_anchor.at, -1))",
-                ),
+                "score": f"""CASE WHEN last_op_at > coalesce(last_anchor.at, -1)
+                    THEN {_fold(start, "filter(ops_so_far, op -> op.at > coalesce(last_anchor.at, -1))")} ELSE {start} END""",
                 "home_fouls": "CAST(coalesce(home_sum - home_base, home_sum + carry.home_fouls) AS INT)",
                 "away_fouls": "CAST(coalesce(away_sum - away_base, away_sum + carry.away_fouls) AS INT)",
             }
@@ -451,9 +495,16 @@ def emitted_states(tracked: DataFrame) -> DataFrame:
     )
 
 
-def game_states(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUNK_ROWS, mode: str = "fail") -> DataFrame:
+def game_states(
+    actions: DataFrame,
+    index: DataFrame,
+    *,
+    chunk_rows: int = CHUNK_ROWS,
+    mode: str = "fail",
+    longest: int | None = None,
+) -> DataFrame:
     """Raw actions and game index to game states: the whole reconstruction."""
-    return emitted_states(tracked_actions(actions, index, chunk_rows=chunk_rows, mode=mode))
+    return emitted_states(tracked_actions(actions, index, chunk_rows=chunk_rows, mode=mode, longest=longest))
 
 
 def segment_numbers(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

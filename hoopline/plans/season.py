@@ -29,7 +29,9 @@ def process_season(
         chosen = ds.select_games(index, game_ids, limit)
         actions = actions.join(chosen, "game_id", "left_semi")
     spark = actions.sparkSession
-    st.tracked_actions(actions, index).write.parquet(tracked_path)
+    actions = st.with_game_length(actions)
+    longest = st.longest_game(actions)
+    st.tracked_actions(actions, index, longest=longest).write.parquet(tracked_path)
     tracked = spark.read.parquet(tracked_path)
     write_states(st.emitted_states(tracked), states_path)
     return ru.season_results(ru.game_results(tracked), index)

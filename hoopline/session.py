@@ -20,6 +20,11 @@ def build_session(app: str = "hoopline", master: str = "local[8]", shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Small local tables still spread over all cores; a cluster keeps Spark's own sizes.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.sql.files.openCostInBytes", "128k")
+        # Recording the Python line of every expression costs more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

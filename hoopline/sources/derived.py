@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hoopline.operators.index import state_index
 from hoopline.operators.live_feed import live_feed_actions
 from hoopline.operators.ordinal import with_position
-from hoopline.operators.states import game_states
+from hoopline.operators.states import emitted_states, game_states, longest_game, tracked_actions
 from hoopline.session import scratch_path
 from hoopline.sources.state_store import read_states, write_states
 
@@ -188,6 +188,7 @@ class DerivedFeed:
         self.spark = spark
         self.sf_dir = sf_dir
         self._paths: dict[str, str] = {}
+        self._longest: int | None = None
 
     def _table(self, name: str, build) -> DataFrame:
         if name not in self._paths:
@@ -234,13 +235,26 @@ class DerivedFeed:
         return self._table("game_log", build)
 
     def index(self) -> DataFrame:
-        return state_index(self.game_log())
+        return self._table("index", lambda: state_index(self.game_log()))
+
+    def longest(self) -> int:
+        """A bound on game length, read once from the actions table."""
+        if self._longest is None:
+            self._longest = longest_game(self.actions())
+        return self._longest
+
+    def tracked(self) -> DataFrame:
+        return tracked_actions(self.actions(), self.index(), longest=self.longest())
+
+    def live_feed(self) -> DataFrame:
+        """Live actions once each, in feed order, in the historical contract."""
+        return self._table("live_feed", lambda: live_feed_actions(self.live_actions()))
 
     def states(self) -> DataFrame:
         """The fact table: game states, partitioned by season."""
         if "states" not in self._paths:
             path = scratch_path(self.spark, "states")
-            write_states(game_states(self.actions(), self.index()), path)
+            write_states(emitted_states(self.tracked()), path)
             self._paths["states"] = path
         return read_states(self.spark, self._paths["states"])
 
@@ -251,7 +265,8 @@ class DerivedFeed:
     def live_states(self) -> DataFrame:
         if "live_states" not in self._paths:
             path = scratch_path(self.spark, "live_states")
-            write_states(game_states(live_feed_actions(self.live_actions()), self.live_index()), path)
+            feed = self.live_feed()
+            write_states(game_states(feed, self.live_index(), longest=longest_game(feed)), path)
             self._paths["live_states"] = path
         return read_states(self.spark, self._paths["live_states"])
 
