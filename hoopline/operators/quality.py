@@ -284,14 +284,17 @@ def order_consistency(actions: DataFrame, threshold: float = 0.99) -> DataFrame:
 
     Both ranks are worked out in blocks: of action numbers, and of period and second.
     """
-    rows = actions.selectExpr(
-        *GAME, IDX, "period", f"{ck.parse_clock('clock', 'quarantine')} AS seconds", f"{ev.whole_number('actionNumber')} AS number"
-    ).where("period IS NOT NULL AND seconds IS NOT NULL AND number IS NOT NULL")
+    number = "CAST(actionNumber AS BIGINT)" if ev.is_whole(actions, "actionNumber") else ev.whole_number("actionNumber")
+    # Rows are filtered on the raw columns: a filter on a computed one would be worked out twice.
+    usable = actions.where(r"period IS NOT NULL AND actionNumber IS NOT NULL AND clock RLIKE r'^\s*PT\d+M\d+(\.\d+)?S\s*$'")
+    rows = usable.withColumn("_clock", F.expr(ev.clean_text("clock"))).selectExpr(
+        *GAME, IDX, "period", f"{ck.clock_seconds('_clock')} AS seconds", f"{number} AS number"
+    )
     in_time = with_position(
         rows,
         GAME,
         ["period", F.desc("seconds"), IDX],
-        block=F.expr("CAST(period * 1000 + floor(720 - seconds) AS BIGINT)"),
+        block=F.expr("CAST(period * 1000 + floor((720 - seconds) / 30) AS BIGINT)"),
         position="place",
     )
     counted = rows.groupBy(*GAME, "number").agg(F.count(F.lit(1)).alias("ties"))
