@@ -74,7 +74,9 @@ class LinearModel:
     intercept: float
 
 
-def fit_logistic(train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, weight: str | None = None) -> LinearModel:
+def fit_logistic(
+    train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, weight: str | None = None, tolerance: float = 1e-6
+) -> LinearModel:
     """L2-penalised logistic regression; ``c`` weighs the summed loss against half the squared norm."""
     total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
     assembled = VectorAssembler(inputCols=list(features), outputCol="vector").transform(train)
@@ -86,7 +88,7 @@ def fit_logistic(train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, w
         elasticNetParam=0.0,
         standardization=False,
         maxIter=500,
-        tol=1e-8,
+        tol=tolerance,
         **options,
     ).fit(assembled)
     return LinearModel(tuple(features), tuple(float(v) for v in model.coefficients), float(model.intercept))
