@@ -109,9 +109,11 @@ def select_games(index: DataFrame, game_ids: DataFrame | None = None, limit: int
 def game_balanced_weights(states: DataFrame) -> DataFrame:
     """Equal total weight per game, mean row weight one: rows / (games * rows of the game)."""
     sizes = states.groupBy(*GAME).agg(F.count(F.lit(1)).alias("game_rows"))
-    totals = sizes.agg(F.sum("game_rows").alias("all_rows"), F.count(F.lit(1)).alias("all_games"))
-    # Weights are worked out per game (``totals`` is one row), then joined to the states.
-    weights = sizes.crossJoin(totals).selectExpr(*GAME, "all_rows / (all_games * game_rows) AS weight")
+    totals = sizes.agg(F.struct(F.sum("game_rows").alias("rows"), F.count(F.lit(1)).alias("games")))
+    # Weights are worked out per game (the totals are a scalar subquery), then joined to the states.
+    weights = sizes.withColumn("_totals", totals.scalar()).selectExpr(
+        *GAME, "_totals.rows / (_totals.games * game_rows) AS weight"
+    )
     return states.join(weights, GAME)
 
 

@@ -88,7 +88,8 @@ def exact_auc(counts: DataFrame, by: list[str]) -> DataFrame:
     A winner beats every loser below it and half of those at the same probability. Losers below
     are those of earlier blocks (counted per block) plus those inside the block.
     """
-    blocked = counts.withColumn("block", F.expr(f"CAST(floor(p * {AUC_BLOCKS}) AS INT)"))
+    # Never null, or the join would filter on it and have every probability worked out once more.
+    blocked = counts.withColumn("block", F.expr(f"coalesce(CAST(floor(p * {AUC_BLOCKS}) AS INT), 0)"))
     group = ", ".join(by) if by else "1"
     per_block = blocked.groupBy(*by, "block").agg(F.sum("lost").alias("block_lost"))
     earlier = per_block.selectExpr(
@@ -110,7 +111,10 @@ def exact_auc(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def probability_metrics(rows: DataFrame, by: list[str] = [], bins: int = 10, **names) -> DataFrame:
     """Rows, Brier, log loss, accuracy, AUC and ECE per group (or overall)."""
-    return _metrics_of_counts(outcome_counts(rows, by, **names), by, bins)
+    if by:
+        return _metrics_of_counts(outcome_counts(rows, by, **names), by, bins)
+    whole = outcome_counts(rows.withColumn("_all", F.lit(0)), ["_all"], **names)
+    return _metrics_of_counts(whole, ["_all"], bins).drop("_all")
 
 
 def _metrics_of_counts(counts: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
@@ -124,10 +128,7 @@ def _metrics_of_counts(counts: DataFrame, by: list[str], bins: int = 10) -> Data
     gaps = _bins(counts, by, bins).groupBy(*by).agg(
         F.expr("sum(count * abs(mean_predicted - observed_rate)) / sum(count)").alias("ece")
     )
-    parts = [exact_auc(counts, by), gaps]
-    for part in parts:
-        simple = simple.join(part, by) if by else simple.crossJoin(part)  # one row each without groups
-    return simple
+    return simple.join(exact_auc(counts, by), by).join(gaps, by)
 
 
 SLICES = {
@@ -162,6 +163,11 @@ def select_model(metrics: DataFrame) -> DataFrame:
 
 def should_calibrate(raw: DataFrame, calibrated: DataFrame) -> DataFrame:
     """One row: calibration is used only if it lowers both Brier score and log loss."""
-    r = raw.selectExpr("brier AS raw_brier", "log_loss AS raw_log_loss")
-    c = calibrated.selectExpr("brier AS calibrated_brier", "log_loss AS calibrated_log_loss")
-    return r.crossJoin(c).selectExpr("*", "calibrated_brier < raw_brier AND calibrated_log_loss < raw_log_loss AS calibrate")
+    better = calibrated.select(F.struct("brier", "log_loss")).scalar()
+    return raw.select("brier", "log_loss").withColumn("_c", better).selectExpr(
+        "brier AS raw_brier",
+        "log_loss AS raw_log_loss",
+        "_c.brier AS calibrated_brier",
+        "_c.log_loss AS calibrated_log_loss",
+        "_c.brier < brier AND _c.log_loss < log_loss AS calibrate",
+    )

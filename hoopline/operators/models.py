@@ -50,16 +50,19 @@ def fit_scaler(train: DataFrame, features=fv.MODEL_FEATURES) -> DataFrame:
 
 
 def apply_scaler(states: DataFrame, scaler: DataFrame, features=fv.MODEL_FEATURES, keep=("season", "game_id", "source_event_index", fv.TARGET)) -> DataFrame:
-    """Imputed and scaled features. The scaler is one row, so it is broadcast."""
-    one = scaler.selectExpr("means AS _means", "scales AS _scales", "imputations AS _imputations")
+    """Imputed and scaled features. The scaler is one row and comes in as a scalar subquery."""
+    picked = [f"'i_{c}', imputations['{c}']" for c in features]
+    picked += [f"'m_{c}', means['{c}'], 's_{c}', scales['{c}']" for c in features if c not in fv.UNSCALED_FEATURES]
+    one = scaler.selectExpr(f"named_struct({', '.join(picked)})").scalar()
     columns = []
     for c in features:
-        value = f"coalesce(CAST({c} AS DOUBLE), _imputations['{c}'])"
-        scaled = value if c in fv.UNSCALED_FEATURES else f"({value} - _means['{c}']) / _scales['{c}']"
-        bad = f"{scaled} IS NULL OR isnan({scaled})"
-        columns.append(f"CASE WHEN {bad} THEN raise_error('Scaled feature is not finite: {c}') ELSE {scaled} END AS {c}")
+        value = f"coalesce(CAST({c} AS DOUBLE), _scaler.i_{c})"
+        scaled = value if c in fv.UNSCALED_FEATURES else f"({value} - _scaler.m_{c}) / _scaler.s_{c}"
+        columns.append(f"{scaled} AS {c}")
     kept = [c for c in keep if c in states.columns]
-    return states.crossJoin(F.broadcast(one)).selectExpr(*kept, *columns)
+    scaled_rows = states.withColumn("_scaler", one).selectExpr(*kept, *columns)
+    # Checked in a projection of its own, so that no expression is worked out twice.
+    return ds.checked_finite(scaled_rows, features)
 
 
 # --- Fitting ----------------------------------------------------------------------------
@@ -75,7 +78,7 @@ class LinearModel:
 
 
 def fit_logistic(
-    train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, weight: str | None = None, tolerance: float = 1e-6
+    train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, weight: str | None = None, tolerance: float = 1e-5
 ) -> LinearModel:
     """L2-penalised logistic regression; ``c`` weighs the summed loss against half the squared norm."""
     total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
@@ -163,8 +166,7 @@ def calibration_split(states: DataFrame) -> DataFrame:
 
 def constant_baseline(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Every row predicted by the win rate of the train rows."""
-    rate = train.agg(F.avg(fv.TARGET).alias("probability"))
-    return rows.crossJoin(F.broadcast(rate))
+    return rows.withColumn("probability", train.agg(F.avg(fv.TARGET)).scalar())
 
 
 EXPERIMENTS = (
@@ -194,7 +196,7 @@ def run_experiment(train: DataFrame, validation: DataFrame, features=fv.MODEL_FE
         model = fit_logistic(scaled, features, c, weight)
     finally:
         scaled.unpersist()
-    scored = score_logistic(apply_scaler(judge_rows, scaler, features), model)
+    scored = score_logistic(apply_scaler(judge_rows, scaler, features, keep=(*keep, fv.TARGET)), model)
     return mt.probability_metrics(scored)
 
 

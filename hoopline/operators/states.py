@@ -398,7 +398,9 @@ def tracked_actions(
     is no more than a chunk, the plan has one exchange and no second look at the actions.
     """
     facts = action_facts(actions, index, chunk_rows=chunk_rows, mode=mode)
-    rows = _with_score_parts(_with_past(facts, chunk_rows, longest)).withColumns(
+    # All windows below are keyed by the chunk or finer, so this is the only exchange of the actions.
+    placed = _with_past(facts, chunk_rows, longest).repartition(*CHUNK)
+    rows = _with_score_parts(placed).withColumns(
         exprs(
             {
                 "segment_starts": f"coalesce(coalesce(lag(period) {LAG}, carry.period) <> period, true)",

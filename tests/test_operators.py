@@ -159,7 +159,7 @@ def test_logistic_fit_against_newton_steps(spark):
         hessian = c * (design * (w * p * (1 - p))[:, None]).T @ design + penalty
         beta -= np.linalg.solve(hessian, gradient)
     rows = spark.createDataFrame([(float(a), float(b), int(t), float(v)) for (a, b), t, v in zip(x, y, w, strict=True)], "a DOUBLE, b DOUBLE, home_win INT, w DOUBLE")
-    model = md.fit_logistic(rows, ("a", "b"), c=c, weight="w")
+    model = md.fit_logistic(rows, ("a", "b"), c=c, weight="w", tolerance=1e-9)
     assert [*model.coefficients, model.intercept] == pytest.approx(list(beta), abs=1e-4)
 
 
