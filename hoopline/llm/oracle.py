@@ -9,3 +9,17 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS d FROM documents)
 WINDOW g AS (PARTITION BY d)
 """
+
+ORACLE["op9_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + 9) AS win FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS win FROM d, lens, unnest(range(1, len(w) - n + 2)) AS s(i) WHERE len(w) >= n),
+hit AS (SELECT doc_id, dw.i, dw.n, item_id FROM dw JOIN win USING (n, win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS s(p) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

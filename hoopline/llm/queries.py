@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
 from hoopline.llm.sharding import op3_sharding
 
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_decontamination": op9_decontamination,
 }
