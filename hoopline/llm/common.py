@@ -32,3 +32,15 @@ def lower_ascii(text: Column) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % modulus
+
+
+def skewed_lookup(rows: DataFrame, values: DataFrame, key: str, support: float = 0.001) -> DataFrame:
+    """Left join of ``rows`` with the narrow ``values`` (one row per key), both written tables, where a key may hold most rows.
+
+    Values of the keys that can hold more than ``support`` of the rows, at most 1/support, are broadcast; the other keys
+    are shuffled.
+    """
+    names = saved(rows.select(F.col(key).alias("_k")).freqItems(["_k"], support).select(F.explode("_k_freqItems").alias(key)), "hot_keys")
+    hot = F.broadcast(values.join(F.broadcast(names), key, "left_semi"))
+    rest = rows.join(F.broadcast(names), key, "left_anti").join(values, key, "left")
+    return rows.join(F.broadcast(names), key, "left_semi").join(hot, key, "left").unionByName(rest)
