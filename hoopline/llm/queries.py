@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
+from hoopline.llm.packing import op5_packing
 from hoopline.llm.sharding import op3_sharding
 from hoopline.llm.warc import op6_warc
 
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op9_decontamination": op9_decontamination,
 }
