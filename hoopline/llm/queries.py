@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
+from hoopline.llm.html_text import op7_html_text
 from hoopline.llm.packing import op5_packing
+from hoopline.llm.secrets import op10_secrets
 from hoopline.llm.sharding import op3_sharding
 from hoopline.llm.warc import op6_warc
 
@@ -13,5 +15,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_html_text": op7_html_text,
     "op9_decontamination": op9_decontamination,
+    "op10_secrets": op10_secrets,
 }
