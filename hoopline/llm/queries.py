@@ -6,6 +6,7 @@ from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
 from hoopline.llm.html_text import op7_html_text
 from hoopline.llm.packing import op5_packing
+from hoopline.llm.quality_cnn import op8_quality
 from hoopline.llm.secrets import op10_secrets
 from hoopline.llm.sharding import op3_sharding
 from hoopline.llm.warc import op6_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_html_text": op7_html_text,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
 }
