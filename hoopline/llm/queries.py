@@ -5,6 +5,7 @@ from __future__ import annotations
 from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
 from hoopline.llm.html_text import op7_html_text
+from hoopline.llm.near_dedup import op2_near_dedup
 from hoopline.llm.packing import op5_packing
 from hoopline.llm.quality_cnn import op8_quality
 from hoopline.llm.secrets import op10_secrets
@@ -12,6 +13,7 @@ from hoopline.llm.sharding import op3_sharding
 from hoopline.llm.warc import op6_warc
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
