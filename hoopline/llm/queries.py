@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hoopline.llm.context_mixing import op1_lm_scores
 from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
 from hoopline.llm.html_text import op7_html_text
@@ -13,6 +14,7 @@ from hoopline.llm.sharding import op3_sharding
 from hoopline.llm.warc import op6_warc
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
