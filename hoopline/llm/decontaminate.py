@@ -6,7 +6,8 @@ a window that must be contained whole needs all its tokens, so its rarest one is
 are joined with these prefix tokens only; the token's place in the window gives the one start it allows (position),
 which must leave room for the whole window (length), and the words are then compared one by one.
 
-The windows are broadcast in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more passes over the documents.
+Documents are read once, for the places of window tokens, each with the few words that a window around it can span. The
+tokens are broadcast in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more passes over the documents.
 
 Null text or text without words has no words and no hits. Repeated items share windows and are all reported. Documents
 are told apart by id and text; repeated rows of both get the same result, once for each row. Column names starting with
@@ -76,16 +77,22 @@ def window_hits(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", te
         F.col(id_column).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text_hash"), words_of(text).alias("_w")
     )
 
-    # Rarity of every window token over all documents, in blocks of tokens.
+    # One pass over the documents: the places of all window tokens, with the words around them for the check.
     tokens = saved(_window_tokens(windows), "window_tokens")
     distinct = saved(tokens.select("_token", F.col("_q").alias("_size")).distinct(), "distinct_tokens")
-    counts = []
-    for block in _blocks(distinct, F.lit(12), F.col("_token")):
-        found = _document_tokens(words.select("_w"), sizes).filter("_pos > 0").select("_token", "_size")
-        counts.append(found.join(F.broadcast(block), ["_token", "_size"], "left_semi").groupBy("_token", "_size").agg(F.count(F.lit(1)).alias("_seen")))
-    rarity = saved(reduce(DataFrame.unionByName, counts), "rarity")
+    row_mark = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_token"), F.lit(sizes[0]).alias("_size"), F.lit(True).alias("_row"))
+    first_word = F.greatest(F.col("_pos") - (WINDOW - 1), F.lit(1))
+    places = []
+    for k, block in enumerate(_blocks(distinct, F.lit(24), F.col("_token"))):
+        block = block.withColumn("_row", F.lit(False))
+        block = block.unionByName(row_mark) if k == 0 else block
+        found = _document_tokens(words, sizes).join(F.broadcast(block), ["_token", "_size"]).filter(F.col("_row") == (F.col("_pos") == 0))
+        around = F.when(~F.col("_row"), F.slice("_w", first_word, 2 * WINDOW - 1))
+        places.append(found.select("_id", "_text_hash", F.size("_w").alias("_n"), "_row", "_token", "_size", "_pos", first_word.alias("_from"), around.alias("_around")))
+    places = saved(reduce(DataFrame.unionByName, places), "token_places")
 
-    # The rarest token of each window; a window with a token that no document holds occurs nowhere.
+    # The rarest token of each window by its count in all documents; a window with a token that none holds occurs nowhere.
+    rarity = places.filter("NOT _row").groupBy("_token", "_size").agg(F.count(F.lit(1)).alias("_seen"))
     ranked = tokens.withColumnRenamed("_q", "_size").join(rarity, ["_token", "_size"], "left").fillna(0, ["_seen"])
     prefix = saved(
         ranked.groupBy("_window", "_items", "_size")
@@ -94,25 +101,16 @@ def window_hits(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", te
         .select("_window", "_items", "_size", "_rarest._token", "_rarest._offset"),
         "prefix",
     )
-    row_mark = docs.sparkSession.range(1).select(
-        F.lit(None).cast("array<string>").alias("_window"), F.lit(None).cast("array<string>").alias("_items"),
-        F.lit(sizes[0]).alias("_size"), F.lit(0).cast("long").alias("_token"), F.lit(0).alias("_offset"),
-    )
     weight = 64 + F.aggregate("_window", F.lit(0), lambda a, w: a + 8 + F.octet_length(w)) + F.aggregate("_items", F.lit(0), lambda a, w: a + 8 + F.octet_length(w))
-    start = F.col("_pos") - 1 - F.col("_offset")
-    parts = []
-    for k, block in enumerate(_blocks(prefix, weight, F.col("_token"))):
-        block = block.select(row_mark.columns)
-        block = block.unionByName(row_mark) if k == 0 else block
-        candidates = _document_tokens(words, sizes).join(F.broadcast(block), ["_token", "_size"])
-        stands_for_row = (F.col("_pos") == 0) & F.col("_window").isNull()
-        occurs = (start >= 0) & (start + F.size("_window") <= F.size("_w")) & (F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.size("_window")) == F.col("_window"))
-        parts.append(
-            candidates.filter(stands_for_row | ((F.col("_pos") > 0) & occurs)).select(
-                "_id", "_text_hash", F.size("_w").alias("_n"), F.when(F.col("_pos") == 0, 1).otherwise(0).alias("_rows"),
-                F.when(F.col("_pos") > 0, F.struct(start.alias("a"), (start + F.size("_window")).alias("b"))).alias("_span"), "_items",
-            )
-        )
+    small = (prefix.agg(F.sum(weight)).first()[0] or 0) <= BLOCK_BYTES
+    start, n = F.col("_pos") - 1 - F.col("_offset"), F.size("_window")
+    fits = (start >= 0) & (start + n <= F.col("_n"))
+    same = F.slice("_around", F.greatest(start + 2 - F.col("_from"), F.lit(1)), n) == F.col("_window")
+    occurring = places.filter("NOT _row").join(F.broadcast(prefix) if small else prefix, ["_token", "_size"]).filter(fits & same)
+    parts = [
+        places.filter("_row").select("_id", "_text_hash", "_n", F.lit(1).alias("_rows"), F.lit(None).cast("struct<a:int,b:int>").alias("_span"), F.lit(None).cast("array<string>").alias("_items")),
+        occurring.select("_id", "_text_hash", "_n", F.lit(0).alias("_rows"), F.struct(start.alias("a"), (start + n).alias("b")).alias("_span"), "_items"),
+    ]
     spans = F.array_sort(F.collect_set("_span"))
     # A document has at most as many spans as words times the window sizes in use.
     grouped = reduce(DataFrame.unionByName, parts).groupBy("_id", "_text_hash").agg(
