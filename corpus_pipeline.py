@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoopline.llm import decontaminate, exact_dedup, near_dedup, packing, quality_cnn
-from hoopline.llm.common import read_table, saved
+from hoopline.llm.common import free_name, read_table, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least ``quality_cnn.KEEP``."""
-    scored = quality_cnn.score(docs, read_table(spark, sf_dir, "labels"), "_quality_score")
-    return scored.filter(F.col("_quality_score") >= quality_cnn.KEEP).select(*docs.columns)
+    name = free_name(docs, "quality_score")
+    scored = quality_cnn.score(docs, read_table(spark, sf_dir, "labels"), name)
+    return scored.filter(F.col(name) >= quality_cnn.KEEP).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

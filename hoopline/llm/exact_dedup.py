@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoopline.llm.common import read_table, saved
+from hoopline.llm.common import free_name, read_table, saved
 
 SUPPORT = 0.001
 
@@ -42,19 +42,17 @@ def text_digest(text: Column) -> Column:
 
 
 def keep_one_copy(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the copies, columns as they were. Its own column names start with ``_dedup_`` and must be free."""
-    with_digest = docs.withColumn("_dedup_digest", text_digest(F.col(text_column)))
-    keyed = saved(with_digest.select("_dedup_digest", F.col(id_column).alias("_dedup_id")), "digests")
-    heavy = F.broadcast(
-        heavy_groups(keyed, "_dedup_digest", F.struct("_dedup_id")).select("_dedup_digest", F.col("_best._dedup_id").alias("_dedup_id"))
-    )
-    first = F.row_number().over(Window.partitionBy("_dedup_digest").orderBy(F.col(id_column).desc_nulls_last()))
-    winners = with_digest.join(
-        heavy, (with_digest["_dedup_digest"] == heavy["_dedup_digest"]) & with_digest[id_column].eqNullSafe(heavy["_dedup_id"]), "left_semi"
-    )
-    rest = with_digest.join(heavy, "_dedup_digest", "left_anti")
-    # The winners are few, and all other groups are small: one shuffle of the rows that are left.
-    return winners.unionByName(rest).withColumn("_dedup_rank", first).filter("_dedup_rank = 1").select(*docs.columns)
+    """``docs`` without the copies, all columns as they were."""
+    digest, rank = free_name(docs, "digest"), free_name(docs, "rank")
+    with_digest = docs.withColumn(digest, text_digest(F.col(text_column)))
+    keyed = saved(with_digest.select(F.col(digest).alias("_digest"), F.col(id_column).alias("_id")), "digests")
+    heavy = F.broadcast(heavy_groups(keyed, "_digest", F.struct("_id")).select("_digest", F.col("_best._id").alias("_id")))
+    same = with_digest[digest] == heavy["_digest"]
+    winners = with_digest.join(heavy, same & with_digest[id_column].eqNullSafe(heavy["_id"]), "left_semi")
+    rest = with_digest.join(heavy, same, "left_anti")
+    # Winners are few (one row of each heavy digest, or repeated rows of it) and all other groups are small: one shuffle.
+    order = Window.partitionBy(digest).orderBy(F.col(id_column).desc_nulls_last())
+    return winners.unionByName(rest).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
