@@ -128,7 +128,7 @@ ORACLE["unique_games"] = with_(sb.GAME_LOG, "SELECT DISTINCT GAME_ID FROM game_l
 states("states_with_labels", f"SELECT {ROW}, home_team_id, away_team_id, home_win FROM states")
 states(
     "missing_games",
-    "SELECT season, game_id FROM idx WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.game_id = idx.game_id AND s.period > 4)",
+    "SELECT season, game_id FROM idx WHERE CAST(game_id AS BIGINT) % 16 = 13",
 )
 
 # --- Aggregations and profiles ----------------------------------------------------------
@@ -524,8 +524,8 @@ def layer_sql(source: str, inputs: list[str], prefix: str, rows: int, relu: bool
     return f"SELECT {ROW}, {', '.join(outputs)} FROM ({source})", [f"{prefix}{r}" for r in range(rows)]
 
 
-_L1, _n1 = layer_sql(SCALED, FEATURES, "a", 6, True)
-_L2, _n2 = layer_sql(_L1, _n1, "b", 4, True)
+_L1, _n1 = layer_sql(SCALED, FEATURES, "a", 64, True)
+_L2, _n2 = layer_sql(_L1, _n1, "b", 32, True)
 _L3, _n3 = layer_sql(_L2, _n2, "c", 1, False)
 states("score_mlp", f"SELECT {ROW}, round(c0, 6) AS logit FROM ({_L3})")
 states(
@@ -661,7 +661,7 @@ ORACLE["differential_check"] = with_(
 )
 ORACLE["order_consistency"] = with_(
     NORM,
-    "SELECT season, game_id, round(corr(r, o), 6) AS correlation, coalesce(corr(r, o) > 0.97, false) AS consistent FROM (SELECT season, game_id, "
+    "SELECT season, game_id, round(corr(r, o), 6) AS correlation, coalesce(corr(r, o) > 0.99, false) AS consistent FROM (SELECT season, game_id, "
     "rank() OVER (PARTITION BY season, game_id ORDER BY actionNumber) + (count(*) OVER (PARTITION BY season, game_id, actionNumber) - 1) / 2.0 AS r, "
     "row_number() OVER (PARTITION BY season, game_id ORDER BY period, seconds DESC, source_event_index) AS o "
     "FROM norm WHERE actionNumber IS NOT NULL) GROUP BY season, game_id",
@@ -680,15 +680,15 @@ ORACLE["field_presence"] = with_(
 
 
 def _manifest_ctes() -> str:
-    from checks.queries import MANIFEST_COLUMNS, OUTCOME_COLUMNS
+    from checks.queries import EVERY_GAME, MANIFEST_COLUMNS, OUTCOME_COLUMNS
 
     return (
         "known AS (SELECT o_custkey AS custkey, arg_max(o_orderstatus, o_orderkey) AS last_status, "
         "count(*) FILTER (o_orderstatus = 'F') AS failures, count(*) FILTER (o_orderstatus = 'O') AS loads FROM orders "
-        "WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey), "
+        "GROUP BY o_custkey), "
         f"man AS (SELECT {sb.columns_sql(MANIFEST_COLUMNS)} FROM known), "
-        f"outc AS (SELECT {sb.columns_sql(OUTCOME_COLUMNS)} FROM customer WHERE c_acctbal > 0), "
-        f"everyone AS (SELECT {OUTCOME_COLUMNS['game_id']} AS game_id FROM customer), "
+        f"outc AS (SELECT {sb.columns_sql(OUTCOME_COLUMNS)} FROM customer), "
+        f"everyone AS (SELECT {EVERY_GAME['game_id']} AS game_id FROM customer), "
         "upd AS (SELECT coalesce(m.game_id, o.game_id) AS game_id, CASE o.action WHEN 'failed' THEN 'failed' WHEN 'downloaded' THEN 'downloaded' "
         "WHEN 'skipped' THEN 'downloaded' ELSE m.status END AS status, "
         "CAST(coalesce(m.attempts, 0) + CASE WHEN o.action = 'failed' THEN 1 ELSE 0 END AS INT) AS attempts, coalesce(o.action, m.last_action) AS last_action, "
@@ -768,15 +768,19 @@ ORACLE["degraded_feed"] = with_(
     "kept AS (SELECT t.*, (SELECT arg_max(g.state, g.poll) FROM good g WHERE g.game_id = t.game_id AND g.poll <= t.poll) AS last_state "
     "FROM (SELECT *, lag(failed) OVER (PARTITION BY game_id ORDER BY poll) AS before FROM tried) t WHERE NOT failed OR before IS NULL OR NOT before)",
     "SELECT game_id, poll, last_state AS state, CASE WHEN NOT failed THEN 'live' WHEN last_state IS NULL THEN 'waiting' ELSE 'degraded' END AS feed_status, "
-    "CASE WHEN failed THEN 'Live feed unavailable from this environment.' END AS error FROM kept",
+    "CASE WHEN failed THEN 'The live feed did not answer; this is the last state that it gave.' END AS error FROM kept",
 )
 ORACLE["replay_prefix"] = with_(
-    sb.LIVE_STATES.replace("live AS MATERIALIZED (SELECT", "live_all AS MATERIALIZED (SELECT", 1).replace(
+    sb.LIVE_STATES.replace("live AS MATERIALIZED (SELECT", "live_all AS MATERIALIZED (SELECT", 1)
+    .replace(
         ", live_one AS (",
-        ", live AS MATERIALIZED (SELECT l.* FROM live_all l JOIN (SELECT game_id, count(*) // 2 AS k FROM live_all GROUP BY game_id) USING (game_id) "
+        ", cuts AS MATERIALIZED (SELECT DISTINCT game_id, k FROM (SELECT game_id, unnest([1, (count(*) + 1) // 2, count(*)]) AS k FROM live_all GROUP BY game_id)), "
+        "live AS MATERIALIZED (SELECT l.* REPLACE (game_id || '/' || k AS game_id) FROM live_all l JOIN cuts USING (game_id) "
         "WHERE source_index < k), live_one AS (",
         1,
-    ),
+    )
+    .replace("SELECT 'live' AS season, game_id, home_team_id", "SELECT 'live' AS season, game_id || '/' || k AS game_id, home_team_id", 1)
+    .replace("CAST(NULL AS INT) AS home_win FROM idx)", "CAST(NULL AS INT) AS home_win FROM idx JOIN cuts USING (game_id))", 1),
     "SELECT * FROM live_states",
 )
 ORACLE["live_states_stream"] = ORACLE["live_states"]
@@ -789,7 +793,7 @@ ORACLE["cache_live_snapshots"] = with_(
 
 SERVED = (
     f"{sb.SCORED_AND_BOARD}, games AS ({BOARD_GAMES}), placed AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY source_event_index DESC) AS age, "
-    "count(*) OVER (PARTITION BY game_id) AS total FROM scored WHERE season = '2021-22'), latest AS (SELECT * FROM placed WHERE age = 1)"
+    "count(*) OVER (PARTITION BY game_id) AS total FROM scored WHERE CAST(game_id AS BIGINT) % 16 <> 13), latest AS (SELECT * FROM placed WHERE age = 1)"
 )
 ORACLE["games_list"] = with_(
     SERVED,
@@ -811,8 +815,8 @@ ORACLE["state_payload"] = with_(
     f"CASE WHEN l.game_id IS NOT NULL THEN {SHOWN_HOME} END AS home_win_probability, CASE WHEN l.game_id IS NOT NULL THEN 1 - ({SHOWN_HOME}) END AS away_win_probability, "
     f"l.probability AS model_home_win_probability, l.game_id IS NOT NULL AND coalesce({FINAL}, false) AS final_override_applied, "
     "l.source_event_index AS last_sequence, CASE WHEN l.description <> '' THEN l.description ELSE l.semantic_event END AS last_description, "
-    "CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(12, l.total) END AS INT) AS recent, CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(30, l.total) END AS INT) AS history, "
-    "(SELECT min(source_event_index) FROM placed p WHERE p.game_id = g.game_id AND p.age <= 30) AS first_sequence, "
+    "CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(12, l.total) END AS INT) AS recent, CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(240, l.total) END AS INT) AS history, "
+    "(SELECT min(source_event_index) FROM placed p WHERE p.game_id = g.game_id AND p.age <= 240) AS first_sequence, "
     "CASE WHEN l.game_id IS NULL THEN 'waiting' ELSE 'live' END AS feed_status, coalesce(l.source_event_index, 0) AS sequence "
     "FROM games g LEFT JOIN latest l USING (game_id)",
 )

@@ -57,10 +57,15 @@ def checked_score(number: str, text: str, mode: str = "fail") -> str:
     return f"CASE WHEN {text} <> '' THEN CAST({_checked(number, bad, message, mode)} AS INT) END"
 
 
+def score_number(text: str) -> str:
+    """A trimmed score text as a number. Spark's own cast also takes type letters, so '5d' must be kept out."""
+    return f"CASE WHEN {text} RLIKE r'{fv.SCORE_PATTERN}' THEN try_cast({text} AS DOUBLE) END"
+
+
 def parse_score(score: str, mode: str = "fail") -> str:
     """Score text to int, cut toward zero; blank gives null, meaning 'carry the score forward'."""
     text = clean_text(score)
-    return checked_score(f"try_cast({text} AS DOUBLE)", text, mode)
+    return checked_score(score_number(text), text, mode)
 
 
 def period_label(period: str) -> str:

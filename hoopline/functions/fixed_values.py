@@ -21,6 +21,7 @@ UNCOUNTED_FOULS = ("offensive", "offensive charge", *POSSESSION_NEUTRAL_FOULS)
 
 # --- Fixed values: patterns -----------------------------------------------------------
 CLOCK_PATTERN = r"^PT(\d+)M(\d+(?:\.\d+)?)S$"
+SCORE_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 FREE_THROW_PATTERN = r"(?i)(\d+)\s+of\s+(\d+)"
 FOUL_MARKER_PATTERN = r"(?i)\.T(\d+)\)"
 GAME_ID_PATTERN = r"^\d{10}$"

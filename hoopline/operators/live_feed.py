@@ -9,8 +9,9 @@ from hoopline.functions import events as ev
 from hoopline.functions import live as lv
 from hoopline.operators.ordinal import with_position
 
-# Feed order numbers step by about ten thousand per action, so a block holds a few thousand.
-ORDER_BLOCK = 1 << 25
+# Feed order numbers step by about ten thousand per action, so a block of this many holds a few thousand actions. List
+# positions, which stand in for null and 0, step by one and are far below any order number.
+ORDER_BLOCK, POSITION_BLOCK, POSITIONS = 1 << 25, 1 << 12, 1 << 24
 
 
 def dedupe_live(actions: DataFrame, keys: list[str] = ["game_id"]) -> DataFrame:
@@ -35,7 +36,10 @@ def live_order(actions: DataFrame, keys: list[str] = ["game_id"]) -> DataFrame:
             }
         )
     )
-    block = F.expr(f"struct(_unordered, CAST(floor(_order / {ORDER_BLOCK}) AS BIGINT) AS block)")
+    block = F.expr(
+        f"struct(_unordered, CASE WHEN _unordered = 1 OR _order < {POSITIONS} THEN CAST(floor(_order / {POSITION_BLOCK}) AS BIGINT) "
+        f"ELSE {POSITIONS // POSITION_BLOCK} + CAST(floor(_order / {ORDER_BLOCK}) AS BIGINT) END AS block)"
+    )
     placed = with_position(
         keyed, keys, ["_unordered", "_order", "source_index"], block=block, position="source_event_index", total="n_events"
     )
@@ -44,12 +48,21 @@ def live_order(actions: DataFrame, keys: list[str] = ["game_id"]) -> DataFrame:
     )
 
 
+def _unusable() -> str:
+    return f"(period IS NULL OR period < 1 OR {ev.clean_text('clock')} = '')"
+
+
+def quarantined_live(actions: DataFrame) -> DataFrame:
+    """The live actions that ``adapt_live`` leaves out with ``mode='quarantine'``."""
+    return actions.where(_unusable())
+
+
 def adapt_live(actions: DataFrame, mode: str = "fail") -> DataFrame:
     """Live actions in the historical contract, row by row.
 
     The feed's own possession is kept for diagnosis as ``source_possession_team_id`` and used nowhere.
     """
-    bad = "period IS NULL OR period < 1 OR " + ev.clean_text("clock") + " = ''"
+    bad = _unusable()
     if mode == "quarantine":
         actions, period = actions.where(f"NOT ({bad})"), "period"
     else:

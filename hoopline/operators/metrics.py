@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from hoopline.functions import clock as ck
 
 EPSILON = 1e-7
-# Blocks of probabilities for the AUC. A power of two keeps ``floor(p * AUC_BLOCKS)`` monotone.
-AUC_BLOCKS = 1 << 20
+# Blocks of probabilities for the AUC are steps of the log odds, so they stay small where model output piles up, near 0 and 1.
+AUC_STEPS = 1 << 16
 
 
 def _double(value: float) -> str:
@@ -89,7 +89,8 @@ def exact_auc(counts: DataFrame, by: list[str]) -> DataFrame:
     are those of earlier blocks (counted per block) plus those inside the block.
     """
     # Never null, or the join would filter on it and have every probability worked out once more.
-    blocked = counts.withColumn("block", F.expr(f"coalesce(CAST(floor(p * {AUC_BLOCKS}) AS INT), 0)"))
+    steps = f"CASE WHEN p <= 0 THEN {-1 << 30} WHEN p >= 1 THEN {1 << 30} ELSE CAST(floor(ln(p / (1 - p)) * {AUC_STEPS}) AS INT) END"
+    blocked = counts.withColumn("block", F.expr(f"coalesce({steps}, 0)"))
     group = ", ".join(by) if by else "1"
     per_block = blocked.groupBy(*by, "block").agg(F.sum("lost").alias("block_lost"))
     earlier = per_block.selectExpr(

@@ -282,7 +282,7 @@ def differential_check(tracked: DataFrame) -> DataFrame:
 def order_consistency(actions: DataFrame, threshold: float = 0.99) -> DataFrame:
     """Spearman correlation per game of action numbers with the order by period and clock.
 
-    Both ranks are worked out in blocks: of action numbers, and of period and second.
+    Both ranks are worked out in blocks: of action numbers, and of at most 4,096 list positions inside a second.
     """
     number = "CAST(actionNumber AS BIGINT)" if ev.is_whole(actions, "actionNumber") else ev.whole_number("actionNumber")
     # Rows are filtered on the raw columns: a filter on a computed one would be worked out twice.
@@ -294,7 +294,7 @@ def order_consistency(actions: DataFrame, threshold: float = 0.99) -> DataFrame:
         rows,
         GAME,
         ["period", F.desc("seconds"), IDX],
-        block=F.expr("CAST(period * 1000 + floor((720 - seconds) / 30) AS BIGINT)"),
+        block=F.expr(f"struct(period, -seconds AS before_end, CAST(floor({IDX} / 4096) AS BIGINT) AS block)"),
         position="place",
     )
     counted = rows.groupBy(*GAME, "number").agg(F.count(F.lit(1)).alias("ties"))

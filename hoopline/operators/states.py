@@ -122,7 +122,7 @@ def action_facts(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUN
     wanted = [c for c in ("home_team_id", "away_team_id", "home_pts", "away_pts", "home_win") if c in index.columns]
     joined = ev.normalize_events(with_game_length(actions)).join(index.select(*GAME, *wanted), GAME, "left")
     if mode == "quarantine":
-        joined = joined.where("home_team_id IS NOT NULL AND away_team_id IS NOT NULL")
+        joined = joined.where(f"size({_quarantine_reasons()}) = 0")
     home = (
         "CASE WHEN home_team_id IS NULL OR away_team_id IS NULL "
         "THEN raise_error('Game has no index row: ' || game_id) ELSE home_team_id END"
@@ -148,8 +148,8 @@ def action_facts(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUN
         exprs(
             {
                 "clock_value": ck.clock_seconds("clock_text"),
-                "home_value": "try_cast(home_text AS DOUBLE)",
-                "away_value": "try_cast(away_text AS DOUBLE)",
+                "home_value": ck.score_number("home_text"),
+                "away_value": ck.score_number("away_text"),
             }
         )
     )
@@ -167,17 +167,24 @@ def action_facts(actions: DataFrame, index: DataFrame, *, chunk_rows: int = CHUN
             }
         )
     )
-    return facts.where("seconds IS NOT NULL AND period >= 1") if mode == "quarantine" else facts
+    return facts
 
 
-def quarantined_actions(actions: DataFrame) -> DataFrame:
-    """The actions that ``mode='quarantine'`` sets aside, with the reasons."""
-    reasons = f"""array_compact(array(
+def _quarantine_reasons() -> str:
+    """Why an action, joined with the teams of its game, cannot be used; empty if it can."""
+    return f"""array_compact(array(
+        CASE WHEN home_team_id IS NULL OR away_team_id IS NULL THEN 'game' END,
         CASE WHEN {ck.parse_clock('clock', 'quarantine')} IS NULL THEN 'clock' END,
         CASE WHEN period IS NULL OR period < 1 THEN 'period' END,
         CASE WHEN {ev.clean_text('scoreHome')} <> '' AND {ck.parse_score('scoreHome', 'quarantine')} IS NULL THEN 'home score' END,
         CASE WHEN {ev.clean_text('scoreAway')} <> '' AND {ck.parse_score('scoreAway', 'quarantine')} IS NULL THEN 'away score' END))"""
-    return actions.withColumn("quarantine_reasons", F.expr(reasons)).where("size(quarantine_reasons) > 0")
+
+
+def quarantined_actions(actions: DataFrame, index: DataFrame) -> DataFrame:
+    """The actions that ``mode='quarantine'`` leaves out of the states, with the reasons; all others are used."""
+    joined = actions.join(index.select(*GAME, "home_team_id", "away_team_id"), GAME, "left")
+    marked = joined.withColumn("quarantine_reasons", F.expr(_quarantine_reasons())).where("size(quarantine_reasons) > 0")
+    return marked.select(*actions.columns, "quarantine_reasons")
 
 
 # --- Scores -----------------------------------------------------------------------------

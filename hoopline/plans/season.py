@@ -20,7 +20,7 @@ def process_season(
     game_ids: DataFrame | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Rebuild all selected games in one job; returns the season results.
+    """Rebuild all selected games in one job; returns the season results. A game of the log without a feed stops it.
 
     The tracked actions are written once; states, results and discrepancies read that table.
     """
@@ -29,9 +29,13 @@ def process_season(
         chosen = ds.select_games(index, game_ids, limit)
         actions = actions.join(chosen, "game_id", "left_semi")
     spark = actions.sparkSession
+    wanted = index if game_ids is None and limit is None else index.join(chosen, "game_id", "left_semi")
+    absent = ix.missing_games(wanted, actions.select("season", "game_id").distinct()).limit(5).collect()
+    if absent:
+        raise FileNotFoundError(f"Games without a feed, for example {[r['game_id'] for r in absent]}")
     actions = st.with_game_length(actions)
     longest = st.longest_game(actions)
-    st.tracked_actions(actions, index, longest=longest).write.parquet(tracked_path)
+    st.tracked_actions(actions, index, longest=longest).write.mode("overwrite").parquet(tracked_path)
     tracked = spark.read.parquet(tracked_path)
     write_states(st.emitted_states(tracked), states_path)
     return ru.season_results(ru.game_results(tracked), index)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,12 +33,14 @@ def build_session(app: str = "hoopline", master: str = "local[8]", shuffle_parti
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temp folder only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a temp folder in local mode and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[application] = tempfile.mkdtemp(prefix="hoopline-")

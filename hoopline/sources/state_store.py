@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 CODEC = "zstd"
 
 
-def write_states(states: DataFrame, path: str, mode: str = "append") -> None:
-    """Write states by season. ``mode='overwrite'`` replaces only the seasons that are written."""
+FILES_PER_SEASON = 16
+
+
+def write_states(states: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write states by season; only the seasons that are written are replaced, so a second run changes nothing.
+
+    Games are dealt over at most ``FILES_PER_SEASON`` files of a season and lie together in them.
+    """
+    order = [c for c in ("season", "game_id", "source_event_index") if c in states.columns]
+    dealt = states.repartition("season", F.pmod(F.xxhash64("game_id"), F.lit(FILES_PER_SEASON))).sortWithinPartitions(*order)
     (
-        states.write.mode(mode)
+        dealt.write.mode(mode)
         .option("compression", CODEC)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("season")
@@ -19,14 +27,12 @@ def write_states(states: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def replace_games(spark: SparkSession, states: DataFrame, path: str, new_path: str) -> None:
-    """Write the table at ``path`` to ``new_path`` with the games in ``states`` replaced.
-
-    Readers move to the new folder once the write has committed, so they see all or nothing.
-    """
+def replace_games(spark: SparkSession, states: DataFrame, path: str) -> None:
+    """Replace the games in ``states`` in the table at ``path``. Only their seasons are read and written again."""
     games = states.select("season", "game_id").distinct()
-    kept = read_states(spark, path).join(games, ["season", "game_id"], "left_anti")
-    write_states(kept.unionByName(states.select(*kept.columns)), new_path)
+    seasons = [r["season"] for r in games.select("season").distinct().collect()]
+    kept = read_states(spark, path).where(F.col("season").isin(*seasons)).join(games, ["season", "game_id"], "left_anti")
+    write_states(kept.unionByName(states.select(*kept.columns)), path)
 
 
 def read_states(

@@ -129,7 +129,9 @@ def test_bad_values_fail_or_are_set_aside(spark, bad, message):
     games = {"bad": [play(MADE, "", HOME), bad]}
     with pytest.raises(PySparkException, match=message):
         st.game_states(frame(spark, games), index_of(spark, games)).collect()
-    assert st.quarantined_actions(frame(spark, games)).count() == 1
+    index = index_of(spark, games)
+    assert st.quarantined_actions(frame(spark, games), index).count() == 1
+    assert st.action_facts(frame(spark, games), index, mode="quarantine").count() == 1
 
 
 def test_unknown_game_is_an_error(spark):
@@ -138,3 +140,5 @@ def test_unknown_game_is_an_error(spark):
         st.game_states(frame(spark, games), index_of(spark, ["known"])).collect()
     kept = st.game_states(frame(spark, games), index_of(spark, ["known"]), mode="quarantine").select("game_id").distinct().collect()
     assert [r.game_id for r in kept] == ["known"]
+    aside = st.quarantined_actions(frame(spark, games), index_of(spark, ["known"])).collect()
+    assert [(r.game_id, r.quarantine_reasons) for r in aside] == [("unknown", ["game"])]
