@@ -24,7 +24,7 @@ from hoopline.llm.common import fold, read_table
 CHUNK, OVERLAP = 256, 32
 WIDTH, STRIDE, EMBED, FILTERS = 8, 4, 6, 16
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_CHUNKS = 3000, 20_000, 8
-EPOCHS, BATCH, RATE = 6, 16, 5e-3
+EPOCHS, STEPS, BATCH, RATE = 6, 1200, 16, 5e-3
 FOLDS, HELD_OUT = 4, 2
 KEEP = 0.7
 Model = dict[str, np.ndarray]
@@ -79,11 +79,12 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     return np.concatenate(out).astype(float)
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """The network that fits ``labels`` (0 or 1)."""
+def fit(texts: list[str | None], labels: list[int], epochs: int | None = None, seed: int = 7) -> Model:
+    """The network that fits ``labels`` (0 or 1), after ``EPOCHS`` epochs or about ``STEPS`` steps, whichever is more."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return {"share": np.array([y.mean() if len(y) else 0.5])}
+    epochs = epochs or max(EPOCHS, -(-STEPS * BATCH // len(y)))
     random = np.random.default_rng(seed)
     model: Model = {
         "embed": random.normal(0, 0.5, (256, EMBED)).astype(np.float32),
