@@ -183,3 +183,44 @@ def test_stream_rebuilds_changed_games_only(spark, tmp_path):
     final, waiting = payload["0000000001"], payload["0000000003"]
     assert (final.home_win_probability, final.final_override_applied, final.possession.label) == (1.0, True, "AAA")
     assert (waiting.feed_status, waiting.status_text, waiting.recent_events) == ("waiting", "Waiting for play-by-play", [])
+
+
+def test_stream_sets_bad_games_aside_and_publishes_changes(spark, tmp_path):
+    index = spark.createDataFrame([("live", g, 100, 200) for g in ("0000000001", "0000000002")], "season STRING, game_id STRING, home_team_id BIGINT, away_team_id BIGINT")
+    tables = ls.LiveTables(spark, str(tmp_path / "tables"))
+    plays = [(1, "2pt", "Made", 100, "2"), (3, "2pt", "Made", 100, "4")]
+    one, two, strange = "0000000001", "0000000002", "0000000009"
+    columns = (
+        "game_id STRING, game_status INT, status_text STRING, period INT, clock STRING, home_team_id BIGINT, home_name STRING, home_city STRING, home_tricode STRING, "
+        "home_score INT, away_team_id BIGINT, away_name STRING, away_city STRING, away_tricode STRING, away_score INT"
+    )
+    seen_board = {"status": (2, "Q1")}
+
+    def board():
+        teams = (1, "", 100, "H", "", "HHH", 9, 200, "A", "", "AAA", 7)
+        return spark.createDataFrame([(one, *seen_board["status"], *teams), (two, 2, "Q1", *teams), ("0000000003", 1, "", *teams)], columns)
+
+    def step(batch, rows):
+        ls.apply_batch(tables, index, spark.createDataFrame(rows, ls.DOCUMENT_SCHEMA), batch)
+        ls.publish(tables, board(), lambda states: states.withColumn("probability", F.lit(0.6)), batch)
+        scores = {r.game_id: r.home_score for r in tables.states().orderBy("source_event_index").collect()}
+        out = {r.game_id: r.feed_status for r in tables.published().where(F.col("batch") == batch).collect()}
+        return scores, out
+
+    # One broken document and one unknown game do not stop the good one.
+    assert step(0, [live(one, plays, 0), (two, 0, 0, "{}"), live(strange, plays, 0)]) == ({one: 4}, {one: "live", two: "waiting", "0000000003": "waiting"})
+    assert {(r.game_id, r.reason) for r in tables.problems().collect()} == {(two, "document"), (strange, "game")}
+    # The second game recovers; the first is unchanged and not published again.
+    assert step(1, [live(one, plays, 5), live(two, plays[:1], 5)]) == ({one: 4, two: 2}, {two: "live"})
+    # A poll that arrives late is ignored.
+    assert step(2, [live(one, plays[:1], 3)]) == ({one: 4, two: 2}, {})
+    # A bad score sets the whole game aside: its last state stays, marked degraded.
+    assert step(3, [live(one, [(1, "2pt", "Made", 100, "two")], 6)]) == ({one: 4, two: 2}, {one: "degraded"})
+    # An equal feed keeps it degraded, as nothing new is known; the final score does not wait for the feed.
+    assert step(4, [live(one, plays, 7)]) == ({one: 4, two: 2}, {})
+    seen_board["status"] = (3, "Final")
+    assert step(5, [live(one, plays, 8)]) == ({one: 4, two: 2}, {one: "live"})
+    final = tables.published().where("batch = 5").first()
+    assert final.home_win_probability == 1.0 and final.final_override_applied
+    # The same batch again publishes the same.
+    assert step(5, [live(one, plays, 8)])[1] == {one: "live"}
