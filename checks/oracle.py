@@ -182,7 +182,7 @@ lab(
 lab(
     "category_examples",
     "SELECT season, example, row_number() OVER (PARTITION BY season, example ORDER BY game_id, source_event_index) AS place, game_id, "
-    "source_event_index, actionNumber AS action_number, period, clock, teamId AS team_id, action_type, sub_type AS subtype, "
+    "source_event_index, actionNumber AS action_number, period, clock, teamId AS team_id, teamTricode AS tricode, action_type, sub_type AS subtype, "
     "event_text AS description FROM (SELECT *, 'blank_action_type' AS example FROM lab WHERE type_label = '<blank>' "
     "UNION ALL SELECT *, 'foul:' || subtype_label FROM lab WHERE type_label LIKE '%foul%' "
     "UNION ALL SELECT *, 'free_throw:' || subtype_label FROM lab WHERE type_label LIKE '%free throw%' "
@@ -198,6 +198,7 @@ ORACLE["profile_fields"] = with_(
         for c in ("clock", "scoreHome", "actionType", "subType", "teamTricode", "description")
     ),
 )
+ORACLE["value_counts"] = with_(NORM, f"SELECT {sb.trim('subType')} AS value, count(*) AS n FROM norm GROUP BY ALL")
 ORACLE["home_win_rate"] = with_(
     sb.INDEX, "SELECT season, sum(home_win)::BIGINT AS home_wins, round(avg(home_win), 6) AS home_win_rate FROM idx GROUP BY season"
 )
@@ -208,10 +209,19 @@ states(
     "round(avg(possession_known), 6) AS possession_known_rate, round(count(*) / count(DISTINCT game_id), 6) AS mean_states_per_game "
     "FROM states a GROUP BY season",
 )
-FEATURES = (
-    "score_differential period seconds_remaining_period seconds_remaining_regulation is_overtime overtime_number "
-    "home_possession possession_known home_team_fouls_period away_team_fouls_period"
-).split()
+# The model inputs of the contract.
+FEATURES = [
+    "score_differential",
+    "period",
+    "seconds_remaining_period",
+    "seconds_remaining_regulation",
+    "is_overtime",
+    "overtime_number",
+    "home_possession",
+    "possession_known",
+    "home_team_fouls_period",
+    "away_team_fouls_period",
+]
 states(
     "feature_ranges",
     " UNION ALL ".join(
@@ -481,6 +491,16 @@ MODELS = (
 )
 scored("compare_models", metrics(MODELS, "model"))
 scored("select_model", f"SELECT * FROM ({metrics(MODELS, 'model')}) ORDER BY brier, log_loss LIMIT 1")
+_CALIBRATION = metrics(
+    "SELECT 'raw' AS model, home_win AS y, probability AS p FROM scored WHERE season = '2022-23' "
+    "UNION ALL SELECT 'calibrated', home_win, (probability + 0.5) / 2 FROM scored WHERE season = '2022-23'",
+    "model",
+)
+scored(
+    "should_calibrate",
+    "SELECT r.brier AS raw_brier, r.log_loss AS raw_log_loss, c.brier AS calibrated_brier, c.log_loss AS calibrated_log_loss, "
+    f"c.brier < r.brier AND c.log_loss < r.log_loss AS calibrate FROM ({_CALIBRATION}) r JOIN ({_CALIBRATION}) c ON r.model = 'raw' AND c.model = 'calibrated'",
+)
 scored("constant_baseline", metrics(f"SELECT home_win AS y, {RATE} AS p FROM scored WHERE season = '2022-23'", ""))
 
 # --- Models -----------------------------------------------------------------------------

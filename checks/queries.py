@@ -183,6 +183,7 @@ query("category_examples")(lambda feed: pf.category_examples(feed.actions()))
 query("profile_fields")(
     lambda feed: pf.profile_fields(feed.actions(), ["clock", "scoreHome", "actionType", "subType", "teamTricode", "description"])
 )
+query("value_counts")(lambda feed: pf.value_counts(feed.actions(), "subType"))
 query("home_win_rate")(lambda feed: pf.home_win_rate(feed.index()))
 query("dataset_summary")(lambda feed: ds.dataset_summary(feed.states()))
 query("feature_ranges")(lambda feed: ds.feature_ranges(feed.states()))
@@ -375,6 +376,15 @@ query("compare_models")(lambda feed: rounded(three_metrics(feed), "model"))
 query("select_model")(lambda feed: rounded(mt.select_model(three_metrics(feed)), "model"))
 
 
+@query("should_calibrate")
+def _(feed):
+    """Whether drawing the made-up probabilities half-way to one half helps on the validation season."""
+    rows = ds.make_split(feed.scored(), "validation").withColumn("drawn", F.expr("(probability + 0.5D) / 2D"))
+    raw, calibrated = (mt.compare_models(rows, {"m": column}) for column in ("probability", "drawn"))
+    decided = mt.should_calibrate(raw, calibrated)
+    return decided.selectExpr(*[f"round({c}, 9) AS {c}" for c in decided.columns if c != "calibrate"], "calibrate")
+
+
 @query("constant_baseline")
 def _(feed):
     states = feed.states()

@@ -104,3 +104,36 @@ FIXTURE_CATEGORIES = (
     "turnover",
     "timeout",
 )
+
+# --- Fixed values: columns of the game-state contract ----------------------------------
+STATE_COLUMNS = (
+    "season",
+    "game_id",
+    "source_event_index",
+    "action_number",
+    "action_id",
+    "clock",
+    "action_type",
+    "sub_type",
+    "semantic_event",
+    "description",
+    "home_team_id",
+    "away_team_id",
+    "home_score",
+    "away_score",
+    "score_differential",
+    "period",
+    "seconds_remaining_period",
+    "seconds_remaining_regulation",
+    "is_overtime",
+    "overtime_number",
+    "possession_team_id",
+    "home_possession",
+    "possession_known",
+    "possession_reason",
+    "home_team_fouls_period",
+    "away_team_fouls_period",
+    "foul_marker_team_count",
+    "foul_marker_matches",
+    "home_win",
+)

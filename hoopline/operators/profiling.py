@@ -141,7 +141,7 @@ def category_examples(actions: DataFrame, examples: int = EXAMPLES) -> DataFrame
         .where(F.col("place") <= examples)
         .selectExpr(
             "season", "example", "place", "game_id", IDX, "actionNumber AS action_number", "period", "clock",
-            "teamId AS team_id", "type_text AS action_type", "subtype_text AS subtype", "description_text AS description",
+            "teamId AS team_id", "teamTricode AS tricode", "type_text AS action_type", "subtype_text AS subtype", "description_text AS description",
         )
     )
 
