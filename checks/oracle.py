@@ -558,6 +558,23 @@ states(
     "FROM (SELECT DISTINCT season, game_id FROM states WHERE season = '2022-23')",
 )
 
+states("fit_logistic", "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*FEATURES, "intercept"]) + "]) AS feature, true AS at_optimum")
+states("fit_platt", "SELECT unnest(['logit', 'intercept']) AS feature, true AS at_optimum")
+states("fit_mlp", "SELECT count(*) AS row_count, true AS learned FROM states WHERE season = '2022-23'")
+_SPLIT_ROWS = (
+    "tr AS (SELECT count(*) AS every, sum(possession_known)::BIGINT AS known, "
+    f"count(DISTINCT (game_id, floor({ELAPSED} / 30))) AS buckets FROM states WHERE season = '2021-22'), "
+    "va AS (SELECT count(*) AS every, sum(possession_known)::BIGINT AS known FROM states WHERE season = '2022-23')"
+)
+ORACLE["experiment_grid"] = with_(
+    f"{sb.STATES}, {_SPLIT_ROWS}",
+    "SELECT e.*, true AS beats_constant FROM tr, va, LATERAL (VALUES "
+    "('base', 10, false, 'full', 1.0::DOUBLE, tr.every, va.every), ('with scores', 12, false, 'full', 1.0, tr.every, va.every), "
+    "('known possession', 10, true, 'full', 1.0, tr.known, va.known), ('game balanced', 10, false, 'game_balanced', 1.0, tr.every, va.every), "
+    "('time buckets', 10, false, 'time_bucket_30s', 1.0, tr.buckets, va.every), ('c 0.1', 10, false, 'full', 0.1, tr.every, va.every), "
+    "('c 10', 10, false, 'full', 10.0, tr.every, va.every)) e(experiment, n_features, drop_unknown, weighting, c, train_rows, row_count)",
+)
+
 # --- Sources and sinks ------------------------------------------------------------------
 
 LOG = "season, GAME_ID, GAME_DATE, TEAM_ID, TEAM_ABBREVIATION, MATCHUP, WL, PTS"

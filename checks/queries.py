@@ -447,33 +447,46 @@ def _(feed):
 query("calibration_split")(lambda feed: md.calibration_split(ds.make_split(feed.states(), "validation")))
 
 
-def coefficients(model: md.LinearModel, spark: SparkSession) -> DataFrame:
-    rows = [*zip(model.features, model.coefficients, strict=True), ("intercept", model.intercept)]
-    return spark.createDataFrame(rows, "feature STRING, coefficient DOUBLE")
+def at_optimum(rows: DataFrame, model: md.LinearModel, c: float = 1.0) -> DataFrame:
+    """The coefficients of a fit, each with whether the loss over all rows is level there."""
+    return md.loss_slopes(rows, model, c).selectExpr("feature", "abs(slope) < 1e-3 AS at_optimum")
 
 
 @query("fit_logistic")
 def _(feed):
-    return coefficients(md.fit_logistic(scaled(feed, "train")), feed.spark)
+    train = scaled(feed, "train")
+    return at_optimum(train, md.fit_logistic(train))
 
 
 @query("fit_platt")
 def _(feed):
     logits = ds.make_split(feed.states(), "validation").withColumn("logit", F.expr("score_differential / 8D"))
-    fits = md.calibration_split(logits).where("fits")
-    return coefficients(md.fit_platt(logits.join(fits, ["season", "game_id"], "left_semi")), feed.spark)
+    rows = logits.join(md.calibration_split(logits).where("fits"), ["season", "game_id"], "left_semi")
+    return at_optimum(rows, md.fit_platt(rows), c=1e6)
+
+
+def judged(feed: DerivedFeed, metrics: DataFrame) -> DataFrame:
+    """``metrics`` of validation rows with whether they beat the win rate of the train rows."""
+    states = feed.states()
+    constant = mt.probability_metrics(md.constant_baseline(ds.make_split(states, "train"), ds.make_split(states, "validation")))
+    return metrics.withColumn("beats_constant", F.col("brier") < constant.select("brier").scalar())
 
 
 @query("fit_mlp")
 def _(feed):
+    """The perceptron fitted and judged on all validation rows; on the rows that it has seen it beats the constant."""
     model = md.fit_mlp(scaled(feed, "train"))
-    return mt.probability_metrics(md.score_fitted_mlp(scaled(feed, "validation"), model))
+    seen = mt.probability_metrics(md.score_fitted_mlp(scaled(feed, "train"), model))
+    constant = mt.probability_metrics(md.constant_baseline(ds.make_split(feed.states(), "train"), ds.make_split(feed.states(), "train")))
+    metrics = mt.probability_metrics(md.score_fitted_mlp(scaled(feed, "validation"), model))
+    return metrics.select("row_count", (seen.select("brier").scalar() < constant.select("brier").scalar()).alias("learned"))
 
 
 @query("experiment_grid")
 def _(feed):
     states = feed.states()
-    return md.experiment_grid(ds.make_split(states, "train"), ds.make_split(states, "validation"))
+    grid = md.experiment_grid(ds.make_split(states, "train"), ds.make_split(states, "validation"))
+    return judged(feed, grid).selectExpr("experiment", "size(features) AS n_features", "drop_unknown", "weighting", "c", "train_rows", "row_count", "beats_constant")
 
 
 @query("load_save_preprocessor")

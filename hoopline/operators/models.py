@@ -97,6 +97,17 @@ def fit_logistic(
     return LinearModel(tuple(features), tuple(float(v) for v in model.coefficients), float(model.intercept))
 
 
+def loss_slopes(rows: DataFrame, model: LinearModel, c: float = 1.0) -> DataFrame:
+    """Slope of the penalised mean loss at ``model`` for each coefficient and the intercept, over all rows; 0 at the optimum."""
+    error = f"({ck.sigmoid_clip(linear_logit(model))} - {fv.TARGET})"
+    sums = ", ".join(
+        f"named_struct('feature', '{name}', 'slope', (sum({error} * {name}) + {value / c!r}D) / count(1))"
+        for name, value in zip(model.features, model.coefficients, strict=True)
+    )
+    slopes = f"array({sums}, named_struct('feature', 'intercept', 'slope', sum({error}) / count(1)))"
+    return rows.agg(F.expr(slopes).alias("slopes")).selectExpr("inline(slopes)")
+
+
 def linear_logit(model: LinearModel) -> str:
     terms = " + ".join(f"({value!r}D * {name})" for name, value in zip(model.features, model.coefficients, strict=True))
     return f"({terms} + {model.intercept!r}D)"
@@ -197,7 +208,8 @@ def run_experiment(train: DataFrame, validation: DataFrame, features=fv.MODEL_FE
     finally:
         scaled.unpersist()
     scored = score_logistic(apply_scaler(judge_rows, scaler, features, keep=(*keep, fv.TARGET)), model)
-    return mt.probability_metrics(scored)
+    setting = {"features": F.lit(list(features)), "drop_unknown": F.lit(drop_unknown), "weighting": F.lit(weighting), "c": F.lit(float(c))}
+    return mt.probability_metrics(scored).withColumns({**setting, "train_rows": F.lit(fit_rows.count())})
 
 
 def experiment_grid(train: DataFrame, validation: DataFrame, experiments=EXPERIMENTS) -> DataFrame:
