@@ -44,6 +44,17 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % modulus
 
 
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """About ``n`` rows of ``df``, all if it has no more: those whose hash of ``keys`` is lowest.
+
+    The bound on the hash comes from a count, so rows go nowhere to be compared; the sample misses ``n`` by a few times its root.
+    Repeated rows fall on one hash, so twice ``n`` is a hard bound.
+    """
+    rows = df.count()
+    u = F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+    return df.filter(u < F.lit(n / max(rows, 1))).limit(2 * n)
+
+
 def skewed_lookup(rows: DataFrame, values: DataFrame, key: str, support: float = 0.001) -> DataFrame:
     """Left join of ``rows`` with the narrow ``values`` (one row per key), both written tables, where a key may hold most rows.
 

@@ -5,7 +5,7 @@ around it (an element with a meaning of its own: article, nav, a div with a clas
 zero, words of boilerplate and all tags below (boilerplate inside an article counts nothing). One linear scan finds the run with the largest sum; the text of that run,
 without the boilerplate containers inside it, is the main text.
 
-The weights are log odds counted on labelled pages: a bounded sample (``LABELLED_PAGES`` pages of at most
+The weights are log odds counted on labelled pages: a bounded sample (about ``LABELLED_PAGES`` pages of at most
 ``LABELLED_CHARS`` characters, lowest hash of the id first) of pages that mark their content with ``article`` or
 ``main``. Kinds not seen there, and tables without such pages, take the default weights.
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopline.llm.common import read_table
+from hoopline.llm.common import hash_sample, read_table
 
 LABELLED_PAGES = 1000
 LABELLED_CHARS = 50_000
@@ -183,7 +183,7 @@ def extract(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``pages`` (page_id, url, html) as page_id, url, text, n_chars. ``labelled`` (html) defaults to a sample of the pages."""
     if labelled is None:
         marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= LABELLED_CHARS))
-        labelled = marked.select("html", "page_id").orderBy(F.xxhash64("page_id", "html")).limit(LABELLED_PAGES).select("html")
+        labelled = hash_sample(marked.select("html", "page_id"), ["page_id", "html"], LABELLED_PAGES).select("html")
     weights = learn_weights([r["html"] for r in labelled.collect()])
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,12 +2,12 @@
 
 A document's set is its distinct shingles of five words (fewer words: all of them as one). Documents with equal sets form
 a class, and only classes are compared. Each of ``TREES`` independent trees starts with one node of all classes and
-branches on the class's value of a minwise hash, a chosen token of its set; two sets of similarity s stay together on a
-level with probability s. Nodes of at most ``NODE`` classes are compared exhaustively. Larger nodes branch again, up to
-``DEPTH`` levels, and on each level all their classes are compared with one hub, in chunks. A node that is still large at
+branches on the class's values of minwise hashes, that is on chosen tokens of its set; two sets of similarity s stay together
+over k hashes with probability s^k. Nodes of at most ``NODE`` classes are compared exhaustively. Larger nodes branch again, on
+``LEVELS`` hashes in all, and on each level all their classes are compared with one hub, in chunks. A node that is still large at
 the last level compares the classes outside its largest component with all the others, in blocks, so no candidate is
-dropped. For similar sets in small nodes one tree finds a link of similarity 0.75 with probability 0.75 at least per
-level, so 16 trees miss one link in 4^16; on the fourth level they miss about 0.2 %.
+dropped. In small nodes one tree finds a link of similarity 0.75 with probability 0.75, so 16 trees miss one link in 4^16; a
+link in nodes that have to branch twice is found with probability 0.42 in each tree, and 16 trees miss 0.02 % of them.
 
 Trees run in rounds. After each round the links found are merged into components, and later rounds compare only classes
 of different components. The ``HASHES`` minwise values of two classes must agree in at least ``AGREE`` places (a link of
@@ -21,8 +21,9 @@ share their fate. Rows with a null id are linked like others and never named; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,16 @@ from pyspark.sql import functions as F
 from hoopline.llm.common import read_table, saved, skewed_lookup
 from hoopline.llm.shingles import mixed, shingle_set
 
-TREES, HASHES, DEPTH = 16, 64, 12
-ROUNDS = ((0, 2), (2, 7), (7, TREES))
+TREES, HASHES = 16, 64
+#: How many hashes name a node on each level that is looked at.
+LEVELS = (1, 3, 6)
+#: First and last tree, and levels, of each round. The first rounds only gather what is easy to find.
+ROUNDS = ((0, 1, LEVELS[:1]), (1, 4, LEVELS[:1]), (0, TREES, LEVELS))
 NODE = 256
 SIMILARITY = (75, 100)
 AGREE = 34
-BROADCAST_KEYS = 2_000_000
+BROADCAST_ROWS = 500_000
+DIGEST_BYTES = 5
 MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -49,8 +54,19 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return (mixed(best) >> np.uint64(32)).astype("<u4")
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The top DIGEST_BYTES of each digest. Two sets of 600 see one wrong match in three million pairs."""
+    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGEST_BYTES :]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // DIGEST_BYTES, 8), np.uint8)
+    out[:, 8 - DIGEST_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, DIGEST_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
 def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, ``text_hash``, ``n_shingles``, ``cls`` (null: empty set), ``sig`` and ``shingles`` as bytes."""
+    """Per row: id, ``text_hash``, ``n_shingles``, ``cls`` (null: empty set), ``sig`` and ``shingles`` as bytes, ``row_no``."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,14 +77,14 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 yield pd.DataFrame(
                     {
                         "id": part["id"], "text_hash": part["text_hash"], "n_shingles": [len(s) for s in sets], "cls": pd.array(name, "Int64"),
-                        "sig": [minwise(s).tobytes() if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets],
+                        "sig": [minwise(s).tobytes() if len(s) else None for s in sets], "shingles": [packed(s) for s in sets],
                     }
                 )
 
     text = F.col(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     id_type = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInPandas(sketch, f"id {id_type}, text_hash long, n_shingles long, cls long, sig binary, shingles binary")
+    return rows.mapInPandas(sketch, f"id {id_type}, text_hash long, n_shingles long, cls long, sig binary, shingles binary").withColumn("row_no", F.monotonically_increasing_id())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -94,71 +110,94 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _forest(n: int, comp: np.ndarray) -> tuple[list[int], callable]:
-    """Union-find over rows that starts from their components."""
-    _, first, inverse = np.unique(comp, return_index=True, return_inverse=True)
-    parent = first[inverse.reshape(-1)].tolist()
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    return parent, root
+def _by_group(work: Callable[[dict], dict | None], names: list[str]):
+    """A function over batches of rows sorted by ``sub`` that calls ``work`` with the rows of one value at a time.
 
+    A group lies in one partition but may lie in several batches; only one group is held beside the batch.
+    """
 
-def _promising(node: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in chain(batches, [None]):
+            if batch is None:
+                whole = pd.concat(rest, ignore_index=True) if rest else None
+            elif not len(batch):
+                continue
+            elif rest and batch["sub"].iloc[0] == batch["sub"].iloc[-1] == rest[0]["sub"].iloc[-1]:
+                rest.append(batch)
+                continue
+            else:
+                whole = pd.concat([*rest, batch], ignore_index=True)
+            if whole is None:
+                return
+            sub = whole["sub"].to_numpy()
+            bounds = [0, *(np.flatnonzero(sub[1:] != sub[:-1]) + 1).tolist(), len(sub)]
+            columns = {c: whole[c].to_numpy() for c in whole.columns}
+            last = bounds[-2] if batch is not None else len(sub)
+            found = [work({c: v[i:j] for c, v in columns.items()}) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if i < last]
+            found = [f for f in found if f is not None]
+            if found:
+                yield pd.DataFrame({n: np.concatenate([f[n] for f in found]) for n in names})
+            rest = [whole.iloc[last:]] if last < len(sub) else []
+
+    return run
+
+
+def _promising(node: dict) -> dict | None:
     """Clusters of a node whose hash values leave a link between two components possible, named by their members."""
-    node = node.sort_values(["cls", "left"], ignore_index=True).drop_duplicates("cls", keep="last", ignore_index=True)
-    n, comp, left = len(node), node["comp"].to_numpy(), node["left"].to_numpy()
+    # A class can come twice, as a hub and as a member of the hub's chunk; the left one counts.
+    order = np.lexsort((~node["left"], node["cls"]))
+    order = order[np.concatenate([[True], node["cls"][order][1:] != node["cls"][order][:-1]])]
+    node = {c: v[order] for c, v in node.items()}
+    n, comp, left = len(order), node["comp"], node["left"]
     sigs = np.frombuffer(b"".join(node["sig"]), "<u4").reshape(n, HASHES)
     parent, seen = list(range(n)), np.zeros(n, bool)
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for k in np.flatnonzero(left):
+    for k in np.flatnonzero(left).tolist():
         near = ((sigs == sigs[k]).sum(1) >= AGREE) & (comp != comp[k])
-        for other in np.flatnonzero(near):
+        for other in np.flatnonzero(near).tolist():
             seen[k] = seen[other] = True
-            parent[root(int(other))] = root(int(k))
+            parent[_root(parent, other)] = _root(parent, k)
     own = np.flatnonzero(seen)
     if not len(own):
-        return pd.DataFrame({"sub": [], "cls": [], "comp": [], "left": []}).astype({"sub": "int64", "cls": "int64", "comp": "int64", "left": "bool"})
-    cluster = np.array([root(int(k)) for k in own])
-    digests = mixed(node["cls"].to_numpy()[own].astype(np.uint64) * np.uint64(2) + left[own].astype(np.uint64))
+        return None
+    cluster = np.array([_root(parent, k) for k in own.tolist()])
+    digests = mixed(node["cls"][own].astype(np.uint64) * np.uint64(2) + left[own].astype(np.uint64))
     _, place = np.unique(cluster, return_inverse=True)
     sums = np.zeros(place.max() + 1, np.uint64)
     np.add.at(sums, place, digests)
-    return pd.DataFrame({"sub": mixed(sums)[place].astype(np.int64), "cls": node["cls"].to_numpy()[own], "comp": comp[own], "left": left[own]})
+    return {"sub": mixed(sums)[place].astype(np.int64), "row_no": node["row_no"][own], "cls": node["cls"][own], "comp": comp[own], "left": left[own]}
+
 
+def _root(parent: list[int], k: int) -> int:
+    while parent[k] != k:
+        parent[k] = parent[parent[k]]
+        k = parent[k]
+    return k
 
-def _linked(sub: pd.DataFrame) -> pd.DataFrame:
+
+def _linked(sub: dict) -> dict | None:
     """A spanning forest of the exact links between components: each left row against all others."""
-    n, comp, names = len(sub), sub["comp"].to_numpy(), sub["cls"].to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in sub["shingles"]]
+    comp, names = sub["comp"], sub["cls"]
+    sets = [unpacked(s) for s in sub["shingles"]]
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ids = ids.reshape(-1)
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(int(ids.max()) + 1, bool)
-    parent, root = _forest(n, comp)
+    _, first, inverse = np.unique(comp, return_index=True, return_inverse=True)
+    parent = first[inverse.reshape(-1)].tolist()
     edges = []
-    for k in np.flatnonzero(sub["left"].to_numpy()):
+    for k in np.flatnonzero(sub["left"]).tolist():
         own = ids[starts[k] : starts[k] + sizes[k]]
         mark[own] = True
         both = np.add.reduceat(mark[ids].astype(np.int64), starts)
         mark[own] = False
-        for other in np.flatnonzero(both * SIMILARITY[1] >= (sizes + sizes[k] - both) * SIMILARITY[0]):
-            a, b = root(int(k)), root(int(other))
+        for other in np.flatnonzero(both * SIMILARITY[1] >= (sizes + sizes[k] - both) * SIMILARITY[0]).tolist():
+            a, b = _root(parent, k), _root(parent, other)
             if a != b:
                 parent[b] = a
                 edges.append((names[k], names[other]))
-    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+    return {"a": np.array([a for a, _ in edges]), "b": np.array([b for _, b in edges])} if edges else None
 
 
 def _node_of(tree, sig_names: str, level: int):
@@ -167,17 +206,16 @@ def _node_of(tree, sig_names: str, level: int):
     return F.xxhash64(tree, F.lit(level), *values)
 
 
-def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, trees: tuple[int, int]) -> DataFrame:
-    """Rows (sub, cls, comp, left) of the groups to compare, for some trees."""
-    spark = classes.sparkSession
+def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, first: int, end: int, levels: tuple[int, ...]) -> DataFrame:
+    """Rows (sub, cls, comp, left) of the groups to compare, for some trees and levels."""
     if comps is None:
         known = classes.select("cls", "values", F.col("cls").alias("comp"))
     else:
         known = classes.select("cls", "values").join(comps, "cls", "left").select("cls", "values", F.coalesce("comp", "cls").alias("comp"))
-    every = known.select("cls", "comp", "values", F.explode(F.array(*[F.lit(t) for t in range(*trees)])).alias("tree"))
+    every = known.select("cls", "comp", "values", F.explode(F.array(*[F.lit(t) for t in range(first, end)])).alias("tree"))
     groups = []
     active = every
-    for level in range(1, DEPTH + 1):
+    for level in levels:
         placed = active.withColumn("node", _node_of(F.col("tree"), "values", level))
         # Only names and components travel; the values follow for the few classes that go on.
         sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cls").alias("hub"))
@@ -194,9 +232,9 @@ def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, trees: tuple[i
         others = members.filter("cls != hub").select(chunk(F.pmod(F.xxhash64("cls", F.lit(level)), chunks)).alias("sub"), "cls", "comp", F.lit(False).alias("left"))
         groups += [of_hub, others]
         active = members.select("cls", "comp", "values", "tree")
-        if level == DEPTH:
+        if level == LEVELS[-1]:
             groups.append(_blocks(members))
-    return saved(reduce(DataFrame.unionByName, groups), "groups") if groups else spark.createDataFrame([], "sub long, cls long, comp long, left boolean")
+    return saved(reduce(DataFrame.unionByName, groups), "groups")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -213,25 +251,28 @@ def _blocks(members: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """``keys`` (long) to be broadcast if they are few enough, else as they are."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def _small(rows: DataFrame) -> DataFrame:
+    """Narrow ``rows`` (a written table) to be broadcast if they are few enough, else as they are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def link_classes(sketch: DataFrame) -> DataFrame:
     """``cls``, ``comp`` of all classes that are linked with another one; ``sketch`` is a written table."""
     numbers = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.hex(F.substring(F.col("sig"), k * 4 + 1, F.lit(4))))
-    one = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("sig").alias("sig"))
-    classes = saved(one.select("cls", "sig"), "classes").withColumn("values", numbers)
-    sets = sketch.filter(F.col("cls").isNotNull()).select("cls", "shingles")
+    one = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("row_no").alias("row_no"), F.min("sig").alias("sig"))
+    classes = saved(one, "classes").withColumn("values", numbers)
     comps, edges = None, None
-    for trees in ROUNDS:
-        groups = _candidate_nodes(classes, comps, trees)
-        sigs = classes.select("cls", "sig").join(_small(groups.select("cls").distinct()), "cls", "left_semi")
-        promising = groups.join(sigs, "cls").groupBy("sub").applyInPandas(_promising, "sub long, cls long, comp long, left boolean")
+    for first, end, levels in ROUNDS:
+        groups = _candidate_nodes(classes, comps, first, end, levels)
+        # The small tables are broadcast to the wide ones, so signatures and sets travel once, to their groups.
+        with_sig = classes.select("cls", "row_no", "sig").join(_small(groups), "cls").select("sub", "row_no", "cls", "comp", "left", "sig")
+        grouped = with_sig.repartition("sub").sortWithinPartitions("sub")
+        names = ["sub", "row_no", "cls", "comp", "left"]
+        promising = grouped.mapInPandas(_by_group(_promising, names), "sub long, row_no long, cls long, comp long, left boolean")
         promising = saved(promising.distinct(), "promising")
-        chosen = sets.join(_small(promising.select("cls").distinct()), "cls", "left_semi").dropDuplicates(["cls"])
-        found = saved(promising.join(chosen, "cls").groupBy("sub").applyInPandas(_linked, "a long, b long"), "links")
+        with_set = sketch.select("row_no", "shingles").join(_small(promising), "row_no").select("sub", "cls", "comp", "left", "shingles")
+        found = with_set.repartition("sub").sortWithinPartitions("sub").mapInPandas(_by_group(_linked, ["a", "b"]), "a long, b long")
+        found = saved(found, "links")
         edges = found if edges is None else edges.unionByName(found)
         comps = components(edges)
     return comps

@@ -6,7 +6,7 @@ random strings exceeds that under a model of ordinary identifiers by ``THRESHOLD
 characters, such as rules of dashes, are left alone.
 
 Both models are bigram models trained on samples that the patterns label: values that they find are random strings, all
-other tokens ordinary; part of the random model is uniform, as secrets have many alphabets. At most ``SAMPLE_TOKENS`` of each are used from ``SAMPLE_DOCS``
+other tokens ordinary; part of the random model is uniform, as secrets have many alphabets. At most ``SAMPLE_TOKENS`` of each are used from about ``SAMPLE_DOCS``
 documents of at most ``SAMPLE_CHARS`` characters, lowest hash first. With no labelled values, random strings are uniform.
 
 Null text counts as empty. Spans are in code points, end exclusive.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopline.llm.common import read_table
+from hoopline.llm.common import hash_sample, read_table
 
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
@@ -113,8 +113,8 @@ def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, counts of the base kinds, digest of the base spans, all spans as text."""
-    sample = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCS)
-    table = train([r["text"] for r in sample.collect()])
+    sample = hash_sample(docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text"), ["doc_id", "text"], SAMPLE_DOCS)
+    table = train(sorted(r["text"] for r in sample.collect()))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shown = lambda spans: ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans)

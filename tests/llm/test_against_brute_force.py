@@ -142,11 +142,10 @@ def near_copies(n, seed=3):
     return out
 
 
-@pytest.mark.parametrize("node, depth", [(256, 12), (8, 3), (4, 2)])
-def test_a_large_group_of_near_copies(spark, monkeypatch, node, depth):
+@pytest.mark.parametrize("node", [256, 12, 5])
+def test_a_large_group_of_near_copies(spark, monkeypatch, node):
     """With tiny nodes the hubs, the deeper levels and the blocks of what is left over all come into play."""
     monkeypatch.setattr(near_dedup, "NODE", node)
-    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     docs = near_copies(80)
     _, want = true_components(docs)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
