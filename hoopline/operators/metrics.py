@@ -89,8 +89,8 @@ def exact_auc(counts: DataFrame, by: list[str]) -> DataFrame:
     are those of earlier blocks (counted per block) plus those inside the block.
     """
     # Never null, or the join would filter on it and have every probability worked out once more.
-    steps = f"CASE WHEN p <= 0 THEN {-1 << 30} WHEN p >= 1 THEN {1 << 30} ELSE CAST(floor(ln(p / (1 - p)) * {AUC_STEPS}) AS INT) END"
-    blocked = counts.withColumn("block", F.expr(f"coalesce({steps}, 0)"))
+    odds = "greatest(p, 1e-300D) / greatest(1 - p, 1e-300D)"
+    blocked = counts.withColumn("block", F.expr(f"coalesce(CAST(floor(ln({odds}) * {AUC_STEPS}) AS INT), 0)"))
     group = ", ".join(by) if by else "1"
     per_block = blocked.groupBy(*by, "block").agg(F.sum("lost").alias("block_lost"))
     earlier = per_block.selectExpr(
