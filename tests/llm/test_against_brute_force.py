@@ -428,3 +428,41 @@ def test_pipeline_stages(spark, documents):
 
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {r.doc_id for r in pieces} == set(kept["decontamination"])
+
+
+# --- Contexts of the running text -----------------------------------------------------------
+
+
+def test_pair_counts_equal_plain_counts(monkeypatch):
+    """The counts of every bit below the words before it, with and without contexts kept in parts."""
+    rand = random.Random(6)
+    texts = [[*rand.choices([b"a", b"alpha", b"alp", b"beta", b"b", b"be"], k=rand.randrange(1, 30)), context_mixing.END] for _ in range(20)]
+    code = context_mixing.Code(np.bincount(np.frombuffer(b"alphabetalphabet \n", np.uint8), minlength=256))
+    tokens, words = context_mixing._numbered(texts)
+    spelled = lambda w: "".join(str(b) for c in (w + b" " if w else b"\n") for b in code.bits[c, : code.sizes[c]])
+    per_word = np.array([len(spelled(w)) for w in words])
+    for hot in (set(), set(words), {b"alpha", b"b"}):
+        pairs = context_mixing.Pairs(tokens, words, hot)
+        rows = pairs.frame(np.ones(sum(map(len, texts)))).groupby(["pair", "key", "piece"], as_index=False)["n"].sum()
+        table = context_mixing.bit_counts(rows, code)
+        for order, (first, counts) in zip(context_mixing.ORDERS, pairs.counts(context_mixing._found(table), per_word), strict=True):
+            plain = collections.Counter()
+            where = [(tuple(t[max(0, k - order) : k]), spelled(w)) for t in texts for k, w in enumerate(t)]
+            for context, bits in where:
+                plain.update((context, bits[: k + 1]) for k in range(len(bits)))
+            for (context, bits), at in zip(where, first.tolist(), strict=True):
+                for k in range(len(bits)):
+                    want = [plain[context, bits[:k] + b] for b in "01"]
+                    assert counts[at + k] == pytest.approx(want, rel=0.1)
+
+
+def test_word_order_counts(spark, tmp_path):
+    """A held-out text in the order of the training texts is likelier than its words in another order."""
+    rand = random.Random(2)
+    line = [f"w{k}" for k in range(40)]
+    mixed_up = rand.sample(line, 40)
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = [(k, " ".join(line if k not in held[1:2] else mixed_up)) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in context_mixing.op1_lm_scores(spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] * 0.7
