@@ -466,3 +466,20 @@ def test_word_order_counts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.score for r in context_mixing.op1_lm_scores(spark, str(tmp_path)).collect()}
     assert got[held[0]] > got[held[1]] * 0.7
+
+
+def test_rare_words_have_whole_word_counts(spark, monkeypatch, tmp_path):
+    """With hardly any frequent words, the counts of a rare word are those of all training words that begin like it."""
+    monkeypatch.setattr(context_mixing, "HEAD", 2)
+    rows = [(k, "common common rare rarely zebra") for k in range(9)]
+    docs = context_mixing.in_slices(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "doc_id = 8 AS held_out", "text"))
+    model, _, head, pairs = context_mixing.train(docs)
+    assert set(head) == {b"common", context_mixing.END}
+    words = [b"rare", b"zebra", b"rarely"]
+    per_word = context_mixing.slots_of(words, model.code)[2]
+    alone = context_mixing.Pairs([], words, set(), np.arange(3))
+    first, counts = alone.counts_alone(context_mixing._found(pairs.toPandas()), per_word)
+    sums = [counts[a : a + n].sum(1) for a, n in zip(first.tolist(), per_word.tolist(), strict=True)]
+    assert all(s[0] == pytest.approx(8 * 6, rel=0.1) for s in sums)
+    stem = int(sum(model.code.sizes[c] for c in b"rare"))
+    assert [sums[0][stem], sums[2][stem], sums[1][-1]] == pytest.approx([16, 16, 8], rel=0.1)
