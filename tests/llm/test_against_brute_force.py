@@ -483,3 +483,18 @@ def test_rare_words_have_whole_word_counts(spark, monkeypatch, tmp_path):
     assert all(s[0] == pytest.approx(8 * 6, rel=0.1) for s in sums)
     stem = int(sum(model.code.sizes[c] for c in b"rare"))
     assert [sums[0][stem], sums[2][stem], sums[1][-1]] == pytest.approx([16, 16, 8], rel=0.1)
+
+
+def test_every_weight_is_refined_in_the_document():
+    """From weights of zero, a text of less than 32 tokens gains by every single corpus context."""
+    model = small_model()
+    model.weights[:] = 0
+    text = context_mixing.words_of("alpha beta " * 7)
+    assert len(text) < 32
+    still = model.scores([text], rate=0.0)[0]
+    for k in range(context_mixing.K):
+        single = context_mixing.Model.of_state({**model.state(), "odds": np.zeros_like(model.odds)})
+        part = slice(context_mixing.OFFSETS[k], context_mixing.OFFSETS[k] + (1 << context_mixing.SLOT_BITS[k]))
+        single.odds[part] = model.odds[part]
+        none = context_mixing.Model.of_state({**model.state(), "odds": np.zeros_like(model.odds)})
+        assert single.scores([text])[0] > none.scores([text])[0] > still - 1e-6
