@@ -7,7 +7,8 @@ without the boilerplate containers inside it, is the main text.
 
 The weights are log odds counted on labelled pages: a bounded sample (about ``LABELLED_PAGES`` pages of at most
 ``LABELLED_CHARS`` characters, lowest hash of the id first) of pages that mark their content with ``article`` or
-``main``. Kinds not seen there, and tables without such pages, take the default weights.
+``main``. Kinds not seen there, and tables without such pages, take the default weights; so does the plain body of a page without text in ``article`` or
+``main``, of which marked pages say nothing.
 
 Null or empty html gives an empty text. Repeated rows and ids are independent of each other. Open comments, tags
 and elements end with the page.
@@ -133,10 +134,10 @@ def tokens(page: str) -> Iterator[Token]:
         open_names[name] += 1
 
 
-def _weight(weights: dict[tuple[str, str], float], kind: str, container: str, boilerplate: bool) -> float:
+def _weight(weights: dict[tuple[str, str], float], kind: str, container: str, boilerplate: bool, marked: bool) -> float:
     if container.startswith(">"):
         return 0.0
-    known = weights.get((kind, container))
+    known = weights.get((kind, container)) if marked or boilerplate else None
     if boilerplate:
         return min(known if known is not None else 0.0, BOILERPLATE_TAG if kind else BOILERPLATE_WORD)
     if known is None:
@@ -159,12 +160,13 @@ def learn_weights(pages: list[str]) -> dict[tuple[str, str], float]:
 def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
     """Text of the best run of ``page``: blocks in page order, joined by one space."""
     run = list(tokens(page))
+    marked = any(not kind and container in CONTENT_ELEMENTS and not boilerplate and text.strip() for kind, container, boilerplate, text in run)
     best, best_start, best_end = 0.0, 0, 0
     total, start = 0.0, 0
     for k, (kind, container, boilerplate, text) in enumerate(run):
         n = 1 if kind else len(text.split())
         if n:
-            total += n * _weight(weights, kind, container, boilerplate)
+            total += n * _weight(weights, kind, container, boilerplate, marked)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:

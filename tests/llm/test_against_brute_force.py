@@ -498,3 +498,14 @@ def test_every_weight_is_refined_in_the_document():
         single.odds[part] = model.odds[part]
         none = context_mixing.Model.of_state({**model.state(), "odds": np.zeros_like(model.odds)})
         assert single.scores([text])[0] > none.scores([text])[0] > still - 1e-6
+
+
+def test_pages_without_article_beside_marked_pages():
+    """Stray words in the body of marked pages say nothing of pages whose content stands in the body."""
+    marked = "<html><body><nav>menu</nav><p>by someone</p><article><p>" + "words of content " * 20 + "</p></article>stray caption</body></html>"
+    bare = "by someone <article>words of content</article>"
+    weights = html_text.learn_weights([marked] * 20 + [bare])
+    assert html_text.main_text("<html><body><nav>menu</nav><div id=content><p>Some plain words.</p><p>More.</p></div><footer>f</footer></body></html>", weights) == "Some plain words. More."
+    assert html_text.main_text("<body><article></article><section>Text stands here.</section></body>", weights) == "Text stands here."
+    assert html_text.main_text("<div><p>No body tag.</p></div>", weights) == "No body tag."
+    assert html_text.main_text(marked, weights) == " ".join(["words of content"] * 20)
