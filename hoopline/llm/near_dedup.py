@@ -6,12 +6,13 @@ branches on the class's values of minwise hashes, that is on chosen tokens of it
 over k hashes with probability s^k. Nodes of at most ``NODE`` classes are compared exhaustively. Larger nodes branch again, on
 ``LEVELS`` hashes in all, and on each level all their classes are compared with one hub, in chunks. A node that is still large at
 the last level compares the classes outside its largest component with all the others, in blocks, so no candidate is
-dropped. In small nodes one tree finds a link of similarity 0.75 with probability 0.75, so 16 trees miss one link in 4^16; a
-link in nodes that have to branch twice is found with probability 0.42 in each tree, and 16 trees miss 0.02 % of them.
+dropped. Each tree has hashes of its own. In small nodes one tree finds a link of similarity 0.75 with probability 0.75, so 16 trees miss one link in 4^16; a
+link in nodes that have to branch twice (whose shared shingles many other classes hold) is found with probability 0.75^6 = 0.178 in each tree,
+and 16 trees would miss 4.3 % of them. So classes in nodes that reach the last level go on through ``DEEP_TREES`` trees on that level, which miss 0.004 %.
 
 Trees run in rounds. After each round the links found are merged into components, and later rounds compare only classes
 of different components. The ``HASHES`` minwise values of two classes must agree in at least ``AGREE`` places (a link of
-0.75 fails that once in some ten thousand pairs); then the full sets are compared exactly.
+0.75 fails that in one of 21,000 pairs); then the full sets are compared exactly.
 
 Links leave a node as a spanning forest, never as all pairs. Sets are digests of 64 bits; classes are told apart by a 64-bit digest of the set.
 
@@ -33,24 +34,27 @@ from pyspark.sql import functions as F
 from hoopline.llm.common import read_table, saved, skewed_lookup
 from hoopline.llm.shingles import mixed, shingle_set
 
-TREES, HASHES = 16, 64
+#: Trees of all classes, and hashes of their own for each.
+TREES, HASHES = 16, 96
+#: Trees, those included, of classes whose nodes are large down to the last level.
+DEEP_TREES = 52
 #: How many hashes name a node on each level that is looked at.
 LEVELS = (1, 3, 6)
 #: First and last tree, and levels, of each round. The first rounds only gather what is easy to find.
 ROUNDS = ((0, 1, LEVELS[:1]), (1, 4, LEVELS[:1]), (0, TREES, LEVELS))
 NODE = 256
 SIMILARITY = (75, 100)
-AGREE = 34
+AGREE = 55
 BROADCAST_ROWS = 500_000
 DIGEST_BYTES = 5
-MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, DEEP_TREES * LEVELS[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
+def minwise(shingles: np.ndarray, multipliers: np.ndarray = MULTIPLIERS[:HASHES]) -> np.ndarray:
     """The smallest value of each hash over the set, as 32-bit numbers."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 2048):
-        best = np.minimum(best, (shingles[k : k + 2048, None] * MULTIPLIERS).min(0))
+        best = np.minimum(best, (shingles[k : k + 2048, None] * multipliers).min(0))
     return (mixed(best) >> np.uint64(32)).astype("<u4")
 
 
@@ -202,20 +206,22 @@ def _linked(sub: dict) -> dict | None:
 
 def _node_of(tree, sig_names: str, level: int):
     """Name of a class's node on ``level`` of ``tree``: the values of the chosen hashes on the way there."""
-    values = [F.element_at(F.col(sig_names), F.pmod(tree * (HASHES // TREES) + k, F.lit(HASHES)).cast("int") + 1) for k in range(level)]
+    values = [F.element_at(F.col(sig_names), (tree * LEVELS[-1] + k).cast("int") + 1) for k in range(level)]
     return F.xxhash64(tree, F.lit(level), *values)
 
 
-def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, first: int, end: int, levels: tuple[int, ...]) -> DataFrame:
-    """Rows (sub, cls, comp, left) of the groups to compare, for some trees and levels."""
+def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, first: int, end: int, levels: tuple[int, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (sub, cls, comp, left) of the groups to compare, for some trees and levels; and the classes (cls) that reached the last level, if any."""
     if comps is None:
         known = classes.select("cls", "values", F.col("cls").alias("comp"))
     else:
         known = classes.select("cls", "values").join(comps, "cls", "left").select("cls", "values", F.coalesce("comp", "cls").alias("comp"))
     every = known.select("cls", "comp", "values", F.explode(F.array(*[F.lit(t) for t in range(first, end)])).alias("tree"))
-    groups = []
+    groups, deep = [], None
     active = every
     for level in levels:
+        if level == LEVELS[-1]:
+            deep = active.select("cls").distinct()
         placed = active.withColumn("node", _node_of(F.col("tree"), "values", level))
         # Only names and components travel; the values follow for the few classes that go on.
         sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cls").alias("hub"))
@@ -234,7 +240,7 @@ def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, first: int, en
         active = members.select("cls", "comp", "values", "tree")
         if level == LEVELS[-1]:
             groups.append(_blocks(members))
-    return saved(reduce(DataFrame.unionByName, groups), "groups")
+    return saved(reduce(DataFrame.unionByName, groups), "groups"), deep
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -261,21 +267,40 @@ def link_classes(sketch: DataFrame) -> DataFrame:
     numbers = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.hex(F.substring(F.col("sig"), k * 4 + 1, F.lit(4))))
     one = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("row_no").alias("row_no"), F.min("sig").alias("sig"))
     classes = saved(one, "classes").withColumn("values", numbers)
-    comps, edges = None, None
+    comps, edges, deep = None, None, None
     for first, end, levels in ROUNDS:
-        groups = _candidate_nodes(classes, comps, first, end, levels)
-        # The small tables are broadcast to the wide ones, so signatures and sets travel once, to their groups.
-        with_sig = classes.select("cls", "row_no", "sig").join(_small(groups), "cls").select("sub", "row_no", "cls", "comp", "left", "sig")
-        grouped = with_sig.repartition("sub").sortWithinPartitions("sub")
-        names = ["sub", "row_no", "cls", "comp", "left"]
-        promising = grouped.mapInPandas(_by_group(_promising, names), "sub long, row_no long, cls long, comp long, left boolean")
-        promising = saved(promising.distinct(), "promising")
-        with_set = sketch.select("row_no", "shingles").join(_small(promising), "row_no").select("sub", "cls", "comp", "left", "shingles")
-        found = with_set.repartition("sub").sortWithinPartitions("sub").mapInPandas(_by_group(_linked, ["a", "b"]), "a long, b long")
-        found = saved(found, "links")
+        groups, deep = _candidate_nodes(classes, comps, first, end, levels)
+        found = _links_of_groups(sketch, classes, groups)
         edges = found if edges is None else edges.unionByName(found)
         comps = components(edges)
-    return comps
+    if deep is None:
+        return comps
+    deep = saved(deep, "deep")
+    rows = saved(classes.join(_small(deep), "cls", "left_semi").select("cls", "row_no"), "deep_rows")
+    further = saved(sketch.drop("cls").join(_small(rows), "row_no").select("cls", "shingles").mapInPandas(_further_values, "cls long, `values` array<int>"), "further_values")
+    groups, _ = _candidate_nodes(further, comps, 0, DEEP_TREES - TREES, LEVELS[-1:])
+    return components(edges.unionByName(_links_of_groups(sketch, classes, groups)))
+
+
+def _further_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values of the trees beyond the first ``TREES``. Digests are cut to ``DIGEST_BYTES`` here, for all sets alike."""
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.iloc[at : at + 500]
+            yield pd.DataFrame({"cls": part["cls"], "values": [minwise(unpacked(s), MULTIPLIERS[HASHES:]).view("<i4") for s in part["shingles"]]})
+
+
+def _links_of_groups(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The exact links (a, b) that join components inside the groups."""
+    # The small tables are broadcast to the wide ones, so signatures and sets travel once, to their groups.
+    with_sig = classes.select("cls", "row_no", "sig").join(_small(groups), "cls").select("sub", "row_no", "cls", "comp", "left", "sig")
+    grouped = with_sig.repartition("sub").sortWithinPartitions("sub")
+    names = ["sub", "row_no", "cls", "comp", "left"]
+    promising = grouped.mapInPandas(_by_group(_promising, names), "sub long, row_no long, cls long, comp long, left boolean")
+    promising = saved(promising.distinct(), "promising")
+    with_set = sketch.select("row_no", "shingles").join(_small(promising), "row_no").select("sub", "cls", "comp", "left", "shingles")
+    found = with_set.repartition("sub").sortWithinPartitions("sub").mapInPandas(_by_group(_linked, ["a", "b"]), "a long, b long")
+    return saved(found, "links")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -509,3 +509,18 @@ def test_pages_without_article_beside_marked_pages():
     assert html_text.main_text("<body><article></article><section>Text stands here.</section></body>", weights) == "Text stands here."
     assert html_text.main_text("<div><p>No body tag.</p></div>", weights) == "No body tag."
     assert html_text.main_text(marked, weights) == " ".join(["words of content"] * 20)
+
+
+def test_sparse_pairs_inside_a_shared_passage(spark, monkeypatch):
+    """Pairs at the bound, linked with nothing else, whose shared shingles all stand in a passage that more than NODE other documents hold."""
+    monkeypatch.setattr(near_dedup, "NODE", 3)
+    docs, want = {}, {}
+    for p in range(150):
+        passage = [f"p{p}w{k}" for k in range(104)]
+        for d in range(26):
+            tail = 16 if d < 2 else 60
+            docs[100 * p + d] = " ".join([*passage, *(f"t{p}.{d}.{k}" for k in range(tail))])
+            want[100 * p + d] = 100 * p if d < 2 else 100 * p + d
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == want
