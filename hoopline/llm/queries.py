@@ -6,6 +6,7 @@ from hoopline.llm.context_mixing import op1_lm_scores
 from hoopline.llm.decontaminate import op9_decontamination
 from hoopline.llm.exact_dedup import op4_exact_dedup
 from hoopline.llm.html_text import op7_html_text
+from hoopline.llm.imatch import op11_imatch
 from hoopline.llm.near_dedup import op2_near_dedup
 from hoopline.llm.packing import op5_packing
 from hoopline.llm.quality_cnn import op8_quality
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
+    "op11_imatch": op11_imatch,
 }
