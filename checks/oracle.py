@@ -558,21 +558,124 @@ states(
     "FROM (SELECT DISTINCT season, game_id FROM states WHERE season = '2022-23')",
 )
 
-states("fit_logistic", "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*FEATURES, "intercept"]) + "]) AS feature, true AS at_optimum")
-states("fit_platt", "SELECT unnest(['logit', 'intercept']) AS feature, true AS at_optimum")
-states("fit_mlp", "SELECT count(*) AS row_count, true AS learned FROM states WHERE season = '2022-23'")
-_SPLIT_ROWS = (
-    "tr AS (SELECT count(*) AS every, sum(possession_known)::BIGINT AS known, "
-    f"count(DISTINCT (game_id, floor({ELAPSED} / 30))) AS buckets FROM states WHERE season = '2021-22'), "
-    "va AS (SELECT count(*) AS every, sum(possession_known)::BIGINT AS known FROM states WHERE season = '2022-23')"
-)
-ORACLE["experiment_grid"] = with_(
-    f"{sb.STATES}, {_SPLIT_ROWS}",
-    "SELECT e.*, true AS beats_constant FROM tr, va, LATERAL (VALUES "
-    "('base', 10, false, 'full', 1.0::DOUBLE, tr.every, va.every), ('with scores', 12, false, 'full', 1.0, tr.every, va.every), "
-    "('known possession', 10, true, 'full', 1.0, tr.known, va.known), ('game balanced', 10, false, 'game_balanced', 1.0, tr.every, va.every), "
-    "('time buckets', 10, false, 'time_bucket_30s', 1.0, tr.buckets, va.every), ('c 0.1', 10, false, 'full', 0.1, tr.every, va.every), "
-    "('c 10', 10, false, 'full', 10.0, tr.every, va.every)) e(experiment, n_features, drop_unknown, weighting, c, train_rows, row_count)",
+#: Steps of the statements' fits; each squares the error near the optimum.
+NEWTON_STEPS = 20
+
+
+def newton(rows: str, size: int) -> str:
+    """Recursive logistic fits: ``newton`` (step, setting, c, b) from ``rows`` (setting, c, w, y, x), x a list of ``size`` numbers that ends with 1.
+
+    Each step sums gradient and Hessian, solves them by Gauss-Jordan elimination, and moves the coefficients; the last one has no penalty.
+    """
+
+    def entry(i: int, j: int) -> str:
+        return f"any_value(c) * sum(v * x[{i}] * x[{j}])" + (" + 1" if i == j < size else "")
+
+    def right(i: int) -> str:
+        return f"any_value(c) * sum(e * x[{i}])" + (f" + any_value(b)[{i}]" if i < size else "")
+
+    matrix = ", ".join("[" + ", ".join([*(entry(i, j) for j in range(1, size + 1)), right(i)]) + "]" for i in range(1, size + 1))
+    solved = (
+        f"SELECT step, setting, any_value(c) AS c, any_value(b) AS b, [{matrix}] AS m FROM "
+        "(SELECT step, setting, c, b, x, w * p * (1 - p) AS v, w * (p - y) AS e FROM "
+        "(SELECT step, setting, c, b, x, w, y, 1 / (1 + exp(-greatest(-50, least(50, list_dot_product(x, b))))) AS p "
+        f"FROM newton JOIN ({rows}) USING (setting, c) WHERE step < {NEWTON_STEPS})) GROUP BY step, setting"
+    )
+    for k in range(1, size + 1):
+        solved = (
+            f"SELECT step, setting, c, b, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda q: q / r[{k}]) "
+            f"ELSE list_transform(r, lambda q, j: q - r[{k}] / m[{k}][{k}] * m[{k}][j]) END) AS m FROM ({solved})"
+        )
+    start = "[" + ", ".join(["0::DOUBLE"] * size) + "]"
+    moved = f"SELECT step + 1, setting, c, list_transform(b, lambda q, i: q - m[i][{size + 1}]) FROM ({solved})"
+    return f"newton(step, setting, c, b) AS (SELECT DISTINCT 0, setting, c, {start} FROM ({rows}) UNION ALL {moved})"
+
+
+def coefficients(names: list[str]) -> str:
+    """The fitted coefficients by name."""
+    listed = ", ".join(f"({k}, '{name}')" for k, name in enumerate(names, 1))
+    return f"SELECT setting AS model, f.name AS feature, round(b[f.k], 5) + 0.0 AS coefficient FROM newton, (VALUES {listed}) f(k, name) WHERE step = {NEWTON_STEPS}"
+
+
+TRAIN_ROWS = f"SELECT 'logistic' AS setting, 1::DOUBLE AS c, 1::DOUBLE AS w, home_win::DOUBLE AS y, [{', '.join(FEATURES)}, 1::DOUBLE] AS x FROM ({SCALED}) WHERE season = '2021-22'"
+ORACLE["fit_logistic"] = with_(f"{sb.STATES}, nr AS MATERIALIZED ({TRAIN_ROWS}), {newton('SELECT * FROM nr', 11)}", coefficients([*FEATURES, "intercept"]))
+PLATT_ROWS = (
+    "SELECT 'platt' AS setting, 1e6::DOUBLE AS c, 1::DOUBLE AS w, home_win::DOUBLE AS y, [score_differential / 8::DOUBLE, 1::DOUBLE] AS x FROM states JOIN "
+    "(SELECT game_id, row_number() OVER (ORDER BY game_id) <= (SELECT count(DISTINCT game_id) FROM states WHERE season = '2022-23') // 2 AS fits "
+    "FROM (SELECT DISTINCT game_id FROM states WHERE season = '2022-23')) USING (game_id) WHERE fits AND season = '2022-23'"
+)
+ORACLE["fit_platt"] = with_(f"{sb.STATES}, nr AS MATERIALIZED ({PLATT_ROWS}), {newton('SELECT * FROM nr', 2)}", coefficients(["logit", "intercept"]))
+
+#: Name, features beyond the ten, only known possession, weighting, c.
+GRID = (
+    ("base", 0, False, "full", 1.0),
+    ("with scores", 2, False, "full", 1.0),
+    ("known possession", 0, True, "full", 1.0),
+    ("game balanced", 0, False, "game_balanced", 1.0),
+    ("time buckets", 0, False, "time_bucket_30s", 1.0),
+    ("c 0.1", 0, False, "full", 0.1),
+    ("c 10", 0, False, "full", 10.0),
+)
+GRID_FEATURES = [*FEATURES, "home_score", "away_score"]
+GRID_SCALED = [*SCALED_FEATURES, "home_score", "away_score"]
+
+
+def grid_sql() -> str:
+    def kind(known: bool, weighting: str) -> str:
+        return "w_known" if known else {"full": "w_full", "game_balanced": "w_balanced", "time_bucket_30s": "w_last"}[weighting]
+
+    weighed = (
+        "gridrows AS MATERIALIZED (SELECT *, 1::DOUBLE AS w_full, possession_known::DOUBLE AS w_known, "
+        "count(*) OVER ()::DOUBLE / (games * count(*) OVER (PARTITION BY game_id)) AS w_balanced, "
+        f"CASE WHEN source_event_index = max(source_event_index) OVER (PARTITION BY game_id, floor({ELAPSED} / 30)) THEN 1::DOUBLE ELSE 0 END AS w_last "
+        "FROM states CROSS JOIN (SELECT count(DISTINCT game_id)::DOUBLE AS games FROM states WHERE season = '2021-22') WHERE season = '2021-22')"
+    )
+    moments = [
+        f"avg({f}) FILTER (w_{k} > 0) AS m_{k}_{f}, coalesce(nullif(stddev_pop({f}) FILTER (w_{k} > 0), 0), 1) AS s_{k}_{f}" for k in ("full", "known", "balanced", "last") for f in GRID_SCALED
+    ]
+    counts = ", ".join(f"count(*) FILTER (w_{k} > 0) AS n_{k}" for k in ("full", "known", "balanced", "last"))
+
+    def listed(more: int, which: str) -> str:
+        parts = []
+        for f in GRID_FEATURES:
+            if f in ("home_score", "away_score") and not more:
+                parts.append("0::DOUBLE")
+            elif f == "home_possession":
+                parts.append("coalesce(CAST(home_possession AS DOUBLE), 0.5)")
+            elif f in GRID_SCALED:
+                parts.append(f"({f} - m_{which}_{f}) / s_{which}_{f}")
+            else:
+                parts.append(f"CAST({f} AS DOUBLE)")
+        return f"[{', '.join(parts)}, 1::DOUBLE]"
+
+    fits = " UNION ALL ".join(
+        f"SELECT '{name}' AS setting, {c}::DOUBLE AS c, {kind(known, weighting)} AS w, home_win::DOUBLE AS y, {listed(more, kind(known, weighting)[2:])} AS x FROM gridrows CROSS JOIN gm"
+        for name, more, known, weighting, c in GRID
+    )
+    judged = " UNION ALL ".join(
+        f"SELECT '{name}' AS experiment, home_win AS y, 1 / (1 + exp(-greatest(-50, least(50, list_dot_product(b, {listed(more, kind(known, weighting)[2:])}))))) AS p "
+        f"FROM states CROSS JOIN gm JOIN newton ON setting = '{name}' AND step = {NEWTON_STEPS} WHERE season = '2022-23'{' AND possession_known = 1' if known else ''}"
+        for name, more, known, weighting, c in GRID
+    )
+    told = " UNION ALL ".join(
+        f"SELECT '{name}' AS experiment, {10 + more} AS n_features, {known} AS drop_unknown, '{weighting}' AS weighting, {c}::DOUBLE AS c, n_{kind(known, weighting)[2:]} AS train_rows, "
+        + ", ".join(f"round(b[{k}], 5) + 0.0 AS w_{f}" if more or f not in ("home_score", "away_score") else f"NULL::DOUBLE AS w_{f}" for k, f in enumerate([*GRID_FEATURES, "intercept"], 1))
+        + f" FROM gm JOIN newton ON setting = '{name}' AND step = {NEWTON_STEPS}"
+        for name, more, known, weighting, c in GRID
+    )
+    return with_(
+        f"{sb.STATES}, {weighed}, gm AS MATERIALIZED (SELECT {', '.join(moments)}, {counts} FROM gridrows), nr AS MATERIALIZED ({fits}), {newton('SELECT * FROM nr', 13)}, "
+        f"judged AS MATERIALIZED ({judged})",
+        f"SELECT t.*, g.* EXCLUDE (experiment) REPLACE ({', '.join(f'round({m}, 6) AS {m}' for m in ('brier', 'log_loss', 'accuracy', 'roc_auc', 'ece'))}) FROM ({told}) t JOIN ({metrics('SELECT * FROM judged', 'experiment')}) g USING (experiment)",
+    )
+
+
+ORACLE["experiment_grid"] = grid_sql()
+ORACLE["fit_mlp"] = with_(
+    f"{sb.STATES}, nr AS MATERIALIZED ({TRAIN_ROWS}), {newton('SELECT * FROM nr', 11)}",
+    "SELECT model, count(*) AS row_count, round(avg((p - y) ** 2), 6) AS logistic_brier, true AS lower FROM "
+    f"(SELECT home_win AS y, 1 / (1 + exp(-greatest(-50, least(50, list_dot_product(b, [{', '.join(FEATURES)}, 1::DOUBLE]))))) AS p FROM ({SCALED}) "
+    f"JOIN newton ON step = {NEWTON_STEPS} WHERE season = '2022-23') CROSS JOIN (VALUES ('dropout 0.1'), ('dropout 0.2'), ('dropout 0.1 slow')) n(model) GROUP BY model",
 )
 
 # --- Sources and sinks ------------------------------------------------------------------

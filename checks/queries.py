@@ -447,46 +447,43 @@ def _(feed):
 query("calibration_split")(lambda feed: md.calibration_split(ds.make_split(feed.states(), "validation")))
 
 
-def at_optimum(rows: DataFrame, model: md.LinearModel, c: float = 1.0) -> DataFrame:
-    """The coefficients of a fit, each with whether the loss over all rows is level there."""
-    return md.loss_slopes(rows, model, c).selectExpr("feature", "abs(slope) < 1e-3 AS at_optimum")
+def fitted(feed: DerivedFeed, models: dict[str, md.LinearModel]) -> DataFrame:
+    return md.coefficient_rows(models, feed.spark).selectExpr("model", "feature", "round(coefficient, 5) + 0D AS coefficient")
 
 
-@query("fit_logistic")
-def _(feed):
-    train = scaled(feed, "train")
-    return at_optimum(train, md.fit_logistic(train))
+query("fit_logistic")(lambda feed: fitted(feed, {"logistic": md.fit_logistic(scaled(feed, "train"))}))
 
 
 @query("fit_platt")
 def _(feed):
     logits = ds.make_split(feed.states(), "validation").withColumn("logit", F.expr("score_differential / 8D"))
     rows = logits.join(md.calibration_split(logits).where("fits"), ["season", "game_id"], "left_semi")
-    return at_optimum(rows, md.fit_platt(rows), c=1e6)
-
-
-def judged(feed: DerivedFeed, metrics: DataFrame) -> DataFrame:
-    """``metrics`` of validation rows with whether they beat the win rate of the train rows."""
-    states = feed.states()
-    constant = mt.probability_metrics(md.constant_baseline(ds.make_split(states, "train"), ds.make_split(states, "validation")))
-    return metrics.withColumn("beats_constant", F.col("brier") < constant.select("brier").scalar())
+    return fitted(feed, {"platt": md.fit_platt(rows)})
 
 
 @query("fit_mlp")
 def _(feed):
-    """The perceptron fitted and judged on all validation rows; on the rows that it has seen it beats the constant."""
-    model = md.fit_mlp(scaled(feed, "train"))
-    seen = mt.probability_metrics(md.score_fitted_mlp(scaled(feed, "train"), model))
-    constant = mt.probability_metrics(md.constant_baseline(ds.make_split(feed.states(), "train"), ds.make_split(feed.states(), "train")))
-    metrics = mt.probability_metrics(md.score_fitted_mlp(scaled(feed, "validation"), model))
-    return metrics.select("row_count", (seen.select("brier").scalar() < constant.select("brier").scalar()).alias("learned"))
+    """The perceptrons, each judged on all validation rows against the logistic model fitted to the same train rows."""
+    train, validation = scaled(feed, "train"), scaled(feed, "validation")
+    linear = mt.probability_metrics(md.score_logistic(validation, md.fit_logistic(train))).select("brier").first()[0]
+    scored, names = validation, {}
+    for k, (name, net) in enumerate(md.fit_mlp(train, validation).items()):
+        names[name] = f"p{k}"
+        scored = md.score_fitted_mlp(scored, net, name=f"p{k}")
+    return mt.compare_models(scored, names).select(
+        "model", "row_count", F.round(F.lit(linear), 6).alias("logistic_brier"), (F.col("brier") < F.lit(linear)).alias("lower")
+    )
 
 
 @query("experiment_grid")
 def _(feed):
     states = feed.states()
     grid = md.experiment_grid(ds.make_split(states, "train"), ds.make_split(states, "validation"))
-    return judged(feed, grid).selectExpr("experiment", "size(features) AS n_features", "drop_unknown", "weighting", "c", "train_rows", "row_count", "beats_constant")
+    weights = [f"round(coefficients['{f}'], 5) + 0D AS w_{f}" for f in (*fv.MODEL_FEATURES, "home_score", "away_score")]
+    return grid.selectExpr(
+        "experiment", "size(features) AS n_features", "drop_unknown", "weighting", "c", "train_rows", *weights, "round(intercept, 5) + 0D AS w_intercept",
+        "row_count", *[f"round({m}, 6) AS {m}" for m in METRICS],
+    )
 
 
 @query("load_save_preprocessor")

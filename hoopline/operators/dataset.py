@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoopline.functions import clock as ck
@@ -106,24 +106,33 @@ def select_games(index: DataFrame, game_ids: DataFrame | None = None, limit: int
     return games if limit is None else games.orderBy("game_id").limit(limit)
 
 
-def game_balanced_weights(states: DataFrame) -> DataFrame:
+def game_balanced_weights(states: DataFrame, name: str = "weight") -> DataFrame:
     """Equal total weight per game, mean row weight one: rows / (games * rows of the game)."""
     sizes = states.groupBy(*GAME).agg(F.count(F.lit(1)).alias("game_rows"))
     totals = sizes.agg(F.struct(F.sum("game_rows").alias("rows"), F.count(F.lit(1)).alias("games")))
     # Weights are worked out per game (the totals are a scalar subquery), then joined to the states.
     weights = sizes.withColumn("_totals", totals.scalar()).selectExpr(
-        *GAME, "_totals.rows / (_totals.games * game_rows) AS weight"
+        *GAME, f"_totals.rows / (_totals.games * game_rows) AS {name}"
     )
     return states.join(weights, GAME)
 
 
-def time_bucket_sample(states: DataFrame, seconds: int = 30) -> DataFrame:
-    """The last state of every elapsed-time bucket of a game."""
+def _time_bucket(seconds: int) -> Column:
     if seconds <= 0:
         raise ValueError("seconds must be positive")
     elapsed = ck.elapsed_seconds("period", "seconds_remaining_period")
-    bucket = F.expr(f"CAST(floor(({elapsed}) / {seconds}) AS INT)")
-    last = states.groupBy(*GAME, bucket.alias("time_bucket")).agg(
+    return F.expr(f"CAST(floor(({elapsed}) / {seconds}) AS INT)")
+
+
+def time_bucket_marks(states: DataFrame, name: str, seconds: int = 30) -> DataFrame:
+    """All states, with 1 in ``name`` at the last one of every elapsed-time bucket of a game and 0 at the others."""
+    last = states.groupBy(*GAME, _time_bucket(seconds).alias("_bucket")).agg(F.max(IDX).alias(IDX)).select(*GAME, IDX, F.lit(1.0).alias(name))
+    return states.join(last, [*GAME, IDX], "left").na.fill(0.0, [name])
+
+
+def time_bucket_sample(states: DataFrame, seconds: int = 30) -> DataFrame:
+    """The last state of every elapsed-time bucket of a game."""
+    last = states.groupBy(*GAME, _time_bucket(seconds).alias("time_bucket")).agg(
         F.max_by(F.struct(*[c for c in states.columns if c not in GAME]), IDX).alias("state")
     )
     return last.select(*GAME, "time_bucket", "state.*")

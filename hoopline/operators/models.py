@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +12,7 @@ from hoopline.functions import clock as ck
 from hoopline.functions import fixed_values as fv
 from hoopline.operators import dataset as ds
 from hoopline.operators import metrics as mt
+from hoopline.operators.fitting import FittedNet, LinearModel, LogisticSetting, NetSetting, fit_logistics, fit_nets
 from hoopline.operators.ordinal import with_position
 
 TRAIN_SEASON = fv.SPLIT_SEASONS["train"]
@@ -68,44 +65,22 @@ def apply_scaler(states: DataFrame, scaler: DataFrame, features=fv.MODEL_FEATURE
 # --- Fitting ----------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class LinearModel:
-    """A fitted logistic model; small enough to be a literal in a projection."""
-
-    features: tuple[str, ...]
-    coefficients: tuple[float, ...]
-    intercept: float
-
-
 def fit_logistic(
-    train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, weight: str | None = None, tolerance: float = 1e-5
+    train: DataFrame, features=fv.MODEL_FEATURES, c: float = 1.0, weight: str | None = None, tolerance: float = 1e-9
 ) -> LinearModel:
     """L2-penalised logistic regression; ``c`` weighs the summed loss against half the squared norm."""
-    total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    assembled = VectorAssembler(inputCols=list(features), outputCol="vector").transform(train)
-    options = {"weightCol": weight} if weight else {}
-    model = LogisticRegression(
-        featuresCol="vector",
-        labelCol=fv.TARGET,
-        regParam=1.0 / (c * float(total)),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=500,
-        tol=tolerance,
-        **options,
-    ).fit(assembled)
-    return LinearModel(tuple(features), tuple(float(v) for v in model.coefficients), float(model.intercept))
-
-
-def loss_slopes(rows: DataFrame, model: LinearModel, c: float = 1.0) -> DataFrame:
-    """Slope of the penalised mean loss at ``model`` for each coefficient and the intercept, over all rows; 0 at the optimum."""
-    error = f"({ck.sigmoid_clip(linear_logit(model))} - {fv.TARGET})"
-    sums = ", ".join(
-        f"named_struct('feature', '{name}', 'slope', (sum({error} * {name}) + {value / c!r}D) / count(1))"
-        for name, value in zip(model.features, model.coefficients, strict=True)
-    )
-    slopes = f"array({sums}, named_struct('feature', 'intercept', 'slope', sum({error}) / count(1)))"
-    return rows.agg(F.expr(slopes).alias("slopes")).selectExpr("inline(slopes)")
+    setting = LogisticSetting(tuple(features), c, weight)
+    kept = train.select(*features, fv.TARGET, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_logistics(kept, {"one": setting}, fv.TARGET, tolerance)["one"]
+    finally:
+        kept.unpersist()
+
+
+def coefficient_rows(models: dict[str, LinearModel], spark) -> DataFrame:
+    """``model``, ``feature`` (the intercept under that name), ``coefficient``."""
+    rows = [(name, f, v) for name, m in models.items() for f, v in zip((*m.features, "intercept"), (*m.coefficients, m.intercept), strict=True)]
+    return spark.createDataFrame(rows, "model STRING, feature STRING, coefficient DOUBLE")
 
 
 def linear_logit(model: LinearModel) -> str:
@@ -117,20 +92,31 @@ def score_logistic(scaled: DataFrame, model: LinearModel, name: str = "probabili
     return scaled.withColumn(name, F.expr(ck.sigmoid_clip(linear_logit(model))))
 
 
-def fit_mlp(train: DataFrame, features=fv.MODEL_FEATURES, iterations: int = 60, seed: int = 42):
-    """A perceptron with two hidden layers of 64 and 32 units, fitted on the cluster."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="vector").transform(train)
-    return MultilayerPerceptronClassifier(
-        featuresCol="vector", labelCol=fv.TARGET, layers=[len(features), 64, 32, 2], maxIter=iterations, seed=seed
-    ).fit(assembled)
+#: The perceptrons that are tried; each row is a name and what differs from the defaults.
+NETS = {
+    "dropout 0.1": NetSetting(dropout=0.1),
+    "dropout 0.2": NetSetting(dropout=0.2),
+    "dropout 0.1 slow": NetSetting(dropout=0.1, learning_rate=3e-4),
+}
+ROW_KEY = ("season", "game_id", "source_event_index")
 
 
-def score_fitted_mlp(scaled: DataFrame, model, features=fv.MODEL_FEATURES, name: str = "probability") -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(features), outputCol="vector").transform(scaled)
-    scored = model.transform(assembled)
-    return scored.withColumn(name, vector_to_array("probability")[1] if name != "probability" else vector_to_array("probability")[1]).drop(
-        "vector", "rawPrediction", "prediction"
-    )
+def fit_mlp(
+    train: DataFrame, validation: DataFrame, settings: dict[str, NetSetting] = NETS, features=fv.MODEL_FEATURES, weight: str | None = None, batches: int = 8
+) -> dict[str, FittedNet]:
+    """Perceptrons on scaled rows with ``ROW_KEY``; see ``fitting.fit_nets``."""
+    keyed = train.select(*features, fv.TARGET, F.xxhash64(*ROW_KEY).alias("_row_key"), *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    judged = validation.select(*features, fv.TARGET).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_nets(keyed, judged, settings, features, fv.TARGET, "_row_key", weight, batches)
+    finally:
+        keyed.unpersist()
+        judged.unpersist()
+
+
+def score_fitted_mlp(scaled: DataFrame, net: FittedNet, features=fv.MODEL_FEATURES, name: str = "probability") -> DataFrame:
+    logit = f"_{name}_logit"
+    return score_mlp(scaled, net.layers, features, logit).withColumn(name, F.expr(ck.sigmoid_clip(logit))).drop(logit)
 
 
 def score_mlp(scaled: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]], features=fv.MODEL_FEATURES, name: str = "logit") -> DataFrame:
@@ -191,31 +177,66 @@ EXPERIMENTS = (
 )
 
 
-def run_experiment(train: DataFrame, validation: DataFrame, features=fv.MODEL_FEATURES, drop_unknown=False, weighting="full", c=1.0) -> DataFrame:
-    """Fit on train, judge on validation; one row of metrics."""
-    rows = ds.time_bucket_sample(train) if weighting == "time_bucket_30s" else train
-    keep = ("season", "game_id", "source_event_index")
-    fit_rows = ds.features_and_target(rows, features, drop_unknown, keep)
-    judge_rows = ds.features_and_target(validation, features, drop_unknown, keep)
-    scaler = fit_scaler(fit_rows, features)
-    weight = None
-    if weighting == "game_balanced":
-        fit_rows = ds.game_balanced_weights(fit_rows)
-        weight = "weight"
-    scaled = apply_scaler(fit_rows, scaler, features, keep=(*keep, fv.TARGET, "weight")).persist()
-    try:
-        model = fit_logistic(scaled, features, c, weight)
-    finally:
-        scaled.unpersist()
-    scored = score_logistic(apply_scaler(judge_rows, scaler, features, keep=(*keep, fv.TARGET)), model)
-    setting = {"features": F.lit(list(features)), "drop_unknown": F.lit(drop_unknown), "weighting": F.lit(weighting), "c": F.lit(float(c))}
-    return mt.probability_metrics(scored).withColumns({**setting, "train_rows": F.lit(fit_rows.count())})
+def experiment_settings(train: DataFrame, experiments=EXPERIMENTS) -> tuple[DataFrame, dict[str, LogisticSetting], dict[str, int]]:
+    """What the fits need: all train rows with the weight of each sort of experiment (0: left out), the settings with their scaling, and how many rows each has.
+
+    Three scans at most: rows per game, last rows of time buckets, and all means, deviations and counts in one aggregate.
+    """
+    weights = {"full": "1D", "known": "CAST(possession_known = 1 AS DOUBLE)", "game_balanced": "_balanced", "time_bucket_30s": "_last"}
+    rows = ds.time_bucket_marks(ds.game_balanced_weights(train, "_balanced"), "_last")
+    features = sorted({f for _, o in experiments for f in o.get("features", fv.MODEL_FEATURES)})
+    filled = [f"coalesce(CAST({f} AS DOUBLE), {fv.UNKNOWN_POSSESSION_VALUE}D) AS {f}" if f == "home_possession" else f"CAST({f} AS DOUBLE) AS {f}" for f in features]
+    rows = rows.selectExpr(fv.TARGET, "season", *filled, *[f"{text} AS w_{kind}" for kind, text in weights.items()])
+    guarded = f"CASE WHEN season <> '{TRAIN_SEASON}' THEN raise_error('Scaler must be fitted on {TRAIN_SEASON}') ELSE season END AS season"
+    rows = ds.checked_finite(rows.selectExpr(guarded, *[c for c in rows.columns if c != "season"]), features).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = [f for f in features if f not in fv.UNSCALED_FEATURES]
+    # Weights leave rows out of the scaling, and count for nothing else there.
+    moments = [f"{m}(CASE WHEN w_{kind} > 0 THEN {f} END) AS {m}_{kind}_{f}" for kind in weights for f in scaled for m in ("avg", "stddev_pop")]
+    counts = [f"count_if(w_{kind} > 0) AS n_{kind}" for kind in weights]
+    found = rows.selectExpr(*moments, *counts, "max(season)").first().asDict()
+    settings, sizes = {}, {}
+    for name, options in experiments:
+        kind = "known" if options.get("drop_unknown") else options.get("weighting", "full")
+        own = tuple(options.get("features", fv.MODEL_FEATURES))
+        means = {f: found[f"avg_{kind}_{f}"] or 0.0 for f in own if f in scaled}
+        scales = {f: found[f"stddev_pop_{kind}_{f}"] or 1.0 for f in own if f in scaled}
+        settings[name] = LogisticSetting(own, options.get("c", 1.0), None if kind == "full" else f"w_{kind}", means, scales)
+        sizes[name] = found[f"n_{kind}"]
+    return rows, settings, sizes
+
+
+def setting_logit(setting: LogisticSetting, model: LinearModel) -> str:
+    """The logit of unscaled rows."""
+
+    def scaled(name: str) -> str:
+        value = f"coalesce(CAST({name} AS DOUBLE), {fv.UNKNOWN_POSSESSION_VALUE}D)" if name == "home_possession" else f"CAST({name} AS DOUBLE)"
+        return f"(({value} - {setting.means[name]!r}D) / {setting.scales[name]!r}D)" if name in setting.means else value
+
+    terms = [f"({value!r}D * {scaled(name)})" for name, value in zip(model.features, model.coefficients, strict=True)]
+    return f"({' + '.join(terms)} + {model.intercept!r}D)"
 
 
 def experiment_grid(train: DataFrame, validation: DataFrame, experiments=EXPERIMENTS) -> DataFrame:
-    """The distinct experiments, one row each."""
-    result = None
-    for name, options in experiments:
-        row = run_experiment(train, validation, **options).withColumn("experiment", F.lit(name))
-        result = row if result is None else result.unionByName(row)
-    return result
+    """The distinct experiments, one row each: setting, fitted coefficients, and metrics on the validation rows.
+
+    All fits share each Newton step's pass over the train rows, and all models one pass over the validation rows.
+    """
+    options_of = dict(experiments)
+    rows, settings, sizes = experiment_settings(train, experiments)
+    try:
+        models = fit_logistics(rows, settings, fv.TARGET)
+    finally:
+        rows.unpersist()
+    probabilities = {n: ck.sigmoid_clip(setting_logit(settings[n], models[n])) for n in settings}
+    kept = {n: f"CASE WHEN possession_known = 1 THEN {p} END" if options_of[n].get("drop_unknown") else p for n, p in probabilities.items()}
+    pairs = ", ".join(f"'{n}', {p}" for n, p in kept.items())
+    judged = validation.selectExpr(fv.TARGET, f"stack({len(kept)}, {pairs}) AS (experiment, probability)").where("probability IS NOT NULL")
+    told = [
+        (
+            n, list(s.features), bool(options_of[n].get("drop_unknown", False)), options_of[n].get("weighting", "full"), float(s.c), sizes[n],
+            dict(zip(models[n].features, models[n].coefficients, strict=True)), models[n].intercept,
+        )
+        for n, s in settings.items()
+    ]
+    fields = "experiment STRING, features ARRAY<STRING>, drop_unknown BOOLEAN, weighting STRING, c DOUBLE, train_rows BIGINT, coefficients MAP<STRING, DOUBLE>, intercept DOUBLE"
+    return train.sparkSession.createDataFrame(told, fields).join(mt.probability_metrics(judged, ["experiment"]), "experiment")
