@@ -910,18 +910,21 @@ ORACLE["degraded_feed"] = with_(
     "SELECT game_id, poll, last_state AS state, CASE WHEN NOT failed THEN 'live' WHEN last_state IS NULL THEN 'waiting' ELSE 'degraded' END AS feed_status, "
     "CASE WHEN failed THEN 'The live feed did not answer; this is the last state that it gave.' END AS error FROM kept",
 )
+# Every prefix is a game of its own here, walked from its first action.
 ORACLE["replay_prefix"] = with_(
     sb.LIVE_STATES.replace("live AS MATERIALIZED (SELECT", "live_all AS MATERIALIZED (SELECT", 1)
     .replace(
         ", live_one AS (",
-        ", cuts AS MATERIALIZED (SELECT DISTINCT game_id, k FROM (SELECT game_id, unnest([1, (count(*) + 1) // 2, count(*)]) AS k FROM live_all GROUP BY game_id)), "
+        ", cuts AS MATERIALIZED (SELECT game_id, unnest(range(1, count(*) + 1)) AS k FROM live_all GROUP BY game_id), "
         "live AS MATERIALIZED (SELECT l.* REPLACE (game_id || '/' || k AS game_id) FROM live_all l JOIN cuts USING (game_id) "
         "WHERE source_index < k), live_one AS (",
         1,
     )
     .replace("SELECT 'live' AS season, game_id, home_team_id", "SELECT 'live' AS season, game_id || '/' || k AS game_id, home_team_id", 1)
     .replace("CAST(NULL AS INT) AS home_win FROM idx)", "CAST(NULL AS INT) AS home_win FROM idx JOIN cuts USING (game_id))", 1),
-    "SELECT * FROM live_states",
+    "SELECT season, split_part(game_id, '/', 1) AS game_id, CAST(split_part(game_id, '/', 2) AS INT) AS cursor, actions, home_score, away_score, period, seconds_remaining_period, "
+    "possession_team_id, home_team_fouls_period, away_team_fouls_period FROM (SELECT * FROM live_states QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY source_event_index DESC) = 1) "
+    "JOIN (SELECT game_id, CAST(count(*) AS INT) AS actions FROM live_one GROUP BY game_id) USING (game_id)",
 )
 ORACLE["live_states_stream"] = ORACLE["live_states"]
 ORACLE["cache_live_snapshots"] = with_(

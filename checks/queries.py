@@ -21,6 +21,7 @@ from hoopline.operators import parity as pa
 from hoopline.operators import payload as pl
 from hoopline.operators import profiling as pf
 from hoopline.operators import quality as ql
+from hoopline.operators import replay as rp
 from hoopline.operators import rollups as ru
 from hoopline.operators import sampling as sa
 from hoopline.operators import snapshots as sn
@@ -778,13 +779,8 @@ def _(feed):
 
 @query("replay_prefix")
 def _(feed):
-    """Every game cut off after its first action, in the middle and at its end, each as a game of its own."""
-    live = feed.live_actions()
-    cuts = live.groupBy("game_id").agg(F.expr("explode(array(1, CAST(floor((count(1) + 1) / 2) AS INT), CAST(count(1) AS INT)))").alias("cursor"))
-    cuts = cuts.selectExpr("game_id AS whole", "game_id || '/' || cursor AS game_id", "cursor").distinct()
-    each = live.withColumnRenamed("game_id", "whole").join(cuts.select("whole", "game_id"), "whole").drop("whole")
-    index = feed.live_index().withColumnRenamed("game_id", "whole").join(cuts.select("whole", "game_id"), "whole").drop("whole")
-    return st.game_states(lf.live_feed_actions(lf.replay_prefix(each, cuts.select("game_id", "cursor"))), index)
+    """Every game after each of its arrivals."""
+    return rp.replay_states(feed.live_actions(), feed.live_index())
 
 
 _STREAMED: dict[tuple[str, str], ls.LiveTables] = {}
