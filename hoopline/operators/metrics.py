@@ -2,8 +2,11 @@
 
 Everything is worked out from one table of counts: per group and distinct probability, how many
 rows won and how many lost. It is combined on the map side, so a probability that a third of all
-rows share costs nothing extra, and Brier score, log loss, accuracy, exact AUC and calibration
-bins all read it instead of the rows.
+rows share costs nothing extra. All metrics are sums along one chain of steps over those counts, without
+a second look at the rows: the counts are put in order by Spark's sampled range partitioning, so that
+each block has its share of them however probabilities bunch up; each block is summed up on its own, and the few
+blocks of a group are added. A value that is no probability is counted along and is an error at the end,
+so it fails in one place.
 """
 
 from __future__ import annotations
@@ -14,8 +17,6 @@ from pyspark.sql import functions as F
 from hoopline.functions import clock as ck
 
 EPSILON = 1e-7
-# Blocks of probabilities for the AUC. A power of two keeps ``floor(p * AUC_BLOCKS)`` monotone.
-AUC_BLOCKS = 1 << 20
 
 
 def _double(value: float) -> str:
@@ -23,14 +24,17 @@ def _double(value: float) -> str:
 
 
 def outcome_counts(rows: DataFrame, by: list[str], target: str = "home_win", probability: str = "probability") -> DataFrame:
-    """Per group and distinct probability: ``won`` and ``lost``. A bad probability is an error."""
-    bad = f"{probability} IS NULL OR isnan({probability}) OR {probability} < 0 OR {probability} > 1"
-    checked = f"CASE WHEN {bad} THEN raise_error('Not a probability') ELSE {probability} END"
-    return rows.groupBy(*by, F.expr(checked).alias("p")).agg(
-        F.expr(f"count_if({target} = 1)").alias("won"), F.expr(f"count_if({target} = 0)").alias("lost")
+    """Per group and distinct probability: ``won``, ``lost``, and ``bad``, the rows without a probability (they stand at 0)."""
+    bad = f"({probability} IS NULL OR isnan({probability}) OR {probability} < 0 OR {probability} > 1)"
+    return rows.groupBy(*by, F.expr(f"CASE WHEN {bad} THEN 0D ELSE CAST({probability} AS DOUBLE) END").alias("p")).agg(
+        F.expr(f"count_if({target} = 1)").alias("won"), F.expr(f"count_if({target} = 0)").alias("lost"), F.expr(f"count_if({bad})").alias("bad")
     )
 
 
+def _checked(value: str) -> str:
+    return f"CASE WHEN bad > 0 THEN raise_error('Not a probability') ELSE {value} END"
+
+
 def bin_edges(bins: int) -> list[float]:
     """Evenly spaced edges as floating point makes them: multiples of the step, the last one exact."""
     if bins <= 0:
@@ -45,35 +49,19 @@ def bin_number(p: str, bins: int = 10) -> str:
     return f"({steps})"
 
 
-def _bins(counts: DataFrame, by: list[str], bins: int) -> DataFrame:
-    """Filled bins only."""
-    return counts.groupBy(*by, F.expr(bin_number("p", bins)).alias("bin")).agg(
-        F.expr("sum(won + lost)").alias("count"),
-        F.expr("sum(p * (won + lost)) / sum(won + lost)").alias("mean_predicted"),
-        F.expr("sum(won) / sum(won + lost)").alias("observed_rate"),
-    )
-
-
 def calibration_bins(rows: DataFrame, by: list[str] = [], bins: int = 10, **names) -> DataFrame:
     """Reliability bins in order; empty bins stay as zeros."""
+    edges, number = bin_edges(bins), bin_number("p", bins)
+    sums = {f"{name}_{k}": f"sum(CASE WHEN {number} = {k} THEN {text} END)" for k in range(bins) for name, text in (("n", "won + lost"), ("p", "p * (won + lost)"), ("y", "won"))}
     counts = outcome_counts(rows, by, **names)
-    edges = bin_edges(bins)
-    literal = ", ".join(
-        f"named_struct('bin', {i}, 'lower', {_double(edges[i])}, 'upper', {_double(edges[i + 1])})" for i in range(bins)
-    )
-    groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1)
-    grid = groups.selectExpr(*by, f"inline(array({literal}))")
-    joined = grid.join(_bins(counts, by, bins), [*by, "bin"], "left")
-    return joined.selectExpr(
-        *by,
-        "bin",
-        "lower",
-        "upper",
-        "coalesce(count, 0) AS count",
-        "coalesce(mean_predicted, 0D) AS mean_predicted",
-        "coalesce(observed_rate, 0D) AS observed_rate",
-        "coalesce(abs(mean_predicted - observed_rate), 0D) AS absolute_gap",
+    group = counts.groupBy(*by).agg(F.sum("bad").alias("bad"), *[F.expr(text).alias(name) for name, text in sums.items()])
+    each = ", ".join(
+        f"named_struct('bin', {k}, 'lower', {_double(edges[k])}, 'upper', {_double(edges[k + 1])}, 'count', coalesce(n_{k}, 0L), "
+        f"'mean_predicted', coalesce(p_{k} / n_{k}, 0D), 'observed_rate', coalesce(y_{k} / n_{k}, 0D), 'absolute_gap', coalesce(abs(p_{k} - y_{k}) / n_{k}, 0D))"
+        for k in range(bins)
     )
+    # Without groups there is always one row; a bad value has made no sum null.
+    return group.selectExpr(*by, f"inline({_checked(f'array({each})')})")
 
 
 def ece(bins: DataFrame, by: list[str] = []) -> DataFrame:
@@ -82,31 +70,35 @@ def ece(bins: DataFrame, by: list[str] = []) -> DataFrame:
     return bins.groupBy(*by).agg(F.expr(f"sum(count * absolute_gap) / {total}").alias("ece"))
 
 
-def exact_auc(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Area under the ROC curve with ties, from counts per distinct probability.
+def _metrics_of_counts(counts: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """All metrics per group.
 
-    A winner beats every loser below it and half of those at the same probability. Losers below
-    are those of earlier blocks (counted per block) plus those inside the block.
+    A winner beats every loser below it and half of those at the same probability. Losers below are those of earlier blocks plus those inside
+    the block.
     """
-    # Never null, or the join would filter on it and have every probability worked out once more.
-    blocked = counts.withColumn("block", F.expr(f"coalesce(CAST(floor(p * {AUC_BLOCKS}) AS INT), 0)"))
-    group = ", ".join(by) if by else "1"
-    per_block = blocked.groupBy(*by, "block").agg(F.sum("lost").alias("block_lost"))
-    earlier = per_block.selectExpr(
-        *by,
-        "block",
-        f"coalesce(sum(block_lost) OVER (PARTITION BY {group} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lost_before",
-    )
+    clipped = f"greatest(least(p, {_double(1 - EPSILON)}), {_double(EPSILON)})"
     inside = ", ".join([*by, "block"])
-    ranked = blocked.join(earlier, [*by, "block"]).selectExpr(
-        *by,
-        "won",
-        "lost",
-        f"lost_before + coalesce(sum(lost) OVER (PARTITION BY {inside} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below",
-    )
-    return ranked.groupBy(*by).agg(
-        F.expr("sum(won * (below + lost / 2D)) / nullif(CAST(sum(won) AS DOUBLE) * sum(lost), 0D)").alias("roc_auc")
-    )
+    placed = counts.repartitionByRange(*by, "p").withColumn("block", F.spark_partition_id())
+    placed = placed.withColumn("below", F.expr(f"coalesce(sum(lost) OVER (PARTITION BY {inside} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    sums = {
+        "n": "won + lost",
+        "won": "won",
+        "lost": "lost",
+        "bad": "bad",
+        "square": "won * (p - 1) * (p - 1) + lost * p * p",
+        "log": f"won * ln({clipped}) + lost * ln(1 - {clipped})",
+        "right": "CASE WHEN p >= 0.5D THEN won ELSE lost END",
+        "beaten": "won * (below + lost / 2D)",
+        **{f"gap_{k}": f"CASE WHEN {bin_number('p', bins)} = {k} THEN p * (won + lost) - won ELSE 0D END" for k in range(bins)},
+    }
+    blocks = placed.groupBy(*by, "block").agg(*[F.expr(f"sum({text})").alias(name) for name, text in sums.items()])
+    blocks = blocks.withColumn("before", F.expr(f"coalesce(sum(lost) OVER (PARTITION BY {', '.join(by)} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    total = blocks.groupBy(*by).agg(F.expr("sum(beaten + CAST(won AS DOUBLE) * before)").alias("beaten"), *[F.sum(name).alias(name) for name in sums if name != "beaten"])
+    gaps = " + ".join(f"abs(gap_{k})" for k in range(bins))
+    return total.selectExpr(
+        *by, f"{_checked('n')} AS row_count", "square / n AS brier", "-log / n AS log_loss", "right / n AS accuracy",
+        "beaten / nullif(CAST(won AS DOUBLE) * lost, 0D) AS roc_auc", f"({gaps}) / n AS ece",
+    )
 
 
 def probability_metrics(rows: DataFrame, by: list[str] = [], bins: int = 10, **names) -> DataFrame:
@@ -117,20 +109,6 @@ def probability_metrics(rows: DataFrame, by: list[str] = [], bins: int = 10, **n
     return _metrics_of_counts(whole, ["_all"], bins).drop("_all")
 
 
-def _metrics_of_counts(counts: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    clipped = f"greatest(least(p, {_double(1 - EPSILON)}), {_double(EPSILON)})"
-    simple = counts.groupBy(*by).agg(
-        F.expr("sum(won + lost)").alias("row_count"),
-        F.expr("sum(won * (p - 1) * (p - 1) + lost * p * p) / sum(won + lost)").alias("brier"),
-        F.expr(f"-sum(won * ln({clipped}) + lost * ln(1 - {clipped})) / sum(won + lost)").alias("log_loss"),
-        F.expr("sum(CASE WHEN p >= 0.5D THEN won ELSE lost END) / sum(won + lost)").alias("accuracy"),
-    )
-    gaps = _bins(counts, by, bins).groupBy(*by).agg(
-        F.expr("sum(count * abs(mean_predicted - observed_rate)) / sum(count)").alias("ece")
-    )
-    return simple.join(exact_auc(counts, by), by).join(gaps, by)
-
-
 SLICES = {
     "period": ck.period_bucket("period"),
     "time_remaining": ck.time_bin("seconds_remaining_regulation"),
@@ -144,8 +122,8 @@ def slice_metrics(rows: DataFrame, **names) -> DataFrame:
     counts = outcome_counts(labels, [name + "_slice" for name in SLICES], **names)
     # Rows are turned into three slices each after they were counted, not before.
     parts = ", ".join(f"named_struct('dimension', '{name}', 'label', {name}_slice)" for name in SLICES)
-    sliced = counts.selectExpr("p", "won", "lost", f"inline(array({parts}))").where("label IS NOT NULL")
-    sliced = sliced.groupBy("dimension", "label", "p").agg(F.sum("won").alias("won"), F.sum("lost").alias("lost"))
+    sliced = counts.selectExpr("p", "won", "lost", "bad", f"inline(array({parts}))").where("label IS NOT NULL")
+    sliced = sliced.groupBy("dimension", "label", "p").agg(*[F.sum(c).alias(c) for c in ("won", "lost", "bad")])
     return _metrics_of_counts(sliced, ["dimension", "label"]).where("roc_auc IS NOT NULL")
 
 

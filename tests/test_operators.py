@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 
@@ -94,6 +95,21 @@ def test_auc_against_all_pairs(spark):
     assert found.log_loss == pytest.approx(loss, abs=1e-9)
 
 
+def test_auc_of_saturated_probabilities(spark):
+    """Most probabilities are distinct and lie below 2^-20 or near one half: they still spread over the blocks."""
+    r = random.Random(7)
+    draws = [lambda: r.random() * 2**-21, lambda: 0.5 + r.random() * 1e-9, lambda: 1 - r.random() * 1e-8, lambda: 0.25]
+    data = [(int(r.random() < 0.3 + 0.4 * (k % 4 == 2)), draws[k % 4]()) for k in range(4000)]
+    frame = spark.createDataFrame(data, "home_win INT, probability DOUBLE")
+    counts = mt.outcome_counts(frame, [])
+    sizes = [row["count"] for row in counts.repartitionByRange(8, "p").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    losers = sorted(p for y, p in data if not y)
+    beaten = sum(bisect.bisect_left(losers, p) + (bisect.bisect_right(losers, p) - bisect.bisect_left(losers, p)) / 2 for y, p in data if y)
+    found = mt.probability_metrics(frame).first()
+    assert found.roc_auc == pytest.approx(beaten / (len(losers) * (len(data) - len(losers))), abs=1e-12)
+
+
 def states_like(spark, games: dict[str, int], season="2021-22"):
     rows = [(season, g, i, float(i % 3), i % 2, int(g[-1]) % 2) for g, n in games.items() for i in range(n)]
     return spark.createDataFrame(rows, "season STRING, game_id STRING, source_event_index INT, x DOUBLE, possession_known INT, home_win INT")
