@@ -52,10 +52,10 @@ def lexicon(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return saved(counted.filter(band).select("_term"), "lexicon")
 
 
-def _on_level(digest: Column, level: Column) -> Column:
-    """Whether a term with this md5 is in the lexicons of ``level``: its digits 3 to 10 are below 2^(32 - level)."""
-    bound = F.lower(F.lpad(F.hex(F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(32) - level).cast("int"))), 9, "0"))
-    return F.concat(F.lit("0"), F.substring(digest, 3, 8)) < bound
+def _bound(level: Column) -> Column:
+    """Digits 3 to 10 of the md5 of a term in the lexicons of ``level`` are below this: 2^(32 - level), or above all digits on level 0."""
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(32) - level).cast("int"))
+    return F.when(level == 0, "g").otherwise(F.lpad(F.hex(power), 8, "0"))
 
 
 def _signatures(terms: Column) -> Column:
@@ -78,12 +78,16 @@ def fingerprints(rows: DataFrame, keys: list[str], words: DataFrame, text_column
     n = F.size("_terms")
     blocks = F.floor((n - 1) / TERMS).cast("long")  # exact: n is below 2^31
     found = found.withColumn("_level", F.when(n <= TERMS, 0).otherwise(F.length(F.bin(blocks))))
+    # Bounds are worked out once for a document, not for each term.
+    bounds = [f"_bound_{k}" for k in range(LEVELS)]
+    found = found.withColumns({b: _bound(F.col("_level") + k) for k, b in enumerate(bounds)})
     digests = F.transform("_terms", lambda t: F.struct(t.alias("t"), F.md5(t).alias("h")))
-    sampled = found.select(*keys, "_level", F.explode_outer(F.filter(digests, lambda x: _on_level(x["h"], F.col("_level")))).alias("_x"))
-    sampled = sampled.select(*keys, "_level", F.col("_x.t").alias("_term"), F.col("_x.h").alias("_h"))
+    drawn = F.filter(digests, lambda x: F.substring(x["h"], 3, 8) < F.col(bounds[0]))
+    sampled = found.select(*keys, "_level", *bounds[1:], F.explode_outer(drawn).alias("_x"))
+    sampled = sampled.select(*keys, "_level", *bounds[1:], F.col("_x.t").alias("_term"), F.col("_x.h").alias("_h"))
     known = sampled.join(words if many else F.broadcast(words), "_term", "left")
     subset = (F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % LEXICONS).alias("subset")
-    deep = reduce(lambda x, y: x + y, [_on_level(F.col("_h"), F.col("_level") + k).cast("int") for k in range(1, LEVELS)])
+    deep = reduce(lambda x, y: x + y, [(F.substring("_h", 3, 8) < F.col(b)).cast("int") for b in bounds[1:]])
     entry = F.struct(subset, F.col("_term").alias("term"), deep.alias("deep"), F.coalesce("_known", F.lit(False)).alias("known"))
     gathered = known.groupBy(*keys, "_level").agg(F.sort_array(F.collect_list(F.when(F.col("_term").isNotNull(), entry))).alias("_all"))
     in_band = F.filter("_all", lambda t: t["known"])
