@@ -891,25 +891,36 @@ ORACLE["snapshot_fingerprint"] = with_(
 ORACLE["changed_snapshots"] = with_(
     POLLS, f"SELECT game_id, poll FROM polls {BY_GAME} QUALIFY lag(x) OVER w IS DISTINCT FROM x"
 )
-ORACLE["published_changes"] = with_(
-    POLLS,
-    f"SELECT game_id, poll, status, points, event_id AS last_update, poll AS replay_cursor FROM polls {BY_GAME} "
-    "QUALIFY row_number() OVER w = 1 OR lag(status) OVER w <> status OR lag(points) OVER w <> points",
-)
-ORACLE["metadata_change"] = with_(
-    f"{POLLS}, meta AS (SELECT game_id, poll, status AS game_status, CASE WHEN status = 3 THEN 'Final' END AS status_text, "
-    "CASE WHEN poll >= 5 THEN points // 5 END AS home_score, 0 AS away_score FROM polls)",
-    f"SELECT * FROM meta {BY_GAME} QUALIFY row_number() OVER w = 1 OR lag(game_status) OVER w IS DISTINCT FROM game_status "
-    "OR lag(status_text) OVER w IS DISTINCT FROM status_text OR lag(home_score) OVER w IS DISTINCT FROM home_score",
-)
-ORACLE["degraded_feed"] = with_(
-    f"{POLLS}, tried AS (SELECT *, event_type IN ('error', 'signup') AS failed FROM polls), "
-    "good AS (SELECT game_id, poll, 's' || event_id AS state FROM tried WHERE NOT failed), "
-    "kept AS (SELECT t.*, (SELECT arg_max(g.state, g.poll) FROM good g WHERE g.game_id = t.game_id AND g.poll <= t.poll) AS last_state "
-    "FROM (SELECT *, lag(failed) OVER (PARTITION BY game_id ORDER BY poll) AS before FROM tried) t WHERE NOT failed OR before IS NULL OR NOT before)",
-    "SELECT game_id, poll, last_state AS state, CASE WHEN NOT failed THEN 'live' WHEN last_state IS NULL THEN 'waiting' ELSE 'degraded' END AS feed_status, "
-    "CASE WHEN failed THEN 'The live feed did not answer; this is the last state that it gave.' END AS error FROM kept",
-)
+
+
+def _landed_ctes() -> str:
+    from hoopline.sources.derived import LANDED_POLL_COLUMNS, POLL_VERSION
+
+    return (
+        f"{sb.LIVE}, pollrows AS MATERIALIZED (SELECT game_id, poll, total, {sb.columns_sql(LANDED_POLL_COLUMNS)} FROM (SELECT *, {POLL_VERSION} AS version FROM "
+        "(SELECT DISTINCT user_id, game_id, home_id, away_id FROM staged) JOIN (SELECT game_id, count(*) AS total FROM live GROUP BY game_id) USING (game_id) "
+        "CROSS JOIN (SELECT unnest(range(0, 8)) AS poll))), "
+        "goodpolls AS (SELECT *, lag(shown) OVER w IS DISTINCT FROM shown AS feed_changed, row_number() OVER w = 1 OR lag(meta) OVER w IS DISTINCT FROM meta AS metadata_changed "
+        "FROM (SELECT *, {'a': game_status, 'b': status_text, 'c': home_score, 'd': away_score} AS meta FROM pollrows WHERE NOT failed) WINDOW w AS (PARTITION BY game_id ORDER BY poll)), "
+        "pollev AS (SELECT *, lag(failed) OVER w AS before, last_value(CASE WHEN NOT failed THEN meta END IGNORE NULLS) OVER "
+        "(PARTITION BY game_id ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM "
+        "(SELECT game_id, poll, shown, failed, meta, feed_changed, metadata_changed FROM goodpolls WHERE feed_changed OR metadata_changed "
+        "UNION ALL SELECT game_id, poll, shown, failed, NULL, false, false FROM pollrows WHERE failed) WINDOW w AS (PARTITION BY game_id ORDER BY poll)), "
+        "publog AS MATERIALIZED (SELECT game_id, CAST(poll AS INT) AS poll, CASE WHEN failed THEN 'failure' WHEN feed_changed AND metadata_changed THEN 'feed and metadata' WHEN feed_changed THEN 'feed' ELSE 'metadata' END AS cause, "
+        "feed_changed, metadata_changed, CASE WHEN NOT failed THEN 'live' WHEN old IS NULL THEN 'waiting' ELSE 'degraded' END AS feed_status, "
+        "CASE WHEN failed THEN 'The live feed did not answer; this is the last state that it gave.' END AS error, "
+        "CASE WHEN failed THEN old.a ELSE meta.a END AS game_status, CASE WHEN failed THEN old.b ELSE meta.b END AS status_text, "
+        "CASE WHEN failed THEN old.c ELSE meta.c END AS home_score, CASE WHEN failed THEN old.d ELSE meta.d END AS away_score "
+        "FROM pollev WHERE NOT failed OR before IS NOT TRUE)"
+    )
+
+
+LANDED = _landed_ctes()
+ORACLE["publish_log"] = with_(LANDED, "SELECT * FROM publog")
+ORACLE["published_changes"] = with_(LANDED, "SELECT * EXCLUDE (feed_status, error) FROM publog WHERE feed_status = 'live'")
+ORACLE["metadata_change"] = with_(LANDED, "SELECT game_id, poll, feed_changed, game_status, status_text, home_score, away_score FROM publog WHERE metadata_changed")
+ORACLE["degraded_feed"] = with_(LANDED, "SELECT * FROM publog QUALIFY cause = 'failure' OR lag(cause) OVER (PARTITION BY game_id ORDER BY poll) = 'failure'")
+ORACLE["changed_snapshots_stream"] = with_(LANDED, "SELECT game_id, poll FROM publog WHERE feed_changed")
 # Every prefix is a game of its own here, walked from its first action.
 ORACLE["replay_prefix"] = with_(
     sb.LIVE_STATES.replace("live AS MATERIALIZED (SELECT", "live_all AS MATERIALIZED (SELECT", 1)
@@ -926,6 +937,24 @@ ORACLE["replay_prefix"] = with_(
     "possession_team_id, home_team_fouls_period, away_team_fouls_period FROM (SELECT * FROM live_states QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY source_event_index DESC) = 1) "
     "JOIN (SELECT game_id, CAST(count(*) AS INT) AS actions FROM live_one GROUP BY game_id) USING (game_id)",
 )
+_BATCHES = "(VALUES (0, 2), (1, 5), (2, 7)) bt(batch, last_poll)"
+ORACLE["served_documents"] = with_(
+    sb.LIVE_STATES.replace(sb.LIVE, LANDED.replace("live AS MATERIALIZED (SELECT", "live_all AS MATERIALIZED (SELECT", 1).replace("FROM live GROUP BY", "FROM live_all GROUP BY", 1), 1)
+    .replace(
+        ", live_one AS (",
+        f", cuts AS MATERIALIZED (SELECT game_id, batch, max_by(shown, poll) AS k FROM pollrows, {_BATCHES} WHERE NOT failed AND poll <= last_poll GROUP BY game_id, batch), "
+        "live AS MATERIALIZED (SELECT l.* REPLACE (game_id || '/' || batch AS game_id) FROM live_all l JOIN cuts USING (game_id) WHERE source_index < k), live_one AS (",
+        1,
+    )
+    .replace("SELECT 'live' AS season, game_id, home_team_id", "SELECT 'live' AS season, game_id || '/' || batch AS game_id, home_team_id", 1)
+    .replace("CAST(NULL AS INT) AS home_win FROM idx)", "CAST(NULL AS INT) AS home_win FROM idx JOIN cuts USING (game_id))", 1),
+    "SELECT game_id, batch, poll, feed_status, game_status, CASE WHEN l.gid IS NULL THEN coalesce(nullif(status_text, ''), 'Waiting for play-by-play') ELSE status_text END AS status_text, "
+    "l.home_score, l.away_score, l.period, CASE WHEN game_status = 3 THEN CASE WHEN p.home_score > p.away_score THEN 1::DOUBLE ELSE 0::DOUBLE END ELSE probability END AS home_win_probability, "
+    "probability AS model_home_win_probability, game_status = 3 AS final_override_applied, l.gid IS NOT NULL AS has_events FROM "
+    f"(SELECT p.*, batch FROM publog p JOIN {_BATCHES} ON poll BETWEEN last_poll - CASE WHEN batch = 2 THEN 1 ELSE 2 END AND last_poll QUALIFY row_number() OVER (PARTITION BY game_id, batch ORDER BY poll DESC) = 1) p "
+    f"LEFT JOIN (SELECT game_id AS gid, home_score, away_score, period, greatest(0::DOUBLE, least(1::DOUBLE, CAST(50 + score_differential * period AS DOUBLE) / 100)) AS probability FROM live_states QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY source_event_index DESC) = 1) l "
+    "ON l.gid = p.game_id || '/' || p.batch WHERE feed_status <> 'waiting'",
+)
 ORACLE["live_states_stream"] = ORACLE["live_states"]
 ORACLE["cache_live_snapshots"] = with_(
     sb.STAGED,

@@ -26,6 +26,7 @@ from hoopline.operators import rollups as ru
 from hoopline.operators import sampling as sa
 from hoopline.operators import snapshots as sn
 from hoopline.operators import states as st
+from hoopline.operators.history import carry_last
 from hoopline.plans import season as ps
 from hoopline.session import scratch_path
 from hoopline.sources import feeds as fd
@@ -33,8 +34,9 @@ from hoopline.sources import game_log_files as gl
 from hoopline.sources import scaler_files as sc
 from hoopline.sources import scoreboard as sb
 from hoopline.sources import state_store as ss
-from hoopline.sources.derived import DerivedFeed, derived_feed
+from hoopline.sources.derived import PROBABILITY, DerivedFeed, derived_feed
 from hoopline.streaming import live_states as ls
+from hoopline.streaming import published as pb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -756,25 +758,66 @@ def _(feed):
     return sn.changed_snapshots(sn.snapshot_fingerprints(documents)).select("game_id", "poll")
 
 
-@query("published_changes")
+_PUBLISHED: dict[tuple[str, str], pb.PublishedTables] = {}
+#: Which polls land before each start of the stream.
+LANDINGS = ((0, 2), (3, 5), (6, 7))
+
+
+def published(feed: DerivedFeed) -> pb.PublishedTables:
+    """Land documents and scoreboards of a few polls at a time; the stream starts again from its checkpoint for each landing."""
+    key = (feed.spark.sparkContext.applicationId, feed.sf_dir)
+    if key not in _PUBLISHED:
+        folder = scratch_path(feed.spark, "published")
+        tables = pb.PublishedTables(feed.spark, f"{folder}/tables")
+        for n, (first, last) in enumerate(LANDINGS):
+            landed = F.col("poll").between(first, last)
+            feed.polled_documents().where(landed).write.json(f"{folder}/documents/{n}")
+            feed.polls().where(landed).select("poll", *pb.board_columns()).write.json(f"{folder}/boards/{n}")
+            documents, boards = ls.read_document_stream(feed.spark, f"{folder}/documents/*"), pb.read_board_stream(feed.spark, f"{folder}/boards/*")
+            score = lambda states: states.withColumn("probability", F.expr(PROBABILITY))
+            pb.start_published(documents, boards, feed.live_index(), tables, f"{folder}/checkpoint", score, once=True).awaitTermination()
+        _PUBLISHED[key] = tables
+    return _PUBLISHED[key]
+
+
+LOGGED = ["game_id", "poll", "cause", "feed_changed", "metadata_changed", "feed_status", "error"]
+SHOWN = ["game_status", "status_text", "home_score", "away_score"]
+
+
+def publish_log(feed: DerivedFeed) -> DataFrame:
+    """The stream's log with the metadata that was shown."""
+    fields = ", ".join(f for f in pb.BOARD_SCHEMA.split(", ") if not f.startswith("poll"))
+    return published(feed).log().withColumn("b", F.from_json("board", fields)).select(*LOGGED, *[f"b.{c}" for c in SHOWN])
+
+
+query("published_changes")(lambda feed: publish_log(feed).where("feed_status = 'live'").drop("feed_status", "error"))
+query("metadata_change")(lambda feed: publish_log(feed).where("metadata_changed").select("game_id", "poll", "feed_changed", *SHOWN))
+
+
+@query("degraded_feed")
 def _(feed):
-    payloads = polls(feed).selectExpr("game_id", "poll", "status", "points", "event_id AS last_update", "poll AS replay_cursor")
-    return sn.published_changes(payloads)
+    """Failures and what ended them."""
+    rows = carry_last(publish_log(feed), ["game_id"], "poll", {"before": "cause"})
+    return rows.where("cause = 'failure' OR before = 'failure'").select(*LOGGED, *SHOWN)
+
 
+query("changed_snapshots_stream")(lambda feed: published(feed).log().where("feed_changed").select("game_id", "poll"))
 
-@query("metadata_change")
+
+@query("publish_log")
 def _(feed):
-    rows = polls(feed).selectExpr(
-        "game_id", "poll", "status AS game_status", "CASE WHEN status = 3 THEN 'Final' END AS status_text",
-        "CASE WHEN poll < 5 THEN NULL ELSE CAST(floor(points / 5) AS INT) END AS home_score", "0 AS away_score",
-    )
-    return sn.metadata_changes(rows)
+    """The rule over the table of polls; the same rows as the stream's log."""
+    prints = sn.snapshot_fingerprints(feed.polled_documents()).join(feed.polls().select("game_id", "poll", "failed", *SHOWN), ["game_id", "poll"])
+    return sn.publish_log(prints, "failed").select(*LOGGED, *SHOWN)
 
 
-@query("degraded_feed")
+@query("served_documents")
 def _(feed):
-    rows = polls(feed).selectExpr("game_id", "poll", "'s' || event_id AS state", "event_type IN ('error', 'signup') AS failed")
-    return sn.degraded_feed(rows)
+    """What each batch of the stream served, scored."""
+    return published(feed).published().selectExpr(
+        "game_id", "CAST(batch AS INT) AS batch", "poll", "feed_status", "game_status", "status_text", "home_team.score AS home_score", "away_team.score AS away_score",
+        "period", "home_win_probability", "model_home_win_probability", "final_override_applied", "size(recent_events) > 0 AS has_events",
+    )
 
 
 @query("replay_prefix")

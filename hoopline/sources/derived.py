@@ -365,6 +365,34 @@ class DerivedFeed:
 
         return self._table("snapshots", build)
 
+    def polls(self) -> DataFrame:
+        """Eight polls of every game: how many of its arrivals the feed shows by then, whether the feed fails, and the scoreboard row."""
+
+        def build() -> DataFrame:
+            totals = self.live_actions().groupBy("game_id").agg(F.count(F.lit(1)).alias("total"))
+            games = self.staged().select("user_id", "game_id", "home_id", "away_id").distinct().join(totals, "game_id")
+            each = games.withColumn("poll", F.expr("explode(sequence(0, 7))")).withColumn("version", F.expr(POLL_VERSION))
+            return each.select("game_id", "poll", "total", *[F.expr(e).alias(c) for c, e in LANDED_POLL_COLUMNS.items()])
+
+        return self._table("polls", build)
+
+    def polled_documents(self) -> DataFrame:
+        """What the feed of every poll lands; a failed one is cut off."""
+
+        def build() -> DataFrame:
+            fields = [c for c in LIVE_COLUMNS if c not in ("game_id", "source_index")]
+            names = ", ".join(f"'{c}', {c}" for c in fields)
+            polls = self.polls().select("game_id", "poll", "shown", "failed")
+            rows = self.live_actions().join(polls, "game_id").where("source_index < shown").selectExpr(
+                "game_id", "poll", "failed", "CAST(floor(source_index / 4096) AS INT) AS part", "source_index", f"to_json(named_struct({names}), map('ignoreNullFields', 'false')) AS item"
+            )
+            items = F.expr("transform(array_sort(collect_list(struct(source_index, item))), x -> x.item)")
+            parts = rows.groupBy("game_id", "poll", "part", "failed").agg(items.alias("items"))
+            value = "'{\"game\":{\"gameId\":\"' || game_id || '\",\"actions\":[' || concat_ws(',', items) || CASE WHEN failed THEN '' ELSE ']}}' END"
+            return parts.selectExpr("game_id", "poll", "part", f"{value} AS value")
+
+        return self._table("polled_documents", build)
+
     def scored(self) -> DataFrame:
         """States with a made-up home-win probability, a plain ratio that both engines agree on."""
         return self.states().withColumn("probability", F.expr(PROBABILITY))
@@ -399,6 +427,27 @@ BOARD_COLUMNS: dict[str, str] = {
     "away_tricode": "'A' || CAST(away_id AS STRING)",
     "away_score": "CAST(away_top AS STRING)",
 }
+# Polls of a game, as text that both engines read.
+POLL_VERSION = "CASE WHEN poll < 2 THEN 0 WHEN poll < 5 THEN 1 WHEN user_id % 2 = 0 OR poll = 7 THEN 2 ELSE 1 END"
+_POLL_FINAL = "poll >= 6 AND user_id % 4 = 0"
+LANDED_POLL_COLUMNS: dict[str, str] = {
+    "shown": "CAST(ceil(total * (version + 1) / 3.0) AS INT)",
+    "failed": "(poll = 0 AND user_id % 7 = 3) OR (poll = 3 AND user_id % 3 = 1) OR (poll = 4 AND user_id % 6 = 1) OR (poll = 6 AND user_id % 5 = 2)",
+    "game_status": f"CASE WHEN {_POLL_FINAL} THEN 3 ELSE 2 END",
+    "status_text": f"CASE WHEN {_POLL_FINAL} THEN 'Final' WHEN user_id % 11 = 5 THEN NULL ELSE 'Q' || CAST(CAST(1 + floor(poll / 4) AS INT) AS STRING) END",
+    "period": "CAST(1 + floor(poll / 4) AS INT)",
+    "clock": "'PT05M00.00S'",
+    "home_team_id": "home_id",
+    "home_name": "'Home ' || CAST(home_id AS STRING)",
+    "home_city": "''",
+    "home_tricode": "'H' || CAST(home_id AS STRING)",
+    "home_score": "CAST(user_id % 50 + CASE WHEN poll >= 5 THEN 2 ELSE 0 END AS INT)",
+    "away_team_id": "away_id",
+    "away_name": "'Away ' || CAST(away_id AS STRING)",
+    "away_city": "''",
+    "away_tricode": "'A' || CAST(away_id AS STRING)",
+    "away_score": "CAST(user_id % 40 AS INT)",
+}
 PROBABILITY = "greatest(0D, least(1D, CAST(50 + score_differential * period AS DOUBLE) / 100D))"
 
 # Defects of landed documents by game, and the JSON text of the three required keys.
