@@ -757,6 +757,28 @@ ORACLE["verify_downloads"] = with_(
     "CASE WHEN count(*) FILTER (is_valid) > 0 THEN round(sum(event_count) FILTER (is_valid) / count(*) FILTER (is_valid), 6) END AS mean_events, "
     "count(*) FILTER (NOT is_valid) = 0 AS complete FROM files f GROUP BY f.season",
 )
+LANDED_GAMES = (
+    f"{sb.ACTIONS}, kinds AS MATERIALIZED (SELECT season, game_id, CAST(game_id AS BIGINT) % 7 AS kind, count(*) AS n FROM acts GROUP BY ALL), "
+    "told AS MATERIALIZED (SELECT season, game_id, kind, CASE WHEN kind IN (1, 2, 5) THEN 0 ELSE n END AS event_count, CASE kind WHEN 1 THEN 'the file cannot be read: it is cut off' "
+    "WHEN 2 THEN 'the file cannot be read: it is not gzip' WHEN 5 THEN 'there is no file' ELSE CASE WHEN n < 50 THEN 'too few events: ' || n ELSE '' END END AS reason FROM kinds)"
+)
+ORACLE["read_landed_pbp"] = with_(
+    LANDED_GAMES, f"SELECT {ROW}, n_events, actionId, clock, period, description FROM acts JOIN kinds USING (season, game_id) WHERE kind NOT IN (1, 2, 5)"
+)
+ORACLE["landed_files"] = with_(
+    LANDED_GAMES,
+    "SELECT season, game_id, kind <> 4 AS compressed, true AS has_bytes, kind NOT IN (1, 2) AS is_read, CASE kind WHEN 1 THEN 'it is cut off' WHEN 2 THEN 'it is not gzip' END AS error FROM kinds WHERE kind <> 5",
+)
+ORACLE["validate_landed_files"] = with_(LANDED_GAMES, "SELECT season, game_id, reason = '' AS is_valid, event_count, kind = 5 AS is_missing, reason FROM told")
+ORACLE["verify_landed_downloads"] = with_(
+    f"{LANDED_GAMES}, {sb.INDEX[len(sb.STAGED) + 2:]}",
+    "SELECT f.season, count(*) AS expected, count(*) FILTER (reason = '') AS verified, count(*) FILTER (kind = 5) AS missing, "
+    "count(*) FILTER (reason <> '' AND kind <> 5) AS invalid, coalesce(sum(event_count) FILTER (reason = ''), 0)::BIGINT AS events, "
+    "(SELECT sum(home_win)::BIGINT FROM idx WHERE idx.season = f.season) AS home_wins, "
+    "(SELECT round(avg(home_win), 6) FROM idx WHERE idx.season = f.season) AS home_win_rate, "
+    "CASE WHEN count(*) FILTER (reason = '') > 0 THEN round(sum(event_count) FILTER (reason = '') / count(*) FILTER (reason = ''), 6) END AS mean_events, "
+    "count(*) FILTER (reason <> '') = 0 AS complete, count(*) FILTER (reason = '') > 0 AS has_bytes FROM told f GROUP BY f.season",
+)
 VERIFIED = (
     f"{sb.STATES}, numbered AS (SELECT game_id, season, CAST(game_id AS BIGINT) % 13 AS g, count(*) AS states, "
     "arg_max(home_score, source_event_index) AS lh, arg_max(away_score, source_event_index) AS la, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -608,6 +609,60 @@ query("validate_files")(
 query("verify_downloads")(lambda feed: ql.verify_downloads(feed.index(), feed.landed_documents()).drop("bytes"))
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed_folder(feed: DerivedFeed) -> str:
+    """Every game's document as a file of its own; some are cut off, some are no gzip, some stand there twice or plain, some are missing."""
+    key = (feed.spark.sparkContext.applicationId, feed.sf_dir)
+    if key not in _LANDED:
+
+        def damage(batches):
+            import pandas as pd
+
+            for batch in batches:
+                out = []
+                for season, name, content, kind in batch[["season", "name", "content", "kind"]].itertuples(index=False):
+                    content, plain = bytes(content), name.removesuffix(".gz")
+                    if kind == 1:
+                        out.append((season, name, content[: len(content) // 2]))
+                    elif kind == 2:
+                        out.append((season, name, b"<html>" + content[6:]))
+                    elif kind == 4:
+                        out.append((season, plain, gzip.decompress(content)))
+                    elif kind != 5:
+                        out.append((season, name, content))
+                        if kind == 3:
+                            out.append((season, plain, b'{"game":{"gameId":"0000000000","actions":[]}}'))
+                yield pd.DataFrame(out, columns=["season", "name", "content"])
+
+        path = scratch_path(feed.spark, "landed")
+        files = fd.compressed_files(fd.to_documents(feed.actions())).withColumn("kind", F.expr("CAST(substr(name, 1, 10) AS BIGINT) % 7"))
+        fd.write_landed_files(files.mapInPandas(damage, "season STRING, name STRING, content BINARY"), path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+query("read_landed_pbp")(lambda feed: fd.read_landed_pbp(feed.spark, landed_folder(feed)).select(*ROW, "n_events", "actionId", "clock", "period", "description"))
+
+
+@query("landed_files")
+def _(feed):
+    files = fd.landed_files(feed.spark, landed_folder(feed))
+    return files.selectExpr("season", "game_id", "path LIKE '%.gz' AS compressed", "length > 0 AS has_bytes", "value IS NOT NULL AS is_read", "error")
+
+
+query("validate_landed_files")(
+    lambda feed: reasons(ql.validate_files(feed.index(), fd.landed_files(feed.spark, landed_folder(feed))), "season", "game_id", "is_valid", "event_count", "is_missing")
+)
+
+
+@query("verify_landed_downloads")
+def _(feed):
+    found = ql.verify_downloads(feed.index(), fd.landed_files(feed.spark, landed_folder(feed)))
+    return found.withColumn("has_bytes", F.expr("coalesce(bytes, 0) > 0")).drop("bytes")
+
+
 def damaged_states(feed: DerivedFeed) -> DataFrame:
     """States with one kind of damage per game, by its number."""
     damage = {

@@ -92,30 +92,32 @@ def validate_feeds(documents: DataFrame) -> DataFrame:
     return result.selectExpr(*GAME, "size(problems) = 0 AS is_valid", "CASE WHEN shape = 'list' THEN n ELSE 0 END AS event_count", "problems")
 
 
-def validate_files(index: DataFrame, documents: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+def validate_files(index: DataFrame, documents: DataFrame) -> DataFrame:
     """Every expected game once: absent, unreadable and bad files become invalid rows, never errors.
 
-    ``listing`` names the files that exist, so one the reader had to skip is told from a missing one.
+    ``documents`` with a column ``error``, as ``feeds.landed_files`` gives them, tell files that cannot be read from missing ones.
     """
-    checked = validate_feeds(documents)
     expected = index.select(*GAME).distinct()
-    joined = expected.join(checked, GAME, "left")
-    if listing is not None:
-        joined = joined.join(listing.selectExpr("game_id", "true AS on_disk").distinct(), "game_id", "left")
-        absent = "CASE WHEN on_disk THEN 'the file cannot be read' ELSE 'there is no file' END"
+    if "error" in documents.columns:
+        unreadable = documents.where("error IS NOT NULL").groupBy(*GAME).agg(F.min("error").alias("error"))
+        documents = documents.where("error IS NULL")
     else:
-        absent = "'there is no file'"
+        unreadable = expected.limit(0).withColumn("error", F.lit(None).cast("string"))
+    joined = expected.join(validate_feeds(documents), GAME, "left").join(unreadable, GAME, "left")
     return joined.selectExpr(
         *GAME,
-        "coalesce(is_valid, false) AS is_valid",
+        "coalesce(is_valid, false) AND error IS NULL AS is_valid",
         "coalesce(event_count, 0L) AS event_count",
-        f"coalesce(problems, array({absent})) AS problems",
-        "is_valid IS NULL AS is_missing",
+        "CASE WHEN error IS NOT NULL THEN array('the file cannot be read: ' || error) ELSE coalesce(problems, array('there is no file')) END AS problems",
+        "is_valid IS NULL AND error IS NULL AS is_missing",
     )
 
 
 def verify_downloads(index: DataFrame, documents: DataFrame) -> DataFrame:
-    """Season coverage, worked out again from the documents; no manifest is trusted."""
+    """Season coverage, worked out again from the documents; no manifest is trusted.
+
+    ``bytes`` are those on disk where ``documents`` have the length of their file, else those of the text.
+    """
     files = validate_files(index, documents)
     coverage = files.groupBy("season").agg(
         F.count(F.lit(1)).alias("expected"),
@@ -124,9 +126,8 @@ def verify_downloads(index: DataFrame, documents: DataFrame) -> DataFrame:
         F.expr("count_if(NOT is_valid AND NOT is_missing)").alias("invalid"),
         F.expr("sum(CASE WHEN is_valid THEN event_count ELSE 0 END)").alias("events"),
     )
-    sizes = documents.join(files.where("is_valid").select(*GAME), GAME, "left_semi").groupBy("season").agg(
-        F.expr("sum(octet_length(value))").alias("bytes")
-    )
+    size = "length" if "length" in documents.columns else "octet_length(value)"
+    sizes = documents.join(files.where("is_valid").select(*GAME), GAME, "left_semi").groupBy("season").agg(F.expr(f"sum({size})").alias("bytes"))
     wins = index.groupBy("season").agg(F.sum("home_win").alias("home_wins"), F.expr("round(avg(home_win), 6)").alias("home_win_rate"))
     return coverage.join(wins, "season").join(sizes, "season", "left").selectExpr(
         "*", "CASE WHEN verified > 0 THEN round(events / verified, 6) END AS mean_events", "missing = 0 AND invalid = 0 AS complete"

@@ -40,20 +40,41 @@ def test_bad_files_become_rows_and_compressed_files_win(spark, tmp_path):
     packed("0000000005", document("0000000005", 400), cut=60)
     packed("0000000006", document("0000000099"))
     packed("0000000007", document("0000000007", 10))
-    ids = [f"{i:010d}" for i in range(1, 9)]
+    ids = [f"{i:010d}" for i in range(1, 12)]
     index = spark.createDataFrame([("s", i) for i in ids], "season STRING, game_id STRING")
+    (tmp_path / "0000000008.json.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "0000000009.json").write_bytes(b'{"game": "\xff"}')
+    packed("0000000010", document("0000000010"))
+    whole = (tmp_path / "0000000010.json.gz").read_bytes()
+    (tmp_path / "0000000010.json.gz").write_bytes(gzip.compress(b"  ") + whole)
     files = fd.landed_files(spark, str(tmp_path)).withColumn("season", F.lit("s"))
-    found = {r.game_id: r for r in ql.validate_files(index, files, fd.file_listing(spark, str(tmp_path))).collect()}
-    assert [i for i in ids if found[i].is_valid] == ["0000000001", "0000000002"]
+    found = {r.game_id: r for r in ql.validate_files(index, files).collect()}
+    assert [i for i in ids if found[i].is_valid] == ["0000000001", "0000000002", "0000000010"]
     assert found["0000000001"].event_count == 60
     # Spark never lists empty files, so one counts as absent; it is invalid either way.
     assert found["0000000003"].problems == ["there is no file"]
     assert found["0000000004"].problems == ["the document is not readable JSON"]
-    assert found["0000000005"].problems == ["the file cannot be read"]
+    assert found["0000000005"].problems == ["the file cannot be read: it is cut off"] and not found["0000000005"].is_missing
     assert found["0000000006"].problems == ["the document is for game 0000000099"]
     assert found["0000000007"].problems == ["too few events: 10"]
-    assert found["0000000008"].problems == ["there is no file"]
-    assert fd.storage_usage(fd.file_listing(spark, str(tmp_path))).first().files == 7
+    assert found["0000000008"].problems == ["the file cannot be read: it is not gzip"]
+    assert found["0000000009"].problems == ["the file cannot be read: it is not UTF-8"]
+    assert found["0000000011"].problems == ["there is no file"] and found["0000000011"].is_missing
+    listing = fd.file_listing(spark, str(tmp_path))
+    assert fd.storage_usage(listing).first().files == 10
+    wins = index.withColumn("home_win", F.lit(1))
+    on_disk = sum((tmp_path / f"{name}").stat().st_size for name in ("0000000001.json.gz", "0000000002.json", "0000000010.json.gz"))
+    assert ql.verify_downloads(wins, files).first().bytes == on_disk
+
+
+def test_files_are_written_whole_and_read_back(spark, tmp_path):
+    actions = [("s1", "0000000001", i, 5000, f"a{i}", 1) for i in range(5000)] + [("s2", "0000000002", 0, 1, "b0", 1)]
+    frame = spark.createDataFrame(actions, "season STRING, game_id STRING, source_event_index INT, n_events INT, actionId STRING, period INT")
+    assert fd.write_landed_files(fd.compressed_files(fd.to_documents(frame)), str(tmp_path)) == 3
+    names = sorted(p.name for p in tmp_path.rglob("*") if p.is_file())
+    assert names == ["0000000001.json.gz", "0000000001~1.json.gz", "0000000002.json.gz"]
+    back = fd.read_landed_pbp(spark, str(tmp_path)).select("season", "game_id", "source_event_index", "n_events", "actionId", "period")
+    assert sorted(map(tuple, back.collect())) == sorted(actions)
 
 
 def test_key_with_null_is_not_a_missing_key(spark):
