@@ -5,11 +5,12 @@ tokens of at least ``MIN_TOKEN`` characters of the secret alphabet, those whose
 random strings exceeds that under a model of ordinary identifiers by ``THRESHOLD`` nats per character; tokens of fewer than ``MIN_DISTINCT`` different
 characters, such as rules of dashes, are left alone.
 
-Both models are bigram models trained on samples that the patterns label: values that they find are random strings, all
-other tokens ordinary; part of the random model is uniform, as secrets have many alphabets. At most ``SAMPLE_TOKENS`` of each are used from about ``SAMPLE_DOCS``
-documents of at most ``SAMPLE_CHARS`` characters, lowest hash first. With no labelled values, random strings are uniform.
+Both models are bigram models of what the patterns label: values that they find are random strings, all
+other tokens of at least ``MIN_ORDINARY`` characters are ordinary; part of the random model is uniform, as secrets have many alphabets. The pairs of characters are
+counted over all documents, whole, and summed on the cluster into two tables of fixed size. With no labelled values, random strings are uniform.
 
-Null text counts as empty. Spans are in code points, end exclusive.
+Null text counts as empty and has no spans; very long texts are read whole. Repeated rows count as often as they stand there and each have their result. An empty table gives no
+rows. Only the id and the text are read, so names of other columns don't matter. Spans are in code points, end exclusive; spans that start together stand in the order of their kinds.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoopline.llm.common import hash_sample, read_table
+from hoopline.llm.common import read_table
+from hoopline.operators.fitting import FAN_IN, summed
 
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 20_000
-SAMPLE_TOKENS = 50_000
-MIN_TOKEN = 20
+MIN_TOKEN, MIN_ORDINARY = 20, 4
+#: Share of the models that is spread evenly over all characters.
+UNIFORM_RANDOM, UNIFORM_ORDINARY = 0.5, 0.02
 THRESHOLD = 1.0
 MIN_DISTINCT = 8
 
@@ -75,12 +76,9 @@ def _tokens(text: str, spans: list) -> tuple[list, list[str]]:
     return free, values
 
 
-def bigram_logs(samples: list[str], uniform: float) -> np.ndarray:
-    """Log probabilities of a character after another, ``uniform`` of them shared out evenly; row N is the start."""
-    counts = np.full((N + 1, N), 1e-9)
-    for word in samples:
-        codes = CODE[np.frombuffer(word.encode(), np.uint8)]
-        np.add.at(counts, (np.concatenate([[N], codes[:-1]]), codes), 1)
+def bigram_logs(counts: np.ndarray, uniform: float) -> np.ndarray:
+    """Log probabilities of a character after another from their ``counts``, ``uniform`` of them shared out evenly; row N is the start."""
+    counts = counts + 1e-9
     return np.log((1 - uniform) * counts / counts.sum(1, keepdims=True) + uniform / N)
 
 
@@ -90,18 +88,48 @@ def ratio(word: str, table: np.ndarray) -> float:
     return float(table[np.concatenate([[N], codes[:-1]]), codes].mean())
 
 
-def train(texts: list[str]) -> np.ndarray:
-    """Difference of the tables of random strings and of ordinary tokens, from texts that the patterns label."""
-    ordinary, random = [], []
-    word = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
-    for text in texts:
-        spans = base_spans(text)
-        random += _tokens(text, spans)[1]
-        covered = np.zeros(len(text) + 1, bool)
+def pair_counts(text: str) -> np.ndarray:
+    """How often a character follows another in the values that the patterns find, and in the ordinary tokens: two flat tables of (N + 1, N)."""
+    spans = base_spans(text)
+    out = np.zeros((2, (N + 1) * N))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(points < 128, CODE[np.minimum(points, 127)], -1)
+    inside = np.concatenate([[False], codes >= 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    keep = ends - starts >= MIN_ORDINARY
+    if spans:
+        covered = np.zeros(len(codes) + 1, np.int64)
         for start, _, end, _ in spans:
-            covered[start:end] = True
-        ordinary += [m[0] for m in word.finditer(text) if not covered[m.start() : m.end()].any()]
-    return bigram_logs(random[:SAMPLE_TOKENS], 0.5) - bigram_logs(ordinary[:SAMPLE_TOKENS], 0.02)
+            covered[start + 1 : end + 1] = 1
+        before = covered.cumsum()
+        keep &= before[ends] == before[starts]
+        for value in _tokens(text, spans)[1]:
+            own = CODE[np.frombuffer(value.encode(), np.uint8)]
+            np.add.at(out[0], np.concatenate([[N], own[:-1]]) * N + own, 1)
+    starts, sizes = starts[keep], (ends - starts)[keep]
+    if len(starts):
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - first, sizes)
+        previous = codes[at - 1]
+        previous[first] = N
+        out[1] = np.bincount(previous * N + codes[at], minlength=(N + 1) * N)
+    return out.reshape(-1)
+
+
+def tables(counts: np.ndarray) -> np.ndarray:
+    """Difference of the tables of random strings and of ordinary tokens, from the summed ``pair_counts``."""
+    random, ordinary = counts.reshape(2, N + 1, N)
+    return bigram_logs(random, UNIFORM_RANDOM) - bigram_logs(ordinary, UNIFORM_ORDINARY)
+
+
+def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
+    """The models' table from all documents; counts are added up on the cluster, so the driver gets FAN_IN tables of fixed size at most."""
+
+    def counts(batch: pd.DataFrame) -> np.ndarray:
+        return sum((pair_counts(t) for t in batch["text"] if t), np.zeros(2 * (N + 1) * N))
+
+    return tables(summed(docs.select(F.col(text_column).alias("text")), counts, 2 * (N + 1) * N, tasks=FAN_IN + 1))
 
 
 def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
@@ -113,8 +141,7 @@ def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, counts of the base kinds, digest of the base spans, all spans as text."""
-    sample = hash_sample(docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text"), ["doc_id", "text"], SAMPLE_DOCS)
-    table = train(sorted(r["text"] for r in sample.collect()))
+    table = train(docs)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shown = lambda spans: ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans)

@@ -370,6 +370,39 @@ def test_base_secrets(spark, documents):
         assert set(base) <= set(r.spans.split(",")) | {""}
 
 
+def test_random_spans_by_plain_likelihoods(spark, documents):
+    """Both models counted pair by pair over all documents, and every long token judged on its own."""
+    alphabet = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_.=-"
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    random_pairs, ordinary_pairs, free = collections.Counter(), collections.Counter(), {}
+    for d, text in documents.items():
+        spans = []
+        for pattern, group, least in ((assign, 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)):
+            for m in pattern.finditer(text):
+                if len(m[group]) >= least:
+                    spans.append(m.span())
+                    random_pairs.update(zip(["start", *m[group]], m[group]))  # noqa: B905
+        outside = [m for m in re.finditer("[A-Za-z0-9+/_.=-]+", text) if not any(a < m.end() and m.start() < b for a, b in spans)]
+        for m in outside:
+            if len(m[0]) >= 4:
+                ordinary_pairs.update(zip(["start", *m[0]], m[0]))  # noqa: B905
+        free[d] = [m for m in outside if len(m[0]) >= 20]
+
+    def log_of(pairs, uniform):
+        totals = collections.Counter()
+        for (a, _), n in pairs.items():
+            totals[a] += n
+        return lambda a, b: math.log((1 - uniform) * (pairs[a, b] + 1e-9) / (totals[a] + 1e-9 * len(alphabet)) + uniform / len(alphabet))
+
+    random_log, ordinary_log = log_of(random_pairs, 0.5), log_of(ordinary_pairs, 0.02)
+    wanted = {}
+    for d, tokens in free.items():
+        judged = [(m, sum(random_log(a, b) - ordinary_log(a, b) for a, b in zip(["start", *m[0]], m[0])) / len(m[0])) for m in tokens if len(set(m[0])) >= 8]  # noqa: B905
+        wanted[d] = {f"random:{m.start()}:{m.end()}" for m, value in judged if value > 1.0}
+    got = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("random")} for r in QUERIES["op10_secrets"](spark, SMALL).collect()}
+    assert got == wanted and sum(random_pairs.values()) > 100
+
+
 def test_base_secrets_of_odd_texts():
     rand = random.Random(4)
     parts = ["token", "TOKEN", "api_key", "apikey", "secret", "=", ":", " ", "'", '"', "AKIA", "ABCDEFGH1234567890", "0123456789abcdef", "abcdefabcdefabcdef", "x", "é", "ſecret", ".", "\n", "password=short"]
@@ -382,7 +415,7 @@ def test_random_strings_are_told_from_identifiers():
     rand = random.Random(8)
     names = ["get_user_account_by_id", "internationalization_settings", "application_configuration", "request_handler_factory", "the_quick_brown_fox_jumps"]
     texts = [" ".join(rand.choices(names, k=30)) + f" token = \"{''.join(rand.choices('0123456789abcdef', k=40))}\"" for _ in range(80)]
-    table = secrets.train(texts)
+    table = secrets.tables(sum(secrets.pair_counts(t) for t in texts))
     alphabets = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/")
     hits = [secrets.all_spans("value " + "".join(rand.choices(a, k=36)) + " end", table)[1] for a in alphabets for _ in range(50)]
     assert sum(bool(h) for h in hits) / len(hits) > 0.9
