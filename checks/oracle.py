@@ -678,6 +678,25 @@ ORACLE["fit_mlp"] = with_(
     f"JOIN newton ON step = {NEWTON_STEPS} WHERE season = '2022-23') CROSS JOIN (VALUES ('dropout 0.1'), ('dropout 0.2'), ('dropout 0.1 slow')) n(model) GROUP BY model",
 )
 
+_LINEAR_P = f"1 / (1 + exp(-greatest(-50, least(50, list_dot_product(b, [{', '.join(FEATURES)}, 1::DOUBLE])))))"
+FITTED = f"{sb.STATES}, nr AS MATERIALIZED ({TRAIN_ROWS}), {newton('SELECT * FROM nr', 11)}"
+_SIX = ", ".join(f"round({m}, 6) AS {m}" for m in ("brier", "log_loss", "accuracy", "roc_auc", "ece"))
+
+
+def _linear_rows(season: str) -> str:
+    return f"SELECT 'logistic' AS model, home_win AS y, {_LINEAR_P} AS p FROM ({SCALED}) JOIN newton ON step = {NEWTON_STEPS} WHERE season = '{season}'"
+
+
+ORACLE["tune_model"] = with_(
+    f"{FITTED}, judged AS MATERIALIZED ({_linear_rows('2022-23')})",
+    "SELECT (SELECT count(*) FROM states WHERE season = '2021-22') AS train_rows, row_count AS validation_rows, (SELECT round(avg(home_win), 9) FROM states WHERE season = '2021-22') AS constant, "
+    f"2 AS candidates, {_SIX} FROM ({metrics('SELECT * FROM judged', 'model')})",
+)
+ORACLE["evaluate_model"] = with_(
+    f"{FITTED}, judged AS MATERIALIZED ({_linear_rows('2023-24')} UNION ALL SELECT 'constant', home_win, {RATE} FROM states WHERE season = '2023-24')",
+    f"SELECT model, row_count, {_SIX} FROM ({metrics('SELECT * FROM judged', 'model')})",
+)
+
 # --- Sources and sinks ------------------------------------------------------------------
 
 LOG = "season, GAME_ID, GAME_DATE, TEAM_ID, TEAM_ABBREVIATION, MATCHUP, WL, PTS"

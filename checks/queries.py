@@ -28,6 +28,7 @@ from hoopline.operators import sampling as sa
 from hoopline.operators import snapshots as sn
 from hoopline.operators import states as st
 from hoopline.operators.history import carry_last
+from hoopline.plans import modelling as pm
 from hoopline.plans import season as ps
 from hoopline.session import scratch_path
 from hoopline.sources import feeds as fd
@@ -490,6 +491,35 @@ def _(feed):
     )
 
 
+_TUNED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def tuned(feed: DerivedFeed) -> tuple[str, str]:
+    """Paths of a state table and of the artifacts of a model tuned on it."""
+    key = (feed.spark.sparkContext.applicationId, feed.sf_dir)
+    if key not in _TUNED:
+        paths = scratch_path(feed.spark, "tuning_states"), scratch_path(feed.spark, "artifacts")
+        ss.write_states(feed.states(), paths[0])
+        pm.tune_model(feed.spark, *paths, settings={"small": md.NetSetting(hidden=(8, 4), epochs=2)}, batches=2)
+        _TUNED[key] = paths
+    return _TUNED[key]
+
+
+@query("tune_model")
+def _(feed):
+    """The report's logistic model on validation, and what the artifacts were made from; the perceptrons are tested in numpy."""
+    report = feed.spark.read.schema(pm.REPORT).json(f"{tuned(feed)[1]}/tuning_report")
+    rows = report.selectExpr("train_rows", "validation_rows", "round(constant, 9) AS constant", "size(models) AS candidates", "explode(models) AS m")
+    return rows.where("m.model = 'logistic'").selectExpr("train_rows", "validation_rows", "constant", "candidates", *[f"round(m.{c}, 6) AS {c}" for c in METRICS])
+
+
+@query("evaluate_model")
+def _(feed):
+    """The baselines on the test season, scored from the artifacts."""
+    found = pm.evaluate_model(feed.spark, *tuned(feed))["comparison"].where("model IN ('constant', 'logistic')")
+    return found.selectExpr("model", "row_count", *[f"round({m}, 6) AS {m}" for m in METRICS])
+
+
 @query("load_save_preprocessor")
 def _(feed):
     path = scratch_path(feed.spark, "scaler")

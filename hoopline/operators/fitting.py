@@ -295,7 +295,7 @@ def fit_nets(
             raise ValueError("There are no validation rows")
         for n, square in zip(nets, total[1:], strict=True):
             brier = float(square / total[0])
-            history[n].append((losses[n] / max(counts[n], 1.0), brier))
+            history[n].append((float(losses[n] / max(counts[n], 1.0)), brier))
             better = brier < best[n][0] - LEAST_GAIN
             stale[n] = 0 if better else stale[n] + 1
             if better:
