@@ -173,6 +173,22 @@ lab(
     "FROM lab f CROSS JOIN (VALUES ('exclude_technical'), ('exclude_technical_and_offensive')) r(rule) "
     "WHERE f.type_label LIKE '%foul%' AND f.teamId > 0 AND f.mark IS NOT NULL) GROUP BY ALL",
 )
+lab(
+    "foul_mismatches",
+    "SELECT season, 'foul_mismatch:' || rule AS example, CAST(row_number() OVER (PARTITION BY season, rule ORDER BY game_id, source_event_index) AS INT) AS place, game_id, source_event_index, "
+    "actionNumber AS action_number, period, teamId AS team_id, teamTricode AS tricode, trim(subType) AS subtype, seen AS expected, mark AS observed FROM ("
+    "SELECT f.*, r.rule, (SELECT count(*) FROM lab g WHERE g.season = f.season AND g.game_id = f.game_id "
+    "AND g.period = f.period AND g.teamId = f.teamId AND g.source_event_index <= f.source_event_index "
+    f"AND g.type_label LIKE '%foul%' AND g.subtype_label NOT IN ({sb._NEUTRAL}) "
+    "AND (r.rule = 'exclude_technical' OR g.subtype_label NOT IN ('offensive', 'offensive charge'))) AS seen "
+    "FROM lab f CROSS JOIN (VALUES ('exclude_technical'), ('exclude_technical_and_offensive')) r(rule) "
+    "WHERE f.type_label LIKE '%foul%' AND f.teamId > 0 AND f.mark IS NOT NULL) WHERE mark <> seen QUALIFY place <= 8",
+)
+ORACLE["missing_feeds"] = with_(
+    sb.INDEX,
+    "SELECT season, count(DISTINCT game_id) AS listed, count(DISTINCT game_id) FILTER (CAST(game_id AS BIGINT) % 4 <> 1) AS with_feed, "
+    "count(DISTINCT game_id) FILTER (CAST(game_id AS BIGINT) % 4 = 1) AS missing FROM idx GROUP BY season",
+)
 lab(
     "timeout_attribution",
     "SELECT season, 'teamId' AS field, coalesce(CAST(teamId AS VARCHAR), '<blank>') AS label, count(*) AS n FROM lab "
@@ -726,11 +742,14 @@ ORACLE["read_live_snapshots"] = with_(
 ORACLE["process_season"] = ORACLE["season_results"]
 ORACLE["write_report"] = with_(
     sb.TRACKED,
-    "SELECT season, count(DISTINCT game_id) AS games_processed, count(*) AS raw_events, count(*) FILTER (emitted) AS emitted_states, "
+    "SELECT a.season, count(DISTINCT game_id) AS games_processed, count(*) AS raw_events, count(*) FILTER (emitted) AS emitted_states, "
     "round(100.0::DOUBLE * count(*) FILTER (emitted AND possession_team_id IS NOT NULL) / count(*) FILTER (emitted), 6) AS known_possession_percent, "
     "CAST(count(DISTINCT possession_reason) FILTER (emitted) AS INT) AS reasons, "
     "(SELECT max(n) FROM (SELECT count(*) AS n FROM trk b WHERE b.season = a.season AND emitted GROUP BY possession_reason)) AS top_reason_states, "
-    "CAST(least(100, count(*) FILTER (marker_matches = 0)) AS INT) AS discrepancies FROM trk a GROUP BY season",
+    "CAST(least(100, count(*) FILTER (marker_matches = 0)) AS INT) AS discrepancies, true AS has_bytes, CAST(count(DISTINCT game_id) AS INT) AS listed, "
+    "(SELECT CAST(count(*) FILTER (h = home_pts AND w = away_pts) AS INT) FROM (SELECT season, game_id, arg_max(home_score, source_event_index) AS h, arg_max(away_score, source_event_index) AS w "
+    "FROM trk GROUP BY ALL) l JOIN idx USING (season, game_id) WHERE l.season = a.season) AS final_scores, count(*) FILTER (emitted) AS listed_states, count(marker_matches) AS markers_checked, "
+    "min(game_id) AS first_game FROM trk a GROUP BY a.season",
 )
 
 # --- Data quality -----------------------------------------------------------------------
@@ -815,6 +834,10 @@ VERIFIED = (
     "UNION ALL SELECT season, '8' || substr(game_id, 2), states, 'game is not in the index' FROM judged WHERE g = 8)"
 )
 ORACLE["verify_states"] = with_(VERIFIED, "SELECT season, game_id, states, reason = '' AS is_valid, reason FROM verified")
+states(
+    "stored_disorder",
+    "SELECT season, game_id, count(*) - 1 AS misplaced, 1::BIGINT AS files FROM states WHERE CAST(game_id AS BIGINT) % 3 = 0 GROUP BY season, game_id HAVING count(*) > 1",
+)
 ORACLE["verify_states_totals"] = with_(
     VERIFIED,
     "SELECT * FROM (SELECT season, count(*) FILTER (reason = '') AS verified, count(*) FILTER (states = 0) AS missing, "

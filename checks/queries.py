@@ -185,6 +185,8 @@ query("foul_marker_coverage")(lambda feed: pf.foul_marker_coverage(feed.actions(
 query("foul_rule_comparison")(lambda feed: pf.foul_rule_comparison(feed.actions()))
 query("timeout_attribution")(lambda feed: pf.timeout_attribution(feed.actions()))
 query("category_examples")(lambda feed: pf.category_examples(feed.actions()))
+query("foul_mismatches")(lambda feed: pf.foul_mismatches(feed.actions()).drop("clock", "description", "action_type"))
+query("missing_feeds")(lambda feed: pf.missing_feeds(feed.actions().where("CAST(game_id AS BIGINT) % 4 <> 1"), feed.index()))
 query("profile_fields")(
     lambda feed: pf.profile_fields(feed.actions(), ["clock", "scoreHome", "actionType", "subType", "teamTricode", "description"])
 )
@@ -618,10 +620,13 @@ def _(feed):
 def _(feed):
     states, tracked_path, path = (scratch_path(feed.spark, n) for n in ("states", "tracked", "report"))
     results = ps.process_season(feed.actions(), feed.game_log(), states, tracked_path)
-    ps.write_report(ps.season_report(feed.spark, states, tracked_path, results), path)
+    ps.write_report(ps.season_report(feed.spark, states, tracked_path, results, feed.index()), path)
     return feed.spark.read.json(path).selectExpr(
         "season", "games_processed", "raw_events", "emitted_states", "known_possession_percent",
         "size(possession_reasons) AS reasons", "get(possession_reasons, 0).states AS top_reason_states", "size(marker_discrepancies) AS discrepancies",
+        "processed_bytes > 0 AS has_bytes", "size(game_results) AS listed", "size(filter(game_results, g -> g.final_score_matches)) AS final_scores",
+        "aggregate(game_results, 0L, (a, g) -> a + g.emitted_states) AS listed_states", "aggregate(game_results, 0L, (a, g) -> a + g.foul_markers_checked) AS markers_checked",
+        "get(game_results, 0).game_id AS first_game",
     )
 
 
@@ -714,6 +719,15 @@ def _(feed):
     return reasons(ql.verify_states(damaged_states(feed), feed.index()), "season", "game_id", "states", "is_valid")
 
 
+@query("stored_disorder")
+def _(feed):
+    """Every third game stored from its end to its start."""
+    path = scratch_path(feed.spark, "shuffled")
+    turned = feed.states().withColumn("_o", F.expr("CASE WHEN CAST(game_id AS BIGINT) % 3 = 0 THEN -source_event_index ELSE source_event_index END"))
+    turned.repartition(4, "game_id").sortWithinPartitions("season", "game_id", "_o").drop("_o").write.partitionBy("season").parquet(path)
+    return ql.stored_disorder(ss.stored_places(feed.spark, path))
+
+
 @query("verify_states_totals")
 def _(feed):
     states = damaged_states(feed)

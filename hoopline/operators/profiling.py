@@ -80,19 +80,15 @@ def foul_marker_coverage(actions: DataFrame) -> DataFrame:
     )
 
 
-def foul_rule_comparison(actions: DataFrame, chunk_rows: int = 4096) -> DataFrame:
-    """Two counting rules against the markers, counted per game, period value and team.
+def _foul_checks(actions: DataFrame, chunk_rows: int) -> DataFrame:
+    """Fouls with a marker, once for each of two counting rules: ``rule``, ``expected`` (the running count per game, period value and team), ``observed`` (the marker).
 
     Counts run inside a chunk of list positions and start from the totals of the chunks before.
     """
     neutral = ev.text_list(fv.POSSESSION_NEUTRAL_FOULS)
+    shown = ["season", "game_id", IDX, "actionNumber", "period", "clock", "teamId", "teamTricode", "type_text", "subtype_text", "description_text", "marker"]
     fouls = _fouls(actions).where("teamId > 0 AND period IS NOT NULL").selectExpr(
-        "season",
-        "game_id",
-        IDX,
-        "period",
-        "teamId",
-        "marker",
+        *shown,
         f"CAST(floor({IDX} / {chunk_rows}) AS BIGINT) AS chunk",
         f"CAST(subtype_label NOT IN ({neutral}) AS INT) AS not_technical",
         f"CAST(subtype_label NOT IN ({neutral}) AND subtype_label NOT IN ('offensive', 'offensive charge') AS INT) AS defensive",
@@ -103,15 +99,26 @@ def foul_rule_comparison(actions: DataFrame, chunk_rows: int = 4096) -> DataFram
     before = f"OVER (PARTITION BY {group} ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     starts = totals.selectExpr(*piece, f"coalesce(sum(t1) {before}, 0) AS s1", f"coalesce(sum(t2) {before}, 0) AS s2")
     so_far = f"OVER (PARTITION BY {group}, chunk ORDER BY {IDX} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    counted = fouls.join(starts, piece).selectExpr(
-        "season", "marker", f"s1 + sum(not_technical) {so_far} AS c1", f"s2 + sum(defensive) {so_far} AS c2"
-    )
-    checks = counted.where("marker IS NOT NULL").selectExpr(
-        "season", "marker", "stack(2, 'exclude_technical', c1, 'exclude_technical_and_offensive', c2) AS (rule, expected)"
+    counted = fouls.join(starts, piece).selectExpr(*shown, f"s1 + sum(not_technical) {so_far} AS c1", f"s2 + sum(defensive) {so_far} AS c2")
+    return counted.where("marker IS NOT NULL").selectExpr(
+        *shown[:-1], "marker AS observed", "stack(2, 'exclude_technical', c1, 'exclude_technical_and_offensive', c2) AS (rule, expected)"
     )
-    return checks.groupBy(
-        "season", "rule", F.expr("CASE WHEN marker = expected THEN 'match' ELSE 'mismatch' END").alias("label")
-    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def foul_rule_comparison(actions: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+    """How often the markers agree with two counting rules."""
+    label = F.expr("CASE WHEN observed = expected THEN 'match' ELSE 'mismatch' END").alias("label")
+    return _foul_checks(actions, chunk_rows).groupBy("season", "rule", label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def foul_mismatches(actions: DataFrame, examples: int = EXAMPLES, chunk_rows: int = 4096) -> DataFrame:
+    """The first fouls of each season whose marker differs from a rule's count, with both numbers."""
+    wrong = _foul_checks(actions, chunk_rows).where("observed <> expected").withColumn("example", F.expr("'foul_mismatch:' || rule"))
+    order = Window.partitionBy("season", "example").orderBy("game_id", IDX)
+    return wrong.withColumn("place", F.row_number().over(order)).where(F.col("place") <= examples).selectExpr(
+        "season", "example", "place", "game_id", IDX, "actionNumber AS action_number", "period", "clock", "teamId AS team_id", "teamTricode AS tricode",
+        "type_text AS action_type", "subtype_text AS subtype", "description_text AS description", "expected", "observed",
+    )
 
 
 def timeout_attribution(actions: DataFrame) -> DataFrame:
@@ -125,8 +132,15 @@ def timeout_attribution(actions: DataFrame) -> DataFrame:
     return rows.groupBy("season", "field", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def missing_feeds(actions: DataFrame, index: DataFrame) -> DataFrame:
+    """Per season of the index: games that it lists, those with a feed, and those without."""
+    there = actions.select("season", "game_id").distinct().withColumn("has_feed", F.lit(1))
+    games = index.select("season", "game_id").distinct().join(there, ["season", "game_id"], "left")
+    return games.groupBy("season").agg(F.count(F.lit(1)).alias("listed"), F.count("has_feed").alias("with_feed"), F.expr("count_if(has_feed IS NULL)").alias("missing"))
+
+
 def category_examples(actions: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """The first rows of each kind worth looking at."""
+    """The first rows of each kind worth looking at; ``foul_mismatches`` has those of fouls that a rule counts differently."""
     keys = """array_compact(array(
         CASE WHEN type_text = '' THEN 'blank_action_type' END,
         CASE WHEN contains(type_label, 'foul') THEN 'foul:' || subtype_label END,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hoopline.functions import clock as ck
 from hoopline.functions import events as ev
 from hoopline.functions import fixed_values as fv
+from hoopline.operators.history import carry_last
 from hoopline.operators.ordinal import with_position
 from hoopline.operators.states import IDX
 
@@ -137,8 +138,20 @@ def verify_downloads(index: DataFrame, documents: DataFrame) -> DataFrame:
 # --- Game states ------------------------------------------------------------------------
 
 
+def stored_disorder(states: DataFrame) -> DataFrame:
+    """Per game with rows out of list order as stored: ``misplaced``, the rows whose list position is below that of the row before in their file, and ``files``.
+
+    ``states`` have ``stored_file`` and ``stored_row``, as ``state_store.stored_places`` gives them. A game's rows may repeat a position but not go back.
+    """
+    before = carry_last(states.select(*GAME, IDX, "stored_file", "stored_row"), [*GAME, "stored_file"], "stored_row", {"before": IDX})
+    return before.groupBy(*GAME).agg(F.expr(f"count_if({IDX} < before)").alias("misplaced"), F.countDistinct("stored_file").alias("files")).where("misplaced > 0 OR files > 1")
+
+
 def verify_states(states: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per game of the index (and any game it does not know): problems found in its states."""
+    """One row per game of the index (and any game it does not know): problems found in its states.
+
+    States that say where they are stored (``stored_file``, ``stored_row``) are also checked to stand in list order there.
+    """
     missing = set(fv.STATE_COLUMNS) - set(states.columns)
     if missing:
         raise ValueError(f"States lack columns {sorted(missing)}")
@@ -184,7 +197,12 @@ def verify_states(states: DataFrame, index: DataFrame) -> DataFrame:
         "'possession side'": "bad_side > 0",
         "'negative fouls'": "bad_fouls > 0",
     }
-    joined = expected.join(sums, GAME, "full_outer").withColumn("problems", F.expr(_problems(rules)))
+    joined = expected.join(sums, GAME, "full_outer")
+    if "stored_row" in states.columns:
+        joined = joined.join(stored_disorder(states), GAME, "left")
+        rules["'not stored in list order'"] = "misplaced > 0"
+        rules["'stored in several files: ' || files"] = "files > 1"
+    joined = joined.withColumn("problems", F.expr(_problems(rules)))
     return joined.selectExpr(*GAME, "coalesce(states, 0L) AS states", "problems", "size(problems) = 0 AS is_valid")
 
 
