@@ -257,16 +257,35 @@ def test_archive_round_trip(spark, tmp_path):
     warc.write_archive(pages, path)
     want = {r.page_id: (r.html or "").encode() for r in pages.collect()}
     number = lambda header: int(re.search(r"WARC-Record-ID: <urn:page:(\d+)>", header)[1])
-    assert {number(r.header): bytes(r.full_payload) for r in warc.records(spark, path).collect()} == want
+    rebuilt = {number(r.header): (r.header, bytes(r.payload)) for r in warc.records(spark, path).collect()}
     assert spark.read.parquet(f"{path}/payloads").count() == len(set(want.values()))
-    warc.export_warc(spark, path, target, records_per_file=20)
+    warc.export_warc(spark, path, target, file_bytes=50_000)
+    assert len(list(Path(target).glob("part-*"))) > 5
     files = {number(r.header): (r.header, bytes(r.payload)) for r in warc.read_warc(spark, target).collect()}
-    assert set(files) == set(want)
+    assert files == rebuilt and set(files) == set(want)
+    told = {r.page_id: r for r in warc.read_records(spark, target).collect()}
+    assert {p: (r.payload_bytes, r.payload_digest) for p, r in told.items()} == {p: (len(t), hashlib.sha256(t).hexdigest()) for p, t in want.items()}
     for page_id, (header, payload) in files.items():
         assert payload == (b"" if "WARC-Type: revisit" in header else want[page_id])
         assert hashlib.sha256(want[page_id]).hexdigest() in header
 
 
+@pytest.mark.parametrize("damage, error", [(lambda t: t.replace(b"xxx", b"xyx", 1), "does not fit"), (lambda t: t.replace(b"xxx", b"xx", 1), "does not end"), (lambda t: t[t.index(b"WARC/1.1", 5) :], "missing")])
+def test_a_damaged_record_fails_the_read(spark, tmp_path, damage, error):
+    import gzip
+
+    from pyspark.errors import PySparkException
+
+    path, target = str(tmp_path / "archive"), tmp_path / "warc"
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "v", "x" * 200)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, path)
+    target.mkdir()
+    whole = sorted(((r.header.encode() + bytes(r.payload) + b"\r\n\r\n") for r in warc.records(spark, path).collect()), key=lambda x: b"revisit" in x)
+    (target / "part-0.gz").write_bytes(gzip.compress(damage(b"".join(whole))))
+    with pytest.raises(PySparkException, match=error):
+        warc.read_records(spark, str(target)).collect()
+
+
 def test_a_damaged_payload_fails_the_read(spark, tmp_path):
     from pyspark.errors import PySparkException
 
