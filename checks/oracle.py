@@ -1041,7 +1041,7 @@ FINAL = "(g.game_status = 3 AND g.home_score IS NOT NULL AND g.away_score IS NOT
 SHOWN_HOME = f"CASE WHEN {FINAL} THEN CAST(g.home_score > g.away_score AS INT)::DOUBLE ELSE l.probability END"
 ORACLE["state_payload"] = with_(
     SERVED,
-    "SELECT g.game_id, g.game_status, CASE WHEN l.game_id IS NULL AND g.status_text = '' THEN 'Waiting for play-by-play' ELSE g.status_text END AS status_text, "
+    "SELECT CASE WHEN c.hid IS NULL THEN 'live' ELSE 'replay' END AS mode, CAST(c.hid % 7 AS INT) AS cursor, c.hid % 7 = 6 AS complete, true AS is_dated, g.game_id, g.game_status, CASE WHEN l.game_id IS NULL AND g.status_text = '' THEN 'Waiting for play-by-play' ELSE g.status_text END AS status_text, "
     "coalesce(l.period, g.period) AS period, "
     + LABEL.replace("period", "coalesce(l.period, g.period)")
     + " AS period_label, coalesce(l.clock, g.clock) AS clock, CASE WHEN l.game_id IS NULL THEN g.home_score ELSE l.home_score END AS home_score, "
@@ -1053,6 +1053,6 @@ ORACLE["state_payload"] = with_(
     "l.source_event_index AS last_sequence, CASE WHEN l.description <> '' THEN l.description ELSE l.semantic_event END AS last_description, "
     "CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(12, l.total) END AS INT) AS recent, CAST(CASE WHEN l.total IS NULL THEN 0 ELSE least(240, l.total) END AS INT) AS history, "
     "(SELECT min(source_event_index) FROM placed p WHERE p.game_id = g.game_id AND p.age <= 240) AS first_sequence, "
-    "CASE WHEN l.game_id IS NULL THEN 'waiting' ELSE 'live' END AS feed_status, coalesce(l.source_event_index, 0) AS sequence "
-    "FROM games g LEFT JOIN latest l USING (game_id)",
+    "CASE WHEN l.game_id IS NULL THEN 'waiting' WHEN c.hid IS NULL THEN 'live' ELSE 'replay' END AS feed_status, coalesce(l.source_event_index, 0) AS sequence "
+    "FROM games g LEFT JOIN latest l USING (game_id) LEFT JOIN (SELECT game_id AS cid, home_team_id AS hid FROM idx WHERE home_team_id % 3 = 0) c ON c.cid = g.game_id",
 )

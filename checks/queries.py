@@ -966,8 +966,11 @@ def _(feed):
 @query("state_payload")
 def _(feed):
     board = sb.read_scoreboard(feed.scoreboard_documents())
-    return pl.state_payload(board, with_feed(feed, feed.scored())).selectExpr(
-        "game_id", "game_status", "status_text", "period", "period_label", "clock", "home_team.score AS home_score",
+    cursors = feed.index().where("home_team_id % 3 = 0").selectExpr(
+        "game_id", "home_team_id % 7 AS cursor", "7 AS total_actions", "false AS paused", "2D AS speed", "home_team_id % 7 = 6 AS complete"
+    )
+    return pl.state_payload(board, with_feed(feed, feed.scored()), replay=cursors).selectExpr(
+        "mode", "replay.cursor AS cursor", "replay.complete AS complete", "last_update IS NOT NULL AS is_dated", "game_id", "game_status", "status_text", "period", "period_label", "clock", "home_team.score AS home_score",
         "away_team.score AS away_score", "score_differential", "possession.label AS label", "possession.known AS known",
         "fouls.home_period AS home_fouls", "home_win_probability", "away_win_probability", "model_home_win_probability",
         "final_override_applied", "last_event.sequence AS last_sequence", "last_event.description AS last_description",

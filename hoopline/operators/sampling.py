@@ -105,7 +105,7 @@ def stratified_fixture(actions: DataFrame, head: int = 60, tail: int = 20, per_c
     return kept.select(*GAME, "actionNumber", "row.*").orderBy(*GAME, "actionNumber")
 
 
-def _newest(states: DataFrame, limit: int) -> DataFrame:
+def newest_states(states: DataFrame, limit: int) -> DataFrame:
     """The last ``limit`` states of each game; cut down before the shuffle (window group limit)."""
     order = Window.partitionBy(*GAME).orderBy(F.desc(IDX))
     return states.withColumn("_age", F.row_number().over(order)).where(F.col("_age") <= limit)
@@ -117,7 +117,7 @@ def probability_history(states: DataFrame, limit: int = 240) -> DataFrame:
         f"struct({IDX} AS sequence, period, {ck.period_label('period')} AS period_label, clock, "
         "probability AS home_probability)"
     )
-    return _newest(states, limit).groupBy(*GAME).agg(F.expr(f"array_sort(collect_list({entry}))").alias("probability_history"))
+    return newest_states(states, limit).groupBy(*GAME).agg(F.expr(f"array_sort(collect_list({entry}))").alias("probability_history"))
 
 
 def recent_events(states: DataFrame, limit: int = 12) -> DataFrame:
@@ -127,4 +127,4 @@ def recent_events(states: DataFrame, limit: int = 12) -> DataFrame:
         "coalesce(nullif(description, ''), nullif(semantic_event, ''), 'Game update') AS description, "
         "coalesce(semantic_event, '') AS semantic_event, home_score, away_score)"
     )
-    return _newest(states, limit).groupBy(*GAME).agg(F.expr(f"array_sort(collect_list({entry}))").alias("recent_events"))
+    return newest_states(states, limit).groupBy(*GAME).agg(F.expr(f"array_sort(collect_list({entry}))").alias("recent_events"))
