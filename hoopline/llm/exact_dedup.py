@@ -5,7 +5,8 @@ digests in all. An exact count over all rows verifies them; the verified ones, w
 settle their rows on the map side. The rows that remain have no such digest and are settled by an ordinary shuffle.
 
 Null text counts as empty text. Of rows with equal texts that with the largest doc_id wins (a null doc_id is smallest);
-of repeated rows with that doc_id, exactly one.
+of repeated rows with that doc_id, exactly one. Very long texts are digested whole, an empty table gives no rows, and helper columns take names that the table does
+not have.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ The weights are log odds counted on labelled pages: a bounded sample (about ``LA
 ``main``, of which marked pages say nothing.
 
 Null or empty html gives an empty text. Repeated rows and ids are independent of each other. Open comments, tags
-and elements end with the page.
+and elements end with the page. Very long pages are read whole. An empty table gives no rows. Only page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations

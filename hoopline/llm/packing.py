@@ -6,6 +6,9 @@ demand; when nothing fits, the next sequence opens. Examples are dealt over grou
 their own columns, and groups are packed independently, so no task holds more than a group.
 
 Inside a group, examples of equal sizes are one kind with a count; the work is one vector step per placed example.
+
+Null text counts as empty and is one closing id. Pieces are numbered before they are dealt, so rows that are equal in all else, however many, are spread over all groups. Very long texts
+are cut into pieces, an empty table gives no rows. Only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -139,7 +142,8 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS)) -> DataFrame:
     """All ids of ``docs`` (doc_id, text; null text: empty, so one closing id) in sequences; one row per piece."""
     pieces = token_pieces(docs, most=min(limits[0], limits[2])).withColumns({"n_tokens": F.col("length"), "n_segments": F.lit(1).cast("long"), "n_loss": F.col("length")})
-    packed = pack(saved(pieces, "pieces"), ["doc_id", "start", "ids_crc32"], limits)
+    numbered = saved(pieces.withColumn("piece_no", F.monotonically_increasing_id()), "pieces")
+    packed = pack(numbered, ["doc_id", "start", "ids_crc32", "piece_no"], limits)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

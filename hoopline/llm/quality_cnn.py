@@ -7,7 +7,8 @@ The UTF-8 bytes of the whole text are cut into chunks of ``CHUNK`` bytes that ov
 The network is fitted by Adam on the driver, on at most ``TRAIN_DOCS`` labelled documents of at most ``TRAIN_CHARS`` characters
 (lowest hash of the id first), of each at most ``TRAIN_CHUNKS`` chunks spread evenly. Scoring is a narrow pass over all
 documents; a document is scored from all its chunks. Null and empty texts are one chunk of zero bytes. Labels other
-than 0 and 1 are not used; with no labelled documents of both kinds every score is the share of label 1, or 0.5.
+than 0 and 1 are not used; with no labelled documents of both kinds every score is the share of label 1, or 0.5. Repeated rows and ids are scored each on
+their own; a label holds for all rows of its id. An empty table gives no rows. Of the documents only doc_id and text are read, and the score takes a name that the caller chooses.
 """
 
 from __future__ import annotations

@@ -100,7 +100,7 @@ def range_shards(records: DataFrame, key: str, tie: str, size: str, shards: int)
 def op3_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:
     """All documents in ``shards`` shards of near equal bytes, in the order of a digest of the text, then doc_id.
 
-    Equal texts lie side by side, so a group of copies is in one shard or in neighbouring ones.
+    Equal texts lie side by side, so a group of copies is in one shard or in neighbouring ones. Null text counts as empty, with size 16; very long texts count whole.
     """
     from hoopline.llm.common import read_table
 
