@@ -9,7 +9,7 @@ all levels together have rows x levels versions, and the top has one summary for
 Each level is a look back along time inside its stretches (``carry_last``, in blocks of time, so a game that holds a third of all rows is
 spread over as many tasks as it has blocks) and a merge of at most ``FAN`` summaries in one row.
 
-The summary keeps score rows since the last full snapshot, as a fold; all else has a fixed size.
+Score rows since the last full snapshot are in it as one function of the score (``score_fold``).
 """
 
 from __future__ import annotations
@@ -18,20 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoopline.functions.events import exprs
+from hoopline.operators import score_fold as sf
 from hoopline.operators.history import carry_last
 from hoopline.operators.live_feed import adapt_live, as_actions, live_order
-from hoopline.operators.states import _CLEARED, _CLOCK_KEY, _SEGMENT_DEFAULT, GAME, IDX, _fold, _rebound, action_facts
+from hoopline.operators.states import _CLEARED, _CLOCK_KEY, _SEGMENT_DEFAULT, GAME, IDX, _rebound, action_facts
 from hoopline.session import written
 
 FAN = 8
 NEVER = (1 << 31) - 1
-_NO_SCORE = "named_struct('home', 0, 'away', 0)"
-
-_OPS = "ARRAY<STRUCT<home: INT, away: INT, is_period: BOOLEAN>>"
 _SUMMARY = (
     "STRUCT<actions: BIGINT, home_team_id: BIGINT, away_team_id: BIGINT, first_period: INT, last_period: INT, seconds: DOUBLE, touch: STRUCT<team: BIGINT>, "
     "setter: STRUCT<team: BIGINT, reason: STRING, open: BOOLEAN, rebounder: BIGINT>, home_total: BIGINT, away_total: BIGINT, home_start: BIGINT, away_start: BIGINT, "
-    f"anchor: STRUCT<home: INT, away: INT>, ops: {_OPS}>"
+    f"anchor: STRUCT<home: INT, away: INT>, fold: {sf.TYPE}>"
 )
 
 
@@ -50,7 +48,7 @@ def _leaf(late: str) -> str:
         'setter', CASE WHEN category = 'rebound' THEN {rebound} WHEN setter IS NOT NULL THEN {_put('setter')} END,
         'home_total', home_foul, 'away_total', away_foul, 'home_start', NULL, 'away_start', NULL,
         'anchor', CASE WHEN {score} AND {full} THEN named_struct('home', home_shown, 'away', away_shown) END,
-        'ops', CASE WHEN {score} AND NOT ({full}) THEN array({op}) ELSE CAST(array() AS {_OPS}) END) AS {_SUMMARY})"""
+        'fold', CASE WHEN {score} AND NOT ({full}) THEN get(transform(array({op}), q_w -> {sf.of_row('q_w')}), 0) ELSE {sf.IDENTITY} END) AS {_SUMMARY})"""
 
 
 def _merged(a: str, b: str) -> str:
@@ -70,7 +68,7 @@ def _merged(a: str, b: str) -> str:
         'first_period', {a}.first_period, 'last_period', {b}.last_period, 'seconds', {b}.seconds,
         'touch', coalesce({b}.touch, CASE WHEN {starts} THEN {_CLEARED} END, {a}.touch), 'setter', {setter},
         'home_total', {a}.home_total + {b}.home_total, 'away_total', {a}.away_total + {b}.away_total, 'home_start', {base('home')}, 'away_start', {base('away')},
-        'anchor', coalesce({b}.anchor, {a}.anchor), 'ops', CASE WHEN {b}.anchor IS NOT NULL THEN {b}.ops ELSE concat({a}.ops, {b}.ops) END) AS {_SUMMARY}) END"""
+        'anchor', coalesce({b}.anchor, {a}.anchor), 'fold', CASE WHEN {b}.anchor IS NOT NULL THEN {b}.fold ELSE {sf.composed(f'{a}.fold', f'{b}.fold')} END) AS {_SUMMARY}) END"""
 
 
 def _leaves(arrivals: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,7 +130,7 @@ def replay_states(arrivals: DataFrame, index: DataFrame, block_rows: int = 4096)
         stretches = -(-stretches // FAN)
         if stretches <= 1:
             break
-    score = _fold(f"coalesce(s.anchor, {_NO_SCORE})", "s.ops")
+    score = sf.applied("s.fold", "coalesce(s.anchor.home, 0)", "coalesce(s.anchor.away, 0)")
     shown = level.withColumns(exprs({"score": score, "open": "coalesce(s.setter.open, true)"}))
     return shown.selectExpr(
         *GAME, "CAST(t AS INT) AS cursor", "CAST(s.actions AS INT) AS actions", "score.home AS home_score", "score.away AS away_score",

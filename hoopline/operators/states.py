@@ -15,7 +15,7 @@ What makes this exact is that every part of the state is a scan with a short sum
 * a new period segment starts where the period differs from the row before; it works as a setter.
 * fouls: a running count, less the count at the last segment start.
 * score: the last full snapshot is an anchor; the few rows that depend on the score so far
-  (period rows, one-sided snapshots) are folded from there.
+  (period rows, one-sided snapshots) are folded from there, inside a chunk row by row and over chunks as functions of the score (``score_fold``).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from hoopline.functions import clock as ck
 from hoopline.functions import events as ev
 from hoopline.functions import fixed_values as fv
 from hoopline.functions.events import exprs
+from hoopline.operators import score_fold as sf
 
 CHUNK_ROWS = 1024
 GAME = ["season", "game_id"]
@@ -293,14 +294,49 @@ def _chunk_summaries(facts: DataFrame) -> DataFrame:
             }.items()
         ]
     )
-    # Only ops after the last full snapshot still matter; a chunk bounds how many there can be.
-    return summary.withColumn("ops", F.expr("filter(ops, op -> op.at > coalesce(last_anchor.at, -1))"))
+    # Only ops after the last full snapshot still matter; as one function of the score they have a small size whatever their number.
+    return summary.withColumn("fold", F.expr(sf.of_rows("filter(ops, op -> op.at > coalesce(last_anchor.at, -1))"))).drop("ops")
+
+
+#: Chunks, and then blocks of chunks, that are put together in one row.
+FOLDED_TOGETHER, FOLD_LEVELS = 64, 2
+
+
+def _runs(rows: DataFrame, keys: str) -> DataFrame:
+    """Per row (``at``; ``fixed``, the score at its end, or ``fold``, what it does to the score) the score at its end, ``const``, if it follows from a fixed one of the
+    group of ``keys``; else ``rest``, what the group does to the score up to there."""
+    so_far = f"OVER (PARTITION BY {keys} ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    marked = rows.withColumns(exprs({"run": f"last(CASE WHEN fixed IS NOT NULL THEN at END, true) {so_far}", "since": f"last(fixed, true) {so_far}"}))
+    in_run = f"OVER (PARTITION BY {keys}, run ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    whole = marked.withColumn("folds", F.expr(f"collect_list(CASE WHEN fixed IS NULL THEN fold END) {in_run}")).withColumn("done", F.expr(sf.of_list("folds")))
+    return whole.withColumns(
+        exprs({"const": f"CASE WHEN since IS NOT NULL THEN {sf.applied('done', 'since.home', 'since.away')} END", "rest": "CASE WHEN since IS NULL THEN done END"})
+    ).drop("run", "since", "folds", "done", "fixed", "fold")
+
+
+def _end_scores(linked: DataFrame) -> DataFrame:
+    """The score at the end of every chunk. A game's first chunk is fixed, so all scores are known once blocks of chunks, and blocks of those, are put together.
+
+    A row holds the functions of ``FOLDED_TOGETHER`` chunks or blocks at most; on top, of one block in 4,096 chunks.
+    """
+    level = linked.selectExpr(*GAME, "chunk AS at", "fixed_score AS fixed", "fold")
+    parts = []
+    for _ in range(FOLD_LEVELS):
+        inside = _runs(level.withColumn("block", F.expr(f"CAST(floor(at / {FOLDED_TOGETHER}) AS BIGINT)")), "season, game_id, block")
+        parts.append(inside)
+        last = inside.groupBy(*GAME, "block").agg(F.expr("max_by(struct(const, rest), at)").alias("e"))
+        level = last.selectExpr(*GAME, "block AS at", "e.const AS fixed", "e.rest AS fold")
+    ends = _runs(level, "season, game_id").selectExpr(*GAME, "at", "const AS score")
+    for inside in reversed(parts):
+        starts = ends.selectExpr(*GAME, "at + 1 AS block", "score AS start")
+        ends = inside.join(starts, [*GAME, "block"], "left").selectExpr(*GAME, "at", f"coalesce(const, {sf.applied('rest', 'start.home', 'start.away')}) AS score")
+    return ends.withColumnRenamed("at", "chunk")
 
 
 def chunk_carries(facts: DataFrame) -> DataFrame:
     """The state at the start of every chunk but a game's first, from the chunks before it."""
     # A chunk with a full snapshot, like a game's first chunk, fixes the score on its own.
-    fixed = _fold(f"coalesce({_score_of('last_anchor')}, {_NO_SCORE})", "ops")
+    fixed = sf.applied("fold", "coalesce(last_anchor.home, 0)", "coalesce(last_anchor.away, 0)")
     linked = _chunk_summaries(facts.where("has_next_chunk")).withColumns(
         exprs(
             {
@@ -315,15 +351,12 @@ def chunk_carries(facts: DataFrame) -> DataFrame:
         exprs(
             {
                 "touch_out": f"coalesce(last_touch, CASE WHEN starts THEN {_CLEARED} END)",
-                "score_run": f"last(CASE WHEN fixed_score IS NOT NULL THEN chunk END, true) {CHUNKS_SO_FAR}",
             }
         )
     )
     linked = linked.withColumn("pending_in", F.expr(f"last(touch_out, true) {CHUNKS_BEFORE}"))
     linked = linked.withColumn("pending_team", F.expr("CASE WHEN NOT starts THEN pending_in.team END"))
-    in_run = (
-        "OVER (PARTITION BY season, game_id, score_run ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
+    linked = linked.join(_end_scores(linked), CHUNK)
     linked = linked.withColumns(
         exprs(
             {
@@ -332,8 +365,6 @@ def chunk_carries(facts: DataFrame) -> DataFrame:
                     WHEN starts THEN {_SEGMENT_DEFAULT} END""",
                 "home_base": "CASE WHEN start_sums IS NOT NULL THEN home_before + start_sums.home WHEN starts THEN home_before END",
                 "away_base": "CASE WHEN start_sums IS NOT NULL THEN away_before + start_sums.away WHEN starts THEN away_before END",
-                "run_score": f"first(fixed_score) {in_run}",
-                "run_ops": f"flatten(collect_list(CASE WHEN fixed_score IS NULL THEN ops END) {in_run})",
             }
         )
     )
@@ -347,7 +378,7 @@ def chunk_carries(facts: DataFrame) -> DataFrame:
             'setter', last(setter_out, true) {CHUNKS_SO_FAR},
             'home_fouls', home_before + home_total - last(home_base, true) {CHUNKS_SO_FAR},
             'away_fouls', away_before + away_total - last(away_base, true) {CHUNKS_SO_FAR},
-            'score', {_fold('run_score', 'run_ops')}) AS carry""",
+            'score', score) AS carry""",
     )
 
 

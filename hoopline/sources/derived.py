@@ -197,6 +197,10 @@ class DerivedFeed:
             self._paths[name] = path
         return self.spark.read.parquet(self._paths[name])
 
+    def forget(self, name: str) -> None:
+        """The next reader of this table has it built anew."""
+        self._paths.pop(name, None)
+
     def staged(self) -> DataFrame:
         return self._table("staged", lambda: _staged(self.spark, self.sf_dir))
 
