@@ -11,13 +11,14 @@ link in nodes that have to branch twice (whose shared shingles many other classe
 and 16 trees would miss 4.3 % of them. So classes in nodes that reach the last level go on through ``DEEP_TREES`` trees on that level, which miss 0.004 %.
 
 Trees run in rounds. After each round the links found are merged into components, and later rounds compare only classes
-of different components. The ``HASHES`` minwise values of two classes must agree in at least ``AGREE`` places (a link of
-0.75 fails that in one of 21,000 pairs); then the full sets are compared exactly.
+of different components. The ``HASHES`` minwise values of two classes, one byte of each, must agree in at least ``AGREE`` places (a link of
+0.75 fails that in less than one of 21,000 pairs); then the full sets are compared exactly.
 
 Links leave a node as a spanning forest, never as all pairs. Sets are digests of 64 bits; classes are told apart by a 64-bit digest of the set.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Documents are told apart by id and text: repeated rows
-share their fate. Rows with a null id are linked like others and never named; a component without any id stays whole.
+share their fate. Rows with a null id are linked like others and never named; a component without any id stays whole. Very long texts are read whole, an empty table
+gives no rows, and of other columns, whatever their names, nothing is read; where rows are kept they keep all columns.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hoopline.llm.common import read_table, saved, skewed_lookup
@@ -45,7 +46,8 @@ ROUNDS = ((0, 1, LEVELS[:1]), (1, 4, LEVELS[:1]), (0, TREES, LEVELS))
 NODE = 256
 SIMILARITY = (75, 100)
 AGREE = 55
-BROADCAST_ROWS = 500_000
+#: Only rows of a few fixed-width columns are broadcast, at most 40 bytes each, so 16 MB.
+BROADCAST_ROWS = 400_000
 DIGEST_BYTES = 5
 MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, DEEP_TREES * LEVELS[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -58,6 +60,11 @@ def minwise(shingles: np.ndarray, multipliers: np.ndarray = MULTIPLIERS[:HASHES]
     return (mixed(best) >> np.uint64(32)).astype("<u4")
 
 
+def short(values: np.ndarray) -> bytes:
+    """One byte of each minwise value. Equal values have equal bytes, so no link is lost; others agree by chance in one of 256."""
+    return values.astype("<u4").view(np.uint8)[::4].tobytes()
+
+
 def packed(shingles: np.ndarray) -> bytes:
     """The top DIGEST_BYTES of each digest. Two sets of 600 see one wrong match in three million pairs."""
     return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGEST_BYTES :]).tobytes()
@@ -70,7 +77,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, ``text_hash``, ``n_shingles``, ``cls`` (null: empty set), ``sig`` and ``shingles`` as bytes, ``row_no``."""
+    """Per row: id, ``text_hash``, ``n_shingles``, ``cls`` (null: empty set), ``sig``, ``short`` and ``shingles`` as bytes, ``row_no``."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,17 +85,18 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 part = batch.iloc[at : at + 500]
                 sets = [shingle_set(t) for t in part["text"]]
                 name = [int(mixed(mixed(s).sum(keepdims=True) + np.bitwise_xor.reduce(s) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None for s in sets]
+                values = [minwise(s) if len(s) else s for s in sets]
                 yield pd.DataFrame(
                     {
                         "id": part["id"], "text_hash": part["text_hash"], "n_shingles": [len(s) for s in sets], "cls": pd.array(name, "Int64"),
-                        "sig": [minwise(s).tobytes() if len(s) else None for s in sets], "shingles": [packed(s) for s in sets],
+                        "sig": [v.tobytes() if len(v) else None for v in values], "short": [short(v) if len(v) else None for v in values], "shingles": [packed(s) for s in sets],
                     }
                 )
 
     text = F.col(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     id_type = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInPandas(sketch, f"id {id_type}, text_hash long, n_shingles long, cls long, sig binary, shingles binary").withColumn("row_no", F.monotonically_increasing_id())
+    return rows.mapInPandas(sketch, f"id {id_type}, text_hash long, n_shingles long, cls long, sig binary, short binary, shingles binary").withColumn("row_no", F.monotonically_increasing_id())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def _promising(node: dict) -> dict | None:
     order = order[np.concatenate([[True], node["cls"][order][1:] != node["cls"][order][:-1]])]
     node = {c: v[order] for c, v in node.items()}
     n, comp, left = len(order), node["comp"], node["left"]
-    sigs = np.frombuffer(b"".join(node["sig"]), "<u4").reshape(n, HASHES)
+    sigs = np.frombuffer(b"".join(node["short"]), np.uint8).reshape(n, HASHES)
     parent, seen = list(range(n)), np.zeros(n, bool)
     for k in np.flatnonzero(left).tolist():
         near = ((sigs == sigs[k]).sum(1) >= AGREE) & (comp != comp[k])
@@ -204,42 +212,45 @@ def _linked(sub: dict) -> dict | None:
     return {"a": np.array([a for a, _ in edges]), "b": np.array([b for _, b in edges])} if edges else None
 
 
-def _node_of(tree, sig_names: str, level: int):
-    """Name of a class's node on ``level`` of ``tree``: the values of the chosen hashes on the way there."""
-    values = [F.element_at(F.col(sig_names), (tree * LEVELS[-1] + k).cast("int") + 1) for k in range(level)]
-    return F.xxhash64(tree, F.lit(level), *values)
+def _node_of(tree: Column, level: int) -> Column:
+    """Name of a class's node on ``level`` of ``tree``: the values of the chosen hashes on the way there, which are neighbours in ``sig``."""
+    return F.xxhash64(tree, F.lit(level), F.substring("sig", tree * (4 * LEVELS[-1]) + 1, F.lit(4 * level)))
 
 
 def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, first: int, end: int, levels: tuple[int, ...]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (sub, cls, comp, left) of the groups to compare, for some trees and levels; and the classes (cls) that reached the last level, if any."""
+    """Rows (sub, cls, comp, left) of the groups to compare, for some trees and levels; and the classes (cls) that reached the last level, if any.
+
+    Nodes are named before the rows of a class become one for each tree, so that only names and components travel; on the next level
+    signatures are fetched for the classes that go on, and go no further than to the name of the node.
+    """
     if comps is None:
-        known = classes.select("cls", "values", F.col("cls").alias("comp"))
+        known = classes.select("cls", "sig", F.col("cls").alias("comp"))
     else:
-        known = classes.select("cls", "values").join(comps, "cls", "left").select("cls", "values", F.coalesce("comp", "cls").alias("comp"))
-    every = known.select("cls", "comp", "values", F.explode(F.array(*[F.lit(t) for t in range(first, end)])).alias("tree"))
-    groups, deep = [], None
-    active = every
+        known = classes.select("cls", "sig").join(comps, "cls", "left").select("cls", "sig", F.coalesce("comp", "cls").alias("comp"))
+    nodes = [F.struct(F.lit(t).alias("tree"), _node_of(F.lit(t), levels[0]).alias("node")) for t in range(first, end)]
+    placed = known.select("cls", "comp", F.explode(F.array(*nodes)).alias("at")).select("cls", "comp", "at.tree", "at.node")
+    groups, deep, large = [], None, None
     for level in levels:
-        if level == LEVELS[-1]:
-            deep = active.select("cls").distinct()
-        placed = active.withColumn("node", _node_of(F.col("tree"), "values", level))
-        # Only names and components travel; the values follow for the few classes that go on.
+        if large is not None:
+            placed = large.select("cls", "comp", "tree").join(classes.select("cls", "sig"), "cls").select("cls", "comp", "tree", _node_of(F.col("tree"), level).alias("node"))
+            if level == LEVELS[-1]:
+                deep = large.select("cls").distinct()
+        elif level == LEVELS[-1]:
+            deep = classes.select("cls")
         sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cls").alias("hub"))
         sizes = saved(sizes.filter("low != high").select("node", "n", "hub"), "nodes")
-        small = placed.join(sizes.filter(F.col("n") <= NODE), "node").select("node", "cls", "comp")
-        groups.append(small.select(F.col("node").alias("sub"), "cls", "comp", F.lit(True).alias("left")))
-        large = sizes.filter(F.col("n") > NODE)
+        members = saved(placed.join(sizes, "node").select("cls", "comp", "tree", "node", "n", "hub"), "members_of_nodes")
+        groups.append(members.filter(F.col("n") <= NODE).select(F.col("node").alias("sub"), "cls", "comp", F.lit(True).alias("left")))
+        large = members.filter(F.col("n") > NODE)
         if large.isEmpty():
             break
-        members = saved(placed.join(large, "node").select("cls", "comp", "values", "tree", "node", "n", "hub"), "large_nodes")
         chunks = F.ceil(F.col("n") / NODE).cast("int")
         chunk = lambda k: F.xxhash64("node", k.cast("int"), F.lit("hub"))
-        of_hub = members.filter("cls = hub").select(F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), chunk)).alias("sub"), "cls", "comp", F.lit(True).alias("left"))
-        others = members.filter("cls != hub").select(chunk(F.pmod(F.xxhash64("cls", F.lit(level)), chunks)).alias("sub"), "cls", "comp", F.lit(False).alias("left"))
+        of_hub = large.filter("cls = hub").select(F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), chunk)).alias("sub"), "cls", "comp", F.lit(True).alias("left"))
+        others = large.filter("cls != hub").select(chunk(F.pmod(F.xxhash64("cls", F.lit(level)), chunks)).alias("sub"), "cls", "comp", F.lit(False).alias("left"))
         groups += [of_hub, others]
-        active = members.select("cls", "comp", "values", "tree")
         if level == LEVELS[-1]:
-            groups.append(_blocks(members))
+            groups.append(_blocks(large))
     return saved(reduce(DataFrame.unionByName, groups), "groups"), deep
 
 
@@ -264,9 +275,8 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def link_classes(sketch: DataFrame) -> DataFrame:
     """``cls``, ``comp`` of all classes that are linked with another one; ``sketch`` is a written table."""
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.hex(F.substring(F.col("sig"), k * 4 + 1, F.lit(4))))
-    one = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("row_no").alias("row_no"), F.min("sig").alias("sig"))
-    classes = saved(one, "classes").withColumn("values", numbers)
+    one = sketch.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("row_no").alias("row_no"), F.min("sig").alias("sig"), F.min("short").alias("short"))
+    classes = saved(one, "classes")
     comps, edges, deep = None, None, None
     for first, end, levels in ROUNDS:
         groups, deep = _candidate_nodes(classes, comps, first, end, levels)
@@ -277,7 +287,7 @@ def link_classes(sketch: DataFrame) -> DataFrame:
         return comps
     deep = saved(deep, "deep")
     rows = saved(classes.join(_small(deep), "cls", "left_semi").select("cls", "row_no"), "deep_rows")
-    further = saved(sketch.drop("cls").join(_small(rows), "row_no").select("cls", "shingles").mapInPandas(_further_values, "cls long, `values` array<int>"), "further_values")
+    further = saved(sketch.drop("cls").join(_small(rows), "row_no").select("cls", "shingles").mapInPandas(_further_values, "cls long, sig binary"), "further_values")
     groups, _ = _candidate_nodes(further, comps, 0, DEEP_TREES - TREES, LEVELS[-1:])
     return components(edges.unionByName(_links_of_groups(sketch, classes, groups)))
 
@@ -287,17 +297,17 @@ def _further_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 500):
             part = batch.iloc[at : at + 500]
-            yield pd.DataFrame({"cls": part["cls"], "values": [minwise(unpacked(s), MULTIPLIERS[HASHES:]).view("<i4") for s in part["shingles"]]})
+            yield pd.DataFrame({"cls": part["cls"], "sig": [minwise(unpacked(s), MULTIPLIERS[HASHES:]).tobytes() for s in part["shingles"]]})
 
 
 def _links_of_groups(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """The exact links (a, b) that join components inside the groups."""
-    # The small tables are broadcast to the wide ones, so signatures and sets travel once, to their groups.
-    with_sig = classes.select("cls", "row_no", "sig").join(_small(groups), "cls").select("sub", "row_no", "cls", "comp", "left", "sig")
+    with_sig = classes.select("cls", "row_no", "short").join(groups, "cls").select("sub", "row_no", "cls", "comp", "left", "short")
     grouped = with_sig.repartition("sub").sortWithinPartitions("sub")
     names = ["sub", "row_no", "cls", "comp", "left"]
     promising = grouped.mapInPandas(_by_group(_promising, names), "sub long, row_no long, cls long, comp long, left boolean")
     promising = saved(promising.distinct(), "promising")
+    # What is promising is broadcast to the sets while it is small, so that sets travel once, to their groups.
     with_set = sketch.select("row_no", "shingles").join(_small(promising), "row_no").select("sub", "cls", "comp", "left", "shingles")
     found = with_set.repartition("sub").sortWithinPartitions("sub").mapInPandas(_by_group(_linked, ["a", "b"]), "a long, b long")
     return saved(found, "links")
