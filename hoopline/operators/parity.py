@@ -54,7 +54,7 @@ def parity_anchors(historical: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def parity_report(historical: DataFrame, live: DataFrame) -> DataFrame:
-    """One row per game: state counts, final scores, aligned states, anchors, percent per field."""
+    """One row per game: state counts, final scores, aligned states, anchors, percent per field. A game that one side lacks is an error."""
 
     def ends(states: DataFrame, side: str) -> DataFrame:
         return states.groupBy("game_id").agg(
@@ -67,9 +67,11 @@ def parity_report(historical: DataFrame, live: DataFrame) -> DataFrame:
         F.max("compared").alias("aligned_states"),
         F.expr("map_from_entries(array_sort(collect_list(struct(field, percent))))").alias("percents"),
     )
-    return (
+    rows = (
         ends(historical, "historical")
-        .join(ends(live, "live"), "game_id")
-        .join(fields, "game_id")
+        .join(ends(live, "live"), "game_id", "full")
+        .join(fields, "game_id", "left")
         .join(parity_anchors(historical, live), "game_id")
     )
+    checked = "CASE WHEN historical_states IS NULL OR live_states IS NULL THEN raise_error('Only one side has game ' || game_id) ELSE historical_states END"
+    return rows.withColumns({"historical_states": F.expr(checked), "aligned_states": F.expr("coalesce(aligned_states, 0L)")})

@@ -20,6 +20,7 @@ from hoopline.operators import live_feed as lf
 from hoopline.operators import manifest as mf
 from hoopline.operators import metrics as mt
 from hoopline.operators import models as md
+from hoopline.operators import parity as pa
 from hoopline.operators import sampling as sa
 from hoopline.operators.history import carry_last
 from hoopline.operators.ordinal import with_position
@@ -189,6 +190,15 @@ def test_live_actions_once_each_and_in_order(spark):
     assert [r.source_index for r in lf.live_order(lf.dedupe_live(odd)).orderBy("source_event_index").collect()] == [3, 2, 0, 1]
 
 
+def test_parity_needs_both_sides(spark):
+    row = {"season": "s", "source_event_index": 0, "action_number": 1, **{f: 1 for f in fv.PARITY_FIELDS}, "clock": "PT01M00.00S"}
+    sides = [spark.createDataFrame([dict(row, game_id=g) for g in games]) for games in (("g1", "g2"), ("g1",))]
+    same = pa.parity_report(sides[1], sides[1]).first()
+    assert (same.historical_states, same.aligned_states, same.anchor_matches) == (1, 1, 1) and set(same.percents.values()) == {100.0}
+    with pytest.raises(PySparkException, match="Only one side has game g2"):
+        pa.parity_report(*sides).collect()
+
+
 def test_positions_do_not_depend_on_blocks(spark):
     r = random.Random(1)
     data = [("hot" if r.random() < 0.6 else r.choice("ab"), n) for n in r.sample(range(10_000), 500)]
