@@ -12,9 +12,10 @@ from hoopline.llm.queries import QUERIES
 LONG = " ".join(f"word{k % 977} other{k % 31}" for k in range(60_000))
 ROWS = [
     (1, "Alpha beta gamma delta epsilon zeta eta"), (2, "Alpha beta gamma delta epsilon zeta eta"), (3, None), (4, ""), (5, "  \t\n"), (6, "Éan ÉAN token = \"0123456789abcdef01\""),
-    (7, LONG), (None, "no id here"), (8, "eight rows"), (8, "eight rows"), (9, "x"), (10, "<|endoftext|> special"),
+    (7, LONG), (None, "no id here"), (8, "eight rows"), (8, "eight rows"), (9, "x"), (10, "<|endoftext|> special"), (11, "Spelling spelling SPELLING spellinG spelling spelling"),
 ]
 CLASHING = ["rank", "digest", "quality_score", "cls", "comp", "sub", "node", "n", "word", "shard", "slot", "_key", "_id", "_text_hash", "score", "sig"]
+TURNS = [(1, 0, "user", "Hi."), (1, 1, None, None), (1, None, "", ""), (2, 0, "assistant", LONG), (2, 0, "assistant", LONG), (None, None, None, None), (None, 3, "user", "x"), (None, 3, "user", "x"), (3, 0, "tool", " \t")]
 PAGES = [(1, "u", "<p>" + "a" * 120), (2, "u", "<p>" + "a" * 120), (3, None, None), (None, "v\r\nx", ""), (4, "w", "<article>hi"), (4, "w", "<article>hi"), (5, "z", "<p>" + "b" * 100_000)]
 
 
@@ -31,6 +32,8 @@ def tables(spark, tmp_path_factory):
         spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         labels = [(1, 1, 0), (2, 0, 0), (4, None, 1), (9, 1, 0), (None, 1, 1)] if rows else []
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        turns = TURNS if rows else []
+        spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS key", "1 AS ord", "2 AS kind").write.parquet(f"{path}/conversations.parquet")
         return path
 
     return write("odd", ROWS, PAGES), write("none", [], [])
@@ -42,6 +45,10 @@ def test_every_row_has_a_result(spark, tables, name):
     got = QUERIES[name](spark, odd).collect()
     if name == "op5_packing":
         assert sum(r["start"] == 0 for r in got) == len(ROWS)
+    elif name == "op12_conversations":
+        assert sorted(str(r["conv_id"]) for r in got) == sorted({str(t[0]) for t in TURNS})
+    elif name == "op13_variants":
+        assert {r["word"]: r["n"] for r in got} == {"spelling": 6}
     else:
         assert len(got) == (len(PAGES) if name.startswith(("op6", "op7")) else len(ROWS))
     assert QUERIES[name](spark, none).collect() == []
