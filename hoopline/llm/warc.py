@@ -29,7 +29,7 @@ from hoopline.session import scratch_path
 
 MIN_REVISIT = 100
 #: Bytes of a WARC file before it is packed, on average; and records that are handed on together.
-FILE_BYTES, RECORDS_AT_A_TIME = 16 << 20, 2000
+FILE_BYTES, RECORDS_AT_A_TIME = 4 << 20, 100
 DATE = "2000-01-01T00:00:00Z"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
