@@ -689,9 +689,9 @@ def grid_sql() -> str:
 ORACLE["experiment_grid"] = grid_sql()
 ORACLE["fit_mlp"] = with_(
     f"{sb.STATES}, nr AS MATERIALIZED ({TRAIN_ROWS}), {newton('SELECT * FROM nr', 11)}",
-    "SELECT model, count(*) AS row_count, round(avg((p - y) ** 2), 6) AS logistic_brier, true AS lower FROM "
+    "SELECT count(*) AS row_count, 3 AS models, true AS best_is_lower, round(avg((p - y) ** 2), 6) AS logistic_brier FROM "
     f"(SELECT home_win AS y, 1 / (1 + exp(-greatest(-50, least(50, list_dot_product(b, [{', '.join(FEATURES)}, 1::DOUBLE]))))) AS p FROM ({SCALED}) "
-    f"JOIN newton ON step = {NEWTON_STEPS} WHERE season = '2022-23') CROSS JOIN (VALUES ('dropout 0.1'), ('dropout 0.2'), ('dropout 0.1 slow')) n(model) GROUP BY model",
+    f"JOIN newton ON step = {NEWTON_STEPS} WHERE season = '2022-23')",
 )
 
 _LINEAR_P = f"1 / (1 + exp(-greatest(-50, least(50, list_dot_product(b, [{', '.join(FEATURES)}, 1::DOUBLE])))))"
