@@ -537,6 +537,41 @@ def test_rare_words_have_whole_word_counts(spark, monkeypatch, tmp_path):
     assert [sums[0][stem], sums[2][stem], sums[1][-1]] == pytest.approx([16, 16, 8], rel=0.1)
 
 
+def test_weights_are_learned_from_all_training_documents(spark):
+    """Long training documents, and more of them than any sample would hold, have their say in the starting weights."""
+    short, long = "alpha beta alphabet gamma " * 4, "zyxw vuts rqpo nmlk jihg fedc " * 300
+    weights = {}
+    for case, texts in {"short": [short] * 40, "long": [short] * 40 + [long] * 40}.items():
+        rows = [(k, False, text) for k, text in enumerate(texts)]
+        docs = context_mixing.in_slices(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"))
+        seen = []
+        fitted = context_mixing._fitted
+        try:
+            context_mixing._fitted = lambda model, table, docs, *rest: seen.append(docs.count()) or fitted(model, table, docs, *rest)
+            weights[case] = context_mixing.train(docs)[0].weights
+        finally:
+            context_mixing._fitted = fitted
+        assert seen == [len(texts)]
+    assert not np.allclose(weights["short"], weights["long"])
+
+
+def test_sums_of_parts_add_up(monkeypatch):
+    """Bits taken some at a time, and texts apart, lead to the weights of all at once."""
+    rand = random.Random(5)
+    texts = [[*rand.choices([b"a", b"alpha", b"alp", b"beta", b"b", b"be"], k=rand.randrange(1, 60)), context_mixing.END] for _ in range(60)]
+    counts = collections.Counter(w for t in texts for w in t)
+    code = context_mixing.Code(np.bincount(np.frombuffer(b"alphabetalphabet \n", np.uint8), minlength=256))
+    table, words = np.zeros((context_mixing.SLOTS, 2), np.float32), list(counts)
+    context_mixing.add_counts(table, words, np.array(list(counts.values())), code, context_mixing.whole_word_slots(words, code))
+    whole = context_mixing.Model(table, code)
+    halves = [whole.sums(table, part) for part in (texts[::2], texts[1::2])]
+    parts = whole.settled(halves[0][0] + halves[1][0], halves[0][1] + halves[1][1])
+    monkeypatch.setattr(context_mixing, "FIRST_FIT_BITS", 1 << 40)
+    whole.fit(table, texts)
+    assert abs(parts - whole.weights).max() < 0.1
+
+
+
 def test_every_weight_is_refined_in_the_document():
     """From weights of zero, a text of less than 32 tokens gains by every single corpus context."""
     model = small_model()
