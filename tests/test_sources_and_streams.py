@@ -245,3 +245,18 @@ def test_stream_sets_bad_games_aside_and_publishes_changes(spark, tmp_path):
     assert final.home_win_probability == 1.0 and final.final_override_applied
     # The same batch again publishes the same.
     assert step(5, [live(one, plays, 8)])[1] == {one: "live"}
+
+
+def test_only_doubtful_games_are_put_in_order_to_set_them_aside(spark, monkeypatch):
+    """A bad arrival that is corrected later sets nothing aside; good games are not put in order for it."""
+    good, fixed, bad, strange, half, clockless = (f"000000000{k}" for k in range(1, 7))
+    rows = [("live", g, 100, 200) for g in (good, fixed, bad, clockless)] + [("live", half, 100, None), ("2021-22", strange, 100, 200)]
+    index = spark.createDataFrame(rows, "season STRING, game_id STRING, home_team_id BIGINT, away_team_id BIGINT")
+    wrong, right = (1, "2pt", "Made", 100, "two"), (1, "2pt", "Made", 100, "2")
+    documents = [live(good, [right], 0), live(fixed, [wrong, right], 0), live(bad, [right, wrong], 0), live(strange, [right], 0), live(half, [right], 0)]
+    documents.append((*live(clockless, [right], 0)[:3], live(clockless, [right], 0)[3].replace("PT10M00.00S", " ")))
+    ordered, plain = set(), ls.live_feed_actions
+    monkeypatch.setattr(ls, "live_feed_actions", lambda actions, **more: ordered.update(r.game_id for r in actions.select("game_id").distinct().collect()) or plain(actions, **more))
+    found = {r.game_id: r.reason for r in ls.set_aside(spark.createDataFrame(documents, ls.DOCUMENT_SCHEMA), index).collect()}
+    assert found == {bad: "home score", strange: "game", half: "game", clockless: "period or clock"}
+    assert ordered == {fixed, bad, strange, half}
