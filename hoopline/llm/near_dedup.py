@@ -232,7 +232,10 @@ def _candidate_nodes(classes: DataFrame, comps: DataFrame | None, first: int, en
     groups, deep, large = [], None, None
     for level in levels:
         if large is not None:
-            placed = large.select("cls", "comp", "tree").join(classes.select("cls", "sig"), "cls").select("cls", "comp", "tree", _node_of(F.col("tree"), level).alias("node"))
+            # A class meets its signature once, with the list of its trees.
+            lists = large.groupBy("cls", "comp").agg(F.collect_list("tree").alias("trees"))
+            below = F.transform("trees", lambda t: F.struct(t.alias("tree"), _node_of(t, level).alias("node")))  # noqa: B023
+            placed = lists.join(classes.select("cls", "sig"), "cls").select("cls", "comp", F.inline(below))
             if level == LEVELS[-1]:
                 deep = large.select("cls").distinct()
         elif level == LEVELS[-1]:
@@ -301,8 +304,13 @@ def _further_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links_of_groups(sketch: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """The exact links (a, b) that join components inside the groups."""
-    with_sig = classes.select("cls", "row_no", "short").join(groups, "cls").select("sub", "row_no", "cls", "comp", "left", "short")
+    """The exact links (a, b) that join components inside the groups.
+
+    A class is joined with its values once, whatever the number of its groups: these are a list of 16 bytes each, a few for every tree and, for
+    hubs and for what ``_blocks`` compares, one for every ``NODE`` classes of the node.
+    """
+    lists = groups.groupBy("cls", "comp").agg(F.collect_list(F.struct("sub", "left")).alias("subs"))
+    with_sig = classes.select("cls", "row_no", "short").join(lists, "cls").select("cls", "comp", "row_no", "short", F.inline("subs"))
     grouped = with_sig.repartition("sub").sortWithinPartitions("sub")
     names = ["sub", "row_no", "cls", "comp", "left"]
     promising = grouped.mapInPandas(_by_group(_promising, names), "sub long, row_no long, cls long, comp long, left boolean")

@@ -611,3 +611,25 @@ def test_sparse_pairs_inside_a_shared_passage(spark, monkeypatch):
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()}
     assert got == want
+
+
+def test_classes_meet_their_values_once_for_all_their_groups(spark, monkeypatch):
+    """A large group that shares a passage stands in a node of every tree; the joins by class still make at most one row of a class."""
+    rand = random.Random(12)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(passage + [f"own{rand.random()}" for _ in range(30)])) for k in range(40)]
+    rows += [(100 + k, " ".join([*passage, "copy", *(f"c{j}" for j in range(60)), f"x{k}"])) for k in range(12)]
+    frame, made = spark.createDataFrame(rows, "doc_id long, text string"), []
+    plain = type(frame).join
+
+    def join(left, right, on=None, how=None):
+        joined = plain(left, right, on, how)
+        if on == "cls" and how is None:
+            made.append((joined.count(), joined.select("cls").distinct().count()))
+        return joined
+
+    monkeypatch.setattr(near_dedup, "NODE", 8)
+    monkeypatch.setattr(type(frame), "join", join)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == {**{k: k for k in range(40)}, **{100 + k: 100 for k in range(12)}}
+    assert len(made) >= 4 and all(n == classes for n, classes in made)
