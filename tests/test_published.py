@@ -10,6 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoopline.operators import snapshots as sn
+from hoopline.operators.live_feed import live_feed_actions
+from hoopline.sources.derived import DerivedFeed
+from hoopline.sources.feeds import read_live_snapshots
 from hoopline.streaming import live_states as ls
 from hoopline.streaming import published as pb
 
@@ -111,3 +114,39 @@ def test_a_silent_feed_is_marked_by_its_timer(spark, tmp_path):
     finally:
         query.stop()
     assert (GAMES[0], 0, "silence", "degraded") in logged(tables)
+
+
+def test_fingerprints_are_worked_out_once(spark):
+    """Looking back reads the fingerprints several times; the documents must not be parsed again for each."""
+    prints = sn.snapshot_fingerprints(spark.createDataFrame([document(g, p, 2, turned=p == 1) for g in GAMES for p in range(3)], ls.DOCUMENT_SCHEMA))
+    assert {r.game_id: r.n for r in prints.groupBy("game_id").agg(F.countDistinct("fingerprint").alias("n")).collect()} == dict.fromkeys(GAMES, 1)
+    assert "parse_json" not in sn.changed_snapshots(prints)._jdf.queryExecution().toString().lower()
+
+
+def test_polled_documents_hold_what_each_poll_shows(spark, tmp_path):
+    """Games of over 4,096 actions among them; the items, in order, against the live actions."""
+    events = [(e, e % 9 if e < 300 else 20, "click" if e % 3 else "view", e * 0.37) for e in range(5200)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, event_id)"))
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    feed = DerivedFeed(spark, str(tmp_path))
+    actions = {}
+    for r in feed.live_actions().collect():
+        actions.setdefault(r.game_id, {})[r.source_index] = r.description
+    wanted = {}
+    for p in feed.polls().collect():
+        for at in range(0, min(p.shown, len(actions[p.game_id])), 4096):
+            wanted[p.game_id, p.poll, at // 4096] = (p.failed, [actions[p.game_id][k] for k in range(at, min(at + 4096, p.shown))])
+    failed = {(g, p, part): f for (g, p, part), (f, _) in wanted.items()}
+    got = {(r.game_id, r.poll, r.part): r.value for r in feed.polled_documents().collect()}
+    assert feed.polled_documents().count() == len(got) and got.keys() == wanted.keys() and max(part for *_, part in got) == 1
+    for key, value in got.items():
+        assert value.endswith("]}}") != failed[key]
+        game = json.loads(value + "]}}" if failed[key] else value)["game"]
+        assert game["gameId"] == key[0] and [a["description"] for a in game["actions"]] == wanted[key][1]
+
+
+def test_live_actions_are_made_single_once(spark):
+    """Order is found in two looks at the actions; both must read what was written, not make the actions single again."""
+    raw = spark.createDataFrame([document(GAMES[0], 0, 3)], ls.DOCUMENT_SCHEMA)
+    plan = live_feed_actions(read_live_snapshots(raw))._jdf.queryExecution().toString().lower()
+    assert "max_by" not in plan and "parquet" in plan
