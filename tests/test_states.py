@@ -142,3 +142,13 @@ def test_unknown_game_is_an_error(spark):
     assert [r.game_id for r in kept] == ["known"]
     aside = st.quarantined_actions(frame(spark, games), index_of(spark, ["known"])).collect()
     assert [(r.game_id, r.quarantine_reasons) for r in aside] == [("unknown", ["game"])]
+
+
+@pytest.mark.parametrize("longest", [None, 1024])
+def test_actions_are_dealt_by_chunk_into_all_partitions(spark, longest):
+    """Partitions that are put together again hold more wide rows than two sorts keep in memory, so the one exchange of the actions has a fixed number."""
+    tracked = st.tracked_actions(frame(spark, GAMES), index_of(spark, GAMES), longest=longest)
+    plan = tracked._jdf.queryExecution().executedPlan().toString()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and all(f", {parts})" in line and "chunk#" in line for line in dealt) and "REPARTITION_BY_COL" not in plan
