@@ -59,3 +59,26 @@ def test_every_prefix(spark, block_rows):
 def test_no_arrivals(spark):
     index = spark.createDataFrame([], "season STRING, game_id STRING, home_team_id BIGINT, away_team_id BIGINT")
     assert rp.replay_states(spark.createDataFrame([], FIELDS), index).collect() == []
+
+
+def test_short_and_long_games_give_the_same(spark):
+    """Games done in one task, level by level, and some in each way; a clock with many arrivals counts as long."""
+    rows = [r for g, n in (("g1", 1), ("g2", 40), ("g3", 75)) for r in random_game(g, n, n)]
+    arrivals = spark.createDataFrame(rows, FIELDS)
+    index = spark.createDataFrame([("live", g, 100, 200) for g in ("g1", "g2", "g3")], "season STRING, game_id STRING, home_team_id BIGINT, away_team_id BIGINT")
+    results = [sorted(rp.replay_states(arrivals, index, 3, short_game=n).collect(), key=lambda r: (r.game_id, r.cursor)) for n in (0, 50, 200, 10_000)]
+    assert len(results[0]) == len(rows)
+    assert all(r == results[0] for r in results[1:])
+
+
+def test_short_games_move_once(spark, monkeypatch):
+    """The rows of short games are dealt by game, and no step after that deals them again or joins them with themselves."""
+    plans = []
+    monkeypatch.setattr(rp, "written", lambda df, name: plans.append((name, df)) or df)
+    arrivals = spark.createDataFrame(random_game("g1", 40, 40), FIELDS)
+    index = spark.createDataFrame([("live", "g1", 100, 200)], "season STRING, game_id STRING, home_team_id BIGINT, away_team_id BIGINT")
+    rp.replay_states(arrivals, index)
+    plan = dict(plans)["replay_states"]._jdf.queryExecution().executedPlan().toString()
+    # The other exchange, if any, is that of the table of teams.
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) <= 2
+    assert plan.count("Join") == 1
