@@ -6,6 +6,7 @@ import collections
 import hashlib
 import html
 import math
+import pickle
 import random
 import re
 import string
@@ -90,6 +91,17 @@ def test_scores_do_not_depend_on_the_batch():
     assert context_mixing.Model.of_state(model.state()).scores(texts) == pytest.approx(together)
 
 
+def test_slots_are_sent_packed():
+    """Empty slots take no room where executors keep what they are sent, and the slots arrive as they were."""
+    model = small_model()
+    table = np.zeros((context_mixing.SLOTS, 2), np.float32)
+    table[5] = 3, 0.5
+    state, sent = model.state(), context_mixing._packed(table)
+    assert len(pickle.dumps((state, sent))) < 2e6
+    again = context_mixing.Model.of_state(state)
+    assert (again.odds == model.odds).all() and (again.sure == model.sure).all() and (context_mixing._unpacked(sent).reshape(-1, 2) == table).all()
+
+
 def test_the_model_learns_online():
     """A repeated line costs less the tenth time."""
     model = small_model()
