@@ -179,8 +179,9 @@ def replay_states(arrivals: DataFrame, index: DataFrame, block_rows: int = 4096,
     """For every game and ``cursor`` from 1 to the number of arrivals: the state that its first ``cursor`` arrivals give.
 
     ``arrivals`` are raw live actions (``source_index`` counts them from 0 in each game), ``index`` the teams of each game under the season name ``live``.
-    Games of at most ``short_game`` arrivals, each clock of them with at most a sixteenth of that, are done by one task each.
+    Games of at most ``short_game`` arrivals, each clock of them with at most a sixteenth of that, are done by one task each. Arrivals without a game are left out.
     """
+    arrivals = arrivals.where("game_id IS NOT NULL")
     sizes = written(_sizes(arrivals).withColumn("is_long", F.expr(f"n > {short_game} OR at_once > {max(1, short_game // 16)}")), "replay_sizes")
     of = {r["is_long"]: r for r in sizes.groupBy("is_long").agg(F.sum("n").alias("rows"), F.max("n").alias("longest")).collect()}
     long_games = sizes.where("is_long").select("game_id")

@@ -71,6 +71,15 @@ def test_short_and_long_games_give_the_same(spark):
     assert all(r == results[0] for r in results[1:])
 
 
+def test_arrivals_without_a_game(spark):
+    """They belong to no game and are left out, whatever else they lack."""
+    rows = random_game("g1", 5, 5)
+    lost = [(None, None, None, None, "", "", None, [], "", None, None, "", None, "", "", "", "")]
+    index = spark.createDataFrame([("live", "g1", 100, 200)], "season STRING, game_id STRING, home_team_id BIGINT, away_team_id BIGINT")
+    with_lost, without = (sorted(map(tuple, rp.replay_states(spark.createDataFrame(r, FIELDS), index).collect())) for r in (rows + lost, rows))
+    assert with_lost == without and len(without) == 5
+
+
 def test_short_games_move_once(spark, monkeypatch):
     """The rows of short games are dealt by game, and no step after that deals them again or joins them with themselves."""
     plans = []
