@@ -522,6 +522,37 @@ def test_pair_counts_equal_plain_counts(monkeypatch):
                     assert counts[at + k] == pytest.approx(want, rel=0.1)
 
 
+def test_what_units_ask_and_are_told():
+    """Units that ask by bucket are told the counts that all of them have together, in less room than the pairs would take spelled out."""
+    rand = random.Random(8)
+    letters = "etaoinshr"
+    known = ["".join(rand.choices(letters, k=rand.randrange(1, 7))).encode() for _ in range(300)]
+    texts = [[*rand.choices(known, range(300, 0, -1), k=rand.randrange(1, 200)), context_mixing.END] for _ in range(90)]
+    held_out = [k % 7 == 2 for k in range(90)]
+    code = context_mixing.Code(np.bincount(np.frombuffer(b" ".join(known), np.uint8), minlength=256))
+    for hot in (set(), set(known[:3]), {*known, context_mixing.END}):
+        head = set(known[:50])
+        units = [(texts[k : k + 30], held_out[k : k + 30]) for k in range(0, 90, 30)]
+        asked = [context_mixing.Asked.of_texts(t, h, 4, code, hot, head) for t, h in units]
+        packed = [dict(a.packed()) for a in asked]
+        answers = [{} for _ in units]
+        for bucket in range(4):
+            given = [k for k, p in enumerate(packed) if bucket in p]
+            for k, told in zip(given, context_mixing._bucket_answers([packed[k][bucket] for k in given], [True] * len(given), code), strict=True):
+                answers[k][bucket] = told
+        tokens, words = context_mixing._numbered(texts)
+        counted = np.repeat([not h for h in held_out], [len(t) for t in tokens])
+        rows = context_mixing.Pairs(tokens, words, hot, context_mixing.not_in(words, head)).frame(counted).groupby(["pair", "key", "piece"], as_index=False)["n"].sum()
+        want = context_mixing._found(context_mixing.bit_counts(rows, code))
+        plain = {int(name): want[3][a : a + n] for name, a, n in zip(*want[:3], strict=True)}
+        for a, told in zip(asked, answers, strict=True):
+            names, begin, bits, flat = a.found(told, code)
+            for name, at, n in zip(names.tolist(), begin.tolist(), bits.tolist(), strict=True):
+                assert (flat[at : at + n] == plain.get(name, 0)).all()
+        moved = sum(len(p) for d in (*packed, *answers) for p in d.values())
+        assert moved < 0.3 * sum(8 + 8 + len(p) + 8 + 2 * n for a in asked for p, n in zip((a.spellings.spelled[k] for k in a.number), a.found(answers[asked.index(a)], code)[2], strict=True))
+
+
 def test_word_order_counts(spark, tmp_path):
     """A held-out text in the order of the training texts is likelier than its words in another order."""
     rand = random.Random(2)
