@@ -7,6 +7,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hoopline.operators import snapshots as sn
@@ -150,3 +151,30 @@ def test_live_actions_are_made_single_once(spark):
     raw = spark.createDataFrame([document(GAMES[0], 0, 3)], ls.DOCUMENT_SCHEMA)
     plan = live_feed_actions(read_live_snapshots(raw))._jdf.queryExecution().toString().lower()
     assert "max_by" not in plan and "parquet" in plan
+
+
+def test_a_game_takes_and_gives_plain_rows_and_only_its_newest_documents():
+    """No frame is made for a game, and of several changed polls of a batch only the newest one's documents go on."""
+
+    class Value:
+        stored = None
+
+        def exists(self):
+            return self.stored is not None
+
+        def get(self):
+            return self.stored
+
+        def update(self, value):
+            self.stored = value
+
+    state = pb.PublishedState()
+    state.state = Value()
+    event = Row("game_id", "poll", "part", "value", "print", "board", "meta")
+    rows = [event("g", 1, p, f"text {poll}.{p}", f"print {poll}.{p}", None, None) for poll in (1,) for p in (1, 0)]
+    rows += [event("g", 2, 0, "text 2", "print 2", None, None), event("g", 3, 0, "cut", None, None, None), event("g", 1, None, None, None, "board", "meta")]
+    out = list(state.handleInputRows(("g",), iter(rows), None))
+    assert [(r.poll, r.cause, r.part, r.value) for r in out] == [(1, "feed and metadata", None, None), (2, "feed", None, None), (3, "failure", None, None), (2, "feed", 0, "text 2")]
+    assert not list(state.handleInputRows(("g",), iter([event("g", 2, 0, "text 2", "print 2", None, None)]), None))
+    out = list(state.handleInputRows(("g",), iter([event("g", 4, p, f"text {p}", f"print {p}", None, None) for p in (1, 0)]), None))
+    assert [(r.poll, r.part, r.value) for r in out] == [(4, None, None), (4, 0, "text 0"), (4, 1, "text 1")]
