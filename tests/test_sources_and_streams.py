@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from hoopline.sources import feeds as fd
 from hoopline.sources import game_log_files as gl
 from hoopline.sources import scoreboard as sb
 from hoopline.sources import state_store as ss
+from hoopline.sources.derived import DerivedFeed
 from hoopline.streaming import live_states as ls
 from tests.plays import FIELDS, SCHEMA
 
@@ -260,3 +262,43 @@ def test_only_doubtful_games_are_put_in_order_to_set_them_aside(spark, monkeypat
     found = {r.game_id: r.reason for r in ls.set_aside(spark.createDataFrame(documents, ls.DOCUMENT_SCHEMA), index).collect()}
     assert found == {bad: "home score", strange: "game", half: "game", clockless: "period or clock"}
     assert ordered == {fixed, bad, strange, half}
+
+
+def most_read_at_once(folder) -> int:
+    """The most bytes of documents in one row group."""
+    groups = [m.row_group(k) for f in folder.rglob("*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    return max(g.column(c).total_uncompressed_size for g in groups for c in range(g.num_columns))
+
+
+def test_large_documents_are_read_a_few_at_a_time(spark, tmp_path):
+    """Readers hold the text of a whole row group; 80 documents of a megabyte were one."""
+    rows = spark.range(0, 80, 1, 1).selectExpr("'0000000001' AS game_id", "CAST(id AS INT) AS poll", "0 AS part", "repeat(uuid(), 28000) AS value")
+    tables = ls.LiveTables(spark, str(tmp_path / "tables"))
+    tables.write(rows, "snapshots", 0)
+    assert most_read_at_once(tmp_path / "tables") < 24 << 20
+    assert tables.of_batch("snapshots", ls.SNAPSHOT_SCHEMA, 0).agg(F.sum(F.length("value"))).first()[0] == 80 * 36 * 28000
+
+
+def test_polled_snapshots_show_what_has_arrived(spark, tmp_path):
+    """Poll 0 shows half of a game, the others all of it, poll 2 with keys turned; one game is longer than a document. Gathering leaves the session as it was."""
+    events = [(e, e % 9 if e < 300 else 20, "click" if e % 3 else "view", e * 0.37) for e in range(9500)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, event_id)"))
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    feed = DerivedFeed(spark, str(tmp_path))
+    before = dict(spark.conf.getAll)
+    actions = {}
+    for r in feed.live_actions().collect():
+        actions.setdefault(r.game_id, {})[r.source_index] = r.description
+    wanted = {}
+    for game, own in actions.items():
+        for poll in range(3):
+            shown = [own[k] for k in range(len(own)) if poll or k < len(own) / 2]
+            for at in range(0, len(shown), 4096):
+                wanted[game, poll, at // 4096] = shown[at : at + 4096]
+    got = {(r.game_id, r.poll, r.part): r.value for r in feed.snapshots().collect()}
+    assert feed.snapshots().count() == len(got) and got.keys() == wanted.keys() and max(part for *_, part in got) == 2
+    for (game, poll, part), value in got.items():
+        whole = json.loads(value)["game"]
+        assert whole["gameId"] == game and [a["description"] for a in whole["actions"]] == wanted[game, poll, part]
+        assert ("note" in whole) == (poll == 2 and int(game) % 2 == 1) and (list(whole["actions"][0])[-1] == "actionNumber") == (poll == 2)
+    assert dict(spark.conf.getAll) == before
