@@ -10,11 +10,13 @@ import pickle
 import random
 import re
 import string
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from checks.compare import compare, connect
@@ -104,6 +106,42 @@ def test_slots_are_sent_packed():
     assert (again.weights == model.weights).all() and (again.code.sizes == model.code.sizes).all()
 
 
+def test_what_a_process_is_sent_is_unpacked_once():
+    """All tasks of a process share the arrays, and the packed ones go."""
+    table = np.arange(20, dtype=np.float32).reshape(10, 2)
+    sent = pickle.loads(pickle.dumps(context_mixing.Sent({"counts": table, "byte_counts": np.ones(256)})))
+    arrays = sent.arrays()
+    assert (arrays["counts"] == table).all() and (arrays["byte_counts"] == 1).all() and not sent.packed
+    assert sent.arrays()["counts"] is arrays["counts"]
+
+
+def test_bits_are_expanded_a_few_at_a_time():
+    """A lot of bits is not turned into doubles whole, and its sums are those of all bits."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300_000, context_mixing.INPUTS)).astype(np.float32)
+    gate, bits = np.repeat([2, 7], 150_000), rng.integers(0, 2, 300_000)
+    now = rng.normal(size=(context_mixing.GATES, context_mixing.INPUTS))
+    tracemalloc.start()
+    curve, pull = context_mixing._expanded(x, gate, bits, now)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
+    for g in (2, 7):
+        own = x[gate == g].astype(float)
+        p = 1 / (1 + np.exp(-np.clip(own @ now[g], -30, 30)))
+        whole = (own.T * (p * (1 - p))) @ own
+        assert curve[g] == pytest.approx(whole) and pull[g] == pytest.approx(whole @ now[g] - (p - bits[gate == g]) @ own)
+    assert not curve[3].any() and not pull[3].any()
+
+
+def test_units_are_read_a_few_at_a_time(spark):
+    """A unit has two million characters, and readers hold all text of a row group."""
+    rows = spark.range(0, 24, 1, 1).selectExpr("id AS doc_id", "false AS held_out", "array_join(transform(sequence(1, 16400), x -> sha2(concat(id, '.', x), 256)), ' ') AS text")
+    units = context_mixing.in_slices(rows)
+    groups = [m.row_group(k) for f in units.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for k in range(m.num_row_groups)]
+    assert units.count() == sum(g.num_rows for g in groups) >= 12 and max(g.num_rows for g in groups) <= 5
+
+
 def test_the_model_learns_online():
     """A repeated line costs less the tenth time."""
     model = small_model()
